@@ -10,7 +10,6 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -176,7 +175,8 @@ def _image_columns(images: DataFrame) -> DataFrame:
 
 
 def _per_image(images: DataFrame, schema: str, rows_of) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,8 @@ def _per_image(images: DataFrame, schema: str, rows_of) -> DataFrame:
             for image_id, height, width, channels, data in zip(*[c.to_pylist() for c in batch.columns]):
                 out.extend(rows_of(image_id, decode(height, width, channels, data)))
             if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
+                columns = [pa.array(values, type=f.type) for values, f in zip(zip(*out), fields)]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
     return _image_columns(images).mapInArrow(run, schema)
 

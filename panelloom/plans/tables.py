@@ -428,13 +428,14 @@ def quantile_trim(spark, sf):
 
 
 @query("error_metrics", sql(
-    f"""SELECT country, count(*) AS n, round(avg(abs(co2 - m)), 6) AS mae,
+    f"""SELECT country, count(*) AS n, round(avg(abs(co2 - m)), 9) AS mae,
                round(1 - sum((co2 - m) * (co2 - m)) / nullif(var_pop(co2) * count(*), 0), 6) AS r2
         FROM (SELECT country, co2, lag(co2) OVER {W}) AS m FROM feat) WHERE co2 IS NOT NULL AND m IS NOT NULL GROUP BY country""",
     "feat"))
 def error_metrics(spark, sf):
     rows = chunks.over_history(features(spark, sf), SPEC, 1, {"before": lambda w: F.lag("co2").over(w)})
-    return show(stats.error_metrics(rows, "co2", "before", ["country"]), ["country", "n"], ["mae", "r2"], 6)
+    out = stats.error_metrics(rows, "co2", "before", ["country"])
+    return out.select("country", "n", F.round("mae", 9).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
 @query("percentile_threshold", sql(
