@@ -17,6 +17,7 @@ from panelloom.spec import ANOMALY_FEATURES, PanelSpec
 
 TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
 OVERDRAW = 1.25   # expected draws per tree over the sample size, cut back by hash order
+TREES_PER_TASK = 25
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, "
                "left int, right int, size int, depth int")
 _Z = "_z_"
@@ -97,7 +98,9 @@ def grow_forest(scaled: DataFrame, columns: list[str], identity: list[str], tree
                 sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     limit = int(np.ceil(np.log2(max(sample, 2))))
     drawn = draw(scaled.select(*identity, *columns), identity, trees, sample, seed)
-    return (drawn.select("tree", "_draw", *columns).groupBy("tree")
+    # A fixed partition count: the samples are small in bytes but growing them is not.
+    spread = drawn.select("tree", "_draw", *columns).repartition(max(1, trees // TREES_PER_TASK), "tree")
+    return (spread.groupBy("tree")
             .applyInPandas(_grow(seed, columns, limit), NODE_SCHEMA))
 
 

@@ -42,7 +42,7 @@ def _magnitude_bin(x: Column) -> Column:
 def _linear_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
     # Halved ends: high - low may exceed the largest double.
     share = F.try_divide(x / 2 - low / 2, high / 2 - low / 2)
-    return F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("bigint")
+    return F.when(share.isNull(), 0).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))).cast("bigint")
 
 
 def _pick(counts: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -130,17 +130,20 @@ def as_struct(one_row: DataFrame) -> Column:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n): equal-width counts over [min, max], last bin closed."""
-    values = long_values(df, [column]).select("value")
-    ends = as_struct(values.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
-    placed = values.withColumn("_p", ends)
-    width = (F.col("_p.hi") - F.col("_p.lo")) / bins
-    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("_p.lo"), width)),
-                              F.lit(bins - 1)), F.lit(0)).cast("bigint")
-    counted = placed.groupBy(bin_.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_p.lo").alias("_lo"), F.min("_p.hi").alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) / bins
-    return counted.select("bin", (F.col("_lo") + F.col("bin") * step).alias("low"),
-                          (F.col("_lo") + (F.col("bin") + 1) * step).alias("high"), "n")
+    return long_histogram(long_values(df, [column]), bins).drop("column")
+
+
+def long_histogram(values: DataFrame, bins: int) -> DataFrame:
+    """Histogram of every column of a (column, value) frame."""
+    # One row per column, so the ends are safe to broadcast.
+    ends = values.groupBy("column").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    placed = values.join(F.broadcast(ends), "column")
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    place = F.floor(F.try_divide(F.col("value") - F.col("_lo"), width))
+    bin_ = F.when(place.isNull(), 0).otherwise(F.least(place, F.lit(bins - 1))).cast("bigint")
+    counted = placed.groupBy("column", "_lo", "_hi", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("column", "bin", (F.col("_lo") + F.col("bin") * width).alias("low"),
+                          (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
 def trim(df: DataFrame, column: str, low: float | None, high: float, closed: bool = True) -> DataFrame:

@@ -127,7 +127,10 @@ def images(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> DataFrame:
     image = F.struct(
         F.col("vec_id").cast("string").alias("origin"), size.alias("height"), size.alias("width"),
         F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.array_join(lines, "")).alias("data"))
-    return table(spark, sf_dir, "embeddings").select(image.alias("image"))
+    # An image is a few hundred times its row, so spread the rows before drawing them.
+    parts = 4 * spark.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, "embeddings").repartition(parts, "vec_id")
+    return rows.select(image.alias("image"))
 
 
 def png(height: int, width: int, bgr: bytes) -> bytes:

@@ -101,9 +101,14 @@ def global_trend_view(panel: DataFrame, spec: PanelSpec, target: str = "co2", st
 def distributions(panel: DataFrame, spec: PanelSpec, columns: list[str], bins: int = 50,
                   high: float = 0.98) -> DataFrame:
     """(column, mean, median, bin, low, high, n) of values below the high quantile."""
-    middle = stats.mean_median(panel, columns)
-    parts = {c: quantiles.histogram(quantiles.trim(panel, c, None, high, closed=False), c, bins) for c in columns}
-    return middle.join(ordering.stack_tagged(parts, "column"), "column")
+    values = quantiles.long_values(panel, columns)
+    marks = quantiles.quantiles(panel, columns, [0.5, high]).groupBy("column").agg(
+        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
+        F.max(F.when(F.col("prob") == high, F.col("value"))).alias("_high"))
+    # One row per column, so the marks are safe to broadcast.
+    marks = F.broadcast(values.groupBy("column").agg(F.avg("value").alias("mean")).join(marks, "column"))
+    below = values.join(marks, "column").where(F.col("value") < F.col("_high")).select("column", "value")
+    return quantiles.long_histogram(below, bins).join(marks.drop("_high"), "column")
 
 
 def fossil_top(features: DataFrame, spec: PanelSpec, n: int = 20) -> DataFrame:
