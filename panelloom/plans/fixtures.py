@@ -1,7 +1,7 @@
 """Inputs of the registered queries, derived by Spark from the given tables.
 
 The SQL texts are templates over table names so that the same rows can be had
-from any engine.
+from any engine. Money is summed in whole cents, so sums do not depend on order.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ WITH agg AS (
   SELECT n.n_nationkey AS k, n.n_name AS country,
          CAST(year(o.o_orderdate) * 4 + quarter(o.o_orderdate) - 6000 AS INT) AS year,
          CAST(count(*) AS DOUBLE) AS n,
-         CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS ext,
-         CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END) AS DOUBLE) AS ext_r,
-         CAST(sum(CASE WHEN l.l_returnflag = 'A' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END) AS DOUBLE) AS ext_a,
-         CAST(sum(CASE WHEN l.l_linestatus = 'O' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END) AS DOUBLE) AS ext_o,
-         CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty,
-         CAST(sum(CAST(l.l_discount AS DECIMAL(18,2))) AS DOUBLE) AS disc,
-         CAST(sum(CAST(l.l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax
-  FROM {lineitem} l
+         CAST(sum(price) AS DOUBLE) / 100.0E0 AS ext,
+         CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN price ELSE 0 END) AS DOUBLE) / 100.0E0 AS ext_r,
+         CAST(sum(CASE WHEN l.l_returnflag = 'A' THEN price ELSE 0 END) AS DOUBLE) / 100.0E0 AS ext_a,
+         CAST(sum(CASE WHEN l.l_linestatus = 'O' THEN price ELSE 0 END) AS DOUBLE) / 100.0E0 AS ext_o,
+         CAST(sum(CAST(floor(l.l_quantity * 100 + 0.5E0) AS BIGINT)) AS DOUBLE) / 100.0E0 AS qty,
+         CAST(sum(CAST(floor(l.l_discount * 100 + 0.5E0) AS BIGINT)) AS DOUBLE) / 100.0E0 AS disc,
+         CAST(sum(CAST(floor(l.l_tax * 100 + 0.5E0) AS BIGINT)) AS DOUBLE) / 100.0E0 AS tax
+  FROM (SELECT *, CAST(floor(l_extendedprice * 100 + 0.5E0) AS BIGINT) AS price FROM {lineitem}) l
   JOIN {orders} o ON l.l_orderkey = o.o_orderkey
   JOIN {customer} c ON o.o_custkey = c.c_custkey
   JOIN {nation} n ON c.c_nationkey = n.n_nationkey

@@ -132,14 +132,14 @@ def iso_lookup_join(spark, sf):
 
 
 @query("latest_metric_join", sql(
-    f"""SELECT l.country, l.year, l.{SCORE}, round(m.co2_per_capita, 7) AS co2_per_capita
+    f"""SELECT l.country, l.year, l.{SCORE}, m.co2_per_capita
         FROM latest l LEFT JOIN (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY country ORDER BY year DESC) = 1) m
           ON l.country = m.country""", "latest"))
 def latest_metric_join(spark, sf):
     rows = features(spark, sf)
     latest = windows.latest_per_key(scored_table(rows), SPEC, [SCORE])
     out = joins.latest_metric_join(latest, rows, SPEC, "co2_per_capita")
-    return show(out, ["country", "year", SCORE], ["co2_per_capita"])
+    return out.select("country", "year", SCORE, "co2_per_capita")
 
 
 # --- views ---------------------------------------------------------------
@@ -151,10 +151,10 @@ def view_overview(spark, sf):
 
 
 @query("view_trend", sql(
-    f"""SELECT country, year, round(co2_per_capita, 7) AS value FROM feat
+    f"""SELECT country, year, co2_per_capita AS value FROM feat
         WHERE country IN ({SQL_KEYS}) AND year BETWEEN 1990 AND 2005""", "feat"))
 def view_trend(spark, sf):
-    return show(views.trend(features(spark, sf), SPEC, "co2_per_capita", KEYS, 1990, 2005), KT, ["value"])
+    return views.trend(features(spark, sf), SPEC, "co2_per_capita", KEYS, 1990, 2005)
 
 
 @query("view_map", sql(

@@ -18,11 +18,11 @@ KT = ["country", "year"]
 
 # --- sources and sinks ---------------------------------------------------
 
-@query("scan_csv", sql(f"SELECT {cols(ID, NUMBERS)} FROM panel", "panel"))
+@query("scan_csv", sql(f"SELECT {cols(ID + NUMBERS)} FROM panel", "panel"))
 def scan_csv(spark, sf):
     path = storage.scratch_path(spark, "panel-csv")
     tabular.write_table(fixtures.from_sql(spark, sf, fixtures.PANEL_SQL), path, "csv")
-    return show(tabular.scan_csv(spark, path, SPEC), ID, NUMBERS)
+    return show(tabular.scan_csv(spark, path, SPEC), ID + NUMBERS)
 
 
 @query("export_csv", sql(
@@ -71,11 +71,11 @@ def year_range(spark, sf):
     return show(filters.year_range(panel(spark, sf), SPEC, high=2005, floor=1990), ID, ["co2"])
 
 
-@query("prune_columns", sql(f"SELECT {cols(ID, NUMBERS)} FROM panel", "panel"))
+@query("prune_columns", sql(f"SELECT {cols(ID + NUMBERS)} FROM panel", "panel"))
 def prune_columns(spark, sf):
     rows = panel(spark, sf).withColumns({"extra": F.lit("x"), "unused": F.lit(1)})
     pruned = filters.prune_columns(rows, SPEC)
-    return show(pruned, ID, [c for c in pruned.columns if c not in ID])
+    return pruned
 
 
 SPARSE = PanelSpec(features=("methane", "coal_co2", "gas_co2"))
@@ -166,26 +166,26 @@ def dynamic_metric(spark, sf):
 
 # --- null repair and features --------------------------------------------
 
-_FF = ", ".join(rnd(f"last_value({c} IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING)", c) for c in FE)
-_BF = ", ".join(rnd(f"coalesce(last_value({c} IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING), "
-                    f"first_value({c} IGNORE NULLS) OVER {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", c)
+_FF = ", ".join(f"last_value({c} IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING) AS {c}" for c in FE)
+_BF = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING), "
+                f"first_value({c} IGNORE NULLS) OVER {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
                 for c in FE)
 
 
 @query("ffill", sql(f"SELECT country, year, {_FF} FROM panel", "panel"))
 def ffill(spark, sf):
-    return show(repair.ffill(panel(spark, sf), SPEC), KT, FE)
+    return show(repair.ffill(panel(spark, sf), SPEC), KT + FE)
 
 
 @query("bfill", sql(f"SELECT country, year, {_BF} FROM panel", "panel"))
 def bfill(spark, sf):
-    return show(repair.bfill(panel(spark, sf), SPEC), KT, FE)
+    return show(repair.bfill(panel(spark, sf), SPEC), KT + FE)
 
 
 @query("fill_zero", sql(
-    "SELECT country, year, round(gdp, 7) AS gdp, " + ", ".join(rnd(f"coalesce({c}, 0)", c) for c in FE) + " FROM panel", "panel"))
+    "SELECT country, year, gdp, " + ", ".join(f"coalesce({c}, 0.0E0) AS {c}" for c in FE) + " FROM panel", "panel"))
 def fill_zero(spark, sf):
-    return show(repair.fill_zero(panel(spark, sf), FE), KT, ["gdp", *FE])
+    return show(repair.fill_zero(panel(spark, sf), FE), [*KT, "gdp", *FE])
 
 
 @query("inf_to_null", sql(
@@ -196,9 +196,9 @@ def inf_to_null(spark, sf):
     return show(repair.inf_to_null(panel(spark, sf).withColumn("co2", bad), ["co2"]), KT, ["co2"])
 
 
-@query("clean", sql(f"SELECT {cols(ID, NUMBERS)} FROM kept", "kept"))
+@query("clean", sql(f"SELECT {cols(ID + NUMBERS)} FROM kept", "kept"))
 def clean(spark, sf):
-    return show(repair.clean(panel(spark, sf), SPEC, START), ID, NUMBERS)
+    return show(repair.clean(panel(spark, sf), SPEC, START), ID + NUMBERS)
 
 
 def _derived(name, build):
@@ -215,15 +215,15 @@ _derived("renewable_proxy", ("renewable_proxy", derive.ratio_columns))
 _derived("co2_intensity", ("co2_intensity", derive.ratio_columns))
 
 
-@query("features", sql(f"SELECT {cols(ID, NUMBERS + DERIVED)} FROM feat", "feat"))
+@query("features", sql(f"SELECT {cols(ID + NUMBERS, DERIVED)} FROM feat", "feat"))
 def feature_table(spark, sf):
     cleaned = storage.stage(repair.clean(panel(spark, sf), SPEC, START), "clean")
-    return show(derive.features(cleaned, SPEC), ID, NUMBERS + DERIVED)
+    return show(derive.features(cleaned, SPEC), ID + NUMBERS, DERIVED)
 
 
-@query("pipeline_run", sql(f"SELECT {cols(ID, NUMBERS + DERIVED)} FROM feat90", "feat90"))
+@query("pipeline_run", sql(f"SELECT {cols(ID + NUMBERS, DERIVED)} FROM feat90", "feat90"))
 def pipeline_run(spark, sf):
-    return show(derive.pipeline(panel(spark, sf), SPEC), ID, NUMBERS + DERIVED)
+    return show(derive.pipeline(panel(spark, sf), SPEC), ID + NUMBERS, DERIVED)
 
 
 _MM = ", ".join(rnd(f"({c} - min({c}) OVER ()) / coalesce(nullif(max({c}) OVER () - min({c}) OVER (), 0), 1)", c)
@@ -278,9 +278,9 @@ def zscore_severities(spark, sf):
 
 
 @query("latest_per_key", sql(
-    f"SELECT {cols(ID, NUMBERS)} FROM panel QUALIFY row_number() OVER (PARTITION BY country ORDER BY year DESC) = 1", "panel"))
+    f"SELECT {cols(ID + NUMBERS)} FROM panel QUALIFY row_number() OVER (PARTITION BY country ORDER BY year DESC) = 1", "panel"))
 def latest_per_key(spark, sf):
-    return show(windows.latest_per_key(panel(spark, sf), SPEC), ID, NUMBERS)
+    return show(windows.latest_per_key(panel(spark, sf), SPEC), ID + NUMBERS)
 
 
 @query("score_diff", sql(
@@ -504,23 +504,23 @@ def head_tail(spark, sf):
 
 
 @query("fossil_top", sql(
-    """SELECT country, round(fossil_ratio, 7) AS fossil_ratio, round(co2_per_capita, 7) AS co2_per_capita
+    """SELECT country, round(fossil_ratio, 7) AS fossil_ratio, co2_per_capita
        FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY country ORDER BY year DESC) = 1)
        ORDER BY fossil_ratio DESC, country LIMIT 20""", "feat"))
 def fossil_top(spark, sf):
-    return show(views.fossil_top(features(spark, sf), SPEC), ["country"], ["fossil_ratio", "co2_per_capita"])
+    return show(views.fossil_top(features(spark, sf), SPEC), ["country", "co2_per_capita"], ["fossil_ratio"])
 
 
 _LAST = "(SELECT * FROM panel WHERE length(iso_code) = 3 AND year = (SELECT max(year) FROM panel WHERE length(iso_code) = 3))"
 
 
 @query("emitters_top", sql(
-    f"""SELECT 'total' AS by, {cols(['country'], ['co2', 'co2_per_capita', 'population'])}
+    f"""SELECT 'total' AS by, {cols(['country', 'co2', 'co2_per_capita', 'population'])}
         FROM (SELECT * FROM {_LAST} WHERE co2 IS NOT NULL ORDER BY co2 DESC, country LIMIT 15)
-        UNION ALL SELECT 'per_capita', {cols(['country'], ['co2', 'co2_per_capita', 'population'])}
+        UNION ALL SELECT 'per_capita', {cols(['country', 'co2', 'co2_per_capita', 'population'])}
         FROM (SELECT * FROM {_LAST} WHERE co2_per_capita IS NOT NULL ORDER BY co2_per_capita DESC, country LIMIT 15)""", "panel"))
 def emitters_top(spark, sf):
-    return show(views.emitters_top(panel(spark, sf), SPEC), ["by", "country"], ["co2", "co2_per_capita", "population"])
+    return show(views.emitters_top(panel(spark, sf), SPEC), ["by", "country", "co2", "co2_per_capita", "population"])
 
 
 # --- joins that need no scores -------------------------------------------
