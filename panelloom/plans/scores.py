@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.exprs import grade, label
 from panelloom.operators import joins, scoring, stats, windows
 from panelloom.plans import views
-from panelloom.plans.oracle import PILLAR_COLUMNS, SCORED, cols, dec, grade_case, rnd, sql
+from panelloom.plans.oracle import CTES, PILLAR_COLUMNS, SCORED, cols, dec, grade_case, rnd, sql
 from panelloom.plans.registry import KEY, KEYS, SPEC, SQL_KEYS, features, panel, query, show
 from panelloom.plans.tables import histogram_sql
 from panelloom.sources.storage import stage
@@ -144,7 +144,22 @@ def latest_metric_join(spark, sf):
 
 # --- views ---------------------------------------------------------------
 
-@query("view_overview")
+def _in_range(low, high):
+    """The score blocks over part of the table, with the bounds of all of it."""
+    chain = {"normed": ("feat, bounds", f"feat, bounds WHERE year BETWEEN {low} AND {high}"), "based": ("normed", "normed_r"),
+             "scored": ("based", "based_r"), "latest": ("scored", "scored_r"), "kpis": ("latest", "latest_r")}
+    return {f"{name}_r": CTES[name].replace(f"FROM {old}", f"FROM {new}") for name, (old, new) in chain.items()}
+
+
+_OVERVIEW = f"""
+SELECT l.country, {SCORE} AS score, {grade_case(SCORE, 1)} AS grade, {grade_case(SCORE, 2)} AS label, 'Co2' AS metric,
+       m.co2 AS metric_value, global_avg_score, {dec(f'{SCORE} - global_avg_score', 2)} AS difference, {_BAND} AS band,
+       countries_critical, countries_excellent, top_country, top_score
+FROM latest_r l, kpis_r, (SELECT co2 FROM feat WHERE country = '{KEY}' AND year <= 2005 ORDER BY year DESC LIMIT 1) m
+WHERE l.country = '{KEY}'"""
+
+
+@query("view_overview", sql(_OVERVIEW, "feat", "bounds", **_in_range(1990, 2005)))
 def view_overview(spark, sf):
     rows = features(spark, sf)
     return views.overview(rows, SPEC, scoring.indicator_fit(rows), KEY, "co2", 1990, 2005)
