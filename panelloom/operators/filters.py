@@ -50,6 +50,11 @@ def key_in_list(df: DataFrame, spec: PanelSpec, keys) -> DataFrame:
     return df.where(F.col(spec.key).isin(*keys))
 
 
+def key_in_table(df: DataFrame, spec: PanelSpec, keys: DataFrame) -> DataFrame:
+    """Membership in a key table; Spark broadcasts it only if it is small."""
+    return df.join(keys.select(spec.key), spec.key, "left_semi")
+
+
 def coerce_numeric(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
     return df.withColumns({c: to_number(c, kind) for c in columns})
 

@@ -145,6 +145,12 @@ def test_metric_choice(spark):
         filters.metric_column(df, "country")
 
 
+def test_key_membership(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1)], "country string, year int")
+    keys = spark.createDataFrame([("x",), ("x",), ("z",)], "country string")
+    assert filters.key_in_table(df, SPEC, keys).count() == filters.key_in_list(df, SPEC, ["x", "z"]).count() == 2
+
+
 def test_year_range_default(spark):
     df = spark.createDataFrame([("x", 1995), ("x", 2001)], "country string, year int")
     assert [r.year for r in filters.year_range(df, SPEC).collect()] == [2001]
