@@ -87,15 +87,19 @@ def detection_severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def detect(features: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
-    """(image_id, issue, confidence, severity, alert): all detectors in one scan."""
+def _detections(detectors: tuple[Detector, ...]) -> Column:
     rows = []
-    for d in detectors or default_detectors():
+    for d in detectors:
         c = d.confidence()
         rows.append(F.struct(F.lit(d.issue).alias("issue"), c.alias("confidence"),
                              detection_severity(c).alias("severity"),
                              F.when(c > ALERT_ABOVE, d.alert(c)).otherwise("").alias("alert")))
-    return features.select("image_id", F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def detect(features: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
+    """(image_id, issue, confidence, severity, alert): all detectors in one scan."""
+    return features.select("image_id", F.inline(_detections(detectors or default_detectors())))
 
 
 def analyse_images(images: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
@@ -111,14 +115,25 @@ def detection_report(detections: DataFrame, boxes: DataFrame | None = None) -> D
         counted = boxes.groupBy("image_id", "issue").agg(F.count(F.lit(1)).alias("bbox_count"))
         rows = (rows.join(counted, ["image_id", "issue"], "left")
                 .withColumn("bbox_count", F.coalesce("bbox_count", F.lit(0).cast("bigint"))))
-    rank = detection_severity_rank(F.col("severity"))
     item = F.struct("issue", F.round("confidence", 3).alias("confidence"), "severity", "alert", "bbox_count")
     # One row per detector in a group.
-    grouped = rows.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(item)).alias("detections"), F.max(rank).alias("_rank"))
+    grouped = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("detections"))
+    return _reported(grouped)
+
+
+def report_features(features: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
+    """The report straight from the statistics table: row by row, without a shuffle."""
+    found = F.transform(_detections(detectors or default_detectors()), lambda d: F.struct(
+        d["issue"].alias("issue"), F.round(d["confidence"], 3).alias("confidence"), d["severity"].alias("severity"),
+        d["alert"].alias("alert"), F.lit(0).cast("bigint").alias("bbox_count")))
+    return _reported(features.select("image_id", F.array_sort(found).alias("detections")))
+
+
+def _reported(grouped: DataFrame) -> DataFrame:
+    """Add the non-empty alerts and the highest severity of the detections."""
     alerts = F.filter(F.transform("detections", lambda d: d["alert"]), lambda a: a != "")
-    highest = F.coalesce(F.try_element_at(F.array(*[F.lit(s) for s in SEVERITIES]),
-                                          F.col("_rank").cast("int")), F.lit("low"))
+    rank = F.array_max(F.transform("detections", lambda d: detection_severity_rank(d["severity"])))
+    highest = F.coalesce(F.try_element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank.cast("int")), F.lit("low"))
     return grouped.select("image_id", "detections", alerts.alias("alerts"), highest.alias("highest_severity"))
 
 

@@ -23,6 +23,7 @@ MASKS = {
 }
 EDGE_LOW, EDGE_HIGH = 50, 150
 ENTROPY_TINY = 1e-9
+DIAGONAL = np.tan(np.pi / 8)   # slope below which a gradient counts as straight
 
 FEATURE_SCHEMA = ("image_id string, height int, width int, smoke_ratio double, brown_ratio double, "
                   "dark_ratio double, waste_ratio double, green_ratio double, bare_ratio double, "
@@ -37,16 +38,16 @@ REGION_RULES = {
 }
 
 
-def to_hsv(bgr: np.ndarray) -> np.ndarray:
-    """8-bit HSV with hue halved to 0..180."""
-    b, g, r = (bgr[..., i].astype("float64") for i in range(3))
+def to_hsv(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit hue (halved to 0..180), saturation and value planes."""
+    b, g, r = np.moveaxis(bgr, 2, 0).astype("float64", order="C")
     value = np.maximum(np.maximum(b, g), r)
     delta = value - np.minimum(np.minimum(b, g), r)
     safe = np.where(delta > 0, delta, 1.0)
-    hue = np.select([value == r, value == g], [(g - b) / safe, 2.0 + (b - r) / safe], 4.0 + (r - g) / safe)
-    hue = np.where(delta > 0, np.mod(hue * 30.0, 180.0), 0.0)
-    saturation = np.where(value > 0, 255.0 * delta / np.where(value > 0, value, 1.0), 0.0)
-    return np.floor(np.stack([hue, saturation, value], axis=-1) + 0.5)
+    hue = np.where(value == r, (g - b) / safe, np.where(value == g, 2.0 + (b - r) / safe, 4.0 + (r - g) / safe)) * 30.0
+    hue = np.where(delta > 0, np.where(hue < 0, hue + 180.0, hue), 0.0)
+    saturation = 255.0 * delta / np.maximum(value, 1.0)
+    return np.floor(hue + 0.5), np.floor(saturation + 0.5), value
 
 
 def to_gray(bgr: np.ndarray) -> np.ndarray:
@@ -55,8 +56,16 @@ def to_gray(bgr: np.ndarray) -> np.ndarray:
 
 
 def colour_masks(bgr: np.ndarray) -> dict[str, np.ndarray]:
-    hsv = to_hsv(bgr)
-    out = {name: ((hsv >= low) & (hsv <= high)).all(axis=-1) for name, (low, high) in MASKS.items()}
+    planes = to_hsv(bgr)
+    def inside(low, high):
+        out = np.ones(bgr.shape[:2], dtype=bool)
+        for plane, lo, hi, top in zip(planes, low, high, (180, 255, 255)):
+            if lo > 0:
+                out &= plane >= lo
+            if hi < top:
+                out &= plane <= hi
+        return out
+    out = {name: inside(*bounds) for name, bounds in MASKS.items()}
     out["waste"] = out["brown"] | out["dark"]
     return out
 
@@ -79,16 +88,18 @@ def edges(gray: np.ndarray, low: float = EDGE_LOW, high: float = EDGE_HIGH) -> n
     dx = across(p)[:, 2:] - across(p)[:, :-2]
     dy = across(p.T).T[2:, :] - across(p.T).T[:-2, :]
     size = np.abs(dx) + np.abs(dy)
-    m = np.pad(size, 1)
-    here = m[1:-1, 1:-1]
-    angle = np.mod(np.degrees(np.arctan2(dy, dx)), 180.0)
-    sector = np.floor(np.mod(angle + 22.5, 180.0) / 45.0).astype(int)
-    shift = lambda y, x: m[1 + y:m.shape[0] - 1 + y, 1 + x:m.shape[1] - 1 + x]
-    steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
-    before = np.choose(sector, [shift(-y, -x) for y, x in steps])
-    after = np.choose(sector, [shift(y, x) for y, x in steps])
-    thin = (here > before) & (here >= after)
-    weak, strong = thin & (here > low), thin & (here > high)
+    framed = np.pad(size, 1)
+    # Only pixels above the low threshold are compared with their two neighbours.
+    y, x = np.nonzero(size > low)
+    ax, ay = np.abs(dx[y, x]), np.abs(dy[y, x])
+    flat, steep = ay < ax * DIAGONAL, ax < ay * DIAGONAL
+    step_y = np.where(flat, 0, 1)
+    step_x = np.where(flat, 1, np.where(steep, 0, np.where(dx[y, x] * dy[y, x] > 0, 1, -1)))
+    here = size[y, x]
+    peak = (here > framed[y + 1 - step_y, x + 1 - step_x]) & (here >= framed[y + 1 + step_y, x + 1 + step_x])
+    thin = np.zeros(size.shape, dtype=bool)
+    thin[y[peak], x[peak]] = True
+    weak, strong = thin, thin & (size > high)
     if not strong.any():
         return strong
     labels, count = label_regions(weak)
@@ -111,27 +122,22 @@ def label_regions(mask: np.ndarray) -> tuple[np.ndarray, int]:
     change = np.diff(padded, axis=1)
     row, start = np.nonzero(change == 1)
     stop = np.nonzero(change == -1)[1]
+    # Runs of the row above that touch a run form one index range of the sorted runs.
+    stride = width + 2
+    above = (row - 1) * stride
+    first = np.searchsorted(row * stride + stop, above + start, side="left")
+    beyond = np.searchsorted(row * stride + start, above + stop, side="right")
+    links = np.maximum(beyond - first, 0)
+    lower = np.repeat(np.arange(len(row)), links)
+    upper = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links) + np.repeat(first, links)
+    # Hook the larger label under the smaller one and shorten the chains until all links agree.
     parent = np.arange(len(row))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    bounds = np.searchsorted(row, np.arange(height + 1))
-    for y in range(1, height):
-        i, i_end, j, j_end = bounds[y - 1], bounds[y], bounds[y], bounds[y + 1]
-        while i < i_end and j < j_end:
-            if start[i] <= stop[j] and start[j] <= stop[i]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-            if stop[i] < stop[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([root(i) for i in range(len(row))], dtype=int)
-    names, number = np.unique(roots, return_inverse=True)
+    while (parent[lower] != parent[upper]).any():
+        one, two = parent[lower], parent[upper]
+        np.minimum.at(parent, np.maximum(one, two), np.minimum(one, two))
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+    names, number = np.unique(parent, return_inverse=True)
     labels = np.zeros((height, width + 1), dtype=np.int64)
     np.add.at(labels, (row, start), number + 1)
     np.add.at(labels, (row, stop), -(number + 1))

@@ -85,7 +85,7 @@ def detection_report(spark, sf):
 
 @query("report_json", sql(f"SELECT image_id, detections, highest_severity FROM ({_REPORT})", "image_features"))
 def report_json(spark, sf):
-    text = detect.report_json(detect.detection_report(detect.detect(fixtures.image_statistics(spark, sf))))
+    text = detect.report_json(detect.report_features(fixtures.image_statistics(spark, sf)))
     report = F.from_json("report", "detections array<struct<issue:string>>, highest_severity string").alias("r")
     return text.select("image_id", report).select(
         "image_id", F.size("r.detections").cast("bigint").alias("detections"), "r.highest_severity")

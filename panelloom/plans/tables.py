@@ -221,8 +221,8 @@ def feature_table(spark, sf):
     return show(derive.features(cleaned, SPEC), ID + NUMBERS, DERIVED)
 
 
-@query("pipeline_run", sql(f"SELECT {cols(ID + NUMBERS, DERIVED)} FROM feat90", "feat90"))
-def pipeline_run(spark, sf):
+@query("feature_run", sql(f"SELECT {cols(ID + NUMBERS, DERIVED)} FROM feat90", "feat90"))
+def feature_run(spark, sf):
     return show(derive.pipeline(panel(spark, sf), SPEC), ID + NUMBERS, DERIVED)
 
 

@@ -130,6 +130,7 @@ def test_report(spark, folder):
     assert sorted(d.confidence for d in row.detections) == [0.0, 0.5, 1.0]
     assert {d.issue: d.bbox_count for d in row.detections}["Smoke / Air Pollution"] == 1
     assert len(row.alerts) == 2 and any("smoke_pixels=100.0%" in a for a in row.alerts)
+    assert sorted(detect.report_features(stats).first().alerts) == sorted(row.alerts)
     body = json.loads(detect.report_json(report).first().report)
     assert set(body) == {"timestamp", "detections", "alerts", "highest_severity"}
 

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_points
 from compare import compare, database
 
 # One or two queries per operator group; the full list runs with tests/compare.py.
-CHECKED = ["scan_csv", "frame_sample", "coerce_numeric", "clean", "pipeline_run", "lag_features", "rolling_zscore",
+CHECKED = ["scan_csv", "frame_sample", "coerce_numeric", "clean", "feature_run", "lag_features", "rolling_zscore",
            "quantile_bounds", "describe", "severity_sort", "leaderboard", "pillar_score", "global_kpis", "map_view",
            "holt_forecast", "global_trend", "iforest_flag", "detection_report", "analyse_images", "image_regions"]
 
