@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.functions.exprs import clip, finite, grade, label, score_band
+from panelloom.functions.exprs import clip, grade, label, score_band
 from panelloom.operators import chunks
 from panelloom.operators.ordering import ranked
 from panelloom.operators.quantiles import as_struct, histogram, quantile_row

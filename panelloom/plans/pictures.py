@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import detect, pixels
 from panelloom.plans import fixtures
-from panelloom.plans.oracle import BLOCK, SIDE, detections, severity_case, sql
+from panelloom.plans.oracle import BLOCK, SIDE, detections, sql
 from panelloom.plans.registry import query, show
 from panelloom.sources import images, storage
 from panelloom.streaming.images import stream_images, write_detections

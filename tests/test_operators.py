@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.exprs import clip, grade, label, score_severity, zscore_severity
 from panelloom.operators import derive, filters, forecast, joins, repair, scoring, stats, windows
 from panelloom.sources import tabular
-from panelloom.spec import Indicator, PanelSpec, Pillar
+from panelloom.spec import Indicator, Pillar
 from panels import SPEC, panel
 
 KV = "country string, year int, co2 double"
