@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from panelloom.llm import quality, sharding
+import public_tokenizers
+
+from panelloom.llm import bpe, packing, quality, sharding
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -40,3 +42,13 @@ def op6(spark, sf):
 @query("op10_sharding")
 def op10(spark, sf):
     return sharding.assign(spark, table(spark, sf, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_packing")
+def op7(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
