@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, packing, quality, sharding
+from panelloom.llm import bpe, packing, quality, sharding, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -52,3 +53,11 @@ def op3(spark, sf):
 @query("op7_packing")
 def op7(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", (toxicity.remainder("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
