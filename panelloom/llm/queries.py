@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, packing, quality, sharding, toxicity
+from panelloom.llm import bpe, markov, packing, quality, sharding, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -61,3 +61,8 @@ def op2(spark, sf):
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
     return found.select("doc_id", (toxicity.remainder("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
+@query("op9_hidden_markov")
+def op9(spark, sf):
+    return markov.score(table(spark, sf, "documents"), toxicity.remainder("doc_id", 7) == 2)
