@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, markov, packing, quality, sharding, toxicity
+from panelloom.llm import bpe, markov, mtree, packing, quality, sharding, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -66,3 +66,17 @@ def op2(spark, sf):
 @query("op9_hidden_markov")
 def op9(spark, sf):
     return markov.score(table(spark, sf, "documents"), toxicity.remainder("doc_id", 7) == 2)
+
+
+SEARCH_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 5"""
+
+
+@query("op1_mtree_search", SEARCH_SQL)
+def op1(spark, sf):
+    return mtree.top(table(spark, sf, "embeddings"))
