@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, markov, mtree, packing, quality, sharding, toxicity
+from panelloom.llm import bpe, markov, mincut, mtree, packing, quality, sharding, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -80,3 +80,8 @@ SELECT * FROM k WHERE rank <= 5"""
 @query("op1_mtree_search", SEARCH_SQL)
 def op1(spark, sf):
     return mtree.top(table(spark, sf, "embeddings"))
+
+
+@query("op4_html_mincut")
+def op4(spark, sf):
+    return mincut.extract(table(spark, sf, "pages"))
