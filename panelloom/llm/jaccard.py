@@ -24,12 +24,10 @@ with that identifier (a component's smallest identifier that isn't null).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelloom.llm.batches import raw, slices
 from panelloom.llm.graph import components
@@ -110,7 +108,7 @@ def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> tuple[n
     return np.array(sorted(r.token for r in counts.filter(F.col("n") > floor).select("token").collect()), np.uint32), floor
 
 
-INDEXED = "doc_id long, set_key long, n long, bucket long, token binary, keys binary, sizes binary, heavy binary, combos binary"
+INDEXED = "doc_id long, name long, set_key long, n long, bucket long, token binary, keys binary, sizes binary, heavy binary, combos binary"
 
 
 def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -131,20 +129,25 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buck
                 names.append(np.full(len(single), key, np.int64))
                 sizes.append(np.full(len(single), len(tokens), np.int32))
                 heavy.append(np.full(len(single), made, np.uint8))
-            kinds = dict(zip(("doc_id", "set_key", "n", "bucket", "token", "keys", "sizes", "heavy", "combos"),
-                             (pa.int64(),) * 4 + (pa.binary(),) * 5))
+            kinds = dict(zip(("doc_id", "name", "set_key", "n", "bucket", "token", "keys", "sizes", "heavy", "combos"),
+                             (pa.int64(),) * 5 + (pa.binary(),) * 5))
 
             def rows(count, **held):
                 return pa.RecordBatch.from_pydict({k: pa.array(held.get(k, [None] * count), t) for k, t in kinds.items()})
 
-            yield rows(batch.num_rows, doc_id=batch["doc_id"].to_pylist(), set_key=keys, n=[len(t) for t in sets], combos=combos)
+            yield rows(batch.num_rows, doc_id=batch["doc_id"].to_pylist(), name=batch["name"].to_pylist(), set_key=keys, n=[len(t) for t in sets], combos=combos)
             if singles and sum(map(len, singles)):
                 token = np.concatenate(singles)
                 firsts, packed = _packed([token, *map(np.concatenate, (names, sizes, heavy))], buckets, token)
                 token, names, sizes, heavy = ([x.tobytes() for x in p] for p in packed)
                 yield rows(len(firsts), bucket=firsts.tolist(), token=token, keys=names, sizes=sizes, heavy=heavy)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEXED)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _name("text").alias("name"))
+    return named.mapInArrow(run, INDEXED)
+
+
+def _name(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -261,15 +264,15 @@ def linked(keys: list[int], sets: list[np.ndarray], percent: int, split: int | N
 def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Exact links within the candidate components.
 
-    members: doc_id (one for each set), set_key, n, root. A component's sets are dealt to
+    members: doc_id and name of one document for each set, set_key, n, root. A component's sets are dealt to
     blocks by hash, and each pair of blocks is one group: bounded, however large the component.
     """
     weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
     cut = members.join(weight, "root").withColumn("blocks", F.ceil(F.col("weight") / F.lit(BLOCK_TOKENS)).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("with", F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as lo, greatest(x, block) as hi))"))
-    asked = cut.select(F.col("doc_id").alias("member_id"), "set_key", "root", "block", "with")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    asked = cut.select(F.col("doc_id").alias("member_id"), F.col("name").alias("member_name"), "set_key", "root", "block", "with")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _name("text").alias("name"))
 
     def make(batches):
         for batch in slices(batches, "text"):
@@ -279,7 +282,8 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
                 ["set_key", "root", "block", "with", "tokens"])
 
     schema = "set_key long, root long, block int, with array<struct<lo:int,hi:int>>, tokens binary"
-    made = texts.join(asked, F.col("doc_id") == F.col("member_id")).select("text", "set_key", "root", "block", "with").mapInArrow(make, schema)
+    same = (F.col("name") == F.col("member_name")) & F.col("doc_id").eqNullSafe(F.col("member_id"))
+    made = texts.join(asked, same).select("text", "set_key", "root", "block", "with").mapInArrow(make, schema)
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("set_key").sort_values(["block", "set_key"])
@@ -292,27 +296,49 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     return dealt.groupBy("root", "lo", "hi").applyInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, width: int = 3, percent: int = 90, common: int = COMMON) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _classes(docs: DataFrame, width: int, percent: int, common: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, name, set_key, n of every document), (set_key, doc_id, class of every set)."""
     bytes_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, bytes_all // BUCKET_BYTES)
     frequent, _ = _frequent(docs, width, buckets, common)
     indexed = stage(_index(docs, width, percent, frequent, buckets), "indexed")
 
-    own = indexed.filter("bucket is null").select("doc_id", "set_key", "n")
+    own = indexed.filter("bucket is null").select("doc_id", "name", "set_key", "n")
     postings = indexed.filter("bucket is not null").select("bucket", "token", "keys", "sizes", "heavy")
     pairs = _possible(_pairs(postings, percent), percent)
     candidates = pairs.unionByName(_stars(indexed.filter("bucket is null")))
     coarse = components(candidates)
-    first = own.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    first = stage(first, "sets")
-    members = first.join(coarse, first["set_key"] == coarse["node"]).select("doc_id", "set_key", "n", "root")
-    links = stage(_verified(docs, members, width, percent), "links")
-
-    exact = components(links)
-    labelled = first.join(exact, first["set_key"] == exact["node"], "left").select(
-        "set_key", "doc_id", F.coalesce("root", "set_key").alias("class"))
-    smallest = labelled.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(smallest, "class").select(F.col("set_key").alias("named_key"), "component_id")
+    first = own.filter("set_key is not null").groupBy("set_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "name")).alias("at"), F.first("n").alias("n"))
+    first = stage(first.select("set_key", "at", "n"), "sets")
+    members = first.join(coarse, first["set_key"] == coarse["node"]).select("at.doc_id", "at.name", "set_key", "n", "root")
+    exact = components(stage(_verified(docs, members, width, percent), "links"))
+    return own, first.join(exact, first["set_key"] == exact["node"], "left").select(
+        "set_key", "at", F.coalesce("root", "set_key").alias("class"))
+
+
+def join(docs: DataFrame, width: int = 3, percent: int = 90, common: int = COMMON) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    own, classes = _classes(docs, width, percent, common)
+    smallest = classes.groupBy("class").agg(F.min("at.doc_id").alias("component_id"))
+    named = classes.join(smallest, "class").select(F.col("set_key").alias("named_key"), "component_id")
     return own.join(named, own["set_key"] == named["named_key"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep(docs: DataFrame, width: int = 5, percent: int = 80, common: int = COMMON) -> DataFrame:
+    """One document of each component, that of the smallest identifier, and all without words; the input's columns."""
+    own, classes = _classes(docs, width, percent, common)
+    stay = classes.groupBy("class").agg(F.min("at").alias("at")).select("at.doc_id", "at.name")
+    stay = stay.unionByName(own.filter("set_key is null").select("doc_id", "name")).distinct()
+    mark = "__stay"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    stay = stay.withColumnsRenamed({"doc_id": mark + "_id", "name": mark + "_name"})
+    found = docs.withColumn(mark + "_own", _name("text")).join(
+        stay, F.col("doc_id").cast("long").eqNullSafe(F.col(mark + "_id")) & (F.col(mark + "_own") == F.col(mark + "_name")))
+    # Equal rows have one name: the first of them stays.
+    order = Window.partitionBy(mark + "_id", mark + "_name").orderBy(F.lit(0))
+    empty = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    kept = found.withColumn(mark, F.row_number().over(order)).filter((F.col(mark) == 1) | empty)
+    return kept.select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, jaccard, markov, mincut, mtree, packing, quality, sharding, toxicity
+from panelloom.llm import bpe, jaccard, markov, mincut, mtree, packing, quality, sharding, suffixes, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -90,3 +90,8 @@ def op4(spark, sf):
 @query("op5_jaccard_join")
 def op5(spark, sf):
     return jaccard.join(table(spark, sf, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark, sf):
+    return suffixes.dedup(table(spark, sf, "documents"))
