@@ -1,0 +1,152 @@
+import math
+import zlib
+from collections import Counter
+
+import cases
+import numpy as np
+from panelloom.llm import markov, toxicity
+from pyspark.sql import functions as F
+
+
+def held(i, folds=7, fold=2):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % folds == fold
+
+
+def test_base_score_equals_brute_force(spark):
+    got = markov.score(cases.documents(spark), toxicity.remainder("doc_id", 7) == 2, states=3, iterations=1).collect()
+    counts = Counter()
+    for i, t in cases.texts():
+        if not held(i):
+            counts.update(t.encode().lower().split())
+            counts["end"] += 1
+    total, distinct, want = sum(counts.values()), len(counts), []
+    for i, t in cases.texts():
+        words = [*t.encode().lower().split(), "end"]
+        want.append((str(i), held(i), len(words), sum(w in counts for w in words), total,
+                     round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words), 5)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == sorted(want)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_words_beyond_the_frequent_ones_meet_their_counts(spark, monkeypatch):
+    docs = cases.documents(spark)
+    fold = toxicity.remainder("doc_id", 7) == 2
+    want = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in markov.score(docs, fold, 2, 1).collect())
+    monkeypatch.setattr(markov, "FREQUENT", 20)
+    monkeypatch.setattr(markov, "OWN", 10)
+    monkeypatch.setattr(markov, "END", 10 + markov.CLASSES)
+    monkeypatch.setattr(markov, "SYMBOLS", 11 + markov.CLASSES)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in markov.score(docs, fold, 2, 1).collect()) == want
+
+
+def test_no_training_texts(spark):
+    assert markov.score(cases.empty(spark), F.lit(False)).count() == 0
+    rows = markov.score(cases.documents(spark), F.lit(True), 2, 1).collect()
+    assert all(r.base_score == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
+
+
+def paths(model, seq):
+    """Likelihood and posterior by summing over every path of states."""
+    k = len(model.start)
+    total, emitted = 0.0, np.zeros((k, len(seq)))
+    for code in range(k ** len(seq)):
+        states = [code // k ** t % k for t in range(len(seq))]
+        p = model.start[states[0]] * model.emit[states[0], seq[0]]
+        for t in range(1, len(seq)):
+            p *= model.step[states[t - 1], states[t]] * model.emit[states[t], seq[t]]
+        total += p
+        for t, s in enumerate(states):
+            emitted[s, t] += p
+    return total, emitted / total
+
+
+def test_forward_backward_equals_sum_over_paths():
+    rng = np.random.default_rng(1)
+    ratio = lambda x: x / x.sum(-1, keepdims=True)
+    model = markov.Model(ratio(rng.random(2)), ratio(rng.random((2, 2))), ratio(rng.random((2, markov.SYMBOLS))))
+    sequences = [rng.integers(0, 6, n) for n in (4, 1, 7, 4)]
+    group = markov.Abreast(sequences)
+    got, sums = group.log10(model), group.expected(model)
+    emitted = np.zeros((2, markov.SYMBOLS))
+    for seq, value in zip(sequences, got):
+        total, share = paths(model, seq)
+        assert abs(value - math.log10(total)) < 1e-9
+        for t, s in enumerate(seq):
+            emitted[:, s] += share[:, t]
+    assert np.allclose(sums[6:].reshape(2, -1), emitted) and abs(sums[:2].sum() - 4) < 1e-9
+    assert abs(sums[2:6].sum() - sum(len(s) - 1 for s in sequences)) < 1e-9
+
+
+def test_training_raises_the_likelihood():
+    rng = np.random.default_rng(2)
+    sequences = [np.where(rng.random(60) < 0.9, rng.integers(0, 50, 60) + 50 * (i % 2), markov.END) for i in range(40)]
+    model, group, before = markov.Model.random(2, 3), markov.Abreast(sequences), -np.inf
+    for _ in range(8):
+        now = group.log10(model).sum()
+        assert now > before - 1
+        before, model = now, model.updated(group.expected(model))
+
+
+def test_words_of_a_class_and_one_unseen_share_all_probability(spark):
+    counts = spark.createDataFrame([(bytes(f"w{i}", "ascii"), 1 + i % 4) for i in range(200)], "word binary, n long")
+    known = markov.vocabulary(counts, 3)
+    assert known.distinct == 201 and known.train_tokens == 3 + sum(1 + i % 4 for i in range(200))
+    assert set(known.own) == set(known.counts) and np.allclose(10 ** known.sizes, 1)
+
+
+TOXIC = ("awfulist", "nastier", "vilest")
+
+
+def labelled(spark, n=400):
+    rows, marks = [], []
+    for i in range(n):
+        words = cases.prose(1000 + i, 40 + i % 60).split()
+        bad = i % 4 == 0
+        if bad:
+            for k in range(4):
+                words[(7 * k + i) % len(words)] = TOXIC[(i + k) % 3]
+        rows.append((i, " ".join(words), "en" if i % 3 else "de"))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([*marks, (None, 1), (5000, None), (5001, 7)], "doc_id long, toxic int")
+
+
+def test_held_out_accuracy_and_odd_rows(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    truth = {i: i % 4 == 0 for i in range(400)}
+    found = toxicity.score(docs, model).collect()
+    away = [r for r in found if held(r.doc_id, 5, 0)]
+    assert len(away) > 50 and sum((r.score >= 0.5) == truth[r.doc_id] for r in away) >= 0.95 * len(away)
+    odd = toxicity.score(cases.documents(spark), model).collect()
+    assert len(odd) == len(cases.texts()) and all(0 <= r.score <= 1 for r in odd)
+    kept = toxicity.clean(cases.documents(spark), model)
+    assert kept.schema == cases.documents(spark).schema and kept.count() >= 0.8 * len(odd)
+    assert toxicity.score(cases.empty(spark), model).count() == 0
+
+
+def test_long_texts_are_scored_whole(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    long = spark.createDataFrame([(1, cases.prose(1, 3000) + " " + " ".join(TOXIC)), (2, cases.prose(1, 3000))], "doc_id long, text string").selectExpr("*", "'en' as lang")
+    want = {r.doc_id: r.score for r in toxicity.score(long, model).collect()}
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 50)
+    got = {r.doc_id: r.score for r in toxicity.score(long, model).collect()}
+    assert want[1] > 0.5 > want[2] and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_labels_of_one_class_give_the_prior(spark):
+    docs, labels = labelled(spark, 40)
+    for value in (0, 1):
+        model = toxicity.train(docs, labels.filter(F.col("toxic") == value))
+        scores = [r.score for r in toxicity.score(docs, model).collect()]
+        assert all(abs(s - value) < 1e-3 for s in scores)
+    assert all(r.score < 1e-3 for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect())
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    other = docs.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("fr").alias("lang"))
+    a = sorted(r.score for r in toxicity.score(docs, model).collect())
+    assert np.allclose(a, sorted(r.score for r in toxicity.score(other, model).collect()))
