@@ -11,19 +11,18 @@ every node has a routing vector, a covering radius and its distance to its paren
 routing vector, and leaf entries keep their distance to the leaf's.
 
 A query first searches the shard it lies in. Its k-th distance there bounds the rest: it
-goes on only to cells that reach into that radius. Within a shard nodes come off a heap by
-lower bound, and |d(q, parent) - d(node, parent)| - radius skips a node, or an entry,
-before its own distance is computed. Products are exact integers; bounds have slack.
+goes on only to cells that reach into that radius. Within a shard every query takes its
+nodes by least lower bound, and |d(q, parent) - d(node, parent)| - radius skips a node, or
+an entry, before its own distance is computed. Queries that are at the same node in the
+same step share its array operations. Products are exact integers; bounds have slack.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no
 part; shorter vectors count as padded with zeros; null identifiers are candidates that
-lose ties; repeated rows are candidates of their own; products are clipped to a long.
+lose ties; repeated rows are candidates of their own; products are clipped to +-(2^63 - 1).
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +36,7 @@ FANOUT = 8
 LEAF = 48
 QUERIES_AT_ONCE = 2048
 EXACT = 1 << 52
+MOST = (1 << 63) - 1
 SLACK = 1e-6
 
 
@@ -66,10 +66,11 @@ class Space:
         return np.column_stack([x, np.sqrt(np.maximum(self.norm - (x * x).sum(1), 0))])
 
     def products(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products of all rows of q with all of x."""
         if self.safe:
-            return (x.astype(float) @ q.astype(float)).astype(np.int64)
-        exact = x.astype(object) @ q.astype(object)
-        return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
+            return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+        exact = q.astype(object) @ x.T.astype(object)
+        return np.array([[min(max(s, -MOST), MOST) for s in row] for row in exact], np.int64).reshape(len(q), len(x))
 
 
 def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -114,34 +115,58 @@ class Tree:
         self.rows = [np.asarray(x, np.int64) for x in pages["rows"]]
         self.ids = [np.asarray(x, np.int64) for x in pages["ids"]]
 
-    def search(self, q: np.ndarray, own: int, k: int, reach: float) -> list[tuple[int, int, int]]:
-        """The best k as (-product, id, row), given that farther ones than `reach` don't matter."""
-        at, base = np.append(q.astype(float), 0.0), float((q.astype(float) ** 2).sum()) + self.space.norm
-        best: list[tuple[int, int, int]] = []
-        first = float(_distances(self.centres[:1], at)[0])
-        heap = [(max(first - self.radius[0], 0.0), 0, first)]
-        while heap:
-            bound, node, far = heapq.heappop(heap)
-            if bound > reach:
-                break
-            near = self.children[node]
-            if len(near):
-                near = near[np.abs(far - self.to_parent[near]) - self.radius[near] <= reach]
-                apart = _distances(self.centres[near], at)
-                for j, d in zip(near.tolist(), apart.tolist()):
-                    if d - self.radius[j] <= reach:
-                        heapq.heappush(heap, (max(d - self.radius[j], 0.0), j, d))
-                continue
-            some = np.flatnonzero((np.abs(far - self.apart[node]) <= reach) & (self.rows[node] != own))
-            if not len(some):
-                continue
-            got = self.space.products(self.points[node][some], q)
-            if len(best) == k:
-                some, got = some[got >= -best[-1][0]], got[got >= -best[-1][0]]
-            best = sorted(best + list(zip((-got).tolist(), self.ids[node][some].tolist(), self.rows[node][some].tolist())))[:k]
-            if len(best) == k:
-                reach = min(reach, np.sqrt(max(base + 2 * best[-1][0], 0.0)) * (1 + 1e-9) + SLACK)
-        return best
+    def search(self, asked: np.ndarray, own: np.ndarray, k: int, reach: np.ndarray, least: np.ndarray) -> list[list]:
+        """For each query the best k as (-product, id, row), given that farther ones than `reach` and products
+        below `least` don't matter."""
+        at = np.column_stack([asked.astype(float), np.zeros(len(asked))])
+        base = (at * at).sum(1) + self.space.norm
+        reach, least = reach.astype(float), least.copy()
+        best: list[list] = [[] for _ in asked]
+        far, bound = np.zeros((len(asked), len(self.radius))), np.full((len(asked), len(self.radius)), np.inf)
+        far[:, 0] = _distances(at, self.centres[0])
+        bound[:, 0] = np.maximum(far[:, 0] - self.radius[0], 0)
+        while True:
+            nodes = bound.argmin(1)
+            low = bound[np.arange(len(asked)), nodes]
+            live = np.flatnonzero(np.isfinite(low) & (low <= reach))
+            if not len(live):
+                return best
+            for node in np.unique(nodes[live]).tolist():
+                who = live[nodes[live] == node]
+                bound[who, node] = np.inf
+                if len(self.children[node]):
+                    self._descend(node, who, at, reach, far, bound)
+                else:
+                    self._scan(node, who, asked, own, k, base, reach, least, far, best)
+
+    def _descend(self, node, who, at, reach, far, bound) -> None:
+        near = self.children[node]
+        open_ = np.abs(far[who, node][:, None] - self.to_parent[near]) - self.radius[near] <= reach[who][:, None]
+        near, open_ = near[open_.any(0)], open_[:, open_.any(0)]
+        if len(near):
+            gap = at[who][:, None] - self.centres[near]
+            apart = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+            here = np.ix_(who, near)
+            far[here] = apart
+            bound[here] = np.where(open_ & (apart - self.radius[near] <= reach[who][:, None]), np.maximum(apart - self.radius[near], 0), np.inf)
+
+    def _scan(self, node, who, asked, own, k, base, reach, least, far, best) -> None:
+        some = (np.abs(far[who, node][:, None] - self.apart[node]) <= reach[who][:, None]) & (self.rows[node] != own[who][:, None])
+        columns = np.flatnonzero(some.any(0))
+        if not len(columns):
+            return
+        some = some[:, columns]
+        got = self.space.products(self.points[node][columns], asked[who])
+        some &= got >= least[who][:, None]
+        if len(columns) > k:  # all that tie with the k-th stay
+            some &= got >= np.partition(np.where(some, got, -MOST - 1), -k, axis=1)[:, -k][:, None]
+        ids, rows = self.ids[node][columns], self.rows[node][columns]
+        for i in np.flatnonzero(some.any(1)).tolist():
+            w, found = who[i], np.flatnonzero(some[i])
+            best[w] = sorted(best[w] + list(zip((-got[i, found]).tolist(), ids[found].tolist(), rows[found].tolist())))[:k]
+            if len(best[w]) == k and -best[w][-1][0] > least[w]:
+                least[w] = -best[w][-1][0]
+                reach[w] = min(reach[w], np.sqrt(max(base[w] - 2.0 * float(least[w]), 0.0)) * (1 + 1e-9) + SLACK)
 
 
 NO_ID = (1 << 63) - 1  # stands for a null identifier within tasks: the last in ties
@@ -182,13 +207,14 @@ def _pages(placed: DataFrame, space: Space) -> DataFrame:
 
 
 def _search(asked: DataFrame, pages: DataFrame, space: Space, k: int, blocks: int) -> DataFrame:
-    """Search queries (query_row, query_id, v, reach, cell, sub) in their shards, a bounded block of queries at a time."""
+    """Search queries (query_row, query_id, v, reach, least, cell, sub) in their shards, a bounded block of queries at a time."""
     def run(key, queries, nodes):
         out = []
         if len(queries) and len(nodes):
-            tree = Tree(nodes, space)
-            for row, own, q, reach in zip(queries["query_row"], queries["query_id"], space.matrix(list(queries["v"])), queries["reach"]):
-                out += [(row, own, r, i, -s) for s, i, r in tree.search(q, row, k, reach)]
+            own, ids = queries["query_row"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
+            found = Tree(nodes, space).search(space.matrix(list(queries["v"])), own, k, queries["reach"].to_numpy(),
+                                              queries["least"].to_numpy(np.int64))
+            out = [(row, i, r, j, -s) for row, i, best in zip(own.tolist(), ids.tolist(), found) for s, j, r in best]
         return pd.DataFrame(out, columns=["query_row", "query_id", "row", "vec_id", "score"])
 
     held = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -222,7 +248,7 @@ def top(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = SHARD, rou
 
     asked = placed.filter(F.pmod("vec_id", F.lit(every)) == 0).select(
         F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "v", "cell", "sub")
-    begun = stage(_search(asked.withColumn("reach", F.lit(float("inf"))), pages, space, k, blocks), "begun")
+    begun = stage(_search(asked.withColumns({"reach": F.lit(float("inf")), "least": F.lit(-MOST - 1)}), pages, space, k, blocks), "begun")
 
     # The k-th product so far bounds the distance; fewer than k leave it open.
     bound = begun.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
@@ -234,22 +260,23 @@ def top(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = SHARD, rou
         for batch in batches:
             at = space.matrix(batch["v"].to_pylist()).astype(float)
             square = (at ** 2).sum(1)
-            least = np.array([x or 0 for x in batch["least"].to_pylist()], float)
+            floor = np.array([x or 0 for x in batch["least"].to_pylist()], np.int64)
             full = np.array([n == k for n in batch["n"].to_pylist()])
-            reach = np.where(full, np.sqrt(np.maximum(square + space.norm - 2 * least, 0)) * (1 + 1e-9) + SLACK, np.inf)
+            reach = np.where(full, np.sqrt(np.maximum(square + space.norm - 2.0 * floor.astype(float), 0)) * (1 + 1e-9) + SLACK, np.inf)
             for part in (slice(i, i + 500) for i in range(0, len(at), 500)):
                 apart = np.sqrt(np.maximum(square[part, None] - 2 * at[part] @ middle[:, :-1].T + (middle ** 2).sum(1), 0))
                 who, where = np.nonzero(apart - radii <= reach[part, None] + 1e-5 * (1 + apart))
                 taken = batch.take(pa.array(who + part.start))
                 yield pa.RecordBatch.from_arrays(
                     [*(taken[c] for c in ("query_row", "query_id", "v", "own_cell", "own_sub")),
-                     pa.array(np.array(known, np.int32)[where]), pa.array(reach[part][who])],
-                    ["query_row", "query_id", "v", "own_cell", "own_sub", "cell", "reach"])
+                     pa.array(np.array(known, np.int32)[where]), pa.array(reach[part][who]),
+                     pa.array(np.where(full, floor, -MOST - 1)[part][who], pa.int64())],
+                    ["query_row", "query_id", "v", "own_cell", "own_sub", "cell", "reach", "least"])
 
-    further = bounded.mapInArrow(onward, "query_row long, query_id long, v array<long>, own_cell int, own_sub int, cell int, reach double")
+    further = bounded.mapInArrow(onward, "query_row long, query_id long, v array<long>, own_cell int, own_sub int, cell int, reach double, least long")
     further = further.join(F.broadcast(subs), "cell").withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
     further = further.filter((F.col("cell") != F.col("own_cell")) | (F.col("sub") != F.col("own_sub")))
-    found = begun.unionByName(_search(further.select("query_row", "query_id", "v", "reach", "cell", "sub"), pages, space, k, blocks))
+    found = begun.unionByName(_search(further.select("query_row", "query_id", "v", "reach", "least", "cell", "sub"), pages, space, k, blocks))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
