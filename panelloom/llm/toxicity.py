@@ -191,15 +191,21 @@ def _learn(texts: list[bytes], labels: np.ndarray, langs: list[str], aside: np.n
     return net
 
 
+def _constant(prior: float | None, seed: int) -> Network:
+    """Gives every text the prior; 0 without labels."""
+    net = Network(np.zeros(0, np.int64), seed)
+    odds = min(max(prior or 0.0, 1e-13), 1 - 1e-13)
+    net.out[:], net.shift[:] = 0, np.log(odds / (1 - odds))
+    return net
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, seed: int = 7) -> bytes:
     """Fit on labelled rows outside fold 0; fold 1 sets the thresholds. The model is bounded by its rows and widths."""
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(remainder("doc_id", folds) != 0)
     prior = marks.agg(F.avg("toxic")).first()[0]
     if prior is None or prior in (0, 1):
-        net = Network(np.zeros(0, np.int64), seed)
-        net.out[:], net.shift[:] = 0, {None: -30, 0: -30, 1: 30}[prior]
-        return net.to_bytes()
+        return _constant(prior, seed).to_bytes()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     drawn = [marks.filter(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("doc_id", "marked_id"))  # at most 2 x sample rows
@@ -216,11 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
             _, texts, marked, langs, aside = zip(*found)
             net = _learn(list(texts), np.array(marked, float), list(langs), np.array(aside), prior, seed)
         else:
-            net = Network(np.zeros(0, np.int64), seed)
-            net.out[:], net.shift[:] = 0, np.log(prior / (1 - prior))
+            net = _constant(prior, seed)
         yield pa.RecordBatch.from_pydict({"model": [net.to_bytes()]})
 
-    return rows.coalesce(1).mapInArrow(run, "model binary").first()[0]
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return found[0] if found else _constant(prior, seed).to_bytes()
 
 
 class Responses:
