@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.functions.exprs import severity_rank
-from panelloom.operators.quantiles import is_small
 from panelloom.sources.storage import stage
 from panelloom.spec import PanelSpec
 
@@ -16,20 +15,12 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank",
            within: list[str] | None = None) -> DataFrame:
     """Exact 1-based position in a total order, in equal-sized range partitions.
 
-    A table checked to be small is numbered by one window. Else the rows are range-partitioned and sorted by ``within`` + ``order``, numbered
+    The rows are range-partitioned and sorted by ``within`` + ``order``, numbered
     inside their partition, and written once; a table with one row per partition
-    (and group) then supplies the offsets. ``order`` must be total.
+    (and group) then supplies the offsets. No task sees more than its range.
+    ``order`` must be total.
     """
     groups = within or []
-    rows = stage(df, "unranked")
-    if is_small(rows):
-        w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy(*order)
-        return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
-    return split_ranked(rows, order, name, groups)
-
-
-def split_ranked(df: DataFrame, order: list[Column], name: str, groups: list[str]) -> DataFrame:
-    """Number the rows range by range; no task sees more than its range."""
     keys = [F.col(c) for c in groups] + list(order)
     sort = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     numbered = stage(sort.withColumn("_id", F.monotonically_increasing_id()), "ranked")

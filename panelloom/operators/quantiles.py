@@ -1,126 +1,114 @@
 """Exact quantiles and histograms that never gather a column in one task.
 
-The built-in exact percentile keeps every distinct value in one buffer, so it is
-used only for tables checked to have few rows. Beyond that, each level counts rows in order-preserving bins (combined on the map side), finds the
-bin that holds the wanted rank, and narrows to it. The last level counts the
-distinct values left in that bin and reads off the order statistics. Copies of a
-value collapse into one count, so heavy values cost nothing.
+The same three aggregates run at every size. Two rank sketches narrow each wanted rank to
+a range with a few hundred-thousandths of the rows at most; the last aggregate counts what lies
+below and reads the order statistics off the values inside. Columns are aggregated side
+by side, so a row is read as it stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.functions.exprs import finite
 
-COARSE = 64     # bins per factor e of magnitude
-FINE = 4096     # equal-width bins inside the bin kept by the level before
-FINE_LEVELS = 2
-SMALL = 100_000  # rows up to which one buffer per column is fine
+ACCURACY = 10_000  # the sketch's ranks are right to one part in this
+GRID = 1_000       # steps of a sketch
 
 
-def is_small(df: DataFrame, rows: int = SMALL) -> bool:
-    """Whether the frame has at most that many rows; stops counting beyond it."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def _sketch(values: Column) -> Column:
+    """Values at evenly spaced ranks; each rank is right to one part in ACCURACY."""
+    shares = F.split(F.lit(",".join(str(i / GRID) for i in range(GRID + 1))), ",").cast("array<double>")
+    return F.percentile_approx(values, shares, ACCURACY)
 
 
-def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value) rows of the finite values."""
-    typed = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    if len(columns) == 1:
-        out = typed.select(F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("value"))
-    else:
-        out = typed.unpivot([], columns, "column", "value")
-    return out.where(F.col("value").isNotNull())
+def _narrowed(sketch: Column, rank: Column, n: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """A range of values that holds the ranks around `rank` of n, within [low, high]; a step wider than the error."""
+    share = lambda r: F.try_divide(r.cast("double"), n.cast("double")) * GRID
+    down, up = F.floor(share(F.floor(rank))).cast("int") - 1, F.ceil(share(F.ceil(rank) + 1)).cast("int") + 1
+    return (F.when(down < 0, low).otherwise(F.coalesce(F.get(sketch, down), low)),
+            F.when(up > GRID, high).otherwise(F.coalesce(F.get(sketch, up), high)))
 
 
-def _magnitude_bin(x: Column) -> Column:
-    """Monotone in x over all doubles, a few ten thousand bins."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * COARSE)
+def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row: of each column and probability a range around the wanted ranks that holds few rows.
 
-
-def _linear_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
-    # Halved ends: high - low may exceed the largest double.
-    share = F.try_divide(x / 2 - low / 2, high / 2 - low / 2)
-    return F.when(share.isNull(), 0).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))).cast("bigint")
-
-
-def _pick(counts: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Running row count below each bin of the group."""
-    w = Window.partitionBy(*group).orderBy(order)
-    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_below", upto - F.col("n"))
-
-
-def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """(column, prob, value, n): linear-interpolated quantiles of finite values."""
-    return small_quantiles(df, columns, probs) if is_small(df) else split_quantiles(df, columns, probs)
-
-
-def small_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """One buffer per column; for tables that passed ``is_small``."""
-    p = [float(x) for x in probs]
+    A rank sketch of the column, and then one of the range that it leaves.
+    """
     x = {c: finite(F.col(c).cast("double")) for c in columns}
-    one = df.agg(*[F.percentile(x[c], F.array(*[F.lit(v) for v in p])).alias(f"v_{c}") for c in columns],
-                 *[F.count(x[c]).alias(f"n_{c}") for c in columns])
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(v).alias("prob"),
-                      F.get(F.col(f"v_{c}"), F.lit(i)).alias("value"), F.col(f"n_{c}").alias("n"))
-             for c in columns for i, v in enumerate(p)]
-    return one.select(F.inline(F.array(*cells))).where("n > 0")
+    first = df.agg(*[a for c in columns for a in (F.count(x[c]).alias(f"n_{c}"), F.min(x[c]).alias(f"min_{c}"),
+                                                  F.max(x[c]).alias(f"max_{c}"), _sketch(x[c]).alias(f"at_{c}"))])
+    ends = []
+    for c in columns:
+        for i, p in enumerate(probs):
+            low, high = _narrowed(F.col(f"at_{c}"), F.lit(float(p)) * (F.col(f"n_{c}") - 1), F.col(f"n_{c}"),
+                                  F.col(f"min_{c}"), F.col(f"max_{c}"))
+            ends += [low.alias(f"low_{c}_{i}"), high.alias(f"high_{c}_{i}")]
+    outer = first.select(*[f"n_{c}" for c in columns], *ends)
+
+    rows = df.select(*[v.alias(c) for c, v in x.items()]).withColumn("_p", as_struct(outer))
+    inner = rows.agg(*[a for c in columns for i in range(len(probs)) for a in _counted(c, i, _sketch)], F.first("_p").alias("_p"))
+    cells = [F.col(f"_p.n_{c}").alias(f"n_{c}") for c in columns]
+    for c in columns:
+        for i, p in enumerate(probs):
+            among = _rank(c, p) - F.col(f"below_{c}_{i}") - F.col(f"same_{c}_{i}")
+            low, high = _narrowed(F.col(f"in_{c}_{i}"), among, F.col(f"m_{c}_{i}"), F.col(f"_p.low_{c}_{i}"), F.col(f"_p.high_{c}_{i}"))
+            cells += [low.alias(f"low_{c}_{i}"), high.alias(f"high_{c}_{i}")]
+    return inner.select(*cells)
+
+
+def _rank(c: str, p: float) -> Column:
+    return F.lit(float(p)) * (F.col(f"_p.n_{c}") - 1)
+
+
+def _counted(c: str, i: int, gather) -> list[Column]:
+    """Rows below the range, at its lower end, strictly inside, and what `gather` makes of the latter."""
+    v, low, high = F.col(c), F.col(f"_p.low_{c}_{i}"), F.col(f"_p.high_{c}_{i}")
+    inside = (v > low) & (v < high)
+    return [F.count_if(v < low).alias(f"below_{c}_{i}"), F.count_if(v == low).alias(f"same_{c}_{i}"),
+            F.count_if(inside).alias(f"m_{c}_{i}"), gather(F.when(inside, v)).alias(f"in_{c}_{i}")]
+
+
+def _exact(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row: v_<column>_<i>, the quantile of each probability, and n_<column>.
+
+    The values strictly inside a range are few: a value that many rows share fills
+    the range's ends, and those are only counted.
+    """
+    rows = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    rows = rows.withColumn("_p", as_struct(_brackets(df, columns, probs)))
+    one = rows.agg(*[a for c in columns for i in range(len(probs)) for a in _counted(c, i, lambda v: F.sort_array(F.collect_list(v)))],
+                   F.first("_p").alias("_p"))
+
+    def value(c, i, rank):
+        at = (rank - F.col(f"below_{c}_{i}")).cast("bigint")
+        place = (at - F.col(f"same_{c}_{i}")).cast("int")
+        missed = F.raise_error(F.lit("a rank lies outside its range")).cast("double")
+        return (F.when(at < 0, missed).when(place < 0, F.col(f"_p.low_{c}_{i}"))
+                .when(place < F.size(f"in_{c}_{i}"), F.get(F.col(f"in_{c}_{i}"), place)).otherwise(F.col(f"_p.high_{c}_{i}")))
+
+    def between(c, i, p):
+        """Linear interpolation between neighbours, in the built-in function's order of operations."""
+        rank = _rank(c, p)
+        low, high = value(c, i, F.floor(rank)), value(c, i, F.ceil(rank))
+        mixed = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        return F.when(F.col(f"_p.n_{c}") > 0, F.when(low == high, low).otherwise(mixed))
+
+    return one.select(*[between(c, i, p).alias(f"v_{c}_{i}") for c in columns for i, p in enumerate(probs)],
+                      *[F.coalesce(F.col(f"_p.n_{c}"), F.lit(0)).alias(f"n_{c}") for c in columns])
 
 
-def split_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Rank search by bins; no task or buffer grows with the table."""
-    values = long_values(df, columns)
-    target = ["column", "prob", "side"]
-
-    # Level 1: bins by magnitude, shared by all probabilities.
-    coarse = (values.groupBy("column", _magnitude_bin(F.col("value")).alias("_bin"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
-    located = _pick(coarse, ["column"], "_bin").withColumn(
-        "_total", F.sum("n").over(Window.partitionBy("column")))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(s).alias("side"))
-                       for p in probs for s in (0, 1)])
-    rank = F.col("prob") * (F.col("_total") - 1)
-    brackets = (located.select("column", "n", "low", "high", "_below", "_total", F.inline(wanted))
-                .withColumn("_rank", F.least(F.floor(rank) + F.col("side"), F.col("_total") - 1))
-                .withColumn("_frac", rank - F.floor(rank))
-                .where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("n")))
-                .select(*target, "low", "high", (F.col("_rank") - F.col("_below")).alias("_rank"),
-                        "_frac", "_total"))
-
-    # A bracket table has columns x probs x 2 rows, so it is safe to broadcast.
-    for level in range(FINE_LEVELS + 1):
-        inside = (values.join(F.broadcast(brackets), "column")
-                  .where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))))
-        if level < FINE_LEVELS:
-            bin_ = _linear_bin(F.col("value"), F.col("low"), F.col("high"), FINE)
-        else:
-            bin_ = F.col("value")
-        counts = (inside.groupBy(*target, "_rank", "_frac", "_total", bin_.alias("_bin"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
-        brackets = (_pick(counts, target, "_bin")
-                    .where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("n")))
-                    .select(*target, "low", "high", (F.col("_rank") - F.col("_below")).alias("_rank"),
-                            "_frac", "_total"))
-
-    lower = F.max(F.when(F.col("side") == 0, F.col("low")))
-    upper = F.max(F.when(F.col("side") == 1, F.col("low")))
-    return (brackets.groupBy("column", "prob")
-            .agg((lower + (upper - lower) * F.max("_frac")).alias("value"), F.max("_total").alias("n")))
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column, prob, value, n): linear-interpolated quantiles of finite values; columns without one have no rows."""
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"v_{c}_{i}").alias("value"),
+                      F.col(f"n_{c}").alias("n")) for c in columns for i, p in enumerate(probs)]
+    return _exact(df, columns, probs).select(F.inline(F.array(*cells))).where("n > 0")
 
 
 def quantile_row(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """One row: ``<column>_<name>`` per column and named probability."""
-    if is_small(df):
-        p = F.array(*[F.lit(float(v)) for v in probs.values()])
-        one = df.agg(*[F.percentile(finite(F.col(c).cast("double")), p).alias(c) for c in columns])
-        return one.select(*[F.get(F.col(c), F.lit(i)).alias(f"{c}_{name}")
-                            for c in columns for i, name in enumerate(probs)])
-    table = split_quantiles(df, columns, list(probs.values()))
-    picks = [F.max(F.when((F.col("column") == c) & (F.col("prob") == float(p)), F.col("value")))
-             .alias(f"{c}_{name}") for c in columns for name, p in probs.items()]
-    return table.agg(*picks)
+    found = _exact(df, columns, list(probs.values()))
+    return found.select(*[F.col(f"v_{c}_{i}").alias(f"{c}_{name}") for c in columns for i, name in enumerate(probs)])
 
 
 def as_struct(one_row: DataFrame) -> Column:
@@ -130,20 +118,28 @@ def as_struct(one_row: DataFrame) -> Column:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n): equal-width counts over [min, max], last bin closed."""
-    return long_histogram(long_values(df, [column]), bins).drop("column")
-
-
-def long_histogram(values: DataFrame, bins: int) -> DataFrame:
-    """Histogram of every column of a (column, value) frame."""
-    # One row per column, so the ends are safe to broadcast.
-    ends = values.groupBy("column").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    placed = values.join(F.broadcast(ends), "column")
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.floor(F.try_divide(F.col("value") - F.col("_lo"), width))
-    bin_ = F.when(place.isNull(), 0).otherwise(F.least(place, F.lit(bins - 1))).cast("bigint")
-    counted = placed.groupBy("column", "_lo", "_hi", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("column", "bin", (F.col("_lo") + F.col("bin") * width).alias("low"),
-                          (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "n")
+    return histograms(df, [column], bins).drop("column")
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """(column, bin, low, high, n) of the finite values of each column, in one pass after that for the ends."""
+    rows = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    ends = rows.agg(*[a for c in columns for a in (F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"))])
+
+    def place(c):
+        low, high = F.col(f"_p.low_{c}"), F.col(f"_p.high_{c}")
+        at = F.floor(F.try_divide(F.col(c) - low, (high - low) / bins))
+        return F.when(F.col(c).isNotNull(), F.when(at.isNull(), 0).otherwise(F.least(at, F.lit(bins - 1)))).cast("bigint")
+
+    placed = rows.withColumn("_p", as_struct(ends))
+    one = placed.select("_p", *[place(c).alias(c) for c in columns]).agg(
+        F.first("_p").alias("_p"), *[F.count_if(F.col(c) == b).alias(f"{c}|{b}") for c in columns for b in range(bins)])
+    cells = []
+    for c in columns:
+        low, width = F.col(f"_p.low_{c}"), (F.col(f"_p.high_{c}") - F.col(f"_p.low_{c}")) / bins
+        cells += [F.struct(F.lit(c).alias("column"), F.lit(b).cast("bigint").alias("bin"), (low + b * width).alias("low"),
+                           (low + (b + 1) * width).alias("high"), F.col(f"`{c}|{b}`").alias("n")) for b in range(bins)]
+    return one.select(F.inline(F.array(*cells))).where("n > 0")
 
 
 def trim(df: DataFrame, column: str, low: float | None, high: float, closed: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.functions.exprs import money_round
 from panelloom.operators.filters import latest_year_filter
-from panelloom.operators.quantiles import as_struct, quantile_row, quantiles
+from panelloom.operators.quantiles import as_struct, quantile_row
 from panelloom.operators.windows import latest_per_key
 from panelloom.spec import SOURCE_COLUMNS, PanelSpec
 
@@ -16,11 +16,10 @@ def annual_total(df: DataFrame, spec: PanelSpec, target: str = "co2") -> DataFra
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows and share of the total per value; most frequent first."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("share", F.col("n") / total)
-            .orderBy(F.col("n").desc(), column))
+    """Rows and share of the total per value; most frequent first. The total is that of the groups."""
+    groups = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = groups.agg(F.sum("n").alias("n")).scalar()
+    return groups.withColumn("share", F.col("n") / total).orderBy(F.col("n").desc(), column)
 
 
 def alert_counts(df: DataFrame) -> DataFrame:
@@ -30,20 +29,22 @@ def alert_counts(df: DataFrame) -> DataFrame:
                   F.count_if("is_anomaly").alias("total"))
 
 
+def _beside(df: DataFrame, columns: list[str], moments: dict, probs: dict[str, float]) -> DataFrame:
+    """(column, moments..., quantiles...): one wide aggregate, and the quantiles' own, turned into rows at the end."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    one = df.agg(*[build(x[c]).alias(f"{c}|{name}") for c in columns for name, build in moments.items()])
+    one = one.withColumn("_q", as_struct(quantile_row(df, columns, probs)))
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{m}`").alias(m) for m in moments],
+                      *[F.col(f"_q.{c}_{q}").alias(q) for q in probs]) for c in columns]
+    return one.select(F.inline(F.array(*cells)))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max), rounded to 3."""
-    moments = (df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-               .unpivot([], columns, "column", "value").groupBy("column")
-               .agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                    F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                    F.max("value").alias("max")))
-    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quarter = quantiles(df, columns, list(probs.values()))
-    pivoted = quarter.groupBy("column").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in probs.items()])
-    joined = moments.join(pivoted, "column", "left")
-    return joined.select("column", "count", *[F.round(c, 3).alias(c) for c in
-                                              ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = _beside(df, columns, moments, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return found.select("column", "count", *[F.round(c, 3).alias(c) for c in
+                                             ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,10 +72,7 @@ def distinct_count(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def mean_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, median) with an exact distributed median."""
-    means = (df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-             .unpivot([], columns, "column", "value").groupBy("column").agg(F.avg("value").alias("mean")))
-    mid = quantiles(df, columns, [0.5]).select("column", F.col("value").alias("median"))
-    return means.join(mid, "column", "left")
+    return _beside(df, columns, {"mean": F.avg}, {"median": 0.5})
 
 
 def global_kpis(scored: DataFrame, spec: PanelSpec, score: str = "sustainability_score") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.functions.exprs import title_case
+from panelloom.functions.exprs import finite, title_case
 from panelloom.operators import filters, forecast, joins, ordering, quantiles, scoring, stats, trees, windows
 from panelloom.operators.isolation import IsolationModel, detect_global
 from panelloom.sources.storage import stage
@@ -101,14 +101,13 @@ def global_trend_view(panel: DataFrame, spec: PanelSpec, target: str = "co2", st
 def distributions(panel: DataFrame, spec: PanelSpec, columns: list[str], bins: int = 50,
                   high: float = 0.98) -> DataFrame:
     """(column, mean, median, bin, low, high, n) of values below the high quantile."""
-    values = quantiles.long_values(panel, columns)
-    marks = quantiles.quantiles(panel, columns, [0.5, high]).groupBy("column").agg(
-        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("prob") == high, F.col("value"))).alias("_high"))
-    # One row per column, so the marks are safe to broadcast.
-    marks = F.broadcast(values.groupBy("column").agg(F.avg("value").alias("mean")).join(marks, "column"))
-    below = values.join(marks, "column").where(F.col("value") < F.col("_high")).select("column", "value")
-    return quantiles.long_histogram(below, bins).join(marks.drop("_high"), "column")
+    x = {c: finite(F.col(c).cast("double")) for c in columns}
+    marks = quantiles.as_struct(quantiles.quantile_row(panel, columns, {"median": 0.5, "high": high}))
+    below = panel.withColumn("_q", marks).select(*[F.when(x[c] < F.col(f"_q.{c}_high"), x[c]).alias(c) for c in columns])
+    one = panel.agg(*[F.avg(x[c]).alias(c) for c in columns]).withColumn("_q", marks)
+    named = one.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).alias("mean"), F.col(f"_q.{c}_median").alias("median")) for c in columns])))
+    return quantiles.histograms(below, columns, bins).join(F.broadcast(named), "column")  # one row a column
 
 
 def fossil_top(features: DataFrame, spec: PanelSpec, n: int = 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Quantiles, histograms and ranks against numpy, on both ways."""
+"""Quantiles, histograms and ranks against numpy and the built-in percentile."""
 
 import random
 
@@ -25,31 +25,45 @@ def _values(kind, n=1500):
 
 
 @pytest.mark.parametrize("kind", ["smooth", "heavy", "narrow", "tiny", "huge", "copies", "single"])
-def test_split_quantiles_are_exact(spark, kind):
+def test_quantiles_are_exact(spark, kind):
     v = _values(kind)
     bad = [None, float("nan"), float("inf"), float("-inf")]
     df = spark.createDataFrame([(x,) for x in v + bad], "x double").repartition(6)
-    got = {r.prob: r.value for r in quantiles.split_quantiles(df, ["x"], PROBS).collect()}
-    small = {r.prob: r.value for r in quantiles.small_quantiles(df, ["x"], PROBS).collect()}
+    got = {r.prob: r.value for r in quantiles.quantiles(df, ["x"], PROBS).collect()}
     if kind != "huge":  # differences of the largest doubles overflow in both references
         for p in PROBS:
             assert got[p] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=0)
-            assert small[p] == pytest.approx(got[p], rel=1e-12, abs=0)
     ordered = sorted(v)
     assert got[0.0] == ordered[0] and got[1.0] == ordered[-1]
 
 
 def test_quantiles_of_several_columns(spark):
     df = spark.createDataFrame([(float(i), float(-i * i), None) for i in range(101)], "a double, b double, c double")
-    rows = {(r.column, r.prob): (r.value, r.n) for r in quantiles.split_quantiles(df, ["a", "b", "c"], [0.1, 0.5]).collect()}
+    rows = {(r.column, r.prob): (r.value, r.n) for r in quantiles.quantiles(df, ["a", "b", "c"], [0.1, 0.5]).collect()}
     assert rows == {("a", 0.1): (10.0, 101), ("a", 0.5): (50.0, 101), ("b", 0.1): (-8100.0, 101), ("b", 0.5): (-2500.0, 101)}
     one = quantiles.quantile_row(df, ["a", "c"], {"mid": 0.5}).first()
     assert one.a_mid == 50.0 and one.c_mid is None
 
 
-def test_is_small(spark):
-    df = spark.range(50)
-    assert quantiles.is_small(df, 50) and not quantiles.is_small(df, 49)
+@pytest.mark.parametrize("rows", [0, 1, 2, 10, 150_000])
+def test_quantiles_have_the_bits_of_percentile(spark, rows):
+    """Smooth values, and values of which one holds a third of all rows."""
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7
+    df = spark.range(rows).repartition(5).select(share.alias("a"), F.when(F.col("id") % 3 == 0, 4.25).otherwise(share).alias("b"))
+    probs = [0.0, 0.02, 0.25, 1 / 3, 0.5, 0.77, 0.98, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in "ab"]).first()
+    got = quantiles.quantile_row(df, ["a", "b"], {f"p{i}": p for i, p in enumerate(probs)}).first()
+    for c in "ab":
+        assert [got[f"{c}_p{i}"] for i in range(len(probs))] == (want[c] or [None] * len(probs))
+
+
+def test_describe_reads_rows_as_they_stand(spark):
+    from panelloom.operators import stats
+
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "a double, b double")
+    for build in (stats.describe, stats.mean_median):
+        out = build(df, ["a", "b"])
+        assert "Expand" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 2
 
 
 def test_histogram(spark):
@@ -63,12 +77,12 @@ def test_histogram(spark):
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_split_rank_equals_sorting(spark, groups):
+def test_rank_equals_sorting(spark, groups):
     rng = random.Random(1)
     rows = [("a" if rng.random() < 0.8 else rng.choice("bcd"), rng.choice((0.0, 0.0, 1.5, 2.5)), i) for i in range(700)]
     df = spark.createDataFrame(rows, "g string, s double, id int").repartition(7)
     order = [F.col("s").desc(), F.col("id")]
-    got = {r.id: r["rank"] for r in ordering.split_ranked(df, order, "rank", groups).collect()}
+    got = {r.id: r["rank"] for r in ordering.ranked(df.repartition(3), order, "rank", groups).collect()}
     whole = {r.id: r["rank"] for r in ordering.ranked(df, order, "rank", groups).collect()}
     seen, want = {}, {}
     for g, s, i in sorted(rows, key=lambda r: (-r[1], r[2])):
