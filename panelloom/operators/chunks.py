@@ -1,15 +1,11 @@
 """Per-key windows that survive a key holding a third of the table.
 
 A key's series is cut into chunks of ``spec.span`` periods. Windows run on
-(key, chunk), so their groups are bounded. Rows a window needs from before the
-chunk come in as *history* rows: the last ``depth`` rows that precede the chunk,
-found through a small per-chunk count table (one row per key and chunk). What
-reaches across any distance (fills, positions, totals) is carried on that same
-count table and joined back on (key, chunk).
-
-Where the whole table's periods are known to lie in one chunk (``settle`` measures
-that once and notes it on the time column), a key has at most ``span`` rows and a
-plain per-key window is already bounded; the operators then use that.
+(key, chunk), so their groups are bounded. The rows a window needs from before the
+chunk are its *history*: the last ``depth`` rows that precede it. They are few, travel
+in a table with one row per key and chunk, and join the chunk's rows where those
+already are. What reaches across any distance (fills, positions, totals) is carried on
+such a table too. Keys and periods are not null and (key, period) is unique.
 """
 
 from __future__ import annotations
@@ -21,30 +17,6 @@ from panelloom.spec import PanelSpec
 CHUNK = "_chunk"
 HISTORY = "_history"
 _REV = "_rev"
-_RANGE = "panelloom.periods"
-
-
-def settle(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Measure the table's first and last period and note them on the time column.
-
-    One pass over one column. The note travels with the column through filters,
-    projections and Parquet; without it the operators take the chunked way.
-    """
-    ends = df.agg(F.min(spec.time), F.max(spec.time)).first()
-    if ends[0] is None:
-        return df
-    return df.withMetadata(spec.time, {_RANGE: [int(ends[0]), int(ends[1])]})
-
-
-def one_chunk(df: DataFrame, spec: PanelSpec) -> bool:
-    """Whether every key is known to fit into a single chunk."""
-    known = df.schema[spec.time].metadata.get(_RANGE)
-    return known is not None and known[0] // spec.span == known[1] // spec.span
-
-
-def key_window(spec: PanelSpec):
-    """Window over a whole key; for tables with ``one_chunk`` only."""
-    return Window.partitionBy(spec.key).orderBy(spec.time)
 
 
 def with_chunk(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -70,42 +42,36 @@ def cells(df: DataFrame, spec: PanelSpec, *aggs: Column) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n"), *aggs))
 
 
-def routes(cell_counts: DataFrame, spec: PanelSpec, depth: int) -> DataFrame:
-    """(key, source chunk, target chunk, how many of the source's last rows).
+def histories(base: DataFrame, spec: PanelSpec, depth: int) -> DataFrame:
+    """(key, chunk, _history): the ``depth`` rows before each chunk, oldest first.
 
-    Every chunk has a row, so the ``depth`` rows before a chunk lie within the
-    ``depth`` chunks before it.
+    Every chunk in the table has a row, so they lie within the ``depth`` chunks before
+    it. The row-number filter is limited on the map side.
+    """
+    columns = [c for c in base.columns if c not in (spec.key, CHUNK)]
+    last = base.withColumn(_REV, F.row_number().over(chunk_window(spec, F.col(spec.time).desc()))).where(F.col(_REV) <= depth)
+    tails = last.groupBy(spec.key, CHUNK).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(spec.time).alias("_at"), F.struct(*columns).alias("_row")))).alias("_tail"))
+    before = F.flatten(F.collect_list("_tail").over(across_chunks(spec).rowsBetween(-depth, -1)))
+    newest = F.slice("_before", F.greatest(F.size("_before") - depth + 1, F.lit(1)), depth)
+    return tails.withColumn("_before", before).select(
+        spec.key, CHUNK, F.transform(newest, lambda r: r["_row"]).alias(HISTORY))
+
+
+def with_history(df: DataFrame, spec: PanelSpec, depth: int) -> DataFrame:
+    """Rows plus the ``depth`` rows before each chunk, marked in ``_history``.
+
+    A chunk's first row unfolds into its history and itself, in its own task: the only
+    exchange of whole rows is the one on (key, chunk).
     """
-    w = across_chunks(spec)
-    ends = cell_counts.select(
-        spec.key, CHUNK, "_n",
-        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
-    earlier = F.collect_list(F.struct(F.col(CHUNK).alias("_source"), F.col("_end").alias("_source_end")))
-    return (ends
-            .withColumn("_earlier", earlier.over(w.rowsBetween(-depth, -1)))
-            .select(spec.key, F.col(CHUNK).alias("_target"),
-                    (F.col("_end") - F.col("_n")).alias("_start"), F.inline("_earlier"))
-            .select(spec.key, "_source", "_target",
-                    (F.lit(depth) - F.col("_start") + F.col("_source_end")).alias("_need"))
-            .where(F.col("_need") > 0))
-
-
-def with_history(df: DataFrame, spec: PanelSpec, depth: int,
-                 cell_counts: DataFrame | None = None) -> DataFrame:
-    """Rows plus the ``depth`` rows before each chunk, marked in ``_history``."""
     base = with_chunk(df, spec)
-    counts = cells(base, spec) if cell_counts is None else cell_counts
-    paths = routes(counts, spec, depth)
-    columns = base.columns
-    tails = (base
-             .withColumn(_REV, F.row_number().over(chunk_window(spec, F.col(spec.time).desc())))
-             .where(F.col(_REV) <= depth))
-    history = (tails
-               .join(paths.withColumnRenamed("_source", CHUNK), [spec.key, CHUNK])
-               .where(F.col(_REV) <= F.col("_need"))
-               .withColumn(CHUNK, F.col("_target"))
-               .select(*columns, F.lit(True).alias(HISTORY)))
-    return base.withColumn(HISTORY, F.lit(False)).unionByName(history)
+    columns = [c for c in base.columns if c not in (spec.key, CHUNK)]
+    rows = (base.join(histories(base, spec, depth), [spec.key, CHUNK])
+            .withColumn(_REV, F.row_number().over(chunk_window(spec))))
+    own = F.array(F.struct(*columns, F.lit(False).alias(HISTORY)))
+    older = F.transform(HISTORY, lambda r: F.struct(*[r[c].alias(c) for c in columns], F.lit(True).alias(HISTORY)))
+    unfolded = rows.select(spec.key, CHUNK, F.inline(F.when(F.col(_REV) == 1, F.concat(older, own)).otherwise(own)))
+    return unfolded.select(*base.columns, HISTORY)
 
 
 def drop_history(df: DataFrame, keep_chunk: bool = False) -> DataFrame:
@@ -113,26 +79,19 @@ def drop_history(df: DataFrame, keep_chunk: bool = False) -> DataFrame:
     return out if keep_chunk else out.drop(CHUNK)
 
 
-def over_history(df: DataFrame, spec: PanelSpec, depth: int, columns: dict,
-                 cell_counts: DataFrame | None = None) -> DataFrame:
+def over_history(df: DataFrame, spec: PanelSpec, depth: int, columns: dict) -> DataFrame:
     """Add window columns that look at most ``depth`` rows back.
 
     ``columns`` maps a name to a function of the (key, chunk) window.
     """
-    if one_chunk(df, spec):
-        w = key_window(spec)
-        return df.withColumns({name: build(w) for name, build in columns.items()})
     keep = CHUNK in df.columns
     w = chunk_window(spec)
-    rows = with_history(df, spec, depth, cell_counts)
-    rows = rows.withColumns({name: build(w) for name, build in columns.items()})
+    rows = with_history(df, spec, depth).withColumns({name: build(w) for name, build in columns.items()})
     return drop_history(rows, keep)
 
 
 def key_totals(df: DataFrame, spec: PanelSpec, name: str = "_rows") -> DataFrame:
     """Attach each key's row count, joined per chunk so a hot key stays split."""
-    if one_chunk(df, spec):
-        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(spec.key)))
     keep = CHUNK in df.columns
     base = with_chunk(df, spec)
     per_key = Window.partitionBy(spec.key)
@@ -143,10 +102,6 @@ def key_totals(df: DataFrame, spec: PanelSpec, name: str = "_rows") -> DataFrame
 
 def positions(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Attach ``_pos`` (0-based row number in the key) and ``_rows`` (its total)."""
-    if one_chunk(df, spec):
-        return df.withColumns({
-            "_pos": F.row_number().over(key_window(spec)) - 1,
-            "_rows": F.count(F.lit(1)).over(Window.partitionBy(spec.key))})
     keep = CHUNK in df.columns
     base = with_chunk(df, spec)
     w = across_chunks(spec)

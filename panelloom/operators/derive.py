@@ -7,9 +7,10 @@ from pyspark.sql.types import NumericType
 
 from panelloom.functions.exprs import clip, finite
 from panelloom.operators import chunks
-from panelloom.operators.chunks import CHUNK, cells, with_chunk
+from panelloom.operators.chunks import CHUNK, with_chunk
 from panelloom.operators.quantiles import as_struct
 from panelloom.operators.repair import fill, select_rows
+from panelloom.sources.storage import stage
 from panelloom.spec import PanelSpec
 
 TINY = 1e-9
@@ -57,22 +58,23 @@ def rolling5(df: DataFrame, spec: PanelSpec, column: str = "co2", size: int = 5)
     return chunks.over_history(df, spec, size - 1, {f"{column}_rolling{size}": rolling_mean(column, size)})
 
 
-def features(df: DataFrame, spec: PanelSpec, cell_counts: DataFrame | None = None) -> DataFrame:
+def features(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """All derived columns; the change and the mean share one window sort."""
     if "co2" in df.columns:
         df = chunks.over_history(df, spec, 4, {
-            "co2_yoy_change": yoy("co2"), "co2_rolling5": rolling_mean("co2", 5)}, cell_counts)
+            "co2_yoy_change": yoy("co2"), "co2_rolling5": rolling_mean("co2", 5)})
     return ratio_columns(df)
 
 
 def pipeline(df: DataFrame, spec: PanelSpec, start: int = 1990) -> DataFrame:
-    """Filter, fill and derive: one full shuffle on the key (or key and chunk), reused."""
-    rows = select_rows(df, spec, start)
-    if chunks.one_chunk(rows, spec):
-        return features(fill(rows, spec, spec.present(rows.columns), zero=True), spec)
-    rows = with_chunk(rows, spec)
+    """Filter, fill and derive.
+
+    The selected rows are written once, so the source is read once; whole rows are
+    exchanged on (key, chunk) for the fills and stay there for the features.
+    """
+    rows = stage(with_chunk(select_rows(df, spec, start), spec), "selected")
     filled = fill(rows, spec, spec.present(rows.columns), zero=True)
-    return features(filled, spec, cells(rows, spec)).drop(CHUNK)
+    return features(filled, spec).drop(CHUNK)
 
 
 # --- normalisation -------------------------------------------------------

@@ -48,8 +48,6 @@ def holt_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", alpha: float =
     no array longer than a chunk (and one map per chunk of the key).
     """
     known = df.where(F.col(target).isNotNull()).select(spec.key, spec.time, F.col(target).alias("_v"))
-    if chunks.one_chunk(known, spec):
-        return _holt_by_key(known, spec, alpha, beta)
     first = (known.withColumn("_i", F.row_number().over(Window.partitionBy(spec.key).orderBy(spec.time)))
              .where(F.col("_i") <= 2).groupBy(spec.key)
              .agg(F.max(F.when(F.col("_i") == 1, F.col("_v"))).alias("_s0"),
@@ -86,17 +84,6 @@ def holt_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", alpha: float =
                     F.col("_state.level").alias("level"), F.col("_state.trend").alias("trend")))
 
 
-def _holt_by_key(known, spec, alpha, beta):
-    """One fold per key; for tables whose keys fit one chunk."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct(spec.time, "_v"))), lambda r: r["_v"])
-    v = F.col("_values")
-    start = F.struct(v[0].alias("level"), (v[1] - v[0]).alias("trend"))
-    state = F.aggregate(F.slice(v, 3, F.size(v)), start, lambda s, x: _holt_step(s, x, alpha, beta))
-    return (known.groupBy(spec.key).agg(series.alias("_values"), F.max(spec.time).cast("int").alias("last_year"))
-            .where(F.size("_values") >= 2).withColumn("_state", state)
-            .select(spec.key, "last_year", F.col("_state.level").alias("level"), F.col("_state.trend").alias("trend")))
-
-
 def holt_forecast(fitted: DataFrame, spec: PanelSpec, horizon: int = 10) -> DataFrame:
     steps = fitted.select(spec.key, "last_year", "level", "trend", _steps(horizon))
     return steps.select(spec.key, (F.col("last_year") + F.col("_step")).alias(spec.time),

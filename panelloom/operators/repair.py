@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelloom.functions.exprs import finite
 from panelloom.operators import filters
-from panelloom.operators.chunks import CHUNK, across_chunks, cells, chunk_window, key_window, one_chunk, with_chunk
+from panelloom.operators.chunks import CHUNK, across_chunks, cells, chunk_window, with_chunk
 from panelloom.spec import PanelSpec
 
 
@@ -24,8 +24,6 @@ def fill(df: DataFrame, spec: PanelSpec, columns: list[str], back: bool = True,
     come from the per-chunk table. After a forward fill only the leading rows of
     a key can be null, so the back fill is that first known value.
     """
-    if one_chunk(df, spec):
-        return _fill_by_key(df, spec, columns, back, zero)
     keep = CHUNK in df.columns
     base = with_chunk(df, spec)
     lasts = [a.alias(f"_last_{c}") for a, c in zip(_known(columns, spec, F.max_by), columns)]
@@ -48,17 +46,6 @@ def fill(df: DataFrame, spec: PanelSpec, columns: list[str], back: bool = True,
     return out if keep else out.drop(CHUNK)
 
 
-def _fill_by_key(df, spec, columns, back, zero):
-    w = key_window(spec)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    def filled(c):
-        steps = [F.last(c, ignorenulls=True).over(running)]
-        steps += [F.first(c, ignorenulls=True).over(whole)] if back else []
-        return F.coalesce(*steps, *([F.lit(0.0)] if zero else []))
-    return df.withColumns({c: filled(c) for c in columns})
-
-
 def ffill(df: DataFrame, spec: PanelSpec, columns: list[str] | None = None) -> DataFrame:
     return fill(df, spec, columns or spec.present(df.columns), back=False)
 
@@ -83,6 +70,6 @@ def select_rows(df: DataFrame, spec: PanelSpec, start: int) -> DataFrame:
 
 
 def clean(df: DataFrame, spec: PanelSpec, start: int = 1990, back: bool = True) -> DataFrame:
-    """Filter, prune and fill every feature with one shuffle and one sort."""
+    """Filter, prune and fill every feature; whole rows are exchanged once."""
     rows = select_rows(df, spec, start)
     return fill(rows, spec, spec.present(rows.columns), back=back, zero=True)

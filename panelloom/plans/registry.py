@@ -6,13 +6,13 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelloom.operators import chunks, derive
+from panelloom.operators import derive
 from panelloom.plans import fixtures
 from panelloom.plans.oracle import START
 from panelloom.sources.storage import stage
 from panelloom.spec import PanelSpec
 
-SPEC = PanelSpec()
+SPEC = PanelSpec(span=8)  # several chunks a key, so that the queries cross their borders
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,7 +37,7 @@ def show(df: DataFrame, plain, rounded=(), digits: int = 7) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.settle(fixtures.panel(spark, sf), SPEC)
+    return fixtures.panel(spark, sf)
 
 
 def features(spark: SparkSession, sf: str, start: int = START) -> DataFrame:

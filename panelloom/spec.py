@@ -48,9 +48,6 @@ DISTRIBUTION_COLUMNS = (
     "co2", "co2_per_capita", "primary_energy_consumption",
     "temperature_change_from_ghg", "methane", "total_ghg",
 )
-DERIVED_COLUMNS = (
-    "co2_yoy_change", "co2_rolling5", "fossil_ratio", "renewable_proxy", "co2_intensity",
-)
 SOURCE_COLUMNS = ("coal_co2", "oil_co2", "gas_co2", "land_use_change_co2")
 
 

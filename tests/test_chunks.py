@@ -50,20 +50,26 @@ def test_positions_and_totals(rows, span):
     assert {r.country for r in kept.select("country").distinct().collect()} == {"hot", "gap", "void", "area"}
 
 
-def test_settled_and_chunked_ways_agree(rows):
-    settled = chunks.settle(rows, SPEC)
-    assert not chunks.one_chunk(settled, SPEC.with_span(16))
-    wide = chunks.settle(rows.withColumn("year", F.col("year") + 100), SPEC)
-    assert chunks.one_chunk(wide, SPEC) and chunks.one_chunk(wide.where("year > 3").select("country", "year"), SPEC)
-    spec = SPEC.with_span(8)
-    shifted = rows.withColumn("year", F.col("year") + 100)
-    for build in (lambda d, s: derive.pipeline(d, s, 0),
-                  lambda d, s: windows.rolling_zscore(d, s, threshold=0.75),
-                  lambda d, s: windows.sequence_windows(d.na.fill(0.0), s, ["co2", "gdp"]).select("country", "year", "sequence"),
-                  lambda d, s: windows.timeseries_folds(d.select("country", "year"), s),
-                  lambda d, s: derive.lag_features(d, s, leaky=False, required=["co2_lag1"]),
-                  lambda d, s: forecast.holt_fit(d, s)):
-        assert collected(build(wide, SPEC), 7) == collected(build(shifted, spec), 7)
+def test_every_span_gives_the_same(rows):
+    for build in (lambda s: derive.pipeline(rows, s, -100),
+                  lambda s: windows.rolling_zscore(rows, s, threshold=0.75),
+                  lambda s: windows.sequence_windows(rows.na.fill(0.0), s, ["co2", "gdp"]).select("country", "year", "sequence"),
+                  lambda s: windows.timeseries_folds(rows.select("country", "year"), s),
+                  lambda s: derive.lag_features(rows, s, leaky=False, required=["co2_lag1"]),
+                  lambda s: forecast.holt_fit(rows, s)):
+        assert collected(build(SPEC.with_span(8)), 7) == collected(build(SPEC), 7)
+
+
+def test_pipeline_reads_once_and_exchanges_rows_twice_at_most(spark, rows, tmp_path):
+    """Later passes read what the first one wrote; exchanges of whole rows are on (key, chunk)."""
+    rows.write.parquet(str(tmp_path / "source"))
+    out = derive.pipeline(spark.read.parquet(str(tmp_path / "source")), SPEC.with_span(8), -100)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "source") not in out._jdf.queryExecution().toString()
+    lines = plan.split("\n")
+    dealt = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(country" in line and "_chunk" in line]
+    assert 1 <= sum("HashAggregate" not in below for below in dealt) <= 2, plan  # the others carry the table of chunks
 
 
 def test_holt_matches_the_recurrence(rows):
