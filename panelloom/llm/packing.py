@@ -17,9 +17,11 @@ and repeated rows are packed like others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,48 +35,100 @@ SPARE = 16
 SALTS = 64
 END = 1
 PIECE = "struct<start:long,length:long,crc:long>"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 
 class Words:
     """Token ids of words, looked up in one ragged array; unseen words are tokenised together.
 
     No token of this vocabulary spans a blank, so a text's ids are its words' ids in order.
+    The vocabulary ignores case, so texts without combining marks (which could meet a
+    small letter but not a capital) are first put in small ASCII letters: fewer words.
     """
 
+    MARKED = re.compile("[\u0300-\U0010ffff]")
+    SIGN = "0"  # a digit is a token of its own: it parts the words of one call
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
+        self.sign, = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids
+        self.at, self.flat, self.starts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.counts, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def forget(self) -> None:
-        self.at, self.flat, self.starts, self.counts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, end to end, and their number for each."""
+        counts = self.counts[at]
+        till = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[at] - till + counts, counts) + np.arange(till[-1] if len(till) else 0)], counts
 
-    def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.array([len(x) for x in found], np.int64)
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+    def _store(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.counts), len(self.counts) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, flat])
         self.counts = np.concatenate([self.counts, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+
+    def _encode(self, words: list[str]) -> None:
+        """Tokenise distinct words, many in one call; those with the parting sign on their own."""
+        plain = [w for w in words if w and self.SIGN not in w]
+        groups = [plain[i:i + 500] for i in range(0, len(plain), 500)]
+        found = self.tokenizer.encode_batch_fast([f" {self.SIGN} ".join(g) for g in groups], add_special_tokens=False)
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, x in zip(groups, found):
+            ids = np.array(x.ids, np.uint32)
+            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.sign), [len(ids)]])
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the parting sign is not a token of its own in this vocabulary")
+            flat.append(ids[ids != self.sign])
+            counts.append(np.diff(cuts) - 1)
+        self._store(plain, np.concatenate(flat), np.concatenate(counts))
+        rest = [w for w in words if not w or self.SIGN in w]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self._store(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def learn(self, words: list[str]) -> None:
+        """A letters-only word with one full stop or comma after it is that word and that sign."""
+        ended = [w for w in words if w[-1:] in (".", ",") and w.isascii() and w[:-1].isalpha()]
+        whole = set(words).difference(ended)
+        parts = {w[:-1] for w in ended}.union(".,").difference(whole, self.at)
+        self._encode([*sorted(whole), *sorted(parts)])
+        at = np.fromiter((self.at[x] for w in ended for x in (w[:-1], w[-1])), np.int64, 2 * len(ended))
+        flat, counts = self._gather(at)
+        self._store(ended, flat, counts.reshape(-1, 2).sum(1))
+
+    def forget(self) -> None:
+        """Keep the words that were used most."""
+        kept = np.argsort(-self.uses, kind="stable")[:CACHED_WORDS // 2]
+        names = np.empty(len(self.counts), object)
+        names[np.fromiter(self.at.values(), np.int64, len(self.at))] = list(self.at)
+        flat, counts = self._gather(kept)
+        uses = self.uses[kept] // 2
+        self.at, self.flat, self.starts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.counts, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._store(names[kept].tolist(), flat, counts)
+        self.uses += uses
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, then the end token."""
         words, ends = [], []
         for text in texts:
+            if not self.MARKED.search(text):
+                text = text.encode().lower().decode()
             words += text.replace("\n", " ").split(" ")
             ends.append(len(words))
-        if new := set(words) - self.at.keys():
-            if len(self.at) + len(new) > CACHED_WORDS:
-                self.forget()
-                new = set(words)
-            self.learn(list(new))
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        counts = self.counts[at]
+        if len(self.at) > CACHED_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(missed := np.flatnonzero(at < 0)):
+            new = [words[i] for i in missed.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[missed] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        flat, counts = self._gather(at)
         till = np.cumsum(counts)
-        flat = self.flat[np.repeat(self.starts[at] - till + counts, counts) + np.arange(till[-1] if len(till) else 0)]
         cuts = till[np.array(ends, np.int64) - 1]
         end = np.array([END], np.uint32)
         return [np.concatenate([flat[a:b], end]) for a, b in zip([0, *cuts[:-1]], cuts)]
