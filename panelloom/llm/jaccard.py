@@ -38,7 +38,7 @@ COMMON = 32
 FREQUENT_TOKENS = 1 << 16
 BUCKET_BYTES = 8 << 20
 BLOCK_TOKENS = 400_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def token_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -58,8 +58,11 @@ def slack(n: int, percent: int) -> int:
 
 
 def prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[bool, np.ndarray, np.ndarray]:
-    """(made of frequent tokens, single tokens to index, combinations to index)."""
-    common = np.isin((tokens >> np.uint64(32)).astype(np.uint32), frequent)
+    """(made of frequent tokens, single tokens to index, combinations to index); `frequent` is sorted."""
+    high = (tokens >> np.uint64(32)).astype(np.uint32)
+    common = np.zeros(len(tokens), bool)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high
     rare, many, n = tokens[~common], tokens[common], len(tokens)
     missing = slack(n, percent)
     if len(rare) > missing:

@@ -20,14 +20,13 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    up, down = np.full(n, _ODD, np.uint64), np.full(n, inverse, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _powers(n: int) -> np.ndarray:
+    up = np.full(n, _ODD, np.uint64)
+    up[:1] = 1
+    return np.multiply.accumulate(up)
 
 
-_UP, _DOWN = _powers(1 << 16)
+_UP = _powers(1 << 16)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +44,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
     if not len(first):
         return np.zeros(0, np.uint64), counts
-    global _UP, _DOWN
+    global _UP
     if size.max() > len(_UP):
-        _UP, _DOWN = _powers(int(size.max()) * 2)
+        _UP = _powers(int(size.max()) * 2)
     # Position within the word: position in the data less that of the word's first byte.
-    step = np.ones(len(data), np.int64)
+    step = np.ones(len(data), np.int32)
     step[0] = 0
     step[first[1:]] = first[:-1] - first[1:] + 1
     step[:first[0] + 1] = 0
-    place = np.cumsum(step)
-    values = np.where(blank, np.uint64(0), _BYTE[data] * _UP[np.where(blank, 0, place)])
+    place = np.cumsum(step, out=step)
+    place[blank] = 0
+    values = _BYTE[data]
+    values *= _UP[place]
+    values[blank] = 0
     return stirred(np.add.reduceat(values, first) + size.astype(np.uint64) * _MIX[0]), counts
 
 
