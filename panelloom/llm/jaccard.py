@@ -34,11 +34,11 @@ from panelloom.llm.graph import components
 from panelloom.llm.words import shingles, stirred, word_hashes
 from panelloom.sources.storage import stage
 
-COMMON = 32
-FREQUENT_TOKENS = 1 << 16
+COMMON = 16
+FREQUENT_TOKENS = 1 << 18
 BUCKET_BYTES = 8 << 20
 BLOCK_TOKENS = 400_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def token_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
