@@ -7,9 +7,9 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.operators.pixels import image_features
+from panelloom.operators.pixels import image_features, readable
 
-# Detection severity by confidence, worst first.
+# Detection severity by confidence, worst first; the detectors' bounds, points and alert texts below.
 CONFIDENCE = ((0.75, "critical"), (0.50, "high"), (0.25, "medium"), (None, "low"))
 SEVERITIES = ("low", "medium", "high", "critical")
 ALERT_ABOVE = 0.1
@@ -102,31 +102,40 @@ def detect(features: DataFrame, detectors: tuple[Detector, ...] | None = None) -
     return features.select("image_id", F.inline(_detections(detectors or default_detectors())))
 
 
+UNREADABLE = "Unreadable image"
+
+
 def analyse_images(images: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
-    return detect(image_features(images), detectors)
+    """Detections of every image; one that can't be read gives one row that says so, without a confidence."""
+    found = detect(image_features(images), detectors)
+    unread = images.where(~readable()).select(
+        F.col("image.origin").alias("image_id"), F.lit(UNREADABLE).alias("issue"), F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("string").alias("severity"), F.lit("could not read the image").alias("alert"))
+    return found.unionByName(unread)
 
 
 def detection_report(detections: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Per image: detections, non-empty alerts and the highest severity."""
     rows = detections
-    if boxes is None:
-        rows = rows.withColumn("bbox_count", F.lit(0).cast("bigint"))
+    if boxes is None:  # not counted, which is not the same as none
+        rows = rows.withColumn("bbox_count", F.lit(None).cast("bigint"))
     else:
         counted = boxes.groupBy("image_id", "issue").agg(F.count(F.lit(1)).alias("bbox_count"))
         rows = (rows.join(counted, ["image_id", "issue"], "left")
                 .withColumn("bbox_count", F.coalesce("bbox_count", F.lit(0).cast("bigint"))))
     item = F.struct("issue", F.round("confidence", 3).alias("confidence"), "severity", "alert", "bbox_count")
-    # One row per detector in a group.
-    grouped = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("detections"))
-    return _reported(grouped)
+    # One row per detector in a group, put in the detectors' order.
+    place = F.array_position(F.array(*[F.lit(d.issue) for d in default_detectors()]), F.col("issue"))
+    grouped = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), item.alias("item")))).alias("_items"))
+    return _reported(grouped.select("image_id", F.transform("_items", lambda x: x["item"]).alias("detections")))
 
 
 def report_features(features: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
     """The report straight from the statistics table: row by row, without a shuffle."""
     found = F.transform(_detections(detectors or default_detectors()), lambda d: F.struct(
         d["issue"].alias("issue"), F.round(d["confidence"], 3).alias("confidence"), d["severity"].alias("severity"),
-        d["alert"].alias("alert"), F.lit(0).cast("bigint").alias("bbox_count")))
-    return _reported(features.select("image_id", F.array_sort(found).alias("detections")))
+        d["alert"].alias("alert"), F.lit(None).cast("bigint").alias("bbox_count")))
+    return _reported(features.select("image_id", found.alias("detections")))
 
 
 def _reported(grouped: DataFrame) -> DataFrame:

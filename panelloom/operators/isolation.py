@@ -16,8 +16,10 @@ from panelloom.sources.storage import stage
 from panelloom.spec import ANOMALY_FEATURES, PanelSpec
 
 TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
-OVERDRAW = 1.25   # expected draws per tree over the sample size, cut back by hash order
+POOL = 16         # rows that the trees draw from, in samples
 TREES_PER_TASK = 25
+MOST_NODES = 1_000_000
+ROWS_AT_ONCE = 2_000
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, "
                "left int, right int, size int, depth int")
 _Z = "_z_"
@@ -42,22 +44,18 @@ def path_constant(n):
 
 
 def draw(df: DataFrame, identity: list[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, order) rows: at most ``sample`` rows per tree, chosen by row hash.
+    """(tree, order) rows: ``sample`` rows for every tree (all, if there are fewer), chosen by row hash.
 
-    With many rows a row joins at most one tree, so it costs one hash; with few
-    rows each (row, tree) pair is drawn on its own. About trees * sample rows
-    leave the map side however many there are.
+    The trees draw from a pool of at most ``POOL * sample`` rows, the first in hash
+    order of the whole table; a row may be in several trees, at every table size. The
+    filter before the limit keeps all but some of the pool from leaving the map side.
     """
     ids = [F.col(c) for c in identity]
+    pool = POOL * sample
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.lit(OVERDRAW * sample) / total
     u = unit_hash(*ids, F.lit(seed))
-    sparse = share * trees < 1.0
-    single = F.when(u < share * trees, F.array(F.floor(u / share).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
-    candidates = F.when(sparse, single).otherwise(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = (df.select("*", F.explode(candidates).alias("tree"))
-            .where(sparse | (unit_hash(*ids, F.lit(seed), F.col("tree")) < share)))
+    few = df.where(u < F.lit(2.0 * pool) / total).orderBy(u, *ids).limit(pool)
+    rows = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     order = F.xxhash64(*ids, F.lit(seed), F.col("tree"))
     w = Window.partitionBy("tree").orderBy(order, *ids)
     return rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= sample)
@@ -119,9 +117,15 @@ def _packed(nodes: pd.DataFrame):
             nodes["threshold"].to_numpy(), left, right, length, int(nodes["depth"].max()))
 
 
+def _fetched(nodes: DataFrame) -> pd.DataFrame:
+    """The node table, checked to be no larger than a forest of the stated sizes makes it."""
+    if (n := nodes.count()) > MOST_NODES:
+        raise ValueError(f"a forest of {n} nodes is too large to go along with the scoring code")
+    return nodes.toPandas()
+
+
 def _score_column(df: DataFrame, nodes: DataFrame, columns: list[str], sample: Column) -> Column:
-    # The node table has at most trees * (2 * sample - 1) rows, a few MB.
-    shared = df.sparkSession.sparkContext.broadcast(_packed(nodes.toPandas()))
+    shared = df.sparkSession.sparkContext.broadcast(_packed(_fetched(nodes)))
 
     @F.pandas_udf("double")
     def mean_path(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -129,12 +133,13 @@ def _score_column(df: DataFrame, nodes: DataFrame, columns: list[str], sample: C
         for part in parts:
             x = part.to_numpy(dtype="float64")
             total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for root in roots:
-                at = np.full(len(x), root)
+            for start in range(0, len(x), ROWS_AT_ONCE):  # all trees in one step, some rows at a time
+                some = x[start:start + ROWS_AT_ONCE]
+                at = np.broadcast_to(roots, (len(some), len(roots)))
+                rows = np.arange(len(some))[:, None]
                 for _ in range(depth):
-                    at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
-                total += length[at]
+                    at = np.where(some[rows, feature[at]] <= threshold[at], left[at], right[at])
+                total[start:start + len(some)] = length[at].sum(1)
             yield pd.Series(total / len(roots))
 
     # c(n) of the sample size, in closed form as in path_constant.

@@ -11,7 +11,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Inclusive (H, S, V) bounds of the colour masks, H in 0..180.
 MASKS = {
@@ -173,9 +173,13 @@ def _statistics(image_id: str, bgr: np.ndarray) -> tuple:
             float(gray.std()), float(edges(gray).mean()), entropy(gray))
 
 
+def readable() -> Column:
+    return F.coalesce(F.col("image.height") > 0, F.lit(False))
+
+
 def _image_columns(images: DataFrame) -> DataFrame:
     """Readable images only, as flat columns."""
-    return (images.where("image.height > 0")
+    return (images.where(readable())
             .select(F.col("image.origin").alias("image_id"), "image.height", "image.width",
                     "image.nChannels", "image.data"))
 

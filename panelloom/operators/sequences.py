@@ -53,4 +53,4 @@ def sequence_error(df: DataFrame, spec: PanelSpec, train: DataFrame | None = Non
     errors = scored if train is None else runs(df).withColumn("lstm_error", error("run")).drop("run")
     out = df.join(errors, [spec.key, spec.time], "left")
     return (out.withColumn("lstm_error", F.coalesce("lstm_error", F.lit(0.0)))
-            .withColumn("lstm_anomaly", F.col("lstm_error") > bound["lstm_error_cut"]))
+            .withColumn("lstm_anomaly", F.coalesce(F.col("lstm_error") > bound["lstm_error_cut"], F.lit(False))))

@@ -8,9 +8,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelloom.functions.exprs import unit_hash
 from panelloom.operators import chunks
 from panelloom.operators.derive import lag_features, lag_names
-from panelloom.operators.forecast import ensemble, holt_fit, holt_forecast, trend_projection
+from panelloom.operators.forecast import ensemble, historical_view, holt_fit, holt_forecast, trend_projection
 from panelloom.operators.stats import error_metrics
 from panelloom.operators.windows import enough_history, timeseries_folds
 from panelloom.sources.storage import cut, stage
@@ -18,6 +19,7 @@ from panelloom.spec import PanelSpec
 
 SEED = 42
 HISTORY = 5          # longest lag and widest rolling mean
+MOST_ROWS = 20_000   # training rows of a model; bounds its nodes, which the driver holds
 CHECKPOINT_EVERY = 5
 
 
@@ -42,10 +44,20 @@ def _assembled(rows: DataFrame, inputs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(typed)
 
 
+def sampled(rows: DataFrame, spec: PanelSpec, most: int, seed: int) -> DataFrame:
+    """At most about `most` rows, by hash of key and period: all, if there are no more."""
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rows.where(unit_hash(F.col(spec.key), F.col(spec.time), F.lit(seed)) < F.lit(float(most)) / total)
+
+
 def forest_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", trees: int = 300,
-               depth: int = 30, leaky: bool = False, seed: int = SEED) -> ForestModel:
-    """Random forest on lags, period and passive columns, with in-sample errors."""
-    rows = stage(training_rows(df, spec, target, list(spec.passive), leaky), "forest-rows")
+               depth: int = 30, leaky: bool = False, seed: int = SEED, most_rows: int = MOST_ROWS) -> ForestModel:
+    """Random forest on lags, period and passive columns, with in-sample errors.
+
+    A tree has at most two nodes for each training row, so `most_rows` bounds the model,
+    however many keys the panel has.
+    """
+    rows = stage(sampled(training_rows(df, spec, target, list(spec.passive), leaky), spec, most_rows, seed), "forest-rows")
     inputs = [*lag_names(target), spec.time, *[c for c in spec.passive if c in df.columns]]
     ready = _assembled(rows, inputs)
     model = RandomForestRegressor(
@@ -151,10 +163,11 @@ def ensemble_members(df: DataFrame, spec: PanelSpec, target: str = "co2", horizo
 
 def ensemble_forecast(df: DataFrame, spec: PanelSpec, target: str = "co2", horizon: int = 10,
                       trees: int = 300, depth: int = 30, leaky: bool = False) -> DataFrame:
-    """(key, period, predicted, model, type): members and their equal-weight mean."""
+    """(key, period, predicted, model, type): history, members and their equal-weight mean."""
     members = ensemble_members(df, spec, target, horizon, trees, depth, leaky)
     members = {name: stage(part, f"forecast-{name}") for name, part in members.items()}
     out = ensemble(members, spec).withColumn("model", F.lit("ensemble"))
     for name, part in members.items():
         out = out.unionByName(part.withColumn("model", F.lit(name)))
-    return out.withColumn("type", F.lit("forecast"))
+    past = historical_view(df.where(F.col(target).isNotNull()), spec, target).withColumn("model", F.lit("historical"))
+    return out.withColumn("type", F.lit("forecast")).unionByName(past)

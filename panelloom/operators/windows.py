@@ -38,11 +38,9 @@ def enough_history(df: DataFrame, spec: PanelSpec, n: int) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, spec: PanelSpec, columns: list[str] | None = None) -> DataFrame:
-    """Row of each key's last period, combined on the map side before the shuffle."""
+    """Row of each key's last period; each map task sends one row a key."""
     keep = [c for c in (columns or df.columns) if c not in (spec.key, spec.time)]
-    row = F.struct(spec.time, *keep)
-    return (df.groupBy(spec.key).agg(F.max_by(row, F.col(spec.time)).alias("_row"))
-            .select(spec.key, "_row.*"))
+    return chunks.last_rows(df.select(spec.key, spec.time, *keep), spec, 1).drop("_rev")
 
 
 def score_diff(df: DataFrame, spec: PanelSpec, column: str = "sustainability_score",

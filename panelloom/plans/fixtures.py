@@ -6,14 +6,16 @@ from any engine. Money is summed in whole cents, so sums do not depend on order.
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 import zlib
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.operators.ordering import ranked
-from panelloom.sources.storage import scratch_path, stage
+from panelloom.sources.storage import scratch_path
+from panelloom.sources.tabular import without_nan
 
 TABLES = ("lineitem", "orders", "customer", "nation", "events", "embeddings")
 
@@ -95,8 +97,12 @@ def from_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation-by-quarter panel aggregated from all line items, written once."""
-    return stage(from_sql(spark, sf_dir, PANEL_SQL), "panel")
+    """Nation-by-quarter panel aggregated from all line items."""
+    return without_nan(from_sql(spark, sf_dir, PANEL_SQL))
+
+
+def panel_paths(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{t}.parquet" for t in TABLES if "{" + t + "}" in PANEL_SQL]
 
 
 def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,16 +152,20 @@ def png(height: int, width: int, bgr: bytes) -> bytes:
 
 
 def image_folder(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> str:
-    """The derived images as PNG files, written by the tasks to the shared folder."""
-    folder = scratch_path(spark, "images").removeprefix("file:")
+    """The derived images as PNG files, written by the tasks to the shared folder, on any file system.
+
+    A file has the image's name and appears by a rename, so a repeated task leaves the same files.
+    """
+    folder = scratch_path(spark, "images")
 
     def write(rows):
-        os.makedirs(folder, exist_ok=True)
+        store, root = FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", folder))
+        store.create_dir(root, recursive=True)
         for row in rows:
-            target = f"{folder}/{row.origin}.png"
-            with open(f"{target}.part", "wb") as f:
+            target = f"{root}/{row.origin}.png"
+            with store.open_output_stream(f"{target}.part") as f:
                 f.write(png(row.height, row.width, bytes(row.data)))
-            os.replace(f"{target}.part", target)
+            store.move(f"{target}.part", target)
 
     images(spark, sf_dir, block).select("image.*").foreachPartition(write)
     return folder

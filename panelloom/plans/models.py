@@ -14,9 +14,6 @@ from panelloom.plans.tables import _SEV, _SEVS, _with_severity
 from panelloom.sources import models, storage
 
 KT = ["country", "year"]
-# Settings of the registered model queries; the operators' defaults are the full sizes.
-FOREST = dict(trees=20, depth=8)
-ROUNDS = 8
 
 
 def isolation_model(rows):
@@ -111,10 +108,10 @@ def sequence_error(spark, sf):
 
 @query("view_anomaly")
 def view_anomaly(spark, sf):
+    """The rows of the keys shown, the first alerts, and the counts, tagged."""
     rows = features(spark, sf)
     flagged = storage.stage(views.anomaly(rows, SPEC, isolation_model(rows), 1990, 2007), "flagged")
-    keyed = flagged.where(F.col("country").isin(*KEYS))
-    return keyed.select(*KT, "severity", "anomaly_label", F.round("size_val", 6).alias("size_val"))
+    return views.anomaly_page(flagged, SPEC, KEYS)
 
 
 @query("view_country_z", sql(
@@ -209,42 +206,65 @@ def history_plus_forecast(spark, sf):
 
 @query("forest_fit")
 def forest_fit(spark, sf):
-    fitted = trees.forest_fit(features(spark, sf), SPEC, **FOREST)
+    fitted = trees.forest_fit(features(spark, sf), SPEC)
     return show(fitted.metrics, ["n"], ["mae", "r2"], 5)
 
 
 @query("forest_forecast")
 def forest_forecast(spark, sf):
     rows = features(spark, sf)
-    fitted = trees.forest_fit(rows, SPEC, **FOREST)
-    return show(trees.forest_forecast(rows, SPEC, fitted, 5), KT, ["predicted"], 5)
+    fitted = trees.forest_fit(rows, SPEC)
+    return show(trees.forest_forecast(rows, SPEC, fitted), KT, ["predicted"], 5)
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    fitted = trees.forest_fit(features(spark, sf), SPEC, **FOREST)
+    fitted = trees.forest_fit(features(spark, sf), SPEC)
     return show(trees.feature_importance(fitted), ["feature"], ["importance"], 6)
 
 
 @query("boosting_cv")
 def boosting_cv(spark, sf):
-    return show(trees.boosting_cv(features(spark, sf), SPEC, rounds=ROUNDS), ["folds"], ["mae_mean", "mae_std"], 5)
+    return show(trees.boosting_cv(features(spark, sf), SPEC), ["folds"], ["mae_mean", "mae_std"], 5)
+
+
+_MEMBERS = """SELECT country, year, round(predicted, 5) AS predicted, 'gbm' AS model, 'forecast' AS type FROM trend
+   UNION ALL SELECT country, year, round(predicted, 5), 'holt', 'forecast' FROM ahead
+   UNION ALL SELECT country, year, round(co2, 5), 'historical', 'historical' FROM feat WHERE co2 IS NOT NULL"""
+
+
+@query("ensemble_members", sql(_MEMBERS, "trend", "ahead", "feat"))
+def ensemble_members(spark, sf):
+    """The members and the history of the bundle that SQL can state, exactly."""
+    out = trees.ensemble_forecast(features(spark, sf), SPEC, trees=2, depth=2)
+    return show(out.where("model in ('gbm', 'holt', 'historical')"), [*KT, "model", "type"], ["predicted"], 5)
+
+
+@query("forest_periods", sql(
+    """SELECT a.country, a.year, true AS inside FROM ahead a""", "ahead"))
+def forest_periods(spark, sf):
+    """Every key and period has a forest forecast, inside the range of the values that the trees saw."""
+    rows = features(spark, sf)
+    ahead = trees.forest_forecast(rows, SPEC, trees.forest_fit(rows, SPEC, trees=20))
+    ends = rows.agg(F.min("co2").alias("low"), F.max("co2").alias("high"))
+    return ahead.join(ends, F.lit(True)).select(*KT, F.col("predicted").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query("ensemble_forecast")
 def ensemble_forecast(spark, sf):
-    out = trees.ensemble_forecast(features(spark, sf), SPEC, horizon=5, **FOREST)
+    out = trees.ensemble_forecast(features(spark, sf), SPEC)
     return show(out, [*KT, "model", "type"], ["predicted"], 5)
 
 
 @query("view_forecast")
 def view_forecast(spark, sf):
-    return views.forecast_view(features(spark, sf), SPEC, "total_ghg", 5, KEY, FOREST["trees"], FOREST["depth"])
+    return views.forecast_view(features(spark, sf), SPEC, "total_ghg", 10, KEY)
 
 
 @query("kpi_report")
 def kpi_report(spark, sf):
     rows = features(spark, sf)
     flagged = storage.stage(isolation.detect_global(rows, isolation_model(rows)), "flagged")
-    change = forecast.projected_change(rows, forecast.trend_projection(rows, SPEC), SPEC)
-    return views.kpi_report(rows, scored_table(rows), flagged, change.where(F.col("country") == KEY), SPEC)
+    one = rows.where(F.col("country") == KEY)
+    ahead = trees.ensemble_forecast(one, SPEC).where("model = 'ensemble'").drop("model", "type")
+    return views.kpi_report(rows, scored_table(rows), flagged, forecast.projected_change(one, ahead, SPEC), SPEC)

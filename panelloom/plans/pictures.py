@@ -69,26 +69,53 @@ def detection_severity(spark, sf):
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
-_REPORT = f"""SELECT image_id, count(*) AS detections, count(*) FILTER (alert <> '') AS alerts,
-  CASE max({_RANK}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS highest_severity,
-  round(sum(confidence), 6) AS confidence FROM ({_LITERAL}) GROUP BY image_id"""
+_PLACE = "CASE issue WHEN 'Smoke / Air Pollution' THEN 1 WHEN 'Garbage / Illegal Dumping' THEN 2 ELSE 3 END"
+_REPORT = f"""SELECT image_id,
+  string_agg(concat(issue, ' ', printf('%.3f', confidence), ' ', severity), '; ' ORDER BY {_PLACE}) AS detections,
+  coalesce(string_agg(alert, '; ' ORDER BY {_PLACE}) FILTER (alert <> ''), '') AS alerts,
+  CASE max({_RANK}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS highest_severity
+  FROM ({_LITERAL}) GROUP BY image_id"""
+
+
+def _spelled(report):
+    """Items and texts of a report in their order, as text."""
+    item = lambda d: F.concat_ws(" ", d["issue"], F.format_string("%.3f", d["confidence"]), d["severity"])
+    return report.select("image_id", F.array_join(F.transform("detections", item), "; ").alias("detections"),
+                         F.array_join("alerts", "; ").alias("alerts"), "highest_severity")
 
 
 @query("detection_report", sql(_REPORT, "image_features"))
 def detection_report(spark, sf):
-    report = detect.detection_report(detect.detect(fixtures.image_statistics(spark, sf)))
-    total = F.aggregate("detections", F.lit(0.0), lambda a, d: a + d["confidence"])
-    return report.select("image_id", F.size("detections").cast("bigint").alias("detections"),
-                         F.size("alerts").cast("bigint").alias("alerts"), "highest_severity",
-                         F.round(total, 6).alias("confidence"))
+    return _spelled(detect.report_features(fixtures.image_statistics(spark, sf)))
 
 
-@query("report_json", sql(f"SELECT image_id, detections, highest_severity FROM ({_REPORT})", "image_features"))
+@query("report_json", sql(_REPORT, "image_features"))
 def report_json(spark, sf):
     text = detect.report_json(detect.report_features(fixtures.image_statistics(spark, sf)))
-    report = F.from_json("report", "detections array<struct<issue:string>>, highest_severity string").alias("r")
-    return text.select("image_id", report).select(
-        "image_id", F.size("r.detections").cast("bigint").alias("detections"), "r.highest_severity")
+    schema = "detections array<struct<issue:string,confidence:double,severity:string>>, alerts array<string>, highest_severity string"
+    return _spelled(text.select("image_id", F.from_json("report", schema).alias("r")).select("image_id", "r.*"))
+
+
+@query("frame_detections", sql(
+    f"""SELECT f.video_id, f.frame_no, d.issue, d.confidence, d.severity FROM ({_LITERAL}) d JOIN (
+          SELECT video_id, frame_no, event_id FROM frames WHERE frame_no % 7 = 0
+          QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_no) <= 5) f ON f.event_id = d.image_id""",
+    "frames", "image_features"))
+def frame_detections(spark, sf):
+    """The detectors on the sampled frames of every video."""
+    sampled = images.frame_sample(fixtures.frames(spark, sf), every=7, most=5)
+    found = detect.detect(fixtures.image_statistics(spark, sf).join(sampled, F.col("event_id") == F.col("image_id"), "left_semi"))
+    return found.join(sampled, F.col("event_id") == F.col("image_id")).select("video_id", "frame_no", "issue", "confidence", "severity")
+
+
+@query("unreadable_images", """SELECT CAST(vec_id AS VARCHAR) AS image_id, 'Unreadable image' AS issue FROM embeddings WHERE vec_id % 10 = 0""")
+def unreadable_images(spark, sf):
+    """Every tenth image is one that the reader could not decode: it comes out as a row."""
+    image = F.col("image")
+    broken = F.col("image.origin").cast("long") % 10 == 0
+    marked = fixtures.images(spark, sf).withColumn("image", F.when(broken, image.withField("height", F.lit(-1)).withField(
+        "data", F.lit(b""))).otherwise(image))
+    return detect.analyse_images(marked).where("confidence is null").select("image_id", "issue")
 
 
 # Blocks of one colour have thin edges (below 15 %) and few greys (below 6.5 bits).

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelloom.operators import derive
 from panelloom.plans import fixtures
 from panelloom.plans.oracle import START
-from panelloom.sources.storage import stage
+from panelloom.sources.storage import reused
 from panelloom.spec import PanelSpec
 
 SPEC = PanelSpec(span=8)  # several chunks a key, so that the queries cross their borders
@@ -37,9 +37,10 @@ def show(df: DataFrame, plain, rounded=(), digits: int = 7) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.panel(spark, sf)
+    """Panel of the fixture, written once for each state of the tables."""
+    return reused(spark, "panel", fixtures.panel_paths(sf), lambda: fixtures.panel(spark, sf))
 
 
 def features(spark: SparkSession, sf: str, start: int = START) -> DataFrame:
-    """Feature table of the fixture, written once for the passes that follow."""
-    return stage(derive.pipeline(panel(spark, sf), SPEC, start), "features")
+    """Feature table of the fixture, written once for each state of the tables."""
+    return reused(spark, f"features-{start}", fixtures.panel_paths(sf), lambda: derive.pipeline(panel(spark, sf), SPEC, start))

@@ -44,6 +44,23 @@ def anomaly(features: DataFrame, spec: PanelSpec, model: IsolationModel, low: in
     return filters.flag_label(detect_global(filters.year_range(features, spec, low, high), model))
 
 
+def anomaly_page(flagged: DataFrame, spec: PanelSpec, keys) -> DataFrame:
+    """(part, key, period, severity, text, value): rows of the keys, first alerts, counts by severity."""
+    columns = ["part", spec.key, spec.time, "severity", "text", "value"]
+    nothing = F.lit(None)
+    rows = flagged.where(F.col(spec.key).isin(*keys)).select(
+        F.lit("row").alias("part"), spec.key, spec.time, "severity", F.col("anomaly_label").alias("text"),
+        F.round("size_val", 6).alias("value"))
+    alerts = alert_lines(flagged, spec).select(
+        F.lit("alert").alias("part"), spec.key, spec.time, "severity", F.concat_ws(" ", "co2", "score").alias("text"),
+        nothing.cast("double").alias("value"))
+    one = stats.alert_counts(flagged)
+    counts = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("severity"), F.col(c).cast("double").alias("value")) for c in one.columns])))
+    counts = counts.select(F.lit("count").alias("part"), nothing.cast("string").alias(spec.key), nothing.cast("int").alias(spec.time),
+                           "severity", nothing.cast("string").alias("text"), "value")
+    return rows.select(*columns).unionByName(alerts.select(*columns)).unionByName(counts.select(*columns))
+
+
 def alert_lines(flagged: DataFrame, spec: PanelSpec, n: int = 15) -> DataFrame:
     """The first alerts, formatted for display."""
     rows = ordering.severity_head(flagged, spec, n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -47,6 +48,28 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version(spark: SparkSession, paths: list[str]) -> str:
+    """Name of the input's state: its files with their lengths and times."""
+    found = []
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in store.listStatus(folder)]
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def reused(spark: SparkSession, name: str, paths: list[str], build) -> DataFrame:
+    """What `build` gives, written once for each state of the input; another state is built anew.
+
+    `clear_scratch` releases it, as everything else that the application staged.
+    """
+    path = f"{scratch_root(spark)}/{name}-{version(spark, paths)}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for iterative plans."""
     context = df.sparkSession.sparkContext

@@ -34,6 +34,18 @@ def scan_csv(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec()) -> D
     return rows.select(*[column(n) for n in rows.columns if n in types])
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as null in every floating-point column: what any source of a panel must give."""
+    kinds = dict(df.dtypes)
+    return df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+                       for c in df.columns])
+
+
+def scan_panel(spark: SparkSession, path: str, kind: str = "parquet", spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """A panel in any file format, with NaN as null."""
+    return scan_csv(spark, path, spec) if kind == "csv" else without_nan(normalise_headers(spark.read.format(kind).load(path)))
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 

@@ -11,10 +11,10 @@ from panelloom.sources.images import IMAGE_SCHEMA
 
 def stream_images(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
     """Detections above the alert confidence, as a streaming frame."""
-    reader = spark.readStream.format("image").schema(IMAGE_SCHEMA)
+    reader = spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", True)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return analyse_images(reader.load(folder)).where(f"confidence > {ALERT_ABOVE}")
+    return analyse_images(reader.load(folder)).where(f"confidence > {ALERT_ABOVE} or confidence is null")
 
 
 def write_detections(detections: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
