@@ -21,6 +21,7 @@ SEED = 42
 HISTORY = 5          # longest lag and widest rolling mean
 MOST_ROWS = 20_000   # training rows of a model; bounds its nodes, which the driver holds
 CHECKPOINT_EVERY = 5
+MIN_ROWS = 10        # known values that a key must have
 
 
 @dataclass(frozen=True)
@@ -151,7 +152,7 @@ def boosting_cv(df: DataFrame, spec: PanelSpec, target: str = "co2", rounds: int
 
 def ensemble_members(df: DataFrame, spec: PanelSpec, target: str = "co2", horizon: int = 10,
                      trees: int = 300, depth: int = 30, leaky: bool = False,
-                     min_rows: int = 10) -> dict[str, DataFrame]:
+                     min_rows: int = MIN_ROWS) -> dict[str, DataFrame]:
     """The three member forecasts of every key with enough known values."""
     known = df.where(F.col(target).isNotNull())
     rows = stage(enough_history(known, spec, min_rows), "ensemble-rows")
@@ -169,5 +170,6 @@ def ensemble_forecast(df: DataFrame, spec: PanelSpec, target: str = "co2", horiz
     out = ensemble(members, spec).withColumn("model", F.lit("ensemble"))
     for name, part in members.items():
         out = out.unionByName(part.withColumn("model", F.lit(name)))
-    past = historical_view(df.where(F.col(target).isNotNull()), spec, target).withColumn("model", F.lit("historical"))
+    known = enough_history(df.where(F.col(target).isNotNull()), spec, MIN_ROWS)
+    past = historical_view(known, spec, target).withColumn("model", F.lit("historical"))
     return out.withColumn("type", F.lit("forecast")).unionByName(past)

@@ -68,6 +68,8 @@ def test_statistics_and_scores(spark, folder):
 def test_bad_files(spark, folder):
     images = scan_images(spark, folder)
     assert [_name(r.image_id) for r in bad_images(images).collect()] == ["broken"]
+    unread = detect.analyse_images(images).where("confidence is null").collect()
+    assert [(_name(r.image_id), r.issue) for r in unread] == [("broken", detect.UNREADABLE)]
     with pytest.raises(Exception, match="could not read image"):
         scan_images(spark, folder, strict=True).select("image.height").collect()
     with pytest.raises(Exception):
@@ -130,7 +132,9 @@ def test_report(spark, folder):
     assert sorted(d.confidence for d in row.detections) == [0.0, 0.5, 1.0]
     assert {d.issue: d.bbox_count for d in row.detections}["Smoke / Air Pollution"] == 1
     assert len(row.alerts) == 2 and any("smoke_pixels=100.0%" in a for a in row.alerts)
-    assert sorted(detect.report_features(stats).first().alerts) == sorted(row.alerts)
+    assert [d.issue for d in row.detections] == [d.issue for d in detect.default_detectors()]
+    plain = detect.report_features(stats).first()
+    assert plain.alerts == row.alerts and {d.bbox_count for d in plain.detections} == {None}
     body = json.loads(detect.report_json(report).first().report)
     assert set(body) == {"timestamp", "detections", "alerts", "highest_severity"}
 
@@ -139,12 +143,12 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     query = write_detections(stream_images(spark, folder), str(tmp_path / "out"), str(tmp_path / "progress"))
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    batch = detect.analyse_images(scan_images(spark, folder)).where("confidence > 0.1")
+    batch = detect.analyse_images(scan_images(spark, folder)).where("confidence > 0.1 or confidence is null")
     key = lambda df: sorted((_name(r.image_id), r.issue, r.confidence, r.severity) for r in df.collect())
-    assert key(got) == key(batch) and got.count() == 8
+    assert key(got) == key(batch) and got.count() == 9  # with the one that can't be read
     again = write_detections(stream_images(spark, folder), str(tmp_path / "out"), str(tmp_path / "progress"))
     again.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
 
 
 def test_frame_sample(spark):

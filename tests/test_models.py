@@ -49,14 +49,14 @@ def test_forest_does_not_depend_on_partitions(spark, tmp_path):
     assert key(df, model) == key(df, load_model(spark, str(tmp_path / "m")))
 
 
-def test_sample_of_a_large_table(spark):
-    """With many rows a row joins at most one tree, and trees still fill up."""
-    df = spark.range(200_000).select(F.col("id").alias("k"), F.rand(1).alias("x"))
+@pytest.mark.parametrize("rows", [40, 900, 200_000])
+def test_sample_is_drawn_alike_at_every_size(spark, rows):
+    """Every tree gets the sample in full, and a row may be in several trees."""
+    df = spark.range(rows).select(F.col("id").alias("k"), F.rand(1).alias("x"))
     drawn = isolation.draw(df, ["k"], 20, 64, 42)
     sizes = drawn.groupBy("tree").count()
-    assert sizes.count() == 20 and sizes.agg(F.min("count"), F.max("count")).first()[1] <= 64
-    assert sizes.agg(F.avg("count")).first()[0] > 60
-    assert drawn.count() == drawn.select("k").distinct().count()
+    assert sizes.count() == 20 and tuple(sizes.agg(F.min("count"), F.max("count")).first()) == (min(rows, 64),) * 2
+    assert drawn.count() == drawn.select("tree", "k").distinct().count() > drawn.select("k").distinct().count()
 
 
 def test_path_constant():
@@ -87,7 +87,9 @@ def _series(spark):
 def test_ensemble(spark):
     df = _series(spark)
     out = trees.ensemble_forecast(df, PanelSpec(), horizon=3, trees=5, depth=5)
-    table = {(r.country, r.year, r.model): r.predicted for r in out.collect()}
+    past = out.where("type = 'historical'")
+    assert past.count() == 40 and past.where("model = 'historical' and year < 2010").count() == 40
+    table = {(r.country, r.year, r.model): r.predicted for r in out.where("type = 'forecast'").collect()}
     assert {k[0] for k in table} == {"up", "down"} and {k[1] for k in table} == {2010, 2011, 2012}
     for key in ("up", "down"):
         for year in (2010, 2011, 2012):

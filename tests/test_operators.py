@@ -182,3 +182,44 @@ def test_correlation_and_shares(spark):
     corr = _by(stats.corr_matrix(df, ["a", "b", "c"]), "a", "b", "corr")
     assert corr["a", "b"] == corr["b", "a"] == pytest.approx(1.0) and corr["a", "c"] is None and corr["c", "c"] is None
     assert _by(stats.missing_share(df, ["a", "c"]), "column", "share") == {("a",): 0.0, ("c",): pytest.approx(2 / 3)}
+
+
+def test_latest_rows_are_limited_before_the_shuffle(spark):
+    from panelloom.operators import windows
+    from panels import SPEC, panel
+
+    rows = panel(spark)
+    latest = windows.latest_per_key(rows, SPEC)
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
+    want = {}
+    for r in rows.collect():
+        if r.country not in want or r.year > want[r.country].year:
+            want[r.country] = r
+    assert {r.country: r.year for r in latest.collect()} == {k: r.year for k, r in want.items()}
+
+
+def test_nan_is_null_at_every_source(spark, tmp_path):
+    from panelloom.sources import tabular
+
+    df = spark.createDataFrame([("a", float("nan"), 1), ("b", 2.0, 2)], "Country string, co2 double, year int")
+    df.write.parquet(str(tmp_path / "p"))
+    df.write.orc(str(tmp_path / "o"))
+    for kind, path in (("parquet", "p"), ("orc", "o")):
+        got = tabular.scan_panel(spark, str(tmp_path / path), kind)
+        assert sorted((r.country, r.co2) for r in got.collect()) == [("a", None), ("b", 2.0)]
+
+
+def test_staged_tables_are_reused_by_input_state(spark, tmp_path):
+    from panelloom.sources import storage
+
+    built, source = [], str(tmp_path / "t")
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    spark.range(3).write.parquet(source)
+    assert [storage.reused(spark, "three", [source], build).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    spark.range(4).write.mode("overwrite").parquet(source)
+    assert storage.reused(spark, "three", [source], build).count() == 4 and len(built) == 2
