@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelloom.functions.exprs import score_severity, unit_hash
+from panelloom.functions.exprs import score_severity
 from panelloom.operators.derive import scale_apply, scale_fit
 from panelloom.operators.quantiles import quantile_row
 from panelloom.sources.storage import stage
@@ -43,6 +44,11 @@ def path_constant(n):
     return np.where(n > 2, out, np.where(n == 2, 1.0, 0.0))
 
 
+def _digest(*parts: Column) -> Column:
+    """md5 of the parts' texts: any engine draws the same rows."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
 def draw(df: DataFrame, identity: list[str], trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, order) rows: ``sample`` rows for every tree (all, if there are fewer), chosen by row hash.
 
@@ -53,23 +59,26 @@ def draw(df: DataFrame, identity: list[str], trees: int, sample: int, seed: int)
     ids = [F.col(c) for c in identity]
     pool = POOL * sample
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    u = unit_hash(*ids, F.lit(seed))
+    u = F.conv(F.substring(_digest(*ids, F.lit(seed)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     few = df.where(u < F.lit(2.0 * pool) / total).orderBy(u, *ids).limit(pool)
     rows = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = F.xxhash64(*ids, F.lit(seed), F.col("tree"))
+    order = _digest(*ids, F.lit(seed), F.col("tree"))
     w = Window.partitionBy("tree").orderBy(order, *ids)
     return rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= sample)
 
 
 def _grow(seed: int, columns: list[str], limit: int):
-    """Grow one tree from its sample: at most ``sample`` rows per group."""
+    """Grow one tree from its sample: at most ``sample`` rows per group.
+
+    A node's place is 1 at the root, 2n and 2n + 1 below place n; its feature and cut
+    follow from the md5 of seed, tree and place, so the forest can be stated in SQL.
+    """
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
         x = rows.sort_values("_draw")[columns].to_numpy(dtype="float64")
-        rng = np.random.default_rng([seed, tree])
-        nodes, pending = [], [(x, 0, -1, "")]
+        nodes, pending = [], [(x, 0, 1, -1, "")]
         while pending:
-            part, depth, parent, side = pending.pop()
+            part, depth, place, parent, side = pending.pop()
             number = len(nodes)
             if parent >= 0:
                 nodes[parent][side] = number
@@ -79,15 +88,16 @@ def _grow(seed: int, columns: list[str], limit: int):
             spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
             if depth >= limit or len(spread) == 0:
                 continue
-            feature = int(rng.choice(spread))
+            digits = hashlib.md5(f"{seed}|{tree}|{place}".encode()).hexdigest()
+            feature = int(spread[int(digits[:8], 16) % len(spread)])
             column = part[:, feature]
-            cut = float(rng.uniform(column.min(), column.max()))
+            cut = float(column.min() + (int(digits[8:16], 16) + 0.5) / 2 ** 32 * (column.max() - column.min()))
             goes_left = column <= cut
             if goes_left.all():
                 continue
             node["feature"], node["threshold"] = feature, cut
-            pending.append((part[~goes_left], depth + 1, number, "right"))
-            pending.append((part[goes_left], depth + 1, number, "left"))
+            pending.append((part[~goes_left], depth + 1, 2 * place + 1, number, "right"))
+            pending.append((part[goes_left], depth + 1, 2 * place, number, "left"))
         return pd.DataFrame(nodes)
     return grow
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from panelloom.functions.exprs import score_severity
 from panelloom.operators import forecast, isolation, ordering, sequences, trees, windows
 from panelloom.plans import fixtures, views
-from panelloom.plans.oracle import cols, dec, sql
-from panelloom.plans.registry import KEY, KEYS, SPEC, features, query, show
+from panelloom.plans.oracle import cols, dec, forest_blocks, sql
+from panelloom.plans.registry import KEY, KEYS, SPEC, SQL_KEYS, features, query, show
 from panelloom.plans.scores import scored_table
 from panelloom.plans.tables import _SEV, _SEVS, _with_severity
 from panelloom.sources import models, storage
+from panelloom.spec import ANOMALY_FEATURES
 
 KT = ["country", "year"]
 
@@ -22,7 +23,13 @@ def isolation_model(rows):
 
 # --- anomalies -----------------------------------------------------------
 
-@query("iforest_fit")
+_FOREST = forest_blocks("feat", ANOMALY_FEATURES, isolation.TREES, isolation.SAMPLE, isolation.SEED)
+_FLAGGED = f"""SELECT feat.*, if_score, if_score < cut AS is_anomaly, CASE WHEN if_score < cut THEN -1 ELSE 1 END AS if_flag,
+   {_SEV} AS severity FROM feat JOIN fscore USING (country, year), fcut"""
+
+
+@query("iforest_fit", sql("""SELECT CAST(tree AS INT) AS tree, count(*) AS nodes, CAST(max(depth) AS INT) AS depth,
+   CAST(sum(n) FILTER (leaf) AS BIGINT) AS rows FROM fnodes GROUP BY tree""", "feat", **_FOREST))
 def iforest_fit(spark, sf):
     model = isolation_model(features(spark, sf))
     return (model.nodes.groupBy("tree")
@@ -30,25 +37,21 @@ def iforest_fit(spark, sf):
                  F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("rows")))
 
 
-@query("iforest_score")
+@query("iforest_score", sql("SELECT country, year, round(if_score, 6) AS if_score FROM fscore", "feat", **_FOREST))
 def iforest_score(spark, sf):
     rows = features(spark, sf)
     return isolation.iforest_score(rows, isolation_model(rows)).select(*KT, F.round("if_score", 6).alias("if_score"))
 
 
-@query("iforest_flag", sql(
-    """SELECT count(*) AS rows, count(*) - 1 - CAST(floor((count(*) - 1) * 0.05E0) AS BIGINT) AS kept_at_most,
-              true AS share_holds FROM feat""", "feat"))
+@query("iforest_flag", sql(f"SELECT country, year, is_anomaly FROM ({_FLAGGED})", "feat", **_FOREST))
 def iforest_flag(spark, sf):
-    """Flags of the training rows: as many as the cut-off quantile allows."""
+    """Flags of the training rows: those below the cut-off quantile of their scores."""
     rows = features(spark, sf)
-    flagged = isolation.detect_global(rows, isolation_model(rows))
-    n, low = F.count(F.lit(1)), F.floor((F.count(F.lit(1)) - 1) * 0.05)
-    share = F.count_if("is_anomaly").between(low - 1, low + 1) & (F.min("if_score") >= -1) & (F.max("if_score") < 0)
-    return flagged.agg(n.alias("rows"), (n - 1 - low).cast("bigint").alias("kept_at_most"), share.alias("share_holds"))
+    return isolation.detect_global(rows, isolation_model(rows)).select(*KT, "is_anomaly")
 
 
-@query("detect_global")
+@query("detect_global", sql(f"""SELECT country, year, round(if_score, 6) AS if_score, if_flag, is_anomaly, severity
+   FROM ({_FLAGGED}) WHERE year >= 1995""", "feat", **_FOREST))
 def detect_global(spark, sf):
     rows = features(spark, sf)
     out = isolation.detect_global(rows.where("year >= 1995"), isolation_model(rows))
@@ -106,7 +109,17 @@ def sequence_error(spark, sf):
     return out.select(*KT, F.round("lstm_error", 5).alias("lstm_error"), "lstm_anomaly")
 
 
-@query("view_anomaly")
+_ORDER = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+
+
+@query("view_anomaly", sql(
+    f"""SELECT 'row' AS part, country, year, severity, CASE WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS text,
+          round(greatest(-if_score, 0.01E0), 6) AS value FROM shown WHERE country IN ({SQL_KEYS})
+        UNION ALL SELECT 'alert', country, year, upper(severity), concat(printf('%.2f', {dec('coalesce(co2, 0)', 2)}), ' ',
+          printf('%.3f', {dec('if_score', 3)})), NULL FROM (SELECT * FROM shown WHERE is_anomaly ORDER BY {_ORDER}, country, year LIMIT 15)
+        UNION ALL SELECT 'count', NULL, NULL, s, NULL, CAST((SELECT count(*) FROM shown WHERE is_anomaly AND (severity = s OR s = 'total')) AS DOUBLE)
+          FROM (SELECT unnest(['critical', 'high', 'medium', 'total']) AS s)""",
+    "feat", **_FOREST, shown=f"SELECT * FROM ({_FLAGGED}) WHERE year BETWEEN 1990 AND 2007"))
 def view_anomaly(spark, sf):
     """The rows of the keys shown, the first alerts, and the counts, tagged."""
     rows = features(spark, sf)

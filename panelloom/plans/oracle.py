@@ -227,10 +227,45 @@ def sql(select: str, *blocks: str, **extra: str) -> str:
 
     for b in blocks:
         add(b)
-    parts = [f"{b} AS ({CTES[b].strip()})" for b in order] + [f"{n} AS ({t})" for n, t in extra.items()]
+    parts = [f"{b} AS ({CTES[b].strip()})" for b in order] + [f"{n} AS MATERIALIZED ({t})" for n, t in extra.items()]
     return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + select
 
 
+def forest_blocks(source: str, columns, trees: int, sample: int, seed: int) -> dict[str, str]:
+    """Blocks that draw, grow and score an isolation forest level by level; scaling a feature doesn't change it."""
+    xs = ", ".join(f"x{i}" for i in range(len(columns)))
+    deep = (sample - 1).bit_length()
+    mean = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329E0) - 2.0E0 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0E0 ELSE 0.0E0 END"
+    pick = lambda kind: "CASE feature " + " ".join(f"WHEN {i} THEN {kind}{i}" for i in range(len(columns))) + " END"
+    number = lambda at: f"CAST(concat('0x', substr(digits, {at}, 8)) AS BIGINT)"
+    out = {
+        "fx": "SELECT country, year, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS x{i}" for i, c in enumerate(columns)) + f" FROM {source}",
+        "fs0": f"""SELECT tree, 1 AS node, {xs} FROM (SELECT fx.*, tree, row_number() OVER (PARTITION BY tree
+            ORDER BY md5(concat_ws('|', country, year, {seed}, tree)), country, year) AS k FROM fx, range(0, {trees}) g(tree)) WHERE k <= {sample}""",
+        "fw0": f"SELECT country, year, tree, 1 AS node, {xs} FROM fx, range(0, {trees}) g(tree)"}
+    nodes, paths = [], []
+    for d in range(deep + 1):
+        ends = ", ".join(f"min(x{i}) AS l{i}, max(x{i}) AS h{i}" for i in range(len(columns)))
+        out[f"ft{d}"] = f"SELECT tree, node, count(*) AS n, {ends} FROM fs{d} GROUP BY tree, node"
+        spread = "list_concat(" * (len(columns) - 1) + ", ".join(
+            f"CASE WHEN h{i} > l{i} THEN [{i}] ELSE [] END" + (")" if i else "") for i in range(len(columns)))
+        out[f"fc{d}"] = f"""SELECT *, {pick('l')} + ({number(9)} + 0.5E0) / 4294967296.0E0 * ({pick('h')} - {pick('l')}) AS cut FROM (
+            SELECT *, spread[{number(1)} % len(spread) + 1] AS feature FROM (
+              SELECT *, {spread} AS spread, md5(concat_ws('|', {seed}, tree, node)) AS digits FROM ft{d})
+            WHERE n > 1 AND len(spread) > 0 AND {d} < {deep})"""
+        nodes.append(f"SELECT t.tree, {d} AS depth, t.n, c.node IS NULL AS leaf FROM ft{d} t LEFT JOIN fc{d} c USING (tree, node)")
+        paths.append(f"""SELECT w.country, w.year, {d} + {mean('t.n')} AS path FROM fw{d} w JOIN ft{d} t USING (tree, node)
+            LEFT JOIN fc{d} c USING (tree, node) WHERE c.cut IS NULL""")
+        if d < deep:
+            below = f"2 * c.node + CASE WHEN {pick('x')} <= cut THEN 0 ELSE 1 END AS node"
+            out[f"fs{d + 1}"] = f"SELECT a.tree, {below}, {xs} FROM fs{d} a JOIN fc{d} c ON a.tree = c.tree AND a.node = c.node"
+            out[f"fw{d + 1}"] = f"SELECT country, year, a.tree, {below}, {xs} FROM fw{d} a JOIN fc{d} c ON a.tree = c.tree AND a.node = c.node"
+    out["fnodes"] = " UNION ALL ".join(nodes)
+    out["fscore"] = f"SELECT country, year, -pow(2.0E0, -avg(path) / ({mean(float(sample))})) AS if_score FROM ({' UNION ALL '.join(paths)}) GROUP BY country, year"
+    out["fcut"] = "SELECT quantile_cont(if_score, 0.05) AS cut FROM fscore"
+    return out
+
+
 def confidence_smoke() -> str:
     return ("round(CASE WHEN laplacian_var < 100 THEN 0.35E0 ELSE 0 END + CASE WHEN smoke_ratio > 0.3 THEN 0.40E0 ELSE 0 END"
             " + CASE WHEN gray_std < 38.25 THEN 0.25E0 ELSE 0 END, 6)")
