@@ -184,7 +184,9 @@ def view_map(spark, sf):
     return views.map_view(rows, scored_table(rows), SPEC).select("side", "country", "iso_code", SCORE)
 
 
-@query("view_leaderboard", sql(histogram_sql("board", SCORE, 30), "board"))
+@query("view_leaderboard", sql(
+    f"""SELECT 'board' AS part, rank AS position, country, grade, {SCORE} AS value FROM board
+        UNION ALL SELECT 'histogram', bin, NULL, NULL, CAST(n AS DOUBLE) FROM ({histogram_sql("board", SCORE, 30)})""", "board"))
 def view_leaderboard(spark, sf):
     rows = features(spark, sf)
-    return views.leaderboard_view(rows, SPEC, scoring.indicator_fit(rows)).select("bin", "n")
+    return views.leaderboard_view(rows, SPEC, scoring.indicator_fit(rows))

@@ -76,10 +76,13 @@ def key_zscore(panel: DataFrame, spec: PanelSpec, key: str, threshold: float = 2
 
 def forecast_view(features: DataFrame, spec: PanelSpec, metric: str, horizon: int, key: str | None = None,
                   tree_count: int = 300, depth: int = 30) -> DataFrame:
-    """Ensemble and member forecasts, rounded for display."""
+    """History, ensemble and member forecasts, and the trend of the total over all keys, rounded for display."""
     metric = filters.metric_column(features, metric)
     rows = features if key is None else features.where(F.col(spec.key) == key)
-    return forecast.forecast_table(trees.ensemble_forecast(rows, spec, metric, horizon, tree_count, depth))
+    total = forecast.global_trend(features, spec, metric, horizon).select(
+        F.lit("all").alias(spec.key), spec.time, F.col(metric).alias("predicted"), F.lit("global").alias("model"), "type")
+    found = trees.ensemble_forecast(rows, spec, metric, horizon, tree_count, depth)
+    return forecast.forecast_table(found.unionByName(total))
 
 
 def score_map(features: DataFrame, scored: DataFrame, spec: PanelSpec, metric: str = SCORE) -> DataFrame:
@@ -105,9 +108,14 @@ def map_view(features: DataFrame, scored: DataFrame, spec: PanelSpec, n: int = 1
 
 
 def leaderboard_view(features: DataFrame, spec: PanelSpec, bounds: DataFrame, bins: int = 30) -> DataFrame:
-    """Score histogram over the leaderboard of the unfiltered table."""
+    """(part, position, key, grade, value): the board of the unfiltered table and the histogram of its scores."""
     scored = scoring.score_panel(features, spec, bounds, breakdown=False)
-    return scoring.score_histogram(stage(scoring.leaderboard(scored, spec), "board"), bins)
+    board = stage(scoring.leaderboard(scored, spec), "board")
+    rows = board.select(F.lit("board").alias("part"), F.col("rank").alias("position"), spec.key, "grade", F.col(SCORE).alias("value"))
+    bars = scoring.score_histogram(board, bins).select(
+        F.lit("histogram").alias("part"), F.col("bin").alias("position"), F.lit(None).cast("string").alias(spec.key),
+        F.lit(None).cast("string").alias("grade"), F.col("n").cast("double").alias("value"))
+    return rows.unionByName(bars)
 
 
 def global_trend_view(panel: DataFrame, spec: PanelSpec, target: str = "co2", start: int = 1900) -> DataFrame:
