@@ -24,12 +24,13 @@ import io
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.llm.batches import Bounded, raw, slices
+from panelloom.llm.batches import raw, slices, small_batches
 from panelloom.sources.storage import stage
 
 STATES = 8
@@ -39,7 +40,7 @@ CLASSES = 1024
 FREQUENT = 1 << 16
 START_TEXTS = 2000
 START_ITERATIONS = 12
-COUNTED_AT_ONCE = 400_000
+COUNTED_AT_ONCE = 300_000
 ABREAST = 200_000
 END = OWN + CLASSES
 SYMBOLS = END + 1
@@ -83,14 +84,6 @@ class Vocabulary:
     own: dict[bytes, int]  # symbols of the most frequent
     sizes: np.ndarray  # log10 of each class's count and words, plus one
 
-    def symbol_of(self):
-        return Bounded(lambda word: OWN + spelled(word)) if not self.own else _Symbols(self.own)
-
-
-class _Symbols(Bounded):
-    def __init__(self, own):
-        super().__init__(lambda word: own[word] if word in own else OWN + spelled(word))
-
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """Summaries of the counts: bounded numbers of rows reach the driver."""
@@ -118,34 +111,42 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
 
 
 def observe(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """Symbols of every whole text, sums over its frequent words, and its other words with their numbers."""
+    """Symbols of every whole text, sums over its frequent words, and its other words as often as they occur."""
     def run(batches):
-        symbol, counts = known.symbol_of(), known.counts
+        ordered = sorted(known.counts, key=lambda w: (-known.counts[w], w))  # the first OWN are symbols of their own
+        place = {w: i for i, w in enumerate(ordered)}
+        logs = np.log10(np.array([known.counts[w] for w in ordered], float) + 1)
+        symbols = np.array([i if i < OWN else OWN + spelled(w) for i, w in enumerate(ordered)], np.uint16)
         end = np.log10(known.texts + 1)
         for batch in slices(batches, "text"):
-            out = {k: [] for k in ("n_tokens", "n_known", "all_log", "own_log", "class_log", "symbols", "words", "times")}
-            for text in raw(batch, "text"):
-                words = tokens(text)
-                seq = np.array([*map(symbol.__getitem__, words), END], np.uint16)
-                each = Counter(words)
-                freq = [(w, m, counts[w]) for w, m in each.items() if w in counts]
-                rest = [(w, m) for w, m in each.items() if w not in counts]
-                logs = [m * np.log10(c + 1) for _, m, c in freq] if len(freq) < 8 else (
-                    np.array([m for _, m, _ in freq]) * np.log10(np.array([c for *_, c in freq]) + 1.0)).tolist()
-                out["n_tokens"].append(len(seq))
-                out["n_known"].append(sum(m for _, m, _ in freq) + (known.texts > 0))
-                out["all_log"].append(sum(logs) + end)
-                out["own_log"].append(sum(x for x, (w, _, _) in zip(logs, freq) if w in known.own) + end)
-                out["class_log"].append(float(known.sizes[seq[(seq >= OWN) & (seq < END)] - OWN].sum()))
-                out["symbols"].append(seq.astype("<u2").tobytes())
-                out["words"].append([w for w, _ in rest])
-                out["times"].append([m for _, m in rest])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(v, t) for v, t in zip(out.values(), kinds))],
-                                             ["doc_id", "held_out", *out])
+            texts = [tokens(t) for t in raw(batch, "text")]
+            flat = [w for t in texts for w in t]
+            ends = np.cumsum([len(t) for t in texts])
+            at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+            doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+            rare = np.flatnonzero(at < 0)
+            rest = [flat[i] for i in rare.tolist()]
+            classes = {w: OWN + spelled(w) for w in set(rest)}
+            seen = np.empty(len(flat), np.uint16)
+            seen[at >= 0] = symbols[at[at >= 0]]
+            seen[rare] = np.fromiter(map(classes.__getitem__, rest), np.uint16, len(rest))
+
+            def sums(some, values):
+                return np.bincount(doc[some], values, len(texts))
+
+            frequent, own, shared = at >= 0, (at >= 0) & (at < OWN), seen >= OWN
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(texts)))])
+            yield pa.RecordBatch.from_arrays([
+                batch["doc_id"], batch["held_out"], pa.array(np.diff(ends, prepend=0) + 1, pa.int64()),
+                pa.array(np.bincount(doc[frequent], minlength=len(texts)) + (known.texts > 0), pa.int64()),
+                pa.array(sums(frequent, logs[at[frequent]]) + end), pa.array(sums(own, logs[at[own]]) + end),
+                pa.array(sums(shared, known.sizes[seen[shared] - OWN])),
+                pa.array([np.append(x, END).astype("<u2").tobytes() for x in np.split(seen, ends[:-1])], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest, pa.binary()))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "all_log", "own_log", "class_log", "symbols", "words"])
 
     seen = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, all_log double, own_log double, "
-                                "class_log double, symbols binary, words array<binary>, times array<long>")
+                                "class_log double, symbols binary, words array<binary>")
     return seen.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -280,7 +281,7 @@ def train(observed: DataFrame, states: int = STATES, iterations: int = ITERATION
 
 def likelihood(observed: DataFrame, model: Model) -> DataFrame:
     """Adds `symbol_log`, the log10 likelihood of the symbols."""
-    kept = [c for c in observed.columns if c not in ("symbols", "words", "times")]
+    kept = [c for c in observed.columns if c not in ("symbols", "words")]
 
     def run(batches):
         for batch in slices(batches, "symbols"):
@@ -297,16 +298,15 @@ def score(docs: DataFrame, held_out, states: int = STATES, iterations: int = ITE
     """Base and model scores of every whole text; `held_out` is a boolean column on doc_id."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     body = body.withColumn("held_out", held_out)
-    learned = body.filter(~F.col("held_out"))
+    learned = small_batches(body).filter(~F.col("held_out"))
     counts = stage(count_words(learned), "words")
     known = vocabulary(counts, learned.count())
     observed = stage(observe(body, known), "symbols")
     model = train(observed, states, iterations)
 
-    rest = observed.select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    rest = rest.select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rest = observed.select("row", F.explode("words").alias("word"))
     sums = rest.join(counts, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_log"), F.sum("times").alias("rest_known"))
+        F.sum(F.log10(F.col("n") + 1)).alias("rest_log"), F.count(F.lit(1)).alias("rest_known"))
     full = likelihood(observed, model).join(sums, "row", "left")
     rest_log = F.coalesce("rest_log", F.lit(0.0))
     unit = float(np.log10(known.train_tokens + known.distinct + 1))
