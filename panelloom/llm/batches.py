@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 
 
+BATCH_BYTES = 8 << 20
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after the session's Arrow batches are held to `BATCH_BYTES`: texts are long, and a batch is
+    in memory several times. Only memory depends on it."""
+    session = df.sparkSession
+    if int(session.conf.get(SETTING).rstrip("b")) > BATCH_BYTES:
+        session.conf.set(SETTING, str(BATCH_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece take about `size` bytes (one row at least)."""
     for batch in batches:
@@ -17,11 +33,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         start = used = 0
         for at, n in enumerate(lengths.to_pylist()):
             if used and used + (n or 0) > size:
+                _USED[0] = time.monotonic()
                 yield batch.slice(start, at - start)
                 start, used = at, 0
             used += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+        _USED[0] = time.monotonic()
 
 
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -29,6 +47,33 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch[column].cast(pa.binary()).to_pylist()]
 
 
+IDLE_SECONDS = 4.0
+_KEPT: dict = {}
+_USED = [0.0]
+
+
+def kept(key: tuple, make):
+    """One object that a worker keeps from task to task, until it has had no task for some seconds."""
+    _USED[0] = time.monotonic()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+        threading.Thread(target=_drop_idle, daemon=True).start()
+    return _KEPT[key]
+
+
+def _drop_idle() -> None:
+    while _KEPT:
+        time.sleep(IDLE_SECONDS / 4)
+        if time.monotonic() - _USED[0] > IDLE_SECONDS:
+            _KEPT.clear()
+
+
+def forget() -> None:
+    """Drop what an operator before this one has kept in the worker."""
+    _KEPT.clear()
+
+
 class Bounded(dict):
     """A cache that starts anew when it holds `limit` entries; it only saves time."""
 

@@ -7,8 +7,10 @@ suffix that starts at an anchor stands for the strings whose anchor it is; its e
 the text from the first of them to the end of the last.
 
 1. The grams at anchors are counted; those found twice or more set a bit in a map of fixed
-   size. A full map only lets more entries through: results don't depend on it.
-2. Entries whose bit is set go to buckets, by splitters sampled from the leading bytes of
+   size. A full map only lets more entries through: results don't depend on it. Entries
+   whose bit is set are merged by a hash of their text: of equal ones, all but the first
+   are repeats as a whole. Grams that two different entries share make the next map.
+2. Entries of those grams go to buckets, by splitters sampled from the leading bytes of
    the suffixes. Bytes that are so common that several splitters are equal get a bucket of
    their own, dealt over as many parts. Equal entries of a task are merged before.
 3. Buckets sort locally by multikey quicksort: eight bytes at a time, going on only
@@ -17,7 +19,8 @@ the text from the first of them to the end of the last.
 4. Parts of one bucket compare across their boundaries: the first of each of their strings
    meet by hash.
 
-Strings are compared as two 64-bit hashes, entries byte by byte.
+Strings are compared as two 64-bit hashes, entries in the merge as hashes of gram and
+text (128 bits), in the buckets byte by byte.
 
 Defined cases: null is the empty text; matches never cross documents; a null identifier
 comes last; rows with equal identifier and text are one document and get one result each.
@@ -31,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.llm.batches import raw, slices
+from panelloom.llm.batches import forget, raw, slices, small_batches
 from panelloom.llm.words import _BYTE, _MIX, stirred
 from panelloom.sources.storage import stage
 
@@ -41,8 +45,12 @@ LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1  # grams in a string
 MAP_BITS = 27
 PLACE_BITS = 24
-SLICE = 1 << 20
-BUCKET_BYTES = 12 << 20
+SLICE = 1 << 18
+SENT_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+MAPPED_BYTES = 16 << 20
+ROWS_AT_ONCE = 4096
+MERGED_AT_ONCE = 100_000
 SAMPLED_DOCUMENTS, SAMPLED_EACH = 8000, 64
 LEAD = 16
 LAST_ID = (1 << 63) - 1  # a null identifier within tasks
@@ -53,24 +61,23 @@ _ODD = _MIX[2]
 
 def rolled(values: np.ndarray, width: int, odd: np.uint64) -> np.ndarray:
     """Polynomial hash of each run of `width` values, put together from runs of powers of two."""
-    runs, size, factor = {1: values}, 1, odd
-    factors = {1: odd}
-    while size * 2 <= width:
-        x = runs[size]
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    out, done, size, factor = None, width, 1, odd
+    while True:
+        if width & size:  # the shortest runs stand last
+            done -= size
+            part = values[done:done + n]
+            out = part if out is None else part * scale + out
+            with np.errstate(over="ignore"):
+                scale = factor if out is part else scale * factor
+        if 2 * size > width:
+            return out
+        values = values[:-size] * factor + values[size:]
         with np.errstate(over="ignore"):
-            runs[2 * size] = x[:-size] * factors[size] + x[size:] if len(x) > size else x[:0]
-            factors[2 * size] = factors[size] * factors[size]
+            factor = factor * factor
         size *= 2
-    out, done, rest = None, 0, width
-    for size in sorted(runs, reverse=True):
-        if rest & size:
-            n = len(values) - width + 1
-            if n <= 0:
-                return values[:0]
-            part = runs[size][done:done + n]
-            out = part if out is None else out * factors[size] + part
-            done += size
-    return out
 
 
 def least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -109,6 +116,7 @@ class Anchors:
 
 def pieces(batches: Iterator[pa.RecordBatch]):
     """(identifiers, names, offsets, texts) of bounded size; a text beyond that comes in overlapping pieces."""
+    forget()
     for batch in slices(batches, "text", SLICE):
         ids = [LAST_ID if x is None else x for x in batch["doc_id"].to_pylist()]
         rows = zip(ids, batch["name"].to_pylist(), raw(batch, "text"))
@@ -128,7 +136,7 @@ def spans(data: np.ndarray, first: np.ndarray, till: np.ndarray) -> np.ndarray:
 def fingerprints(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each of the strings that lie end to end in the data."""
     starts = np.cumsum(size) - size
-    place = np.arange(len(data)) - np.repeat(starts, size)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
     powers = np.multiply.accumulate(np.full(int(size.max(initial=1)), _MIX[3], np.uint64))
     return stirred(np.add.reduceat(_BYTE_CASED[data] * powers[place], starts) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
 
@@ -136,38 +144,52 @@ def fingerprints(data: np.ndarray, size: np.ndarray) -> np.ndarray:
 _BYTE_CASED = stirred(_BYTE + np.arange(256, dtype=np.uint64))  # tells capitals apart
 
 
-def _repeated(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Bit map of the grams found at two anchors or more: 2^MAP_BITS bits, whatever the input."""
-    shift = 64 - MAP_BITS
+def _bit_map(hashes: DataFrame, twice: bool) -> np.ndarray:
+    """Bits of the hashes (all, or those found twice) in a map of 2^MAP_BITS bits, whatever the input.
 
-    def send(batches):
-        for *_, texts in pieces(batches):
-            gram, n = np.unique(Anchors(list(texts)).gram, return_counts=True)
-            gram = np.repeat(gram, np.minimum(n, 2))
-            if len(gram):
-                bucket = (gram >> np.uint64(shift)).astype(np.int64) * buckets >> MAP_BITS
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                yield pa.RecordBatch.from_pydict({"bucket": bucket[np.concatenate([[0], cuts])],
-                                                  "data": [x.tobytes() for x in np.split(gram, cuts)]})
+    hashes: bucket, data (64-bit hashes packed); equal hashes must have equal buckets.
+    """
+    shift = 64 - MAP_BITS
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        gram, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in part["data"]]), return_counts=True)
-        at = np.unique(gram[n > 1] >> np.uint64(shift)).astype(np.int64)
-        bits = np.zeros(((1 << MAP_BITS) // buckets >> 3) + 2, np.uint8)
+        found, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in part["data"]]), return_counts=True)
+        at = np.unique(found[n > twice] >> np.uint64(shift)).astype(np.int64)
         low = int(at[0] >> 3) if len(at) else 0
+        bits = np.zeros(int(at[-1] >> 3) - low + 1 if len(at) else 0, np.uint8)
         np.bitwise_or.at(bits, (at >> 3) - low, np.uint8(1) << (at & 7).astype(np.uint8))
-        return pd.DataFrame({"low": [low], "bits": [bits[:int(at[-1] >> 3) - low + 1].tobytes() if len(at) else b""]})
+        return pd.DataFrame({"low": [low], "bits": [bits.tobytes()]})
 
-    sent = docs.mapInArrow(send, "bucket long, data binary").groupBy("bucket").applyInPandas(count, "low long, bits binary")
     out = np.zeros((1 << MAP_BITS) >> 3, np.uint8)
-    for low, bits in sent.collect():  # the map, in one piece for each bucket
+    for low, bits in hashes.groupBy("bucket").applyInPandas(count, "low long, bits binary").collect():  # the map, in pieces
         out[low:low + len(bits)] |= np.frombuffer(bits, np.uint8)
     return out
 
 
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted hashes in ranges of the map."""
+    bucket = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64) * buckets >> MAP_BITS
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    return pa.RecordBatch.from_pydict({"bucket": bucket[np.concatenate([[0], cuts])], "data": [x.tobytes() for x in np.split(hashes, cuts)]})
+
+
+def _repeated(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Bit map of the grams found at two anchors or more."""
+    def send(batches):
+        for *_, texts in pieces(batches):
+            gram, n = np.unique(Anchors(list(texts)).gram, return_counts=True)
+            if len(gram):
+                yield _by_bucket(np.repeat(gram, np.minimum(n, 2)), buckets)
+
+    return _bit_map(docs.mapInArrow(send, "bucket long, data binary"), True)
+
+
 def _marked(anchors: Anchors, bits: np.ndarray) -> np.ndarray:
-    at = (anchors.gram >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+    return np.flatnonzero(_in_map(bits, anchors.gram))
 
 
 def _leads(anchors: Anchors, some: np.ndarray) -> np.ndarray:
@@ -216,55 +238,128 @@ def _merged(ids, names, first, till) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids[start], "name": names[start], "first": first[start], "till": reach[end]})
 
 
+def _entries(piece, bits: np.ndarray) -> dict[str, np.ndarray]:
+    """Entries of one piece whose gram is in the map, with their bytes end to end."""
+    ids, names, offsets, texts = piece
+    anchors = Anchors(list(texts))
+    some = _marked(anchors, bits)
+    number, at, first, till = anchors.number[some], anchors.at[some], anchors.first[some], anchors.last[some] + LENGTH
+    shift = np.array(offsets, np.int64)[number] - anchors.begins[number]
+    data = spans(anchors.data, first, till)
+    return {"doc": np.array(ids, np.int64)[number], "name": np.array(names, np.int64)[number], "at": at + shift,
+            "left": at - first, "right": till - at, "lead": _leads(anchors, some) if len(some) else np.zeros(0, f"S{LEAD}"),
+            "mark": fingerprints(data, till - first), "gram": anchors.gram[some], "data": data}
+
+
+def _packed(held: list[dict], splitters: np.ndarray, drawn: np.ndarray) -> pa.RecordBatch:
+    """Entries by bucket and part. Equal entries of one task are merged: the ranges of all but the first are settled
+    already, and go along in buckets below zero."""
+    doc, name, at, left, right, lead, mark, _, data = (np.concatenate([h[c] for h in held]) for c in held[0])
+    size = left + right
+    begin = np.cumsum(size) - size
+    order = np.lexsort((at, name, doc, left, size, mark))
+    alike = np.all([x[order][1:] == x[order][:-1] for x in (mark, size, left)], axis=0)
+    again = order[np.concatenate([[False], alike])]
+    here = np.delete(np.arange(len(doc)), again)
+    done = _merged(doc[again], name[again], at[again] - left[again], at[again] + right[again])
+
+    place = np.searchsorted(splitters, lead[here])
+    inside = np.minimum(place, max(len(splitters) - 1, 0))
+    hit = splitters[inside] == lead[here] if len(splitters) else np.zeros(len(here), bool)
+    parts = np.where(hit, drawn[inside], 1) if len(splitters) else np.ones(len(here), np.int64)
+    bucket = 2 * place + hit
+    part = (stirred(doc[here].astype(np.uint64) + np.uint64(1)) % parts.astype(np.uint64)).astype(np.int64)
+    by = np.lexsort((part, bucket))
+    cuts = np.flatnonzero((np.diff(bucket[by]) != 0) | (np.diff(part[by]) != 0)) + 1
+    shrink = zstandard.ZstdCompressor(level=1).compress
+    rows = [(int(bucket[g[0]]), int(part[g[0]]), *(x[here[g]].tobytes() for x in (doc, name, at)),
+             *(x[here[g]].astype(np.uint8).tobytes() for x in (left, right)),
+             shrink(spans(data, begin[here[g]], begin[here[g]] + size[here[g]]).tobytes())) for g in np.split(by, cuts) if len(g)]
+    if len(done):
+        ids, names, first, till = (done[c].to_numpy(np.int64).tobytes() for c in ("doc_id", "name", "first", "till"))
+        rows.append((-1 - int(mark[again[0]] % np.uint64(64)), int(mark[again[0]] >> np.uint64(40)) % 64, ids, names, first, b"", b"", till))
+    kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)],
+                                      ["bucket", "part", "ids", "names", "at", "left", "right", "data"])
+
+
+EQUALS = ("gram", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("name", np.int64), ("at", np.int64), ("left", np.uint8), ("right", np.uint8)
+
+
+def _merge_equal(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the first entry of each run of equal ones, the others but for those of equal rows)."""
+    gram, mark, doc, name, at, left, right = columns
+    by = np.lexsort((at, name, doc, right, left, mark, gram))
+    new = np.concatenate([[True], np.any([x[by][1:] != x[by][:-1] for x in (gram, mark, left, right)], axis=0)])[:len(by)]
+    first = by[new][np.cumsum(new) - 1]
+    again = by[~new]
+    own = first[~new]
+    return by[new], again[(doc[again] != doc[own]) | (name[again] != name[own]) | (at[again] != at[own])]
+
+
+def _equal(docs: DataFrame, bits: np.ndarray, buckets: int, grams: int) -> DataFrame:
+    """Rows of two kinds: ranges of entries that equal an earlier one, and the grams of the different ones, packed."""
+    def flush(held):
+        columns = [np.concatenate([h[c] for h in held]) for c, _ in EQUALS]
+        first, again = _merge_equal(columns)
+        gram, mark, doc, name, at, left, right = columns
+        done = _merged(doc[again], name[again], (at - left)[again], (at + right)[again])
+        kinds = [x[first] for x in columns]
+        bucket = (stirred(kinds[0] + kinds[1]) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        groups = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
+        rows = [(int(bucket[g[0]]), *(x[g].astype(t).tobytes() for x, (_, t) in zip(kinds, EQUALS))) for g in groups if len(g)]
+        if len(done):
+            ids, names, start, till = (done[c].to_numpy(np.int64).tobytes() for c in ("doc_id", "name", "first", "till"))
+            rows.append((-1 - int(mark[again[0]] % np.uint64(buckets)), b"", till, ids, names, start, b"", b""))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *(pa.binary(),) * len(EQUALS)))],
+                                          ["bucket", *(c for c, _ in EQUALS)])
+
+    def send(batches):
+        held, size = [], 0
+        for piece in pieces(batches):
+            entries = _entries(piece, bits)
+            if len(entries["doc"]):
+                held.append({c: entries[c].astype(t) if c not in ("left", "right") else entries[c] for c, t in EQUALS})
+                size += len(entries["doc"])
+            if size > MERGED_AT_ONCE:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def merge(key, part):
+        column = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in part[c]])
+        if key[0] < 0:
+            return _merged(*(column(c, np.int64) for c in ("doc", "name", "at", "mark"))).assign(bucket=None, data=None)
+        columns = [column(c, t) for c, t in EQUALS]
+        columns[5:] = [x.astype(np.int64) for x in columns[5:]]
+        first, again = _merge_equal(columns)
+        gram, mark, doc, name, at, left, right = columns
+        out = _merged(doc[again], name[again], (at - left)[again], (at + right)[again]).assign(bucket=None, data=None)
+        found, n = np.unique(gram[first], return_counts=True)
+        packed = _by_bucket(np.repeat(found, np.minimum(n, 2)), grams).to_pandas()
+        return pd.concat([out, packed.assign(doc_id=None, name=None, first=None, till=None)[list(out.columns)]], ignore_index=True)
+
+    schema = "bucket long, " + ", ".join(f"{c} binary" for c, _ in EQUALS)
+    return docs.mapInArrow(send, schema).groupBy("bucket").applyInPandas(merge, COVERED)
+
+
 def _send(docs: DataFrame, bits: np.ndarray, splitters: np.ndarray, drawn: np.ndarray) -> DataFrame:
-    """Entries packed by bucket and part; within a slice the repeats of an equal entry are settled at once."""
     def run(batches):
-        for ids, names, offsets, texts in pieces(batches):
-            anchors = Anchors(list(texts))
-            some = _marked(anchors, bits)
-            if not len(some):
-                continue
-            number, at, first, till = anchors.number[some], anchors.at[some], anchors.first[some], anchors.last[some] + LENGTH
-            doc, name = np.array(ids, np.int64)[number], np.array(names, np.int64)[number]
-            shift = np.array(offsets, np.int64)[number] - anchors.begins[number]
-            data, size = spans(anchors.data, first, till), till - first
-            print_ = fingerprints(data, size)
-            order = np.lexsort((first + shift, name, doc, at - first, size, print_))
-            same = np.concatenate([[False], (print_[order][1:] == print_[order][:-1]) & (size[order][1:] == size[order][:-1])
-                                   & ((at - first)[order][1:] == (at - first)[order][:-1])])
-            again = order[same]
-            here = np.flatnonzero(~np.isin(np.arange(len(some)), again))
-            done = _merged(doc[again], name[again], (first + shift)[again], (till + shift)[again])
-            lead = _leads(anchors, some[here])
-            place = np.searchsorted(splitters, lead)
-            hit = np.zeros(len(lead), bool)
-            if len(splitters):
-                inside = np.minimum(place, len(splitters) - 1)
-                hit = splitters[inside] == lead
-                parts = np.where(hit, drawn[inside], 1)
-            else:
-                parts = np.ones(len(lead), np.int64)
-            bucket = 2 * place + hit
-            part = (stirred(doc[here].astype(np.uint64) + np.uint64(1)) % parts.astype(np.uint64)).astype(np.int64)
-            by = np.lexsort((part, bucket))
-            cuts = np.flatnonzero((np.diff(bucket[by]) != 0) | (np.diff(part[by]) != 0)) + 1
-            heads = by[np.concatenate([[0], cuts]).astype(np.int64)]
-            columns = {c: [] for c in ("ids", "names", "at", "left", "right", "data")}
-            for group in np.split(here[by], cuts):
-                columns["ids"].append(doc[group].tobytes())
-                columns["names"].append(name[group].tobytes())
-                columns["at"].append((at + shift)[group].tobytes())
-                columns["left"].append((at - first)[group].astype(np.uint8).tobytes())
-                columns["right"].append((till - at)[group].astype(np.uint8).tobytes())
-                columns["data"].append(spans(anchors.data, first[group], till[group]).tobytes())
-            n, m = len(heads), len(done)
-            none = lambda k: [None] * k
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array([*bucket[heads].tolist(), *none(m)], pa.int64()), "part": pa.array([*part[heads].tolist(), *none(m)], pa.int64()),
-                 **{c: pa.array([*v, *none(m)], pa.binary()) for c, v in columns.items()},
-                 **{c: pa.array([*none(n), *done[c].tolist()], pa.int64()) for c in ("doc_id", "name", "first", "till")}})
-
-    return docs.mapInArrow(run, ENTRIES + ", doc_id long, name long, first long, till long")
+        held, size = [], 0
+        for piece in pieces(batches):
+            entries = _entries(piece, bits)
+            if len(entries["doc"]):
+                held.append(entries)
+                size += len(entries["data"])
+            if size > SENT_BYTES:
+                yield _packed(held, splitters, drawn)
+                held, size = [], 0
+        if held:
+            yield _packed(held, splitters, drawn)
+
+    return docs.mapInArrow(run, ENTRIES)
 
 
 def multikey(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +385,17 @@ def _settle(part: pd.DataFrame, divided: bool):
     column = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in part[c]])
     doc, name, at = (column(c, np.int64) for c in ("ids", "names", "at"))
     left, right = (column(c, np.uint8).astype(np.int64) for c in ("left", "right"))
-    data, size = column("data", np.uint8), left + right
+    data, size = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, part["data"])), np.uint8), left + right
     begin = np.cumsum(size) - size
     # The suffix from the anchor on, then what stands before it, backwards; each padded, and the lengths.
     most = LENGTH + GRAMS
     rows = np.zeros((len(doc), -(-(most + GRAMS + 2) // 8) * 8), np.uint8)
-    for rows_at, start, length, step in ((0, begin + left, right, 1), (most, begin + left - 1, left, -1)):
-        who, place = np.repeat(np.arange(len(doc)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        rows[who, rows_at + place] = data[np.repeat(start, length) + step * place]
+    for at_row in range(0, len(doc), ROWS_AT_ONCE):
+        some, flat = slice(at_row, at_row + ROWS_AT_ONCE), rows[at_row:at_row + ROWS_AT_ONCE].ravel()
+        for column, start, length, step in ((0, begin + left, right, 1), (most, begin + left - 1, left, -1)):
+            start, length = start[some], length[some]
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            flat[np.repeat(rows.shape[1] * np.arange(len(start)) + column, length) + place] = data[np.repeat(start, length) + step * place]
     rows[:, most + GRAMS], rows[:, most + GRAMS + 1] = left, right
     order, tied = multikey(rows)
     run = np.empty(len(doc), np.int64)
@@ -357,14 +455,20 @@ def _later(one, two, doc, name, start):
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, name, first, till: the ranges of bytes to remove (doc_id is `LAST_ID` for null); docs: doc_id, text, name."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _repeated(docs, max(16, total // (64 << 20)))
+    total = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, total // MAPPED_BYTES)
+    merged = stage(_equal(docs, _repeated(docs, buckets), buckets, buckets), "merged")
+    equal = merged.filter("bucket is null").select("doc_id", "name", "first", "till")
+    bits = _bit_map(merged.filter("bucket is not null").select("bucket", "data"), True)
     splitters, drawn = _splitters(docs, bits, total)
     divided = {2 * i + 1 for i, n in enumerate(drawn.tolist()) if n > 1}
-    sent = stage(_send(docs, bits, splitters, drawn), "suffixes")
+    sent = _send(docs, bits, splitters, drawn)
     cross = max(16, len(divided))
 
     def settle(key, part):
+        if key[0] < 0:
+            column = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in part[c]])
+            return _merged(*map(column, ("ids", "names", "at", "data"))).assign(bucket=None, data=None)
         found, kept = _settle(part, key[0] in divided)
         out = found.assign(bucket=None, data=None)
         if kept is not None:
@@ -374,8 +478,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 out.loc[len(out)] = [None, None, None, None, b, packed]
         return out
 
-    settled = sent.filter("bucket is not null").select("bucket", "part", "ids", "names", "at", "left", "right", "data")
-    settled = stage(settled.groupBy("bucket", "part").applyInPandas(settle, COVERED), "settled")
+    settled = stage(sent.groupBy("bucket", "part").applyInPandas(settle, COVERED), "settled")
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in part["data"]])
@@ -385,7 +488,7 @@ def covered(docs: DataFrame) -> DataFrame:
     ranges = "doc_id long, name long, first long, till long"
     own = settled.filter("bucket is null").select("doc_id", "name", "first", "till")
     met = settled.filter("bucket is not null").select("bucket", "data").groupBy("bucket").applyInPandas(across, ranges)
-    return own.unionByName(met).unionByName(sent.filter("bucket is null").select("doc_id", "name", "first", "till"))
+    return own.unionByName(met).unionByName(equal)
 
 
 def _with_ranges(docs: DataFrame, doc_id: str, text: str, taken: list[str]) -> DataFrame:
@@ -394,8 +497,23 @@ def _with_ranges(docs: DataFrame, doc_id: str, text: str, taken: list[str]) -> D
                               taken[1]: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     narrow = keyed.select(F.col(taken[0]).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(taken[1]).alias("name"))
     found = covered(narrow).groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct("first", "till"))).alias(taken[2]))
-    found = found.withColumnsRenamed({"doc_id": taken[3], "name": taken[4]})
-    return keyed.join(found, (F.col(taken[0]) == F.col(taken[3])) & (F.col(taken[1]) == F.col(taken[4])), "left")
+    found = stage(found.withColumnsRenamed({"doc_id": taken[3], "name": taken[4]}), "ranges")
+
+    # Documents whose name isn't in the map of those with ranges need no shuffle.
+    def send(batches):
+        for batch in batches:
+            yield _by_bucket(np.sort(stirred(batch["name"].to_numpy().view(np.uint64))), 64)
+
+    bits = _bit_map(found.select(F.col(taken[4]).alias("name")).mapInArrow(send, "bucket long, data binary"), False)
+
+    @F.pandas_udf("boolean")
+    def touched(name: pd.Series) -> pd.Series:
+        return pd.Series(_in_map(bits, stirred(name.to_numpy(np.int64).view(np.uint64))))
+
+    asked = touched(taken[1])
+    joined = keyed.filter(asked).join(found, (F.col(taken[0]) == F.col(taken[3])) & (F.col(taken[1]) == F.col(taken[4])), "left")
+    return joined.unionByName(keyed.filter(~asked).withColumns({
+        c: F.lit(None).cast(found.schema[c].dataType) for c in taken[2:]}))
 
 
 def _taken(docs: DataFrame) -> list[str]:
