@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.batches import Bounded, slices
+from panelloom.llm.batches import Bounded, kept, slices, small_batches
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -59,9 +58,8 @@ class Codec:
         return len(ids), sha(digits.encode()), sha(self.decode(ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return kept((Codec, path, pattern), lambda: Codec(path, pattern))
 
 
 def bounds(split, text: str, final: bool) -> list[int]:
@@ -174,6 +172,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
         raise ValueError("the overlap must exceed the margin and fit in a chunk")
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long = F.char_length("text") > chunk
+    small_batches(body)
     return _short(body.filter(~long), path, pattern, ids).unionByName(
         _long(body.filter(long), path, pattern, chunk, overlap, ids))
 

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.batches import raw, slices
+from panelloom.llm.batches import forget, raw, slices, small_batches
 from panelloom.llm.graph import components
 from panelloom.llm.words import shingles, stirred, word_hashes
 from panelloom.sources.storage import stage
@@ -42,6 +42,7 @@ SLICE = 1 << 19
 
 
 def token_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    forget()
     hashes, counts = word_hashes(texts)
     return [shingles(x, width) for x in np.split(hashes, np.cumsum(counts)[:-1])] if texts else []
 
@@ -301,7 +302,7 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
 def _classes(docs: DataFrame, width: int, percent: int, common: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, name, set_key, n of every document), (set_key, doc_id, class of every set)."""
-    bytes_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bytes_all = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, bytes_all // BUCKET_BYTES)
     frequent, _ = _frequent(docs, width, buckets, common)
     indexed = stage(_index(docs, width, percent, frequent, buckets), "indexed")

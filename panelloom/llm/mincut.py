@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.llm.batches import slices
+from panelloom.llm.batches import slices, small_batches
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -212,4 +212,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"])
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(narrow).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.llm.batches import raw, slices
+from panelloom.llm.batches import forget, raw, slices, small_batches
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -167,13 +166,12 @@ def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 def _learn(texts: list[bytes], labels: np.ndarray, langs: list[str], aside: np.ndarray, prior: float, seed: int) -> Network:
     number = {b"": 0}
     rows = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int32) for t in texts]
-    hashes = np.array([hashed(w) for w in number], np.int64)
+    hashes = np.array([hashed(w) for w in number], np.uint32)
     fitted = [i for i in range(len(texts)) if not aside[i]]
-    seen = Counter()
-    for i in fitted:
-        seen.update(np.unique(hashes[rows[i]]).tolist())
-    least = max(3, len(fitted) // 500)
-    net = Network(np.array(sorted(h for h, n in seen.most_common(ROWS) if n >= least and h), np.int64), seed)
+    seen, times = np.unique(np.concatenate([np.unique(hashes[rows[i]]) for i in fitted]), return_counts=True)
+    often = (times >= max(3, len(fitted) // 500)) & (seen != 0)
+    seen, times = seen[often], times[often]
+    net = Network(np.sort(seen[np.lexsort((seen, -times))[:ROWS]]).astype(np.int64), seed)
     parts = net.parts(list(number))
     parts[0] = 0
     _fit(net, parts, [rows[i] for i in fitted], labels[fitted], EPOCHS, seed)
@@ -211,10 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("doc_id", "marked_id"))  # at most 2 x sample rows
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))
-    rows = body.join(drawn, F.col("doc_id") == F.col("marked_id")).select(
+    rows = small_batches(body).join(drawn, F.col("doc_id") == F.col("marked_id")).select(
         "doc_id", "text", "lang", "toxic", (remainder("doc_id", folds) == 1).alias("aside"))
 
     def run(batches):
+        forget()
         found = [(d, t, y, g, a) for b in batches for d, t, y, g, a in zip(
             b["doc_id"].to_pylist(), raw(b, "text"), b["toxic"].to_pylist(), b["lang"].to_pylist(), b["aside"].to_pylist())]
         found.sort()
@@ -225,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
             net = _constant(prior, seed)
         yield pa.RecordBatch.from_pydict({"model": [net.to_bytes()]})
 
-    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # the sample alone is in one task
     return found[0] if found else _constant(prior, seed).to_bytes()
 
 
@@ -255,6 +254,7 @@ class Responses:
 
 def scored(batches: Iterator[pa.RecordBatch], model: bytes, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of the batches with a score for each row."""
+    forget()
     net = Network.from_bytes(model)
     words = Responses(net)
     gap = max(WIDTHS) - 1
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores), pa.array(flags)], ["doc_id", "score", "flagged"])
 
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return body.mapInArrow(run, "doc_id long, score double, flagged boolean")
+    return small_batches(body).mapInArrow(run, "doc_id long, score double, flagged boolean")
 
 
 def clean(docs: DataFrame, model: bytes) -> DataFrame:
@@ -317,4 +317,4 @@ def clean(docs: DataFrame, model: bytes) -> DataFrame:
             kept = scores < np.array([limit(x) for x in batch["lang"].to_pylist()])
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
