@@ -20,14 +20,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.batches import slices
+from panelloom.llm.batches import kept, slices
 from panelloom.sources.storage import stage
 
 WINDOW = 2048
@@ -35,7 +34,7 @@ SPARE = 16
 SALTS = 64
 END = 1
 PIECE = "struct<start:long,length:long,crc:long>"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 class Words:
@@ -47,15 +46,26 @@ class Words:
     """
 
     MARKED = re.compile("[\u0300-\U0010ffff]")
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")  # one pre-token, which no normalisation changes
     SIGN = "0"  # a digit is a token of its own: it parts the words of one call
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.sign, = self.tokenizer.encode(self.SIGN, add_special_tokens=False).ids
-        self.at, self.flat, self.starts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.direct = Tokenizer.from_str(self.tokenizer.to_str())  # the same model, for words of plain letters
+        self.direct.normalizer = Sequence([])
+        self.direct.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.direct.encode_special_tokens = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at = {}
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.counts, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,41 +83,44 @@ class Words:
 
     def _encode(self, words: list[str]) -> None:
         """Tokenise distinct words, many in one call; those with the parting sign on their own."""
-        plain = [w for w in words if w and self.SIGN not in w]
-        groups = [plain[i:i + 500] for i in range(0, len(plain), 500)]
-        found = self.tokenizer.encode_batch_fast([f" {self.SIGN} ".join(g) for g in groups], add_special_tokens=False)
+        letters = set(filter(self.LETTERS.fullmatch, words))
+        self._parted(list(letters), self.direct)
+        others = [w for w in words if w not in letters]
+        self._parted([w for w in others if w and self.SIGN not in w], self.tokenizer)
+        rest = [w for w in others if not w or self.SIGN in w]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self._store(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _parted(self, words: list[str], tokenizer) -> None:
+        groups = [words[i:i + 500] for i in range(0, len(words), 500)]
         flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for group, x in zip(groups, found):
+        for group, x in zip(groups, tokenizer.encode_batch_fast([f" {self.SIGN} ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(x.ids, np.uint32)
             cuts = np.concatenate([[-1], np.flatnonzero(ids == self.sign), [len(ids)]])
             if len(cuts) != len(group) + 1:
                 raise ValueError("the parting sign is not a token of its own in this vocabulary")
             flat.append(ids[ids != self.sign])
             counts.append(np.diff(cuts) - 1)
-        self._store(plain, np.concatenate(flat), np.concatenate(counts))
-        rest = [w for w in words if not w or self.SIGN in w]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        self._store(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        self._store(words, np.concatenate(flat), np.concatenate(counts))
 
     def learn(self, words: list[str]) -> None:
-        """A letters-only word with one full stop or comma after it is that word and that sign."""
-        ended = [w for w in words if w[-1:] in (".", ",") and w.isascii() and w[:-1].isalpha()]
-        whole = set(words).difference(ended)
-        parts = {w[:-1] for w in ended}.union(".,").difference(whole, self.at)
-        self._encode([*sorted(whole), *sorted(parts)])
-        at = np.fromiter((self.at[x] for w in ended for x in (w[:-1], w[-1])), np.int64, 2 * len(ended))
+        """A word of plain letters with one full stop or comma after it is that word and that sign."""
+        ended = [w for w in words if w[-1:] in (".", ",") and self.LETTERS.fullmatch(w, 0, len(w) - 1)]
+        skip = set(ended)
+        whole = [w for w in words if w not in skip]
+        parts = {w[:-1] for w in ended}.union(".,").difference(whole).difference(self.at)
+        self._encode([*whole, *parts])
+        at = np.fromiter(map(self.at.__getitem__, [x for w in ended for x in (w[:-1], w[-1])]), np.int64, 2 * len(ended))
         flat, counts = self._gather(at)
         self._store(ended, flat, counts.reshape(-1, 2).sum(1))
 
     def forget(self) -> None:
         """Keep the words that were used most."""
         kept = np.argsort(-self.uses, kind="stable")[:CACHED_WORDS // 2]
-        names = np.empty(len(self.counts), object)
-        names[np.fromiter(self.at.values(), np.int64, len(self.at))] = list(self.at)
         flat, counts = self._gather(kept)
-        uses = self.uses[kept] // 2
-        self.at, self.flat, self.starts = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.counts, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names, uses = np.empty(len(self.counts), object), self.uses[kept] // 2
+        names[np.fromiter(self.at.values(), np.int64, len(self.at))] = list(self.at)
+        self._clear()
         self._store(names[kept].tolist(), flat, counts)
         self.uses += uses
 
@@ -134,9 +147,8 @@ class Words:
         return [np.concatenate([flat[a:b], end]) for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
-@lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
-    return Words(path)
+    return kept((Words, path), lambda: Words(path))
 
 
 def cut(ids: np.ndarray, window: int) -> tuple[list, list, list]:
