@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import threading
 import time
 from collections.abc import Iterator
@@ -66,12 +68,17 @@ def _drop_idle() -> None:
     while _KEPT:
         time.sleep(IDLE_SECONDS / 4)
         if time.monotonic() - _USED[0] > IDLE_SECONDS:
-            _KEPT.clear()
+            forget()
 
 
 def forget() -> None:
-    """Drop what an operator before this one has kept in the worker."""
-    _KEPT.clear()
+    """Drop what an operator before this one has kept in the worker, and give its memory back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 class Bounded(dict):

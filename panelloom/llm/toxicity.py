@@ -54,6 +54,11 @@ def hashed(word: bytes) -> list[int]:
     return [zlib.crc32(whole)] + [zlib.crc32(f"{n}:{letters[:n]}".encode()) if len(letters) > n else 0 for n in STEMS]
 
 
+def all_hashes(words) -> np.ndarray:
+    """The hashes of many words, one line a word."""
+    return np.fromiter((h for w in words for h in hashed(w)), np.int64).reshape(-1, 1 + len(STEMS))
+
+
 class Network:
     """Embeddings by word hash, filters and a logistic layer; row 0 is the zero vector."""
 
@@ -71,9 +76,8 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, self.bias, self.out, self.shift]
 
-    def parts(self, words) -> np.ndarray:
-        """Embedding rows of each word's hashes, one line a word."""
-        asked = np.array([hashed(w) for w in words], np.int64).reshape(-1, 1 + len(STEMS))
+    def parts(self, asked: np.ndarray) -> np.ndarray:
+        """Embedding rows of the words' hashes, one line a word."""
         at = np.searchsorted(self.hashes, asked)
         known = len(self.hashes) > 0 and self.hashes[np.minimum(at, len(self.hashes) - 1)] == asked
         return np.where(known & (asked != 0), at + 1, 0)
@@ -166,14 +170,16 @@ def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 def _learn(texts: list[bytes], labels: np.ndarray, langs: list[str], aside: np.ndarray, prior: float, seed: int) -> Network:
     number = {b"": 0}
     rows = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int32) for t in texts]
-    hashes = np.array([hashed(w) for w in number], np.uint32)
+    hashes = all_hashes(number)
+    del number
     fitted = [i for i in range(len(texts)) if not aside[i]]
     seen, times = np.unique(np.concatenate([np.unique(hashes[rows[i]]) for i in fitted]), return_counts=True)
     often = (times >= max(3, len(fitted) // 500)) & (seen != 0)
     seen, times = seen[often], times[often]
     net = Network(np.sort(seen[np.lexsort((seen, -times))[:ROWS]]).astype(np.int64), seed)
-    parts = net.parts(list(number))
+    parts = net.parts(hashes).astype(np.int32)
     parts[0] = 0
+    del hashes
     _fit(net, parts, [rows[i] for i in fitted], labels[fitted], EPOCHS, seed)
     share = labels[fitted].mean()
     net.shift += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
@@ -247,7 +253,7 @@ class Responses:
             first, total = len(self.at), len(self.at) + len(new)
             if total > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((total, self.table.shape[1]), np.float32)])
-            self.table[first:total] = self.net.embed[self.net.parts(new)].sum(1) @ self.banks
+            self.table[first:total] = self.net.embed[self.net.parts(all_hashes(new))].sum(1) @ self.banks
             self.at.update(zip(new, range(first, total)))
         return [np.fromiter(map(self.at.__getitem__, t), np.int32, len(t)) for t in texts]
 
