@@ -221,6 +221,14 @@ def feature_table(spark, sf):
     return show(derive.features(cleaned, SPEC), ID + NUMBERS, DERIVED)
 
 
+@query("cached_views", sql("SELECT count(*) AS rows, true AS reused FROM feat", "feat"))
+def cached_views(spark, sf):
+    """The feature table is written once for a state of the tables: a second request reads the same files."""
+    first, second = features(spark, sf), features(spark, sf)
+    same = sorted(first.inputFiles()) == sorted(second.inputFiles())
+    return second.agg(F.count(F.lit(1)).alias("rows")).withColumn("reused", F.lit(same))
+
+
 @query("pipeline_run", sql(f"SELECT {cols(ID + NUMBERS, DERIVED)} FROM feat90", "feat90"))
 def pipeline_run(spark, sf):
     return show(derive.pipeline(panel(spark, sf), SPEC), ID + NUMBERS, DERIVED)
