@@ -39,7 +39,7 @@ BATCH = 64
 FOLDS = 5
 TRIM = b".,;:!?\"'()[]"
 STEP_WORDS = 100_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 def remainder(doc_id: str, folds: int) -> Column:
@@ -289,7 +289,7 @@ def scored(batches: Iterator[pa.RecordBatch], model: bytes, text: str) -> Iterat
         if held:
             yield held
 
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, 1 << 20):
         tops = np.full((batch.num_rows, len(net.bias)), -np.inf, np.float32)
         for held in grouped(words.rows([t.lower().split() for t in raw(batch, text)])):
             owner = [i for i, _ in held]
