@@ -8,8 +8,9 @@ before the pooling, its response is a sum of one table row for each word in the
 so scoring costs a few lookups for each word and never holds more than a slice of text.
 
 `train` draws at most `sample` texts of each class by hash (a stated bound; the prior
-is counted over all labels). Thresholds are calibrated by language on a part of that
-sample that the gradients never see; they decide `flagged`, never the score.
+is counted over all labels). Thresholds are calibrated by language on all labelled texts
+of a fold that the gradients never see: the texts are scored where they lie and counted by
+score bin, so classes weigh as they occur. They decide `flagged`, never the score.
 
 Defined cases: null and empty texts are scored as a text without words; labels that are
 null, or for ids without a text, are not used; an id with several labels counts as toxic
@@ -40,6 +41,8 @@ FOLDS = 5
 TRIM = b".,;:!?\"'()[]"
 STEP_WORDS = 100_000
 CACHED_WORDS = 100_000
+LEAST_MARKS = 20  # labels of each class that a language needs for a threshold of its own
+CUTS = 1 / (1 + np.exp(-np.arange(-30 * 64, 30 * 64 + 1) / 64))  # borders of the score bins; one half is among them
 
 
 def remainder(doc_id: str, folds: int) -> Column:
@@ -159,39 +162,33 @@ def _fit(net: Network, parts: np.ndarray, texts: list[np.ndarray], labels: np.nd
                 p -= 0.01 * (m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-6) + 0.01 * p)
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap that gives the best F1; one half where that is as good."""
-    cuts = np.unique(scores)
-    cuts = np.concatenate([[0.5], (cuts[1:] + cuts[:-1]) / 2])
-    f1 = [2 * (labels * (scores >= c)).sum() / max((scores >= c).sum() + labels.sum(), 1) for c in cuts]
-    return float(cuts[int(np.argmax(f1))])
+def _threshold(counts: np.ndarray, toxic: np.ndarray) -> float:
+    """The border that gives the best F1 over texts counted by score bin: the middle one of a gap, one half where that is as good."""
+    flagged, hits = counts[::-1].cumsum()[::-1][1:], toxic[::-1].cumsum()[::-1][1:]  # reaching border k: the bins above it
+    f1 = 2 * hits / np.maximum(flagged + toxic.sum(), 1)
+    best = np.flatnonzero(f1 == f1.max())
+    half = len(CUTS) // 2
+    if half in best:
+        return float(CUTS[half])
+    gap = best[flagged[best] == flagged[best[0]]]
+    return float(CUTS[gap[len(gap) // 2]])
 
 
-def _learn(texts: list[bytes], labels: np.ndarray, langs: list[str], aside: np.ndarray, prior: float, seed: int) -> Network:
+def _learn(texts: list[bytes], labels: np.ndarray, prior: float, seed: int) -> Network:
     number = {b"": 0}
     rows = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int32) for t in texts]
     hashes = all_hashes(number)
     del number
-    fitted = [i for i in range(len(texts)) if not aside[i]]
-    seen, times = np.unique(np.concatenate([np.unique(hashes[rows[i]]) for i in fitted]), return_counts=True)
-    often = (times >= max(3, len(fitted) // 500)) & (seen != 0)
+    seen, times = np.unique(np.concatenate([np.unique(hashes[r]) for r in rows]), return_counts=True)
+    often = (times >= max(3, len(rows) // 500)) & (seen != 0)
     seen, times = seen[often], times[often]
     net = Network(np.sort(seen[np.lexsort((seen, -times))[:ROWS]]).astype(np.int64), seed)
     parts = net.parts(hashes).astype(np.int32)
     parts[0] = 0
     del hashes
-    _fit(net, parts, [rows[i] for i in fitted], labels[fitted], EPOCHS, seed)
-    share = labels[fitted].mean()
+    _fit(net, parts, rows, labels, EPOCHS, seed)
+    share = labels.mean()
     net.shift += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    one = lambda r, starts: net.pooled(net.embed[parts[r]].sum(1), starts)[0]
-    tops = np.vstack([one(*padded([r])) for r, a in zip(rows, aside) if a]) if aside.any() else None
-    if tops is not None:
-        scores, truth = 1 / (1 + np.exp(-np.clip(net.logits(tops), -30, 30))), labels[aside]
-        spoken = np.array(langs)[aside]
-        for lang in ["", *sorted(set(langs))]:
-            some = np.ones(len(truth), bool) if lang == "" else spoken == lang
-            if truth[some].sum() >= 20 and (1 - truth[some]).sum() >= 20:
-                net.thresholds[lang] = _threshold(scores[some], truth[some])
     return net
 
 
@@ -204,7 +201,10 @@ def _constant(prior: float | None, seed: int) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, seed: int = 7) -> bytes:
-    """Fit on labelled rows outside fold 0; fold 1 sets the thresholds. The model is bounded by its rows and widths."""
+    """Fit on a sample of the labelled rows outside folds 0 and 1; all of fold 1 sets the thresholds.
+
+    The model is bounded by its rows and widths.
+    """
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).filter(remainder("doc_id", folds) != 0)
     prior = marks.agg(F.avg("toxic")).first()[0]
@@ -212,26 +212,51 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         return _constant(prior, seed).to_bytes()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     drawn = [marks.filter(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("doc_id", "marked_id"))  # at most 2 x sample rows
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))
-    rows = small_batches(body).join(drawn, F.col("doc_id") == F.col("marked_id")).select(
-        "doc_id", "text", "lang", "toxic", (remainder("doc_id", folds) == 1).alias("aside"))
+    drawn = drawn[0].unionByName(drawn[1]).filter(remainder("doc_id", folds) != 1)
+    drawn = F.broadcast(drawn.withColumnRenamed("doc_id", "marked_id"))  # at most 2 x sample rows
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(body).join(drawn, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "toxic")
 
     def run(batches):
         forget()
-        found = [(d, t, y, g, a) for b in batches for d, t, y, g, a in zip(
-            b["doc_id"].to_pylist(), raw(b, "text"), b["toxic"].to_pylist(), b["lang"].to_pylist(), b["aside"].to_pylist())]
+        found = [(d, t, y) for b in batches for d, t, y in zip(b["doc_id"].to_pylist(), raw(b, "text"), b["toxic"].to_pylist())]
         found.sort()
-        if len({x[2] for x in found if not x[4]}) == 2:
-            _, texts, marked, langs, aside = zip(*found)
-            net = _learn(list(texts), np.array(marked, float), list(langs), np.array(aside), prior, seed)
+        if len({x[2] for x in found}) == 2:
+            _, texts, marked = zip(*found)
+            net = _learn(list(texts), np.array(marked, float), prior, seed)
         else:
             net = _constant(prior, seed)
         yield pa.RecordBatch.from_pydict({"model": [net.to_bytes()]})
 
     found = rows.repartition(1).mapInArrow(run, "model binary").first()  # the sample alone is in one task
-    return found[0] if found else _constant(prior, seed).to_bytes()
+    net = Network.from_bytes(found[0]) if found else _constant(prior, seed)
+    if len(net.hashes):  # without words all scores are the prior: no threshold parts them
+        net.thresholds = _thresholds(docs, marks, net.to_bytes(), folds)
+    return net.to_bytes()
+
+
+def _thresholds(docs: DataFrame, marks: DataFrame, model: bytes, folds: int) -> dict[str, float]:
+    """Thresholds from all labelled texts of fold 1, by language and ("") pooled.
+
+    Texts are scored before the labels are joined, so none moves; what reaches the driver
+    is at most one row for each language and score bin.
+    """
+    def run(batches):
+        for batch, scores in scored(batches, model, "text"):
+            bins = pa.array(np.searchsorted(CUTS, scores, "right").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], bins], ["doc_id", "lang", "bin"])
+
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))
+    body = small_batches(body.filter(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) == 1)))
+    binned = body.mapInArrow(run, "doc_id long, lang string, bin int").join(marks, "doc_id")
+    counted = binned.groupBy("lang", "bin").agg(F.count("toxic"), F.sum("toxic")).collect()
+    held: dict[str, np.ndarray] = {"": np.zeros((2, len(CUTS) + 1), np.int64)}
+    for lang, at, n, toxic in counted:
+        for name in {"", lang}:
+            held.setdefault(name, np.zeros((2, len(CUTS) + 1), np.int64))[:, at] += (n, toxic)
+    return {name: _threshold(n, toxic) for name, (n, toxic) in sorted(held.items())
+            if min(toxic.sum(), (n - toxic).sum()) >= LEAST_MARKS}
 
 
 class Responses:

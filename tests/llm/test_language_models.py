@@ -150,3 +150,21 @@ def test_scores_depend_on_the_text_alone(spark):
     other = docs.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("fr").alias("lang"))
     a = sorted(r.score for r in toxicity.score(docs, model).collect())
     assert np.allclose(a, sorted(r.score for r in toxicity.score(other, model).collect()))
+
+
+def test_thresholds_cover_all_labels_at_their_natural_share(spark):
+    rows, marks = [], []
+    for i in range(3000):  # a tenth toxic, half of it mildly; as mild are three tenths of the clean texts
+        words = cases.prose(5000 + i, 25).split()
+        bad = i % 10 == 0
+        hard = 4 if bad and i % 20 else int(bad or i % 10 < 4)
+        for k in range(hard):
+            words[5 * k] = TOXIC[(i + k) % 3]
+        rows.append((i, " ".join(words), "en"))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=150)
+    aside = [(r.score, r.doc_id % 10 == 0) for r in toxicity.score(docs, model).collect() if held(r.doc_id, 5, 1)]
+    f1 = lambda c: 2 * sum(y for s, y in aside if s >= c) / (sum(s >= c for s, _ in aside) + sum(y for _, y in aside))
+    assert f1(toxicity.cutoff(model)("en")) >= max(f1(s) for s, _ in aside) - 0.01
