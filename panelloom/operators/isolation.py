@@ -17,7 +17,6 @@ from panelloom.sources.storage import stage
 from panelloom.spec import ANOMALY_FEATURES, PanelSpec
 
 TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
-POOL = 16         # rows that the trees draw from, in samples
 TREES_PER_TASK = 25
 MOST_NODES = 1_000_000
 ROWS_AT_ONCE = 2_000
@@ -52,19 +51,24 @@ def _digest(*parts: Column) -> Column:
 def draw(df: DataFrame, identity: list[str], trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, order) rows: ``sample`` rows for every tree (all, if there are fewer), chosen by row hash.
 
-    The trees draw from a pool of at most ``POOL * sample`` rows, the first in hash
-    order of the whole table; a row may be in several trees, at every table size. The
-    filter before the limit keeps all but some of the pool from leaving the map side.
+    Every tree draws from the whole table; a row may be in several trees. A row goes only
+    to the trees whose hash of it is among about the first ``2 * sample``; if a tree has
+    come out short, the share is raised, so the result is exact.
     """
     ids = [F.col(c) for c in identity]
-    pool = POOL * sample
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    u = F.conv(F.substring(_digest(*ids, F.lit(seed)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    few = df.where(u < F.lit(2.0 * pool) / total).orderBy(u, *ids).limit(pool)
-    rows = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = _digest(*ids, F.lit(seed), F.col("tree"))
-    w = Window.partitionBy("tree").orderBy(order, *ids)
-    return rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= sample)
+    order = lambda tree: _digest(*ids, F.lit(seed), tree)
+    total = df.count()
+    share = 2.0 * sample / max(total, 1)
+    w = Window.partitionBy("tree").orderBy(order(F.col("tree")), *ids)
+    while True:
+        # The first digits of a hash, or a letter after all digits.
+        bound = f"{int(share * (1 << 52)):013x}" if share < 1 else "g"
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: order(tree) < bound)
+        rows = df.select("*", F.explode(chosen).alias("tree"))
+        drawn = stage(rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= sample), "samples")
+        if share >= 1 or drawn.count() == trees * min(sample, total):
+            return drawn
+        share *= 2
 
 
 def _grow(seed: int, columns: list[str], limit: int):

@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import forecast, isolation, sequences, trees
+from panelloom.plans.oracle import forest_blocks
 from panelloom.sources.models import load_model, save_model
 from panelloom.spec import PanelSpec
 
@@ -59,6 +61,17 @@ def test_sample_is_drawn_alike_at_every_size(spark, rows):
     assert drawn.count() == drawn.select("tree", "k").distinct().count() > drawn.select("k").distinct().count()
 
 
+@pytest.mark.parametrize("trees, sample", [(4, 64), (60, 1)])
+def test_every_tree_draws_from_all_rows_as_the_sql(spark, trees, sample):
+    """More rows than 16 samples; with samples of one row some trees come out short at first."""
+    blocks = forest_blocks("feat", ("a",), trees, sample, 42)
+    feat = "SELECT concat('k', CAST(i % 7 AS VARCHAR)) AS country, i // 7 AS year, i AS a FROM range(6000) r(i)"
+    want = duckdb.sql(f"WITH feat AS ({feat}), fx AS ({blocks['fx']}), fs0 AS ({blocks['fs0']}) SELECT tree, CAST(x0 AS BIGINT) FROM fs0").fetchall()
+    df = spark.range(6000).selectExpr("concat('k', id % 7) AS country", "id div 7 AS year", "id AS a")
+    got = isolation.draw(df, ["country", "year"], trees, sample, 42).select("tree", "a").collect()
+    assert len(got) == trees * sample and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_path_constant():
     assert isolation.path_constant([1, 2]).tolist() == [0.0, 1.0]
     assert isolation.path_constant(256) == pytest.approx(10.244770920)
