@@ -7,14 +7,16 @@ between the terminals labels every block as content or boilerplate at once, so a
 doubtful block goes with its neighbours. Pages are independent rows: no shuffle.
 
 Defined cases: null, empty and text-free pages give an empty text; markup that is cut
-off or not closed is read as far as it goes; repeated rows and null identifiers are kept.
+off or not closed is read as far as it goes (an unseen element without an end tag hides
+nothing; only raw text, as a script, then goes on to the end of the page, as in browsers);
+repeated rows and null identifiers are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 WORD = re.compile(r"[a-z]+")
 
 # Element names by their role in a page.
-UNSEEN = frozenset("script style noscript template textarea iframe object svg math head title".split())
+RAW = frozenset("script style textarea title".split())  # no markup within; a head holds these and void elements
+UNSEEN = frozenset("noscript template iframe object svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary "
@@ -45,6 +48,8 @@ OUTER_WORDS = frozenset(("ad ads advert adverts advertisement adbox banner bread
                          "social sponsor sponsored subscribe teaser toolbar topbar widget alert").split())
 INNER_WORDS = frozenset("article content entry main post story".split())
 
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+
 # Weights of the classifier and of the edges, in units of capacity.
 OUTSIDE, INSIDE, TEXT, OTHER, LINKED = -80, 40, 6, 2, -30
 LEAST, MOST, MIDDLE, CHARS = -4, 14, 30, 8
@@ -60,6 +65,32 @@ class Block:
     linked: int = 0
 
 
+def tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether an end tag, and attributes; comments and raw elements as a whole have no name."""
+    found, at = [], 0
+    while m := TAG.search(page, at):
+        at, tag, closing = m.end(), (m[2] or "").lower(), bool(m[1])
+        if tag in RAW:
+            if not closing and not m[3].endswith("/"):
+                end = RAW_ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        found.append((m.start(), at, tag, closing, m[3] or ""))
+    return found
+
+
+def closed(found: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """The end tag of each unseen element that has one, by their numbers among the tags."""
+    opened, ends = defaultdict(list), {}
+    for i, (_, _, tag, closing, attributes) in enumerate(found):
+        if tag in UNSEEN:
+            if not closing and not attributes.endswith("/"):
+                opened[tag].append(i)
+            elif closing and opened[tag]:
+                ends[opened[tag].pop()] = i
+    return ends
+
+
 @dataclass
 class Reader:
     """Reads markup into blocks, with a stack of open elements."""
@@ -104,20 +135,21 @@ class Reader:
                 if stack[-1][3]:
                     linked += len(text)
 
-        while m := TAG.search(page, at):
-            say(page[at:m.start()])
-            at = m.end()
-            if m[2] is None:
+        found = tags(page)
+        ends, skipped = closed(found), -1
+        for i, (start, end, tag, closing, attributes) in enumerate(found):
+            if i <= skipped:
                 continue
-            tag = m[2].lower()
-            if tag in UNSEEN:
-                if not m[1] and not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+            say(page[at:start])
+            at = end
+            if tag in UNSEEN and i in ends:
+                skipped = ends[i]
+                at = found[skipped][1]
+            if not tag or tag == "head" or tag in UNSEEN:
                 continue
             if tag in BLOCKS:
                 close()
-            if m[1]:
+            if closing:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if depth and (tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[depth:])):
                     del stack[depth:]
@@ -135,7 +167,7 @@ class Reader:
                     del stack[inline - 1:]
             number += 1
             _, _, above, link = stack[-1]
-            stack.append((tag, number, self.place(tag, m[3], above), link or tag == "a"))
+            stack.append((tag, number, self.place(tag, attributes, above), link or tag == "a"))
         say(page[at:])
         close()
         return self.blocks

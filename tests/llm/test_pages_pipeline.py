@@ -93,3 +93,17 @@ def test_stages_on_odd_and_empty_tables(spark, sf, at):
         out = corpus_pipeline.STAGES[at][1](spark, docs, sf)
         assert at == 4 or out.columns == docs.columns
         assert out.count() >= 0
+
+
+@pytest.mark.parametrize("before", [
+    "<head><title>t</title><meta charset=utf-8><style>p{}</style><body>", "<head><title>t</title>", "<head><body><noscript><img src=x>",
+    "<body><template>", "<body><iframe src=x>", "<body><object data=x>", "<body><div><svg><path d=x></div>", "<body><math>",
+    "<body><noscript><noscript><p>Turn on scripts</noscript>", "<body><svg><!-- </svg> -->", "<body><iframe src=x><script>'</iframe>'</script>"])
+def test_elements_without_an_end_tag_hide_nothing(before):
+    text = "This is a long paragraph of real text which has many words in it, so it should stay."
+    assert mincut.main_text(f"<html>{before}<article><p>{text}</p></article>") == text
+
+
+def test_closed_unseen_elements_stay_unseen():
+    page = "<head><title>t</title></head><article><p>Some real words here.<object><object>a</object>b</object><svg><text>c</text></svg></article>"
+    assert mincut.main_text(page) == "Some real words here."
