@@ -9,7 +9,8 @@ than `common` sets is frequent. The global order puts rare tokens first, by hash
 * A set made of frequent tokens has an extended prefix: its rare tokens one by one and its
   frequent ones in combinations of two that follow each other in the order. A token that
   only one of two sets has breaks two combinations at most, so a prefix longer by the
-  possible differences keeps one intact.
+  possible differences keeps one intact. Where a whole set is too short for that (at 66
+  percent and below), its frequent tokens are indexed one by one too.
 
 Pairs within a posting list of a rare token are bounded by `common`. Lists of combinations
 give only star edges. The components of this candidate graph are small; each is verified
@@ -71,8 +72,14 @@ def prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[bo
     # For a linked set of any size both sides' differences sum up to this at most.
     both = n * (100 - percent) * (100 + percent) // (percent * (100 + percent))
     length = (missing - len(rare)) + max(both - len(rare), 0) + 2
-    many = many[:length]
-    return True, rare, stirred(many[:-1] * np.uint64(3) + stirred(many[1:])) if len(many) > 1 else many[:0]
+    whole, many = len(many) <= length, many[:length]
+    combined = stirred(many[:-1] * np.uint64(3) + stirred(many[1:])) if len(many) > 1 else many[:0]
+    # Two sets that share no more tokens than they differ in, and one, may have no intact combination: the least
+    # number that a set can share with a different linked one tells whether it can be in such a pair.
+    shared = max(-(-percent * n // 100), -(-percent // max(100 - percent, 1)))
+    if whole and shared * (2 * percent - 100) <= percent:
+        combined = np.concatenate([combined, stirred(many)])
+    return True, rare, combined
 
 
 def _packed(parts: list[np.ndarray], buckets: int, tokens: np.ndarray):

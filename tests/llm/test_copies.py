@@ -161,3 +161,17 @@ def test_anchors_of_equal_strings_agree():
         places.append({int(p): int(a) for a, f, z in zip(at, first, last) for p in range(f, z + 1) if 0 <= p <= 300})
         assert sum(z - f + 1 for f, z in zip(first, last)) == len(texts[k]) - suffixes.LENGTH + 1
     assert places[0] == places[1] and len(places[0]) == 301
+
+
+@pytest.mark.parametrize("percent", [20, 50, 60, 66, 67, 80, 90])
+def test_linked_sets_share_an_indexed_token_at_any_percent(percent):
+    """All pairs of sets of seven tokens, of which two are rare or none is."""
+    tokens = np.arange(1, 8, dtype=np.uint64) << np.uint64(32)
+    for frequent in (np.arange(1, 8, dtype=np.uint32), np.arange(1, 6, dtype=np.uint32)):
+        chosen = [tokens[[m >> i & 1 > 0 for i in range(7)]] for m in range(1, 128)]
+        found = [jaccard.prefixes(t, frequent, percent) for t in chosen]
+        sets, single, combined = [set(t.tolist()) for t in chosen], [set(f[1].tolist()) for f in found], [set(f[2].tolist()) for f in found]
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                    assert single[i] & single[j] or combined[i] & combined[j], (sets[i], sets[j])
