@@ -53,17 +53,17 @@ def sampled(rows: DataFrame, spec: PanelSpec, most: int, seed: int) -> DataFrame
 
 def forest_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", trees: int = 300,
                depth: int = 30, leaky: bool = False, seed: int = SEED, most_rows: int = MOST_ROWS) -> ForestModel:
-    """Random forest on lags, period and passive columns, with in-sample errors.
+    """Random forest on lags, period and passive columns, with its errors over all training rows.
 
-    A tree has at most two nodes for each training row, so `most_rows` bounds the model,
-    however many keys the panel has.
+    A tree has at most two nodes for each row that it is fitted on, so `most_rows` bounds the
+    model, however many keys the panel has; the errors cover the other rows too.
     """
-    rows = stage(sampled(training_rows(df, spec, target, list(spec.passive), leaky), spec, most_rows, seed), "forest-rows")
+    whole = stage(training_rows(df, spec, target, list(spec.passive), leaky), "forest-rows")
     inputs = [*lag_names(target), spec.time, *[c for c in spec.passive if c in df.columns]]
-    ready = _assembled(rows, inputs)
+    ready = _assembled(whole, inputs)
     model = RandomForestRegressor(
         featuresCol="features", labelCol=target, predictionCol="predicted", numTrees=trees,
-        maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all", seed=seed).fit(ready)
+        maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all", seed=seed).fit(sampled(ready, spec, most_rows, seed))
     metrics = error_metrics(model.transform(ready), target, "predicted")
     return ForestModel(model, target, tuple(inputs), metrics)
 

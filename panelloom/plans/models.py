@@ -249,8 +249,13 @@ _MEMBERS = """SELECT country, year, round(predicted, 5) AS predicted, 'gbm' AS m
 @query("ensemble_members", sql(_MEMBERS, "trend", "ahead", "feat"))
 def ensemble_members(spark, sf):
     """The members and the history of the bundle that SQL can state, exactly."""
-    out = trees.ensemble_forecast(features(spark, sf), SPEC, trees=2, depth=2)
-    return show(out.where("model in ('gbm', 'holt', 'historical')"), [*KT, "model", "type"], ["predicted"], 5)
+    known = windows.enough_history(features(spark, sf).where("co2 is not null"), SPEC, trees.MIN_ROWS)
+    ahead = {"gbm": forecast.trend_projection(known, SPEC, "co2", 10),
+             "holt": forecast.holt_forecast(forecast.holt_fit(known, SPEC, "co2"), SPEC, 10)}
+    out = forecast.historical_view(known, SPEC, "co2").withColumn("model", F.lit("historical"))
+    for name, part in ahead.items():
+        out = out.unionByName(part.withColumns({"model": F.lit(name), "type": F.lit("forecast")}))
+    return show(out, [*KT, "model", "type"], ["predicted"], 5)
 
 
 @query("forest_periods", sql(
@@ -258,7 +263,7 @@ def ensemble_members(spark, sf):
 def forest_periods(spark, sf):
     """Every key and period has a forest forecast, inside the range of the values that the trees saw."""
     rows = features(spark, sf)
-    ahead = trees.forest_forecast(rows, SPEC, trees.forest_fit(rows, SPEC, trees=20))
+    ahead = trees.forest_forecast(rows, SPEC, trees.forest_fit(rows, SPEC))
     ends = rows.agg(F.min("co2").alias("low"), F.max("co2").alias("high"))
     return ahead.join(ends, F.lit(True)).select(*KT, F.col("predicted").between(F.col("low"), F.col("high")).alias("inside"))
 

@@ -127,3 +127,10 @@ def test_projection_of_short_keys(spark):
                                "country string, year int, co2 double")
     got = {(r.country, r.year): r.predicted for r in forecast.trend_projection(df, SPEC, horizon=1).collect()}
     assert got == {("one", 2001): None, ("two", 2004): 13.0}
+
+
+def test_forest_errors_cover_rows_outside_the_sample(spark):
+    df = spark.createDataFrame([(f"k{i % 10}", 1990 + i // 10, float(i % 17)) for i in range(300)], "country string, year int, co2 double")
+    rows = trees.training_rows(df, PanelSpec(), "co2", [], False).count()
+    fitted = trees.forest_fit(df, PanelSpec(), trees=2, depth=3, most_rows=rows // 2)
+    assert rows > 200 and fitted.metrics.first()["n"] == rows
