@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, jaccard, markov, mincut, mtree, packing, quality, sharding, suffixes, toxicity
+from panelloom.llm import bpe, jaccard, markov, merkle, mincut, mtree, packing, quality, sharding, suffixes, toxicity
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -95,3 +95,60 @@ def op5(spark, sf):
 @query("op8_suffix_dedup")
 def op8(spark, sf):
     return suffixes.dedup(table(spark, sf, "documents"))
+
+
+MERKLE_SQL = """
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+d AS (
+  SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, *
+  FROM (SELECT doc_id, coalesce('=' || lang, '') AS lang, {leaf} AS leaf, {changed} AS changed,
+               xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                 lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) % 7 = 0 AS tampered
+        FROM documents, bytes)),
+nodes(tree, level, pos, digest) AS (
+  SELECT lang, 0, pos, leaf FROM d
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, pos // 2),
+tops AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+subroots AS (SELECT tree, height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM tops JOIN nodes USING (tree) WHERE level = height),
+upper(level, pos, digest) AS (
+  SELECT 0, pos, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, pos // 2),
+peak AS (SELECT level AS levels, digest AS root FROM upper WHERE level = (SELECT max(level) FROM upper)),
+walk(doc_id, lang, leaf, tree_pos, top_pos, step, proof, folded) AS (
+  SELECT d.doc_id, d.lang, d.leaf, d.pos, s.pos, 0, '', CASE WHEN tampered THEN changed ELSE leaf END
+  FROM d JOIN subroots s ON s.tree = d.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.tree_pos, w.top_pos, w.step + 1, w.proof || coalesce(n.digest, u.digest, ''),
+         sha256(CASE WHEN (CASE WHEN w.step < s.height THEN w.tree_pos >> w.step ELSE w.top_pos >> (w.step - s.height) END) % 2 = 0
+                     THEN w.folded || coalesce(n.digest, u.digest, '') ELSE coalesce(n.digest, u.digest, '') || w.folded END)
+  FROM walk w JOIN subroots s ON s.tree = w.lang CROSS JOIN peak
+  LEFT JOIN nodes n ON w.step < s.height AND n.tree = w.lang AND n.level = w.step AND n.pos = xor(w.tree_pos >> w.step, 1)
+  LEFT JOIN upper u ON w.step >= s.height AND u.level = w.step - s.height AND u.pos = xor(w.top_pos >> greatest(w.step - s.height, 0), 1)
+  WHERE w.step < s.height + levels)
+SELECT w.doc_id, w.leaf, s.subroot, root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = root AS verified
+FROM walk w JOIN subroots s ON s.tree = w.lang CROSS JOIN peak WHERE w.step = s.height + levels"""
+
+
+def _sql_leaf(n_chars: str) -> str:
+    one = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+@query("op12_merkle_manifest", MERKLE_SQL.format(leaf=_sql_leaf("n_chars"), changed=_sql_leaf("(n_chars + 1)")))
+def op12(spark, sf):
+    tampered = toxicity.remainder("doc_id", 7) == 0
+    changed = merkle.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
+    tree = merkle.manifest(table(spark, sf, "documents"), carry=lambda: {"claimed": F.when(tampered, changed)})
+    root = tree.root.scalar()
+    claims = tree.proofs().join(tree.subroots.withColumnRenamed("digest", "subroot"), "tree")
+    return claims.select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"),
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("claimed", "digest"), F.col("proof")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
