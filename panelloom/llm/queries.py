@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, jaccard, markov, merkle, mincut, mtree, packing, quality, sharding, suffixes, toxicity
+from panelloom.llm import (bpe, jaccard, markov, merkle, mincut, mtree, packing, quality, sharding, spelling, suffixes,
+                            toxicity)
 from panelloom.llm.registry import query, table
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS + [w.capitalize() for w in quality.STOP_WORDS])
@@ -97,15 +98,23 @@ def op8(spark, sf):
     return suffixes.dedup(table(spark, sf, "documents"))
 
 
-MERKLE_SQL = """
-WITH RECURSIVE bytes AS (
+CRC_TABLE = """bytes AS (
   SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS t
-  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))"""
+
+
+def _sql_crc(codes: str) -> str:
+    """CRC-32 of a list of bytes, with the table t."""
+    return (f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), "
+            "lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])))")
+
+
+MERKLE_SQL = """
+WITH RECURSIVE {bytes},
 d AS (
   SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, *
   FROM (SELECT doc_id, coalesce('=' || lang, '') AS lang, {leaf} AS leaf, {changed} AS changed,
-               xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
-                 lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) % 7 = 0 AS tampered
+               {crc} % 7 = 0 AS tampered
         FROM documents, bytes)),
 nodes(tree, level, pos, digest) AS (
   SELECT lang, 0, pos, leaf FROM d
@@ -140,7 +149,10 @@ def _sql_leaf(n_chars: str) -> str:
     return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
 
 
-@query("op12_merkle_manifest", MERKLE_SQL.format(leaf=_sql_leaf("n_chars"), changed=_sql_leaf("(n_chars + 1)")))
+_SQL_DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+
+
+@query("op12_merkle_manifest", MERKLE_SQL.format(bytes=CRC_TABLE, crc=_sql_crc(_SQL_DIGITS), leaf=_sql_leaf("n_chars"), changed=_sql_leaf("(n_chars + 1)")))
 def op12(spark, sf):
     tampered = toxicity.remainder("doc_id", 7) == 0
     changed = merkle.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
@@ -152,3 +164,35 @@ def op12(spark, sf):
         F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
         merkle.fold(F.coalesce("claimed", "digest"), F.col("proof")).alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+_SQL_BYTES = """flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128
+             THEN [CAST(ord(c) AS BIGINT)] ELSE [192 | (CAST(ord(c) AS BIGINT) >> 6), 128 | (CAST(ord(c) AS BIGINT) & 63)] END))"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k
+         FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[a-zÀ-ÿ]{{{spelling.MIN_LETTERS},}}')) AS run FROM documents) GROUP BY ALL),
+sums AS (SELECT run, k, {_sql_crc(_SQL_BYTES)} AS h FROM runs, bytes),
+words AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                 CAST(sum(k) AS BIGINT) AS n
+          FROM sums GROUP BY 1 HAVING length(word) >= {spelling.MIN_LETTERS} AND sum(k) >= {spelling.MIN_COUNT}),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+          UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+                row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near END AS form,
+                  CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near_n END AS form_n
+           FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1),
+chain(word, top, step) AS (SELECT word, word, 0 FROM formed
+                          UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.top WHERE f.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root
+FROM formed JOIN (SELECT word, arg_max(top, step) AS root FROM chain GROUP BY word) USING (word)"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark, sf):
+    return spelling.groups(spelling.vocabulary(table(spark, sf, "documents")))
