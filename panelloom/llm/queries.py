@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelloom.llm import (bpe, jaccard, markov, merkle, mincut, mtree, packing, quality, sharding, spelling, suffixes,
+from panelloom.llm import (bpe, chat, jaccard, markov, merkle, mincut, mtree, packing, quality, sharding, spelling, suffixes,
                             toxicity)
 from panelloom.llm.registry import query, table
 
@@ -98,6 +98,16 @@ def op8(spark, sf):
     return suffixes.dedup(table(spark, sf, "documents"))
 
 
+OWN_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+
+
+@query("op11_chat_format")
+def op11(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(OWN_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.digests(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 CRC_TABLE = """bytes AS (
   SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS t
   FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))"""
