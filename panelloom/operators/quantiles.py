@@ -1,114 +1,182 @@
 """Exact quantiles and histograms that never gather a column in one task.
 
-The same three aggregates run at every size. Two rank sketches narrow each wanted rank to
-a range with a few hundred-thousandths of the rows at most; the last aggregate counts what lies
-below and reads the order statistics off the values inside. Columns are aggregated side
-by side, so a row is read as it stands.
+Order statistics are found by radix descent on the order-preserving form of a double: its
+sign and exponent, then its mantissa as an integer. A pass counts the rows of each digit
+below the known prefix, for all columns and probabilities at once, and keeps the digits that
+hold a wanted rank. When the rows with a prefix are equal, or at most `FEW`, they are read off.
+So a pass holds a fixed number of cells, and no list grows with the table. The descent is at
+most `PASSES` passes; each starts when the frame is built, as a model is fitted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelloom.functions.exprs import finite
 
-ACCURACY = 10_000  # the sketch's ranks are right to one part in this
-GRID = 1_000       # steps of a sketch
+FEW = 4_096     # rows of a range that are read off
+DIGIT_BITS = 12
+WHOLE_BITS = 54  # a mantissa of 53 bits as a signed integer; the logarithm may miss the exponent by one
+PASSES = 2 + -(-WHOLE_BITS // DIGIT_BITS)
+_ABOVE = 1_100  # makes all exponents positive
 
 
-def _sketch(values: Column) -> Column:
-    """Values at evenly spaced ranks; each rank is right to one part in ACCURACY."""
-    shares = F.split(F.lit(",".join(str(i / GRID) for i in range(GRID + 1))), ",").cast("array<double>")
-    return F.percentile_approx(values, shares, ACCURACY)
+@dataclass
+class _Range:
+    """Rows of a column between two values that hold wanted ranks."""
 
+    column: str
+    exponent: int          # floor of the logarithm; of no meaning for zero
+    bits: int              # bits of the mantissa that are not known yet
+    low: float
+    high: float
+    n: int
+    below: int             # rows of the column below the range
+    ranks: list[int] = field(default_factory=list)
 
-def _narrowed(sketch: Column, rank: Column, n: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """A range of values that holds the ranks around `rank` of n, within [low, high]; a step wider than the error."""
-    share = lambda r: F.try_divide(r.cast("double"), n.cast("double")) * GRID
-    down, up = F.floor(share(F.floor(rank))).cast("int") - 1, F.ceil(share(F.ceil(rank) + 1)).cast("int") + 1
-    return (F.when(down < 0, low).otherwise(F.coalesce(F.get(sketch, down), low)),
-            F.when(up > GRID, high).otherwise(F.coalesce(F.get(sketch, up), high)))
 
+def _power(exponent: int) -> list[float]:
+    """Two powers of two whose product scales by 2^exponent; a step through either loses no bit."""
+    half = exponent // 2
+    return [math.ldexp(1.0, half), math.ldexp(1.0, exponent - half)]
 
-def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """One row: of each column and probability a range around the wanted ranks that holds few rows.
 
-    A rank sketch of the column, and then one of the range that it leaves.
-    """
-    x = {c: finite(F.col(c).cast("double")) for c in columns}
-    first = df.agg(*[a for c in columns for a in (F.count(x[c]).alias(f"n_{c}"), F.min(x[c]).alias(f"min_{c}"),
-                                                  F.max(x[c]).alias(f"max_{c}"), _sketch(x[c]).alias(f"at_{c}"))])
-    ends = []
-    for c in columns:
-        for i, p in enumerate(probs):
-            low, high = _narrowed(F.col(f"at_{c}"), F.lit(float(p)) * (F.col(f"n_{c}") - 1), F.col(f"n_{c}"),
-                                  F.col(f"min_{c}"), F.col(f"max_{c}"))
-            ends += [low.alias(f"low_{c}_{i}"), high.alias(f"high_{c}_{i}")]
-    outer = first.select(*[f"n_{c}" for c in columns], *ends)
-
-    rows = df.select(*[v.alias(c) for c, v in x.items()]).withColumn("_p", as_struct(outer))
-    inner = rows.agg(*[a for c in columns for i in range(len(probs)) for a in _counted(c, i, _sketch)], F.first("_p").alias("_p"))
-    cells = [F.col(f"_p.n_{c}").alias(f"n_{c}") for c in columns]
-    for c in columns:
-        for i, p in enumerate(probs):
-            among = _rank(c, p) - F.col(f"below_{c}_{i}") - F.col(f"same_{c}_{i}")
-            low, high = _narrowed(F.col(f"in_{c}_{i}"), among, F.col(f"m_{c}_{i}"), F.col(f"_p.low_{c}_{i}"), F.col(f"_p.high_{c}_{i}"))
-            cells += [low.alias(f"low_{c}_{i}"), high.alias(f"high_{c}_{i}")]
-    return inner.select(*cells)
+def _first_digit(x: Column) -> Column:
+    """Sign and exponent, in the order of the values."""
+    exponent = F.floor(F.log2(F.abs(x))).cast("int") + _ABOVE
+    return F.when(x == 0, 0).when(x > 0, exponent).otherwise(-exponent)
 
 
-def _rank(c: str, p: float) -> Column:
-    return F.lit(float(p)) * (F.col(f"_p.n_{c}") - 1)
+def _next_digit(x: Column, part: _Range) -> Column:
+    """The leading unknown bits of the mantissa, and all above them, in the order of the values."""
+    one, two = _power(WHOLE_BITS - 2 - part.exponent)
+    return F.shiftright((x * F.lit(one) * F.lit(two)).cast("bigint"), max(0, part.bits - DIGIT_BITS))
 
 
-def _counted(c: str, i: int, gather) -> list[Column]:
-    """Rows below the range, at its lower end, strictly inside, and what `gather` makes of the latter."""
-    v, low, high = F.col(c), F.col(f"_p.low_{c}_{i}"), F.col(f"_p.high_{c}_{i}")
-    inside = (v > low) & (v < high)
-    return [F.count_if(v < low).alias(f"below_{c}_{i}"), F.count_if(v == low).alias(f"same_{c}_{i}"),
-            F.count_if(inside).alias(f"m_{c}_{i}"), gather(F.when(inside, v)).alias(f"in_{c}_{i}")]
+def _counted(rows: DataFrame, cells: list[Column]) -> DataFrame:
+    """(part, digit, n, low, high, until, total): one row for each digit; `until` counts the rows up to it."""
+    each = rows.select(F.inline(F.array_compact(F.array(*cells))))
+    counts = each.groupBy("part", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    digits = Window.partitionBy("part")  # at most 2^DIGIT_BITS rows, or as many as there are exponents
+    return counts.withColumns({"until": F.sum("n").over(digits.orderBy("digit")), "total": F.sum("n").over(digits)})
 
 
-def _exact(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """One row: v_<column>_<i>, the quantile of each probability, and n_<column>.
+def _cell(part: int, x: Column, digit: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), digit.cast("bigint").alias("digit"), x.alias("x"))
 
-    The values strictly inside a range are few: a value that many rows share fills
-    the range's ends, and those are only counted.
-    """
-    rows = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    rows = rows.withColumn("_p", as_struct(_brackets(df, columns, probs)))
-    one = rows.agg(*[a for c in columns for i in range(len(probs)) for a in _counted(c, i, lambda v: F.sort_array(F.collect_list(v)))],
-                   F.first("_p").alias("_p"))
 
-    def value(c, i, rank):
-        at = (rank - F.col(f"below_{c}_{i}")).cast("bigint")
-        place = (at - F.col(f"same_{c}_{i}")).cast("int")
-        missed = F.raise_error(F.lit("a rank lies outside its range")).cast("double")
-        return (F.when(at < 0, missed).when(place < 0, F.col(f"_p.low_{c}_{i}"))
-                .when(place < F.size(f"in_{c}_{i}"), F.get(F.col(f"in_{c}_{i}"), place)).otherwise(F.col(f"_p.high_{c}_{i}")))
+def _ranks(p: float, n: int) -> tuple[float, int, int]:
+    rank = p * (n - 1)
+    return rank, math.floor(rank), math.ceil(rank)
+
+
+def _first_pass(rows: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict[str, int], list[_Range]]:
+    cells = [F.when(F.col(c).isNotNull(), _cell(i, F.col(c), _first_digit(F.col(c)))) for i, c in enumerate(columns)]
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+
+    def inside(rank):
+        return (rank >= F.col("until") - F.col("n")) & (rank < F.col("until"))
 
-    def between(c, i, p):
-        """Linear interpolation between neighbours, in the built-in function's order of operations."""
-        rank = _rank(c, p)
-        low, high = value(c, i, F.floor(rank)), value(c, i, F.ceil(rank))
-        mixed = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
-        return F.when(F.col(f"_p.n_{c}") > 0, F.when(low == high, low).otherwise(mixed))
+    def holds(p):
+        rank = p * (F.col("total") - 1)
+        return inside(F.floor(rank)) | inside(F.ceil(rank))
 
-    return one.select(*[between(c, i, p).alias(f"v_{c}_{i}") for c in columns for i, p in enumerate(probs)],
-                      *[F.coalesce(F.col(f"_p.n_{c}"), F.lit(0)).alias(f"n_{c}") for c in columns])
+    found = _counted(rows, cells).where(F.exists(wanted, holds)).collect()  # at most two rows a probability and column
+    sizes, ranges = {columns[r.part]: r.total for r in found}, []
+    for r in found:
+        known = {k for p in probs for k in _ranks(p, r.total)[1:] if r.until - r.n <= k < r.until}
+        ranges.append(_Range(columns[r.part], abs(r.digit) - _ABOVE, WHOLE_BITS, r.low, r.high, r.n, r.until - r.n, sorted(known)))
+    return sizes, ranges
+
+
+def _next_pass(rows: DataFrame, ranges: list[_Range]) -> list[_Range]:
+    cells, wanted = [], None
+    for i, part in enumerate(ranges):
+        x = F.col(part.column)
+        cells.append(F.when(x.between(part.low, part.high), _cell(i, x, _next_digit(x, part))))
+        mine = F.array(*[F.lit(k - part.below) for k in part.ranks])
+        wanted = F.when(F.col("part") == i, mine) if wanted is None else wanted.when(F.col("part") == i, mine)
+    holds = F.exists(wanted, lambda k: (k >= F.col("until") - F.col("n")) & (k < F.col("until")))
+    out = []
+    for r in _counted(rows, cells).where(holds).collect():  # at most one row a rank
+        part = ranges[r.part]
+        below = part.below + r.until - r.n
+        ranks = [k for k in part.ranks if below <= k < below + r.n]
+        out.append(_Range(part.column, part.exponent, max(0, part.bits - DIGIT_BITS), r.low, r.high, r.n, below, ranks))
+    return out
+
+
+def _read_off(rows: DataFrame, ranges: list[_Range]) -> list[list[float]]:
+    """The sorted values of ranges with few rows."""
+    lists = [F.collect_list(F.when(F.col(p.column).between(p.low, p.high), F.col(p.column))).alias(f"v{i}") for i, p in enumerate(ranges)]
+    return [sorted(values) for values in rows.agg(*lists).first()] if ranges else []
+
+
+def order_statistics(df: DataFrame, columns: list[str], probs: list[float], few: int = FEW,
+                     log: list | None = None) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """(rows of each column, value of each (column, rank)) for the ranks next to the probabilities.
+
+    `log` receives (ranges, rows of the largest list) of each pass.
+    """
+    rows = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    values: dict[tuple[str, int], float] = {}
+    sizes, ranges = _first_pass(rows, columns, probs)
+    short: list[_Range] = []
+    while True:
+        open_ones = []
+        for part in ranges:
+            if part.low == part.high:
+                values.update({(part.column, k): part.low for k in part.ranks})
+            elif part.n <= few:
+                short.append(part)
+            else:
+                open_ones.append(part)
+        if log is not None:
+            log.append((len(ranges), 0))
+        if not open_ones:
+            break
+        ranges = _next_pass(rows, open_ones)
+    for part, found in zip(short, _read_off(rows, short)):
+        values.update({(part.column, k): found[k - part.below] for k in part.ranks})
+        if log is not None:
+            log.append((len(short), len(found)))
+    return sizes, values
+
+
+def _exact(df: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict[str, int], dict[tuple[str, float], float]]:
+    """Linear interpolation between neighbours, in the built-in function's order of operations."""
+    columns = list(dict.fromkeys(columns))
+    sizes, values = order_statistics(df, columns, probs)
+    out = {}
+    for c, n in sizes.items():
+        for p in probs:
+            rank, down, up = _ranks(float(p), n)
+            low, high = values[c, down], values[c, up]
+            out[c, p] = low if low == high else (up - rank) * low + (rank - down) * high
+    return sizes, out
+
+
+def _constants(spark: SparkSession, cells: list[Column]) -> DataFrame:
+    """One row of constants, which the optimiser puts in place of a scalar subquery."""
+    return spark.sql("SELECT 1 AS one").select(*cells)
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """(column, prob, value, n): linear-interpolated quantiles of finite values; columns without one have no rows."""
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"v_{c}_{i}").alias("value"),
-                      F.col(f"n_{c}").alias("n")) for c in columns for i, p in enumerate(probs)]
-    return _exact(df, columns, probs).select(F.inline(F.array(*cells))).where("n > 0")
+    sizes, found = _exact(df, columns, probs)
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.lit(found.get((c, p))).cast("double").alias("value"),
+                      F.lit(sizes.get(c, 0)).cast("bigint").alias("n")) for c in columns for p in probs]
+    return _constants(df.sparkSession, [F.inline(F.array(*cells))]).where("n > 0")
 
 
 def quantile_row(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """One row: ``<column>_<name>`` per column and named probability."""
-    found = _exact(df, columns, list(probs.values()))
-    return found.select(*[F.col(f"v_{c}_{i}").alias(f"{c}_{name}") for c in columns for i, name in enumerate(probs)])
+    _, found = _exact(df, columns, list(probs.values()))
+    return _constants(df.sparkSession, [F.lit(found.get((c, p))).cast("double").alias(f"{c}_{name}")
+                                        for c in columns for name, p in probs.items()])
 
 
 def as_struct(one_row: DataFrame) -> Column:
