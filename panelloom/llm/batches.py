@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import threading
 import time
 from collections.abc import Iterator
@@ -23,11 +24,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     """The frame, after the session's Arrow batches are held to `BATCH_BYTES`: texts are long, and a batch is
     in memory several times. Only memory depends on it."""
     session = df.sparkSession
-    if int(session.conf.get(SETTING).rstrip("b")) > BATCH_BYTES:
+    if _bytes(session.conf.get(SETTING)) > BATCH_BYTES:
         session.conf.set(SETTING, str(BATCH_BYTES))
     return df
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings state it: a number with or without a binary unit."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece take about `size` bytes (one row at least)."""
     for batch in batches:
@@ -57,11 +64,12 @@ _USED = [0.0]
 def kept(key: tuple, make):
     """One object that a worker keeps from task to task, until it has had no task for some seconds."""
     _USED[0] = time.monotonic()
-    if key not in _KEPT:
+    found = _KEPT.get(key)  # a reference of its own: the table may be cleared meanwhile
+    if found is None:
         _KEPT.clear()
-        _KEPT[key] = make()
+        found = _KEPT[key] = make()
         threading.Thread(target=_drop_idle, daemon=True).start()
-    return _KEPT[key]
+    return found
 
 
 def _drop_idle() -> None:

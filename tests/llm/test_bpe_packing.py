@@ -47,7 +47,6 @@ def whole_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [(i, x.ids + [1]) for (i, _), x in zip(cases.texts(), t.encode_batch([t for _, t in cases.texts()], add_special_tokens=False))]
 
 
@@ -110,7 +109,62 @@ def test_grouped_plan_equals_serial_best_fit():
         assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
 
 
-def test_words_apart_equal_words_in_text():
-    words = packing.Words(P.path("word_bpe_49k.json"))
-    for (_, ids), got in zip(whole_ids(), words.ids([t for _, t in cases.texts()])):
-        assert got.tolist() == ids
+HARD = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "<|startoftext|><|endoftext|>.", "It's 10,000.00 (ok). «a». b.", "x., y,. z.. .", "é. ×. ÷, ß. Ǆ. ñ",
+        "e\u0301. E\u0301", "İstanbul, STRASSE.", "a\tb\x0bc\x85d\u2028e\u00a0f. g", "0 00 0.0 a0b", "don't we'LL 'S", "\U0001f600. \U0001f600,", "abc" * 50 + ".",
+        "日本語、テスト。 ok.", "Ａ.", "\x00.", "....", ",", "a,b", "a.\nb,\n", "ﬁne. ﬃ,", "A\u030a.", "Å. Å.", "σς Σ. ΑΣ."]
+
+
+@pytest.mark.parametrize("held", [3, 100, 800_000])
+def test_words_apart_equal_words_in_text(held, monkeypatch):
+    """Ids are the library's, with a table that forgets after every run and one that never does."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(held)
+    mixed = ["".join(rng.choice(list("aàÀbB.,'’0 \n\t!é́ßσ<|>"), 40)) for _ in range(2000)]
+    texts = [t for _, t in cases.texts()] + HARD + mixed
+    monkeypatch.setattr(packing, "RUN_BYTES", 5_000)
+    words = packing.Words(P.path("word_bpe_49k.json"), held)
+    assert words.apart and words.folds
+    want = [x.ids + [1] for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in words.ids([t.encode() for t in texts])] == want
+    assert [x.tolist() for x in words.ids([t.encode() for t in texts])] == want
+
+
+@pytest.mark.parametrize("change", ["byte level", "cased", "blanks in tokens"])
+def test_other_vocabularies_are_read_as_their_file_says(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.loads(open(P.path("word_bpe_49k.json")).read())
+    if change == "cased":
+        rules["normalizer"]["normalizers"].pop()
+    if change == "blanks in tokens":
+        rules["pre_tokenizer"] = rules["pre_tokenizer"]["pretokenizers"][1]
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps(rules))
+    path = P.path("byte_bpe_50k.json") if change == "byte level" else str(path)
+    words = packing.Words(path)
+    assert words.apart == (change == "cased") and words.folds == (change == "blanks in tokens")
+    texts = [t for _, t in cases.texts()] + HARD
+    want = [x.ids + [1] for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in words.ids([t.encode() for t in texts])] == want
+
+
+def test_long_texts_are_cut_at_blanks():
+    text = ("word " * 3000 + "x" * 5000 + "\n" + "é " * 300).encode()
+    pieces = list(packing.pieces_of(text, 1000))
+    assert b"".join(pieces) == text and all(p[:1] in b" \n" for p in pieces[1:])
+    assert sum(len(p) > 1000 for p in pieces) == 1
+
+
+def test_ranks_follow_the_tasks(spark):
+    """Ranks of equal lengths have no gap, whatever the partitions."""
+    docs = spark.createDataFrame([(i, "a " * (i % 3) + "b " * 10 * (i % 2)) for i in range(300)], "doc_id long, text string").repartition(7)
+    ranked, counts = packing._ranked(packing.stage(packing.tokenise(docs, P.path("word_bpe_49k.json"), 8)), 8)
+    found = {}
+    for r in ranked.collect():
+        found.setdefault(r.length, []).append(r["rank"])
+    assert {n: sorted(x) for n, x in found.items()} == {n: list(range(len(x))) for n, x in found.items()}
+    assert sum(r.n for r in counts.collect()) == sum(map(len, found.values()))
