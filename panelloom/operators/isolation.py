@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -18,6 +19,7 @@ from panelloom.spec import ANOMALY_FEATURES, PanelSpec
 
 TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
 TREES_PER_TASK = 25
+SPARE = 1.5             # rows that enter a tree, for each one that it keeps
 MOST_NODES = 1_000_000
 ROWS_AT_ONCE = 2_000
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, "
@@ -48,23 +50,65 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def _number(digits: Column, length: int) -> Column:
+    """The leading hexadecimal digits as a number."""
+    return F.conv(F.substring(digits, 1, length), 16, 10).cast("bigint")
+
+
+def entries(trees: int, share: float) -> list[int]:
+    """Where a 52-bit number passes from k to k + 1 trees, if each takes the row with this probability."""
+    logs = [math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1) + k * math.log(share) + (trees - k) * math.log1p(-share)
+            for k in range(trees)]
+    total, bounds = 0.0, []
+    for x in logs:
+        total += math.exp(x)
+        bounds.append(int(total * (1 << 52)))
+    return [b for b in bounds if b < 1 << 52]
+
+
+def entered(ids: list[Column], trees: int, share: float, seed: int) -> Column:
+    """The trees that a row may be drawn for: each with the same probability, independently.
+
+    One hash gives their number by the inverted binomial distribution, and one for each
+    of them says which, without repetition (Floyd's subset sampling). In a large table
+    nearly every row enters none, and costs one hash.
+    """
+    if share >= 1:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+    bounds = entries(trees, share)
+
+    def number(at):
+        return F.when(at < bounds[0], 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= at)))
+
+    def chosen(number):
+        draws = F.transform(F.sequence(F.lit(trees + 1) - number, F.lit(trees)), lambda j: F.struct(
+            j.cast("int").alias("last"), (F.pmod(_number(_digest(*ids, F.lit(seed), F.lit("enters"), j), 8), j) + 1).cast("int").alias("tree")))
+        got = F.aggregate(draws, F.array().cast("array<int>"), lambda got, d: F.concat(
+            got, F.array(F.when(F.array_contains(got, d["tree"]), d["last"]).otherwise(d["tree"]))))
+        return F.when(number > 0, F.transform(got, lambda tree: tree - 1))
+
+    return _once(_once(_number(_digest(*ids, F.lit(seed)), 13), number), chosen)
+
+
+def _once(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often the former names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def draw(df: DataFrame, identity: list[str], trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, order) rows: ``sample`` rows for every tree (all, if there are fewer), chosen by row hash.
 
-    Every tree draws from the whole table; a row may be in several trees. A row goes only
-    to the trees whose hash of it is among about the first ``2 * sample``; if a tree has
-    come out short, the share is raised, so the result is exact.
+    Every tree draws from the whole table; a row may be in several trees. A row enters a
+    tree with a probability that gives ``SPARE * sample`` rows on average, and the first by
+    hash are kept, on the map side first. If a tree has come out short the share is
+    raised, so the result is exact.
     """
     ids = [F.col(c) for c in identity]
-    order = lambda tree: _digest(*ids, F.lit(seed), tree)
     total = df.count()
-    share = 2.0 * sample / max(total, 1)
-    w = Window.partitionBy("tree").orderBy(order(F.col("tree")), *ids)
+    share = SPARE * sample / max(total, 1)
+    w = Window.partitionBy("tree").orderBy(_digest(*ids, F.lit(seed), F.col("tree")), *ids)
     while True:
-        # The first digits of a hash, or a letter after all digits.
-        bound = f"{int(share * (1 << 52)):013x}" if share < 1 else "g"
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: order(tree) < bound)
-        rows = df.select("*", F.explode(chosen).alias("tree"))
+        rows = df.select("*", F.explode(entered(ids, trees, share, seed)).alias("tree"))
         drawn = stage(rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= sample), "samples")
         if share >= 1 or drawn.count() == trees * min(sample, total):
             return drawn

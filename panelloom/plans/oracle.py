@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelloom.operators.isolation import SPARE
 from panelloom.plans.fixtures import (
     ANOMALY_SCORES_SQL, BLOCK, IMAGE_FEATURES_SQL, PALETTE, PANEL_SQL, SIDE, TABLES)
 from panelloom.spec import FEATURES, GRADES, INDICATORS, PILLARS
@@ -240,8 +241,21 @@ def forest_blocks(source: str, columns, trees: int, sample: int, seed: int) -> d
     number = lambda at: f"CAST(concat('0x', substr(digits, {at}, 8)) AS BIGINT)"
     out = {
         "fx": "SELECT country, year, " + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS x{i}" for i, c in enumerate(columns)) + f" FROM {source}",
+        "fn": f"SELECT least(1.0E0, {SPARE}E0 * {sample} / count(*)) AS share FROM fx",
+        "fb": f"""SELECT list(CAST(floor(total * 4503599627370496.0E0) AS BIGINT) ORDER BY k) AS bounds FROM (
+            SELECT k, sum(exp(lgamma({trees + 1}) - lgamma(k + 1) - lgamma({trees + 1} - k) + k * ln(share) + ({trees} - k) * ln(1 - share)))
+                      OVER (ORDER BY k) AS total FROM range(0, {trees}) g(k), fn WHERE share < 1)""",
+        "fp": f"""SELECT country, year, {trees + 1} - number AS j, CAST([] AS BIGINT[]) AS got FROM (
+              SELECT country, year, CASE WHEN share < 1 THEN len(list_filter(bounds, lambda b: b <=
+                CAST(concat('0x', substr(md5(concat_ws('|', country, year, {seed})), 1, 13)) AS BIGINT))) ELSE {trees} END AS number FROM fx, fn, fb)
+            UNION ALL
+            SELECT country, year, j + 1, list_append(got, CASE WHEN list_contains(got, t) THEN j ELSE t END)
+            FROM (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', country, year, {seed}, 'enters', j)), 1, 8)) AS BIGINT) % j + 1 AS t
+                  FROM fp WHERE j <= {trees})""",
+        "fe": f"SELECT country, year, CAST(unnest(got) - 1 AS BIGINT) AS tree FROM fp WHERE j = {trees + 1}",
         "fs0": f"""SELECT tree, 1 AS node, {xs} FROM (SELECT fx.*, tree, row_number() OVER (PARTITION BY tree
-            ORDER BY md5(concat_ws('|', country, year, {seed}, tree)), country, year) AS k FROM fx, range(0, {trees}) g(tree)) WHERE k <= {sample}""",
+            ORDER BY md5(concat_ws('|', fx.country, fx.year, {seed}, tree)), fx.country, fx.year) AS k
+            FROM fx JOIN fe ON fx.country = fe.country AND fx.year = fe.year) WHERE k <= {sample}""",
         "fw0": f"SELECT country, year, tree, 1 AS node, {xs} FROM fx, range(0, {trees}) g(tree)"}
     nodes, paths = [], []
     for d in range(deep + 1):

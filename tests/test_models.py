@@ -1,5 +1,7 @@
 """Isolation forest, sequence errors and tree forecasts: invariants and hand cases."""
 
+import hashlib
+import math
 import random
 
 import duckdb
@@ -61,15 +63,58 @@ def test_sample_is_drawn_alike_at_every_size(spark, rows):
     assert drawn.count() == drawn.select("tree", "k").distinct().count() > drawn.select("k").distinct().count()
 
 
-@pytest.mark.parametrize("trees, sample", [(4, 64), (60, 1)])
-def test_every_tree_draws_from_all_rows_as_the_sql(spark, trees, sample):
-    """More rows than 16 samples; with samples of one row some trees come out short at first."""
-    blocks = forest_blocks("feat", ("a",), trees, sample, 42)
-    feat = "SELECT concat('k', CAST(i % 7 AS VARCHAR)) AS country, i // 7 AS year, i AS a FROM range(6000) r(i)"
-    want = duckdb.sql(f"WITH feat AS ({feat}), fx AS ({blocks['fx']}), fs0 AS ({blocks['fs0']}) SELECT tree, CAST(x0 AS BIGINT) FROM fs0").fetchall()
-    df = spark.range(6000).selectExpr("concat('k', id % 7) AS country", "id div 7 AS year", "id AS a")
-    got = isolation.draw(df, ["country", "year"], trees, sample, 42).select("tree", "a").collect()
-    assert len(got) == trees * sample and sorted(map(tuple, got)) == sorted(want)
+def _digits(*parts):
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def _drawn(rows, trees, sample, seed):
+    """The rows of each tree, one row after another."""
+    share = isolation.SPARE * sample / len(rows)
+    while True:
+        bounds = isolation.entries(trees, share) if share < 1 else []
+        found = {t: [] for t in range(trees)}
+        for row in rows:
+            at = int(_digits(*row, seed)[:13], 16)
+            number = sum(b <= at for b in bounds) if share < 1 else trees
+            got = []
+            for j in range(trees - number + 1, trees + 1):
+                t = int(_digits(*row, seed, "enters", j)[:8], 16) % j + 1
+                got.append(j if t in got else t)
+            for t in got:
+                found[t - 1].append((_digits(*row, seed, t - 1), row))
+        if share >= 1 or all(len(x) >= sample for x in found.values()):
+            return [(t, row) for t, x in found.items() for _, row in sorted(x)[:sample]]
+        share *= 2
+
+
+@pytest.mark.parametrize("trees, sample, rows", [(4, 64, 6000), (60, 1, 3000), (200, 256, 300), (200, 256, 500), (200, 256, 5000)])
+def test_every_tree_draws_from_all_rows(spark, trees, sample, rows):
+    """Few rows and many; with samples of one row some trees come out short at first."""
+    df = spark.range(rows).selectExpr("concat('k', id % 7) AS country", "id div 7 AS year", "id AS a").repartition(5)
+    got = isolation.draw(df, ["country", "year"], trees, sample, 42).select("tree", "country", "year").collect()
+    want = _drawn([(f"k{i % 7}", i // 7) for i in range(rows)], trees, sample, 42)
+    assert sorted(map(tuple, got)) == sorted((t, *row) for t, row in want)
+    if sample > 1:  # the statement does not raise the share
+        blocks = forest_blocks("feat", ("a",), trees, sample, 42)
+        feat = f"SELECT concat('k', CAST(i % 7 AS VARCHAR)) AS country, i // 7 AS year, i AS a FROM range({rows}) r(i)"
+        parts = ", ".join(f"{n} AS ({blocks[n]})" for n in ("fx", "fn", "fb", "fp", "fe", "fs0"))
+        stated = duckdb.sql(f"WITH RECURSIVE feat AS ({feat}), {parts} SELECT tree, CAST(x0 AS BIGINT) FROM fs0").fetchall()
+        assert sorted((r.tree, 7 * r.year + int(r.country[1:])) for r in got) == sorted(stated)
+
+
+def test_trees_enter_with_equal_chance_and_few_hashes(spark):
+    """Entries follow the binomial distribution, for each tree alike; a row's plan has one hash and one for each entry."""
+    rows, trees, share = 40_000, 200, 0.01
+    df = spark.range(rows).select("id", isolation.entered([F.col("id")], trees, share, 7).alias("got"))
+    counts = df.groupBy(F.coalesce(F.size("got"), F.lit(0)).alias("k")).count().collect()
+    found = {max(r.k, 0): r["count"] for r in counts}
+    for k in range(5):
+        expected = rows * math.comb(trees, k) * share ** k * (1 - share) ** (trees - k)
+        assert abs(found[k] - expected) < 5 * math.sqrt(expected)
+    each = df.select(F.explode("got").alias("tree")).groupBy("tree").count().collect()
+    assert len(each) == trees and all(abs(r["count"] - rows * share) < 6 * math.sqrt(rows * share) for r in each)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("md5(") == 2
 
 
 def test_path_constant():
