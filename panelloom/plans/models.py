@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.exprs import score_severity
 from panelloom.operators import forecast, isolation, ordering, sequences, trees, windows
 from panelloom.plans import fixtures, views
-from panelloom.plans.oracle import cols, dec, forest_blocks, sql
+from panelloom.plans.oracle import cols, dec, forest_blocks, sequence_blocks, sql
 from panelloom.plans.registry import KEY, KEYS, SPEC, SQL_KEYS, features, query, show
 from panelloom.plans.scores import scored_table
 from panelloom.plans.tables import _SEV, _SEVS, _with_severity
@@ -103,7 +103,13 @@ def alert_view(spark, sf):
     return views.alert_lines(_with_severity(spark, sf), SPEC)
 
 
-@query("sequence_error")
+_SEQUENCES = sequence_blocks("feat", ANOMALY_FEATURES, sequences.LENGTH, sequences.LATENT, sequences.STEPS, sequences.SEED, sequences.FLAT)
+
+
+@query("sequence_error", sql(
+    f"""SELECT f.country, f.year, round(coalesce(e, 0), 5) AS lstm_error,
+               coalesce(e > (SELECT quantile_cont(e, {sequences.PERCENTILE}) FROM serr), false) AS lstm_anomaly
+        FROM feat f LEFT JOIN serr ON f.country = serr.country AND f.year = serr.year""", "feat", **_SEQUENCES))
 def sequence_error(spark, sf):
     out = sequences.sequence_error(features(spark, sf), SPEC)
     return out.select(*KT, F.round("lstm_error", 5).alias("lstm_error"), "lstm_anomaly")

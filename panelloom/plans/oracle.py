@@ -280,6 +280,38 @@ def forest_blocks(source: str, columns, trees: int, sample: int, seed: int) -> d
     return out
 
 
+def sequence_blocks(source: str, columns, length: int, latent: int, steps: int, seed: int, flat: float) -> dict[str, str]:
+    """Blocks that scale rows, cut runs, take the power steps row by row, and reconstruct."""
+    width = length * len(columns)
+    rank = min(latent, width)
+    scaled = ", ".join(f"(coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / (CASE WHEN stddev_pop(coalesce({c}, 0)) OVER () = 0 "
+                       f"THEN 1 ELSE stddev_pop(coalesce({c}, 0)) OVER () END)" for c in columns)
+    start = f"(CAST(concat('0x', substr(md5(concat_ws('|', {seed}, k, i)), 1, 8)) AS BIGINT) + 0.5E0) / 4294967296.0E0 - 0.5E0"
+    return {
+        "srow": f"SELECT country, year, [{scaled}] AS v FROM {source}",
+        "srun": f"""SELECT country, year, flatten(vs) AS x FROM (SELECT country, year, list(v) OVER (
+            PARTITION BY country ORDER BY year ROWS {length - 1} PRECEDING) AS vs FROM srow) WHERE len(vs) = {length}""",
+        "smean": f"SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x[i]) AS m FROM srun, range(1, {width + 1}) g(i) GROUP BY i)",
+        "sdev": "SELECT country, year, list_transform(list_zip(x, m), lambda z: z[1] - z[2]) AS x FROM srun, smean",
+        "scov": f"""SELECT list(r ORDER BY i) AS c, sum(r[i]) AS total FROM (SELECT i, list(s ORDER BY j) AS r FROM (
+            SELECT i, j, sum(x[i] * x[j]) AS s FROM sdev, range(1, {width + 1}) a(i), range(1, {width + 1}) b(j) GROUP BY i, j) GROUP BY i)""",
+        "spow": f"""SELECT 0 AS step, list(q ORDER BY k) AS old, CAST([] AS DOUBLE[][]) AS new FROM (
+              SELECT k, list({start} ORDER BY i) AS q FROM range(0, {rank}) a(k), range(0, {width}) b(i) GROUP BY k)
+            UNION ALL
+            SELECT step + 1, CASE WHEN len(new) = {rank - 1} THEN list_append(new, q) ELSE old END,
+                   CASE WHEN len(new) = {rank - 1} THEN [] ELSE list_append(new, q) END
+            FROM (SELECT *, CASE WHEN sqrt(list_dot_product(u, u)) > {flat!r} * total
+                            THEN list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) ELSE list_transform(u, lambda y: 0.0E0) END AS q
+                  FROM (SELECT step, old, new, total, list_reduce(list_prepend(list_transform(c, lambda r: list_dot_product(r, old[len(new) + 1])), new),
+                               lambda a, b: list_transform(list_zip(a, b), lambda z: z[1] - list_dot_product(a, b) * z[2])) AS u
+                        FROM spow, scov WHERE step < {steps * rank}))""",
+        "sproj": f"""SELECT list_transform(range(1, {width + 1}), lambda i: list_transform(range(1, {width + 1}), lambda j:
+            list_sum(list_transform(old, lambda q: q[i] * q[j])))) AS p FROM spow WHERE step = {steps * rank}""",
+        "serr": """SELECT country, year, list_avg(list_transform(list_zip(x, list_transform(p, lambda r: list_dot_product(r, x))),
+            lambda z: abs(z[1] - z[2]))) AS e FROM sdev, sproj""",
+    }
+
+
 def confidence_smoke() -> str:
     return ("round(CASE WHEN laplacian_var < 100 THEN 0.35E0 ELSE 0 END + CASE WHEN smoke_ratio > 0.3 THEN 0.40E0 ELSE 0 END"
             " + CASE WHEN gray_std < 38.25 THEN 0.25E0 ELSE 0 END, 6)")
