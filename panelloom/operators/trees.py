@@ -1,35 +1,37 @@
-"""Tree-ensemble forecasts with Spark ML, one model for a whole panel or one key."""
+"""Tree-ensemble forecasts, one model for a whole panel or one key: a forest, and boosted trees of Spark ML."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, functions as F
 
-from panelloom.functions.exprs import unit_hash
-from panelloom.operators import chunks
-from panelloom.operators.derive import lag_features, lag_names
+from panelloom.operators import chunks, forest
+from panelloom.operators.derive import LAGS, lag_features, lag_names
 from panelloom.operators.forecast import ensemble, historical_view, holt_fit, holt_forecast, trend_projection
 from panelloom.operators.stats import error_metrics
 from panelloom.operators.windows import enough_history, timeseries_folds
-from panelloom.sources.storage import cut, stage
+from panelloom.sources.storage import stage
 from panelloom.spec import PanelSpec
 
 SEED = 42
 HISTORY = 5          # longest lag and widest rolling mean
-MOST_ROWS = 20_000   # training rows of a model; bounds its nodes, which the driver holds
-CHECKPOINT_EVERY = 5
+MOST_ROWS = 20_000   # rows that a tree draws on average; bounds its task and the forest's nodes
 MIN_ROWS = 10        # known values that a key must have
 
 
 @dataclass(frozen=True)
 class ForestModel:
-    model: object
+    nodes: DataFrame         # the node table, see forest.NODES
     target: str
     inputs: tuple[str, ...]
-    metrics: DataFrame
+    metrics: DataFrame       # n, mae, r2 over all training rows
 
 
 def training_rows(df: DataFrame, spec: PanelSpec, target: str, extra: list[str], leaky: bool) -> DataFrame:
@@ -45,88 +47,92 @@ def _assembled(rows: DataFrame, inputs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(typed)
 
 
-def sampled(rows: DataFrame, spec: PanelSpec, most: int, seed: int) -> DataFrame:
-    """At most about `most` rows, by hash of key and period: all, if there are no more."""
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rows.where(unit_hash(F.col(spec.key), F.col(spec.time), F.lit(seed)) < F.lit(float(most)) / total)
-
-
 def forest_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", trees: int = 300,
                depth: int = 30, leaky: bool = False, seed: int = SEED, most_rows: int = MOST_ROWS) -> ForestModel:
     """Random forest on lags, period and passive columns, with its errors over all training rows.
 
-    A tree has at most two nodes for each row that it is fitted on, so `most_rows` bounds the
-    model, however many keys the panel has; the errors cover the other rows too.
+    Every tree draws about `most_rows` rows (as many as there are, if fewer) from all of them.
     """
-    whole = stage(training_rows(df, spec, target, list(spec.passive), leaky), "forest-rows")
+    whole = training_rows(df, spec, target, list(spec.passive), leaky)
     inputs = [*lag_names(target), spec.time, *[c for c in spec.passive if c in df.columns]]
-    ready = _assembled(whole, inputs)
-    model = RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol="predicted", numTrees=trees,
-        maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all", seed=seed).fit(sampled(ready, spec, most_rows, seed))
-    metrics = error_metrics(model.transform(ready), target, "predicted")
-    return ForestModel(model, target, tuple(inputs), metrics)
+    whole = stage(whole.withColumns({c: F.col(c).cast("double") for c in [target, *inputs] if c != spec.time}), "forest-rows")
+    nodes = stage(forest.fit(whole, [spec.key, spec.time], target, inputs, trees, depth, most_rows, seed), "forest-nodes")
+    shared = df.sparkSession.sparkContext.broadcast(forest.Packed(nodes))
+
+    @F.pandas_udf("double")
+    def predicted(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(shared.value.predict(x.to_numpy(dtype="float64")))
+
+    metrics = error_metrics(whole.select(target, predicted(F.struct(*inputs)).alias("predicted")), target, "predicted")
+    return ForestModel(nodes, target, tuple(inputs), metrics)
 
 
 def feature_importance(fitted: ForestModel) -> DataFrame:
-    """(feature, importance), largest first. Reads model metadata only."""
-    weights = fitted.model.featureImportances.toArray()
-    rows = [(name, float(w)) for name, w in zip(fitted.inputs, weights)]
-    spark = fitted.metrics.sparkSession
-    return (spark.createDataFrame(rows, "feature string, importance double")
-            .orderBy(F.col("importance").desc(), "feature"))
-
-
-def _from_history(target: str, step: int, spec: PanelSpec) -> dict[str, Column]:
-    """Lag features of the next period from the newest-last history array."""
-    h, n = F.col("_history_values"), F.size("_history_values")
-    last = F.element_at(h, -1)
-    def back(k):
-        return F.when(n >= k, F.try_element_at(h, F.lit(-k))).otherwise(last)
+    """(feature, importance), largest first: the share of the squared error that its cuts take away."""
+    return forest.importance(fitted.nodes, list(fitted.inputs))
+
+
+def forest_trees(fitted: ForestModel) -> DataFrame:
+    """(tree, rows, nodes, depth, total): draws, nodes and depth of every tree, and the sum of its leaves' targets in units."""
+    leaf = F.col("feature") < 0
+    return fitted.nodes.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("rows"))).alias("rows"), F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"),
+        F.sum(F.when(leaf, F.col("total") * F.col("node"))).alias("total"))
+
+
+def _next_inputs(values: np.ndarray, known: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """Lag features of the next period; `values` holds the last values, newest last, `known` of them a row."""
+    rows = np.arange(len(values))
+    last = values[:, -1]
+    back = lambda k: np.where(known >= k, values[rows, -np.minimum(k, values.shape[1])], last)
+
     def mean(k):
-        part = F.when(n > k, F.slice(h, -k, k)).otherwise(h)
-        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / F.size(part)
-    return {
-        **{f"{target}_lag{k}": back(k) for k in (1, 2, 3, 5)},
-        f"{target}_diff1": last - back(2),
-        f"{target}_rolling3": mean(3),
-        f"{target}_rolling5": mean(5),
-        spec.time: (F.col("last_year") + step).cast("double"),
-    }
+        total = np.zeros(len(values))
+        for i in range(min(k, values.shape[1]), 0, -1):  # oldest first
+            total = np.where(known >= i, total + values[:, -i], total)
+        return total / np.minimum(known, k)
+
+    return np.stack([*(back(k) for k in LAGS), last - back(2), mean(3), mean(5), period], axis=1)
 
 
 def forest_forecast(df: DataFrame, spec: PanelSpec, fitted: ForestModel, horizon: int = 10) -> DataFrame:
-    """Recursive forecast: one row per key moves ahead one period per step.
+    """Recursive forecast: every key moves ahead `horizon` periods in one pass over the keys.
 
     A row holds the key's last five values, so its size does not depend on the
-    length of the series. Passive columns stay at their last known value.
+    length of the series. Passive columns stay at their last known value. The nodes go
+    along with the code, after their number is checked.
     """
     target = fitted.target
     passive = [c for c in spec.passive if c in fitted.inputs]
     known = df.where(F.col(target).isNotNull())
     tail = (chunks.last_rows(known.select(spec.key, spec.time, target), spec, HISTORY)
             .groupBy(spec.key)
-            .agg(F.max(spec.time).alias("last_year"),
+            .agg(F.max(spec.time).cast("int").alias("last_year"),
                  F.transform(F.array_sort(F.collect_list(F.struct(spec.time, target))),
-                             lambda r: r[target]).alias("_history_values")))
-    frozen = df.groupBy(spec.key).agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(spec.time))).alias(c) for c in passive])
-    state = tail.join(frozen, spec.key) if passive else tail
-    state = state.na.fill(0.0, subset=passive) if passive else state
-    state = stage(state.withColumn("_path", F.array().cast("array<double>")), "forest-state")
-    keep = [spec.key, "last_year", "_history_values", "_path", *passive]
-    for step in range(1, horizon + 1):
-        rows = state.withColumns(_from_history(target, step, spec))
-        predicted = fitted.model.transform(_assembled(rows, list(fitted.inputs)))
-        newer = F.concat(F.slice("_history_values", F.greatest(F.size("_history_values") - HISTORY + 2, F.lit(1)),
-                                 F.lit(HISTORY - 1)), F.array("predicted"))
-        state = predicted.select(
-            *[c for c in keep if c not in ("_history_values", "_path")],
-            newer.alias("_history_values"), F.concat("_path", F.array("predicted")).alias("_path"))
-        if step % CHECKPOINT_EVERY == 0 and step < horizon:
-            state = cut(state)
-    return (state.select(spec.key, "last_year", F.posexplode("_path").alias("_step", "predicted"))
-            .select(spec.key, (F.col("last_year") + F.col("_step") + 1).cast("int").alias(spec.time), "predicted"))
+                             lambda r: r[target].cast("double")).alias("values")))
+    if passive:
+        frozen = df.groupBy(spec.key).agg(*[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(spec.time))).cast("double").alias(c) for c in passive])
+        tail = tail.join(frozen, spec.key).na.fill(0.0, subset=passive)
+    shared = df.sparkSession.sparkContext.broadcast(forest.Packed(fitted.nodes))
+
+    def ahead(batches):
+        for rows in batches:
+            known = rows["values"].map(len).to_numpy()
+            values = np.array([[np.nan] * (HISTORY - len(v)) + list(v) for v in rows["values"]], dtype="float64").reshape(-1, HISTORY)
+            still, year = rows[passive].to_numpy(dtype="float64"), rows["last_year"].to_numpy()
+            path = []
+            for step in range(1, horizon + 1):
+                x = np.concatenate([_next_inputs(values, known, (year + step).astype("float64")), still], axis=1)
+                path.append(shared.value.predict(x))
+                values = np.concatenate([values[:, 1:], path[-1][:, None]], axis=1)
+                known = np.minimum(known + 1, HISTORY)
+            yield pd.DataFrame({spec.key: np.repeat(rows[spec.key].to_numpy(), horizon),
+                                spec.time: (year[:, None] + np.arange(1, horizon + 1)).ravel().astype("int32"),
+                                "predicted": np.stack(path, axis=1).ravel()})
+
+    kind = dict(df.dtypes)[spec.key]
+    return tail.mapInPandas(ahead, f"`{spec.key}` {kind}, `{spec.time}` int, predicted double")
 
 
 def boosting_cv(df: DataFrame, spec: PanelSpec, target: str = "co2", rounds: int = 200,
@@ -137,15 +143,21 @@ def boosting_cv(df: DataFrame, spec: PanelSpec, target: str = "co2", rounds: int
     inputs = [*lag_names(target), spec.time]
     split = stage(timeseries_folds(_assembled(rows, inputs).select(
         spec.key, spec.time, target, "features"), spec, folds), "folds")
-    errors = None
-    for fold in range(1, folds + 1):
+
+    def fitted(fold):
         part = split.where(F.col("fold") == fold)
         model = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="predicted",
                              maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
                              seed=seed).fit(part.where("role = 'train'"))
         one = error_metrics(model.transform(part.where("role = 'test'")), target, "predicted")
-        one = one.select(F.lit(fold).alias("fold"), "n", "mae")
-        errors = one if errors is None else errors.unionByName(one)
+        return one.select(F.lit(fold).alias("fold"), "n", "mae")
+
+    # A fold's rounds follow each other, but the folds do not: their jobs share the cluster.
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(fitted), range(1, folds + 1)))
+    errors = parts[0]
+    for one in parts[1:]:
+        errors = errors.unionByName(one)
     return errors.agg(F.count(F.lit(1)).alias("folds"), F.avg("mae").alias("mae_mean"),
                       F.stddev_pop("mae").alias("mae_std"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.functions.exprs import score_severity
-from panelloom.operators import forecast, isolation, ordering, sequences, trees, windows
+from panelloom.operators import forecast, forest, isolation, ordering, sequences, trees, windows
 from panelloom.plans import fixtures, views
-from panelloom.plans.oracle import cols, dec, forest_blocks, sequence_blocks, sql
+from panelloom.plans.oracle import cols, dec, forest_blocks, regression_blocks, sequence_blocks, sql
 from panelloom.plans.registry import KEY, KEYS, SPEC, SQL_KEYS, features, query, show
 from panelloom.plans.scores import scored_table
 from panelloom.plans.tables import _SEV, _SEVS, _with_severity
@@ -223,7 +223,12 @@ def history_plus_forecast(spark, sf):
 
 # --- tree forecasts ------------------------------------------------------
 
-@query("forest_fit")
+_REGRESSION = regression_blocks("feat", "co2", SPEC.passive, 300, 30, trees.SEED, forest.BINS, forest.UNITS)
+_GROWN = {n: t for n, t in _REGRESSION.items() if not n.startswith("rw") and n != "rpred"}
+
+
+@query("forest_fit", sql("""SELECT count(*) AS n, round(avg(abs(t - p)), 5) AS mae,
+   round(1 - sum((t - p) * (t - p)) / (var_pop(t) * count(*)), 5) AS r2 FROM rbin JOIN rpred USING (country, year)""", "feat", **_REGRESSION))
 def forest_fit(spark, sf):
     fitted = trees.forest_fit(features(spark, sf), SPEC)
     return show(fitted.metrics, ["n"], ["mae", "r2"], 5)
@@ -236,7 +241,16 @@ def forest_forecast(spark, sf):
     return show(trees.forest_forecast(rows, SPEC, fitted), KT, ["predicted"], 5)
 
 
-@query("feature_importance")
+@query("forest_trees", sql("""SELECT CAST(tree AS INT) AS tree, CAST(sum(n) FILTER (f IS NULL) AS BIGINT) AS rows, count(*) AS nodes,
+   CAST(max(depth) AS INT) AS depth, CAST(sum(total * node) FILTER (f IS NULL) AS BIGINT) AS total FROM rnodes GROUP BY tree""", "feat", **_GROWN))
+def forest_trees(spark, sf):
+    """Of every tree the rows it drew, its nodes and depth, and a sum of its leaves that tells their places apart."""
+    return trees.forest_trees(trees.forest_fit(features(spark, sf), SPEC))
+
+
+@query("feature_importance", sql("""SELECT feature, round(coalesce(share / sum(share) OVER (), 0), 6) AS importance
+   FROM rnames LEFT JOIN (SELECT f, sum(gain / whole) AS share FROM (
+     SELECT f, gain, sum(gain) OVER (PARTITION BY tree) AS whole FROM rnodes WHERE f IS NOT NULL) GROUP BY f) USING (f)""", "feat", **_GROWN))
 def feature_importance(spark, sf):
     fitted = trees.forest_fit(features(spark, sf), SPEC)
     return show(trees.feature_importance(fitted), ["feature"], ["importance"], 6)

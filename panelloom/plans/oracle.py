@@ -280,6 +280,56 @@ def forest_blocks(source: str, columns, trees: int, sample: int, seed: int) -> d
     return out
 
 
+def regression_blocks(source: str, target: str, passive, trees: int, depth: int, seed: int, bins: int, units: int) -> dict[str, str]:
+    """Blocks that build lag rows, draw, grow level by level and predict a regression forest; rows are no more than a sample."""
+    lag = lambda n: f"lag({target}, {n}) OVER {W})"
+    mean = lambda n: f"avg({target}) OVER {W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    inputs = {**{f"{target}_lag{n}": lag(n) for n in (1, 2, 3, 5)}, f"{target}_diff1": f"{lag(1)} - {lag(2)}",
+              f"{target}_rolling3": mean(3), f"{target}_rolling5": mean(5), "year": "year", **{c: c for c in passive}}
+    names = list(inputs)
+    xs = ", ".join(f"CAST({e} AS DOUBLE)" for e in inputs.values())
+    width = len(names)
+    out = {
+        "rrow": f"""SELECT country, year, t, x FROM (SELECT country, year, {target} AS t, [{xs}] AS x FROM {source})
+            WHERE t IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL)) = 0""",
+        "rend": "SELECT min(t) AS low, max(t) AS high, count(*) AS n FROM rrow",
+        "rcut": f"""SELECT list(cuts ORDER BY f) AS cuts FROM (SELECT f, list(DISTINCT v ORDER BY v) AS cuts FROM (
+              SELECT f, x[f] AS v, row_number() OVER (PARTITION BY f ORDER BY x[f]) - 1 AS place FROM rrow, range(1, {width + 1}) a(f))
+            WHERE place IN (SELECT CAST(floor(CAST(k AS DOUBLE) / {bins} * (n - 1)) AS BIGINT) FROM range(1, {bins}) b(k), rend) GROUP BY f)""",
+        "rbin": f"""SELECT country, year, t, CASE WHEN high > low THEN CAST(floor((t - low) / (high - low) * {units}) AS BIGINT) ELSE 0 END AS y,
+              list_transform(range(1, {width + 1}), lambda f: len(list_filter(cuts[f], lambda c: c < x[f]))) AS b FROM rrow, rend, rcut""",
+        "rbound": f"""SELECT list(CAST(floor(total * 4503599627370496.0E0) AS BIGINT) ORDER BY k) AS bounds FROM (
+              SELECT k, sum(exp(k * ln({trees}.0E0) - {trees} - lgamma(k + 1))) OVER (ORDER BY k) AS total FROM range(0, {3 * trees + 100}) a(k))""",
+        "rdraw": f"""SELECT CAST(concat('0x', substr(md5(concat_ws('|', country, year, {seed}, 'draws', j // 4)), CAST(j % 4 * 8 + 1 AS INT), 8)) AS BIGINT)
+              % {trees} AS tree, y, b FROM (
+              SELECT *, unnest(range(0, len(list_filter(bounds, lambda c: c <= CAST(concat('0x', substr(md5(concat_ws('|', country, year, {seed})), 1, 13))
+                AS BIGINT))))) AS j FROM rbin, rbound)""",
+        "rs0": "SELECT tree, CAST(1 AS BIGINT) AS node, y, b FROM rdraw",
+        "rw0": f"SELECT country, year, tree, CAST(1 AS BIGINT) AS node, b FROM rbin, range(0, {trees}) a(tree)"}
+    nodes, paths = [], []
+    for d in range(depth + 1):
+        out[f"rt{d}"] = (f"SELECT tree, node, count(*) AS n, CAST(sum(y) AS BIGINT) AS total, CAST(sum(y) AS DOUBLE) AS s, min(y) AS l, max(y) AS h "
+                         f"FROM rs{d} GROUP BY tree, node")
+        out[f"rh{d}"] = f"""SELECT tree, node, f, bin, CAST(sum(m) OVER w AS DOUBLE) AS nl, CAST(sum(v) OVER w AS DOUBLE) AS sl FROM (
+              SELECT tree, node, f, b[f] AS bin, count(*) AS m, sum(y) AS v FROM rs{d}, range(1, {width + 1}) a(f) GROUP BY ALL)
+            WINDOW w AS (PARTITION BY tree, node, f ORDER BY bin)"""
+        out[f"rc{d}"] = f"""SELECT tree, node, f, bin, score - s * s / n AS gain FROM (
+              SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, f, bin) AS place FROM (
+                SELECT tree, node, f, bin, n, s, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) AS score
+                FROM rh{d} JOIN rt{d} USING (tree, node) WHERE nl < n AND l < h AND {d} < {depth})) WHERE place = 1 AND score > s * s / n"""
+        nodes.append(f"SELECT t.tree, t.node, {d} AS depth, t.n, t.total, c.f, c.gain FROM rt{d} t LEFT JOIN rc{d} c USING (tree, node)")
+        paths.append(f"""SELECT w.country, w.year, low + t.s / t.n / {units} * (high - low) AS value FROM rw{d} w JOIN rt{d} t USING (tree, node)
+            LEFT JOIN rc{d} c USING (tree, node), rend WHERE c.f IS NULL""")
+        if d < depth:
+            below = "2 * c.node + CASE WHEN a.b[c.f] <= c.bin THEN 0 ELSE 1 END AS node"
+            out[f"rs{d + 1}"] = f"SELECT a.tree, {below}, a.y, a.b FROM rs{d} a JOIN rc{d} c ON a.tree = c.tree AND a.node = c.node"
+            out[f"rw{d + 1}"] = f"SELECT a.country, a.year, a.tree, {below}, a.b FROM rw{d} a JOIN rc{d} c ON a.tree = c.tree AND a.node = c.node"
+    out["rnodes"] = " UNION ALL ".join(nodes)
+    out["rpred"] = f"SELECT country, year, avg(value) AS p FROM ({' UNION ALL '.join(paths)}) GROUP BY country, year"
+    out["rnames"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names, 1)) + ") v(f, feature)"
+    return out
+
+
 def sequence_blocks(source: str, columns, length: int, latent: int, steps: int, seed: int, flat: float) -> dict[str, str]:
     """Blocks that scale rows, cut runs, take the power steps row by row, and reconstruct."""
     width = length * len(columns)
