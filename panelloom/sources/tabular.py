@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from panelloom.functions.exprs import nan_to_null
 from panelloom.operators.windows import latest_per_key
+from panelloom.sources import storage
+from panelloom.sources.storage import stage
 from panelloom.spec import INDICATORS, KEY_COUNTRIES, PanelSpec
 
 
@@ -57,14 +61,39 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 def export_panel(df: DataFrame, spec: PanelSpec, folder: str, kind: str = "parquet",
                  keys=KEY_COUNTRIES) -> dict[str, str]:
-    """Write the full table, each key's latest row, and the key list's rows."""
+    """Write the full table, each key's latest row, and the key list's rows.
+
+    The input is computed once. The outputs are written aside and then take their places
+    together; if one can't be written, the earlier three stay as they were.
+    """
+    spark = df.sparkSession
+    whole = stage(df, "export")
     outputs = {
-        "processed": df,
-        "latest_snapshot": latest_per_key(df, spec).select(*df.columns),
-        "key_countries": df.where(F.col(spec.key).isin(*keys)),
+        "processed": whole,
+        "latest_snapshot": latest_per_key(whole, spec).select(*df.columns),
+        "key_countries": whole.where(F.col(spec.key).isin(*keys)),
     }
-    paths = {}
-    for name, frame in outputs.items():
-        paths[name] = f"{folder}/{name}"
-        write_table(frame, paths[name], kind)
-    return paths
+    aside = f"{folder}/.export-{uuid.uuid4().hex}"
+    try:
+        for name, frame in outputs.items():
+            write_table(frame, f"{aside}/new/{name}", kind)
+        publish(spark, {f"{aside}/new/{name}": f"{folder}/{name}" for name in outputs}, f"{aside}/old")
+    finally:
+        storage.remove(spark, aside)
+    return {name: f"{folder}/{name}" for name in outputs}
+
+
+def publish(spark: SparkSession, moves: dict[str, str], aside: str) -> None:
+    """Move tables to their places; those that stood there come back if one can't be moved."""
+    undo: list[tuple[str, str]] = []
+    try:
+        for n, (source, target) in enumerate(moves.items()):
+            if storage.exists(spark, target):
+                storage.move(spark, target, f"{aside}/{n}")
+                undo.append((f"{aside}/{n}", target))
+            storage.move(spark, source, target)
+            undo.append((target, source))
+    except Exception:
+        for here, there in reversed(undo):
+            storage.move(spark, here, there)
+        raise

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import forecast, isolation, sequences, trees
+from panelloom.operators import forecast, forest, isolation, sequences, trees
 from panelloom.plans.oracle import forest_blocks
 from panelloom.sources.models import load_model, save_model
 from panelloom.spec import PanelSpec
@@ -122,6 +122,24 @@ def test_path_constant():
     assert isolation.path_constant(256) == pytest.approx(10.244770920)
 
 
+@pytest.mark.parametrize("rank", [2, 5, 9])
+def test_leading_subspace(rank):
+    """The steps find the directions of largest variance; a table of lower rank has no further ones."""
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(400, rank)) * 3.0 ** -np.arange(rank) @ rng.normal(size=(rank, 9))
+    products = x.T @ x
+    basis = sequences.leading_subspace(products, 4, steps=200)
+    found = min(rank, 4)
+    assert np.allclose(basis[:found] @ basis[:found].T, np.eye(found), atol=1e-9) and not basis[found:].any()
+    best = np.linalg.eigh(products)[1][:, ::-1][:, :found]
+    assert np.allclose(basis.T @ basis, best @ best.T, atol=1e-6)
+
+
+def test_sequences_without_a_run(spark):
+    df = spark.createDataFrame([("k", t, 1.0 * t, 2.0) for t in range(3)], "country string, year int, a double, b double")
+    assert [(r.lstm_error, r.lstm_anomaly) for r in sequences.sequence_error(df, SPEC, features=("a", "b")).collect()] == [(0.0, False)] * 3
+
+
 def test_sequence_error(spark):
     rng = random.Random(2)
     rows = [("k", t, float(t % 5), 3.0 * (t % 5) + rng.gauss(0, 0.01)) for t in range(60)]
@@ -174,6 +192,60 @@ def test_projection_of_short_keys(spark):
     assert got == {("one", 2001): None, ("two", 2004): 13.0}
 
 
+def _walk(nodes, tree, x):
+    place = 1
+    while nodes[tree, place].feature >= 0:
+        place = 2 * place + (x[nodes[tree, place].feature] > nodes[tree, place].threshold)
+    return nodes[tree, place].value
+
+
+def test_forest_forecast_equals_a_plain_walk(spark):
+    """One key after another, one step after another; a key may know fewer values than the longest lag."""
+    df = _series(spark)
+    fitted = trees.forest_fit(df, PanelSpec(), trees=4, depth=6)
+    nodes = {(r.tree, r.node): r for r in fitted.nodes.collect()}
+    got = {(r.country, r.year): r.predicted for r in trees.forest_forecast(df, PanelSpec(), fitted, horizon=7).collect()}
+    assert fitted.inputs == (*trees.lag_names("co2"), "year", "population", "gdp")
+    want, rows = {}, {}
+    for r in df.collect():
+        rows.setdefault(r.country, []).append(r)
+    for key, held in rows.items():
+        held = sorted(held, key=lambda r: r.year)
+        v = [r.co2 for r in held][-5:]
+        for step in range(1, 8):
+            back = lambda k: v[-k] if len(v) >= k else v[-1]
+            mean = lambda k: sum(v[-k:]) / len(v[-k:])
+            x = [back(1), back(2), back(3), back(5), back(1) - back(2), mean(3), mean(5), held[-1].year + step, held[-1].population, held[-1].gdp]
+            want[key, held[-1].year + step] = sum(_walk(nodes, t, x) for t in range(4)) / 4
+            v = [*v, want[key, held[-1].year + step]][-5:]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_forest_leaves_and_draws(spark):
+    """Leaves hold every draw once; draws are Poisson for each tree, whatever the size of the table."""
+    df = _series(spark)
+    fitted = trees.forest_fit(df, PanelSpec(), trees=20, depth=30)
+    rows = trees.training_rows(df, PanelSpec(), "co2", ["population", "gdp"], False).count()
+    facts = trees.forest_trees(fitted).collect()
+    leaves = fitted.nodes.where("feature < 0").count()
+    assert len(facts) == 20 and sum(r.nodes for r in facts) == 2 * leaves - 20
+    assert abs(sum(r.rows for r in facts) - 20 * rows) < 5 * math.sqrt(20 * rows)
+    wide = spark.range(50_000).select(F.explode(forest.draws([F.col("id")], 30, 0.02, 1)).alias("tree")).groupBy("tree").count().collect()
+    assert len(wide) == 30 and all(abs(r["count"] - 1000) < 6 * math.sqrt(1000) for r in wide)
+    fits = fitted.metrics.first()
+    assert fits.n == rows and fits.r2 > 0.95
+
+
+def test_forest_of_no_rows_and_of_one_value(spark):
+    schema = "country string, year int, population double, gdp double, co2 double"
+    none = trees.forest_fit(spark.createDataFrame([], schema), PanelSpec(), trees=3)
+    assert none.nodes.count() == 0 and none.metrics.first()["n"] == 0
+    flat = spark.createDataFrame([("k", 1990 + t, 1.0, 2.0, 7.0) for t in range(12)], schema)
+    fitted = trees.forest_fit(flat, PanelSpec(), trees=3)
+    assert {r.value for r in fitted.nodes.collect()} == {7.0} and fitted.nodes.count() <= 3
+    assert {r.predicted for r in trees.forest_forecast(flat, PanelSpec(), fitted, 2).collect()} == {7.0}
+
+
 def test_forest_errors_cover_rows_outside_the_sample(spark):
     df = spark.createDataFrame([(f"k{i % 10}", 1990 + i // 10, float(i % 17)) for i in range(300)], "country string, year int, co2 double")
     rows = trees.training_rows(df, PanelSpec(), "co2", [], False).count()
