@@ -8,9 +8,12 @@ model's tables are bounded, while every word's count comes from all training tex
 * Words are counted for each slice in its task, then summed by a shuffle.
 * Counts of frequent words (at most `FREQUENT`) go along with the code; all other words
   of a text meet their counts in a join, and only sums for each text come back.
+* The start comes from all training texts too: each task counts which group of symbols
+  follows each symbol, Spark adds the counts up, and symbols with like followers (those of a
+  language, or of a place in a sentence) are put in one state's main share.
 * Baum-Welch: each task sums expected counts over its texts, Spark adds them up, and the
-  new parameters (states x symbols) are set in the driver. A fixed number of texts, drawn
-  by hash, gives the start; every iteration then runs over all training texts.
+  new parameters (states x symbols) are set in the driver. Every iteration runs over all
+  training texts.
 * The scaled forward recursion runs over the whole text, many texts abreast.
 
 Defined cases: null is the empty text, whose one token is the end; null identifiers hash
@@ -20,7 +23,6 @@ training texts the base is 0 for each token and the model uniform over symbols.
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -38,8 +40,8 @@ ITERATIONS = 3
 OWN = 4096
 CLASSES = 1024
 FREQUENT = 1 << 16
-START_TEXTS = 2000
-START_ITERATIONS = 12
+GROUPS = 64     # groups of following symbols, for the start
+MAIN = 0.8      # share of its count that a symbol gives to its own state, for the start
 COUNTED_AT_ONCE = 300_000
 ABREAST = 200_000
 END = OWN + CLASSES
@@ -150,6 +152,34 @@ def observe(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return seen.withColumn("row", F.monotonically_increasing_id())
 
 
+def _staying(states: int) -> np.ndarray:
+    """Transitions that mostly stay."""
+    step = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * 0.9
+    return step / step.sum(1, keepdims=True)
+
+
+def clusters(followers: np.ndarray, states: int, seed: int, rounds: int = 25) -> np.ndarray:
+    """The cluster of each symbol by the shares of its followers, weighted by its count; -1 without any."""
+    weight = followers.sum(1)
+    known = np.flatnonzero(weight > 0)
+    own = np.full(len(followers), -1)
+    if not len(known):
+        return own
+    x, weight = np.sqrt(followers[known] / weight[known, None]), weight[known]
+    rng = np.random.default_rng(seed)
+    centres = x[[weight.argmax()]]
+    for _ in range(states - 1):  # a far and frequent symbol at a time
+        far = ((x[:, None] - centres) ** 2).sum(2).min(1) * weight
+        centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else 0]]])
+    for _ in range(rounds):
+        near = ((x ** 2).sum(1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(1)).argmin(1)
+        for s in range(states):
+            if (near == s).any():
+                centres[s] = np.average(x[near == s], axis=0, weights=weight[near == s])
+    own[known] = near
+    return own
+
+
 @dataclass
 class Model:
     """Start, transition and emission probabilities."""
@@ -161,9 +191,19 @@ class Model:
     @classmethod
     def random(cls, states: int, seed: int) -> Model:
         rng = np.random.default_rng(seed)
-        step = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * 0.9
         emit = rng.gamma(2.0, 1.0, (states, SYMBOLS))
-        return cls(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return cls(np.full(states, 1 / states), _staying(states), emit / emit.sum(1, keepdims=True))
+
+    @classmethod
+    def started(cls, followers: np.ndarray, states: int, seed: int) -> Model:
+        """From counts of (symbol, group of the next symbol): a state for each cluster of symbols."""
+        counts = followers.sum(1)
+        own = clusters(followers, states, seed)
+        part = np.full((states, SYMBOLS), (1 - MAIN) / states) + MAIN * (own == np.arange(states)[:, None])
+        noise = np.random.default_rng(seed).uniform(0.9, 1.1, part.shape)
+        emit = part * noise * (counts + 1.0)
+        emit[:, END] = emit[:, END].mean()  # nothing follows the end
+        return cls(np.full(states, 1 / states), _staying(states), emit / emit.sum(1, keepdims=True))
 
     def updated(self, sums: np.ndarray) -> Model:
         """From expected counts, smoothed so that nothing is impossible."""
@@ -242,40 +282,51 @@ def _read(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch["symbols"].to_pylist()]
 
 
+def _summed(training: DataFrame, size: int, sums) -> np.ndarray:
+    """`sums(batches)` of each task, an array of `size` numbers, added up over the tasks."""
+    def run(batches):
+        total = sums(batches)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at, "n": total[at].astype("float64")})
+
+    found = training.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most `size` rows
+    out = np.zeros(size)
+    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return out
+
+
+def followers(training: DataFrame) -> np.ndarray:
+    """How often a symbol of each group follows each symbol, over all training texts."""
+    def sums(batches):
+        total = np.zeros(SYMBOLS * GROUPS, np.int64)
+        for batch in slices(batches, "symbols"):
+            some = _read(batch)
+            flat = np.concatenate(some).astype(np.int64)
+            pairs = flat[:-1] * GROUPS + flat[1:] % GROUPS
+            last = np.cumsum([len(x) for x in some])[:-1] - 1  # the next symbol is another text's
+            total += np.bincount(np.delete(pairs, last), minlength=len(total))
+        return total
+
+    return _summed(training, SYMBOLS * GROUPS, sums).reshape(SYMBOLS, GROUPS)
+
+
 def train(observed: DataFrame, states: int = STATES, iterations: int = ITERATIONS, seed: int = 11) -> Model:
-    """Baum-Welch over all training texts, from a start fitted to at most `START_TEXTS` of them."""
-    training = observed.filter(~F.col("held_out")).select("row", "symbols")
-    drawn = training.orderBy(F.xxhash64("symbols"), "row").limit(START_TEXTS).select("symbols")
-
-    def begin(batches):
-        model, groups = Model.random(states, seed), []
-        sequences = [s for b in batches for s in _read(b)]
-        if sequences:
-            groups = [g for _, g in laid(sequences)]
-        for _ in range(START_ITERATIONS if groups else 0):
-            model = model.updated(sum(g.expected(model) for g in groups))
-        sink = io.BytesIO()
-        np.savez(sink, model.start, model.step, model.emit)
-        yield pa.RecordBatch.from_pydict({"model": [sink.getvalue()]})
-
-    started = drawn.coalesce(1).mapInArrow(begin, "model binary").first()
-    if started is None:
-        return Model.random(states, seed).updated(np.zeros(states + states * states + states * SYMBOLS))
-    with np.load(io.BytesIO(started[0])) as arrays:
-        model = Model(*(arrays[k] for k in arrays.files))
+    """Baum-Welch; the start and every iteration see all training texts."""
+    training = observed.filter(~F.col("held_out")).select("symbols")
+    seen = followers(training)
+    size = states + states * states + states * SYMBOLS
+    if not training.limit(1).count():
+        return Model.random(states, seed).updated(np.zeros(size))
+    model = Model.started(seen, states, seed)
     for _ in range(iterations):
-        def collect(batches, model=model):
-            sums = np.zeros(states + states * states + states * SYMBOLS)
+        def sums(batches, model=model):
+            total = np.zeros(size)
             for batch in slices(batches, "symbols"):
                 for _, group in laid(_read(batch)):
-                    sums += group.expected(model)
-            yield pa.RecordBatch.from_pydict({"at": np.arange(len(sums)), "n": sums})
-
-        totals = training.select("symbols").mapInArrow(collect, "at long, n double").groupBy("at").agg(F.sum("n").alias("n"))
-        sums = np.zeros(states + states * states + states * SYMBOLS)
-        for at, n in totals.collect():  # as many rows as the model has parameters
-            sums[at] = n
-        model = model.updated(sums)
+                    total += group.expected(model)
+            return total
+
+        model = model.updated(_summed(training, size, sums))
     return model
 
 

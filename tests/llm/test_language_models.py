@@ -77,6 +77,63 @@ def test_forward_backward_equals_sum_over_paths():
     assert abs(sums[2:6].sum() - sum(len(s) - 1 for s in sequences)) < 1e-9
 
 
+def test_scores_equal_a_plain_model(spark):
+    """The whole score: forward recursion over the symbols, one token after another, times the words' shares."""
+    docs, fold = cases.documents(spark), toxicity.remainder("doc_id", 7) == 2
+    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", fold)
+    learned = body.filter(~F.col("held_out"))
+    known = markov.vocabulary(markov.count_words(learned), learned.count())
+    model = markov.train(markov.observe(body, known), 3, 2)
+    counts = Counter(w for i, t in cases.texts() if not held(i) for w in t.encode().lower().split())
+    of_class = Counter()
+    for w, n in counts.items():
+        if w not in known.own:
+            of_class[markov.spelled(w)] += n + 1
+    want = []
+    for i, t in cases.texts():
+        words, now, total = t.encode().lower().split(), model.start, 0.0
+        for k, w in enumerate([*words, None]):
+            symbol = markov.END if w is None else known.own.get(w, markov.OWN + markov.spelled(w))
+            now = (now @ model.step if k else now) * model.emit[:, symbol]
+            total += math.log10(now.sum())
+            now = now / now.sum()
+            if w is not None and w not in known.own:
+                total += math.log10((counts[w] + 1) / (of_class[markov.spelled(w)] + 1))
+        want.append((str(i), len(words) + 1, total))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in markov.score(docs, fold, 3, 2).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], rtol=1e-9)
+
+
+def test_start_sees_every_training_text(spark):
+    """Counts of followers equal a plain loop, however the texts are dealt; a text does not follow another."""
+    rng = np.random.default_rng(4)
+    sequences = [np.append(rng.integers(0, markov.END, n), markov.END).astype("<u2") for n in (0, 1, 5, 300, 0, 40)]
+    rows = [(bytes(x.tobytes()),) for x in sequences]
+    want = Counter((int(a), int(b) % markov.GROUPS) for x in sequences for a, b in zip(x, x[1:]))
+    for parts in (1, 4):
+        got = markov.followers(spark.createDataFrame(rows, "symbols binary").repartition(parts))
+        assert {(a, g): int(got[a, g]) for a, g in zip(*np.nonzero(got))} == want
+
+
+def test_start_parts_languages():
+    """Two languages with their own words: states of the start lean to one of them, and training keeps them apart."""
+    rng = np.random.default_rng(6)
+    sequences = [np.append(rng.integers(0, 30, 80) + 100 * (i % 2), markov.END) for i in range(60)]
+    seen = np.zeros((markov.SYMBOLS, markov.GROUPS))
+    for x in sequences:
+        np.add.at(seen, (x[:-1], x[1:] % markov.GROUPS), 1)
+    own = markov.clusters(seen, 2, 11)
+    assert len(set(own[:30])) == 1 and len(set(own[100:130])) == 1 and own[0] != own[100] and own[300] == -1
+    model = markov.Model.started(seen, 2, 11)
+    assert np.allclose(model.emit.sum(1), 1) and np.allclose(model.step.sum(1), 1)
+    group = markov.Abreast(sequences)
+    apart = model.updated(group.expected(model))
+    mixed = markov.Model.random(2, 3)
+    mixed = mixed.updated(group.expected(mixed))
+    assert group.log10(apart).sum() > group.log10(mixed).sum()
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(2)
     sequences = [np.where(rng.random(60) < 0.9, rng.integers(0, 50, 60) + 50 * (i % 2), markov.END) for i in range(40)]
