@@ -83,39 +83,78 @@ def _best(node: np.ndarray, count: int, bins: np.ndarray, y: np.ndarray, width:
     return score, place // width, place % width
 
 
-def grow(inputs: list[str], cuts: list[list[float]], low: float, high: float, depth: int):
-    """Grow one tree from its draws: columns tree, `_y` and the inputs."""
+def tree(y: np.ndarray, bins: np.ndarray, cuts: list[list[float]], depth: int) -> pd.DataFrame:
+    """Nodes of the regression tree that the rows grow, level by level; a leaf's feature is -1."""
     width = max(map(len, cuts)) + 1
+    at, level, out = np.ones(len(y), np.int64), 0, []
+    while len(y):
+        places, node = np.unique(at, return_inverse=True)
+        n = np.bincount(node).astype("float64")
+        s = np.bincount(node, y)
+        least, most = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+        np.minimum.at(least, node, y)
+        np.maximum.at(most, node, y)
+        feature, cut, gain = np.full(len(n), -1), np.zeros(len(n), np.int64), np.zeros(len(n))
+        if level < depth and (least < most).any():
+            score, f, b = _best(node, len(n), bins, y, width)
+            split = (least < most) & (score > s * s / n)
+            feature[split], cut[split], gain[split] = f[split], b[split], (score - s * s / n)[split]
+        out.append(pd.DataFrame({
+            "node": places, "depth": level, "feature": feature, "cut": cut, "rows": n.astype("int64"), "total": s, "gain": gain,
+            "threshold": [cuts[f][c] if f >= 0 else 0.0 for f, c in zip(feature.tolist(), cut.tolist())]}))
+        on = (feature >= 0)[node]
+        node, y, bins = node[on], y[on], bins[on]
+        goes_right = bins[np.arange(len(y)), feature[node]] > cut[node]
+        at, level = 2 * places[node] + goes_right, level + 1
+    return pd.concat(out, ignore_index=True)
+
+
+def _binned(rows: pd.DataFrame, inputs: list[str], cuts: list[list[float]]) -> np.ndarray:
+    return np.stack([np.searchsorted(np.array(t), rows[c].to_numpy(), "left") for c, t in zip(inputs, cuts)], axis=1)
+
 
-    def tree(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows["_y"].to_numpy().astype("float64")  # whole numbers; their sums stay exact
-        bins = np.stack([np.searchsorted(np.array(t), rows[c].to_numpy(), "left") for c, t in zip(inputs, cuts)], axis=1)
-        at, level, out = np.ones(len(y), np.int64), 0, []
-        while len(y):
-            places, node = np.unique(at, return_inverse=True)
-            n = np.bincount(node).astype("float64")
-            s = np.bincount(node, y)
-            least, most = np.full(len(n), np.inf), np.full(len(n), -np.inf)
-            np.minimum.at(least, node, y)
-            np.maximum.at(most, node, y)
-            feature, cut, gain = np.full(len(n), -1), np.zeros(len(n), np.int64), np.zeros(len(n))
-            if level < depth and (least < most).any():
-                score, f, b = _best(node, len(n), bins, y, width)
-                split = (least < most) & (score > s * s / n)
-                feature[split], cut[split], gain[split] = f[split], b[split], (score - s * s / n)[split]
-            inner = feature >= 0
-            out.append(pd.DataFrame({
-                "node": places, "depth": level, "feature": feature, "rows": n.astype("int64"), "total": s.astype("int64"), "gain": gain,
-                "threshold": [cuts[f][c] if f >= 0 else 0.0 for f, c in zip(feature.tolist(), cut.tolist())],
-                "value": low + s / n / UNITS * (high - low)}))
-            on = inner[node]
-            node, y, bins = node[on], y[on], bins[on]
-            goes_right = bins[np.arange(len(y)), feature[node]] > cut[node]
-            at, level = 2 * places[node] + goes_right, level + 1
-        found = pd.concat(out, ignore_index=True).assign(tree=int(rows["tree"].iloc[0]))
+def grow(inputs: list[str], cuts: list[list[float]], low: float, high: float, depth: int):
+    """Grow one tree from its draws: columns tree, `_y` and the inputs."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        # Whole numbers, so sums are exact.
+        found = tree(rows["_y"].to_numpy().astype("float64"), _binned(rows, inputs, cuts), cuts, depth)
+        found = found.assign(tree=int(rows["tree"].iloc[0]), value=low + found["total"] / found["rows"] / UNITS * (high - low))
+        found["total"] = found["total"].astype("int64")
         return found[["tree", "node", "depth", "feature", "threshold", "rows", "total", "gain", "value"]]
 
-    return tree
+    return one
+
+
+def boost(identity: list[str], target: str, inputs: list[str], cuts: list[list[float]], rounds: int, rate: float, depth: int,
+          subsample: float, seed: int):
+    """Boost one group of rows (column tree): node tables of its rounds, round 0 being the mean."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(identity, ignore_index=True)
+        group, y, bins = int(rows["tree"].iloc[0]), rows[target].to_numpy(dtype="float64"), _binned(rows, inputs, cuts)
+        rng = np.random.default_rng([seed, group])
+        start = float(y.mean())
+        now = np.full(len(y), start)
+        out = [pd.DataFrame({"round": [0], "node": [1], "depth": [0], "feature": [-1], "threshold": [0.0], "value": [start]})]
+        for k in range(1, rounds + 1):
+            some = rng.random(len(y)) < subsample
+            if not some.any():
+                some[:] = True
+            found = tree((y - now)[some], bins[some], cuts, depth)
+            value = rate * (found["total"] / found["rows"]).to_numpy()
+            feature, cut, places = (found[c].to_numpy() for c in ("feature", "cut", "node"))
+            at = np.zeros(len(y), np.int64)  # row of the node table, the root first
+            for _ in range(depth):
+                inner = feature[at] >= 0
+                side = bins[np.arange(len(y)), np.maximum(feature[at], 0)] > cut[at]
+                at = np.where(inner, np.searchsorted(places, 2 * places[at] + side), at)
+            now = now + value[at]
+            out.append(found[["node", "depth", "feature", "threshold"]].assign(round=k, value=value))
+        return pd.concat(out, ignore_index=True).assign(tree=group)[["tree", "round", "node", "depth", "feature", "threshold", "value"]]
+
+    return one
+
+
+ROUNDS = "tree int, round int, node long, depth int, feature int, threshold double, value double"
 
 
 def fit(rows: DataFrame, identity: list[str], target: str, inputs: list[str], trees: int, depth: int, most_rows: int, seed: int) -> DataFrame:

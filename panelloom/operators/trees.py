@@ -1,17 +1,14 @@
-"""Tree-ensemble forecasts, one model for a whole panel or one key: a forest, and boosted trees of Spark ML."""
+"""Tree-ensemble forecasts, one model for a whole panel or one key: a forest, and boosted trees."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from panelloom.functions.exprs import unit_hash
 from panelloom.operators import chunks, forest
 from panelloom.operators.derive import LAGS, lag_features, lag_names
 from panelloom.operators.forecast import ensemble, historical_view, holt_fit, holt_forecast, trend_projection
@@ -42,11 +39,6 @@ def training_rows(df: DataFrame, spec: PanelSpec, target: str, extra: list[str],
     return lag_features(frame, spec, target, leaky, required=[target, *lag_names(target), *used])
 
 
-def _assembled(rows: DataFrame, inputs: list[str]) -> DataFrame:
-    typed = rows.withColumns({c: F.col(c).cast("double") for c in inputs})
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(typed)
-
-
 def forest_fit(df: DataFrame, spec: PanelSpec, target: str = "co2", trees: int = 300,
                depth: int = 30, leaky: bool = False, seed: int = SEED, most_rows: int = MOST_ROWS) -> ForestModel:
     """Random forest on lags, period and passive columns, with its errors over all training rows.
@@ -135,31 +127,57 @@ def forest_forecast(df: DataFrame, spec: PanelSpec, fitted: ForestModel, horizon
     return tail.mapInPandas(ahead, f"`{spec.key}` {kind}, `{spec.time}` int, predicted double")
 
 
+def _folds(df: DataFrame, spec: PanelSpec, target: str, folds: int, leaky: bool) -> tuple[DataFrame, list[str]]:
+    """Training rows with their fold and role, and the inputs."""
+    inputs = [*lag_names(target), spec.time]
+    rows = training_rows(df, spec, target, [], leaky).select(
+        spec.key, spec.time, *[F.col(c).cast("double").alias(c) for c in [target, *inputs] if c != spec.time])
+    return timeseries_folds(rows, spec, folds), inputs
+
+
+def boosting_folds(df: DataFrame, spec: PanelSpec, target: str = "co2", folds: int = 3, leaky: bool = False) -> DataFrame:
+    """(fold, train, test, mae): the folds' sizes, and the error before the first round, of the training mean."""
+    split, _ = _folds(df, spec, target, folds, leaky)
+    split = stage(split, "folds")
+    train = split.where("role = 'train'").groupBy("fold").agg(F.count(F.lit(1)).alias("train"), F.avg(target).alias("mean"))
+    return split.where("role = 'test'").join(train, "fold").groupBy("fold").agg(
+        F.max("train").alias("train"), F.count(F.lit(1)).alias("test"), F.avg(F.abs(F.col(target) - F.col("mean"))).alias("mae"))
+
+
 def boosting_cv(df: DataFrame, spec: PanelSpec, target: str = "co2", rounds: int = 200,
                 rate: float = 0.05, depth: int = 4, subsample: float = 0.8, folds: int = 3,
-                leaky: bool = False, seed: int = SEED) -> DataFrame:
-    """Mean and population deviation of the fold errors of boosted trees."""
-    rows = training_rows(df, spec, target, [], leaky)
-    inputs = [*lag_names(target), spec.time]
-    split = stage(timeseries_folds(_assembled(rows, inputs).select(
-        spec.key, spec.time, target, "features"), spec, folds), "folds")
-
-    def fitted(fold):
-        part = split.where(F.col("fold") == fold)
-        model = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="predicted",
-                             maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
-                             seed=seed).fit(part.where("role = 'train'"))
-        one = error_metrics(model.transform(part.where("role = 'test'")), target, "predicted")
-        return one.select(F.lit(fold).alias("fold"), "n", "mae")
-
-    # A fold's rounds follow each other, but the folds do not: their jobs share the cluster.
-    with ThreadPoolExecutor(folds) as pool:
-        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(fitted), range(1, folds + 1)))
-    errors = parts[0]
-    for one in parts[1:]:
-        errors = errors.unionByName(one)
-    return errors.agg(F.count(F.lit(1)).alias("folds"), F.avg("mae").alias("mae_mean"),
-                      F.stddev_pop("mae").alias("mae_std"))
+                leaky: bool = False, seed: int = SEED, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Mean and population deviation of the fold errors of boosted trees.
+
+    The folds advance side by side, each in a task of its own, on about `most_rows` of its
+    training rows, chosen by hash (all, if there are no more); errors cover all test rows.
+    """
+    split, inputs = _folds(df, spec, target, folds, leaky)
+    split = stage(split, "folds")
+    train = split.where("role = 'train'")
+    cuts = forest.cut_points(train, inputs)
+    totals = {r.fold: r.n for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a fold
+    if not totals:
+        return df.sparkSession.createDataFrame([(0, None, None)], "folds long, mae_mean double, mae_std double")
+    share = F.create_map(*[F.lit(x) for fold, n in totals.items() for x in (fold, most_rows / n)])
+    drawn = train.where(unit_hash(F.col(spec.key), F.col(spec.time), F.lit(seed)) < share[F.col("fold")])
+    grown = drawn.select(F.col("fold").cast("int").alias("tree"), spec.key, target, *inputs).repartition(folds, "tree").groupBy("tree").applyInPandas(
+        forest.boost([spec.key, spec.time], target, inputs, cuts, rounds, rate, depth, subsample, seed), forest.ROUNDS)
+    grown = stage(grown, "boosting-nodes")  # at most folds x rounds x 2^(depth + 1) rows
+    models = {fold: forest.Packed(grown.where(F.col("tree") == fold).withColumn("tree", F.col("round"))) for fold in totals}
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("double")
+    def predicted(fold: pd.Series, x: pd.DataFrame) -> pd.Series:
+        values, out = x.to_numpy(dtype="float64"), np.full(len(x), np.nan)
+        for k, model in shared.value.items():
+            mine = (fold == k).to_numpy()
+            out[mine] = model.predict(values[mine]) * len(model.roots)  # rounds add up
+        return pd.Series(out)
+
+    test = split.where("role = 'test'").select("fold", target, predicted("fold", F.struct(*inputs)).alias("predicted"))
+    return error_metrics(test, target, "predicted", ["fold"]).agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
 
 
 def ensemble_members(df: DataFrame, spec: PanelSpec, target: str = "co2", horizon: int = 10,

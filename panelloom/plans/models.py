@@ -261,6 +261,18 @@ def boosting_cv(spark, sf):
     return show(trees.boosting_cv(features(spark, sf), SPEC), ["folds"], ["mae_mean", "mae_std"], 5)
 
 
+@query("boosting_folds", sql(
+    """SELECT CAST(fold AS INT) AS fold, max(train) AS train, count(*) AS test, round(avg(abs(t - mean)), 5) AS mae FROM (
+         SELECT *, avg(t) FILTER (place < start) OVER (PARTITION BY fold) AS mean, count(*) FILTER (place < start) OVER (PARTITION BY fold) AS train
+         FROM (SELECT *, n - (3 - fold + 1) * block AS start FROM (
+           SELECT t, row_number() OVER (PARTITION BY country ORDER BY year) - 1 AS place, count(*) OVER (PARTITION BY country) AS n,
+                  count(*) OVER (PARTITION BY country) // 4 AS block FROM rrow), range(1, 4) a(fold)))
+       WHERE place >= start AND place < start + block GROUP BY fold""", "feat",
+    rrow=regression_blocks("feat", "co2", (), 1, 0, trees.SEED, forest.BINS, forest.UNITS)["rrow"]))
+def boosting_folds(spark, sf):
+    return show(trees.boosting_folds(features(spark, sf), SPEC), ["fold", "train", "test"], ["mae"], 5)
+
+
 _MEMBERS = """SELECT country, year, round(predicted, 5) AS predicted, 'gbm' AS model, 'forecast' AS type FROM trend
    UNION ALL SELECT country, year, round(predicted, 5), 'holt', 'forecast' FROM ahead
    UNION ALL SELECT country, year, round(co2, 5), 'historical', 'historical' FROM feat WHERE co2 IS NOT NULL"""

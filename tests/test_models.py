@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,53 @@ def test_forest_leaves_and_draws(spark):
     assert fits.n == rows and fits.r2 > 0.95
 
 
+def test_boosting_lowers_the_error_round_by_round(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(f"k{i % 5}", 1960 + i // 5, 20.0 * (i % 5) + (i // 5) % 7 + rng.gauss(0, 0.1)) for i in range(300)],
+                               "country string, year int, co2 double")
+    base = sorted(trees.boosting_folds(df, PanelSpec()).collect())
+    assert [r.fold for r in base] == [1, 2, 3] and all(r.test == 5 * (55 // 4) for r in base)
+    mean = sum(r.mae for r in base) / 3
+    errors = [trees.boosting_cv(df, PanelSpec(), rounds=k).first() for k in (0, 1, 200)]
+    assert errors[0].mae_mean == pytest.approx(mean) and errors[0].folds == 3
+    assert errors[2].mae_mean < 0.2 * mean and errors[2].mae_mean < errors[1].mae_mean < mean
+    assert trees.boosting_cv(df.limit(0), PanelSpec()).first().folds == 0
+
+
+def test_boosting_equals_a_plain_loop():
+    """One group, one tree after another, cuts tried one by one."""
+    rng = np.random.default_rng(3)
+    n, cuts = 40, [[0.2, 0.5, 0.7], [0.1, 0.6]]
+    rows = pd.DataFrame({"tree": 2, "k": np.arange(n), "a": rng.random(n), "b": rng.random(n)})
+    rows["y"] = rows.a * 3 + (rows.b > 0.6) + rng.normal(0, 0.01, n)
+    got = forest.boost(["k"], "y", ["a", "b"], cuts, 5, 0.3, 2, 1.0, 1)(rows.sample(frac=1, random_state=1))
+    now = np.full(n, rows.y.mean())
+    x = rows[["a", "b"]].to_numpy()
+    for k in range(1, 6):
+        r, step = rows.y.to_numpy() - now, np.zeros(n)
+
+        def split(some, level):
+            best = None
+            for f, ts in enumerate(cuts):
+                for t in ts:
+                    left = some & (x[:, f] <= t)
+                    right = some & ~left
+                    if left.any() and right.any():
+                        gain = r[left].sum() ** 2 / left.sum() + r[right].sum() ** 2 / right.sum()
+                        if best is None or gain > best[0] + 1e-12:
+                            best = gain, left, right
+            if level == 2 or best is None or best[0] <= r[some].sum() ** 2 / some.sum():
+                step[some] = 0.3 * r[some].mean()
+            else:
+                split(best[1], level + 1)
+                split(best[2], level + 1)
+
+        split(np.ones(n, bool), 0)
+        now = now + step
+        leaves = got[(got["round"] == k) & (got.feature < 0)]
+        assert sorted(leaves.value) == pytest.approx(sorted(set(step)), abs=1e-9)
+
+
 def test_forest_of_no_rows_and_of_one_value(spark):
     schema = "country string, year int, population double, gdp double, co2 double"
     none = trees.forest_fit(spark.createDataFrame([], schema), PanelSpec(), trees=3)
