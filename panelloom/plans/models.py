@@ -234,6 +234,16 @@ def forest_fit(spark, sf):
     return show(fitted.metrics, ["n"], ["mae", "r2"], 5)
 
 
+_NEXT = regression_blocks("feat", "co2", SPEC.passive, 300, 30, trees.SEED, forest.BINS, forest.UNITS, "rnext")
+
+
+@query("forest_next", sql("SELECT country, CAST(year AS INT) AS year, round(p, 5) AS predicted FROM rpred", "feat", **_NEXT))
+def forest_next(spark, sf):
+    """The first step of the forest's forecast, which SQL can state."""
+    rows = features(spark, sf)
+    return show(trees.forest_forecast(rows, SPEC, trees.forest_fit(rows, SPEC), 1), KT, ["predicted"], 5)
+
+
 @query("forest_forecast")
 def forest_forecast(spark, sf):
     rows = features(spark, sf)
@@ -318,3 +328,22 @@ def kpi_report(spark, sf):
     one = rows.where(F.col("country") == KEY)
     ahead = trees.ensemble_forecast(one, SPEC).where("model = 'ensemble'").drop("model", "type")
     return views.kpi_report(rows, scored_table(rows), flagged, forecast.projected_change(one, ahead, SPEC), SPEC)
+
+
+_REPORT = f"""SELECT s.*, anomalies, round(anomaly_rate, 7) AS anomaly_rate, critical_alerts, round(moved, 5) AS projected_change_pct, kpis.*
+   FROM (SELECT count(DISTINCT country) AS keys, count(*) AS rows, CAST(min(year) AS INT) AS first_year, CAST(max(year) AS INT) AS last_year FROM feat) s,
+        (SELECT count(*) FILTER (is_anomaly) AS anomalies, avg(CASE WHEN is_anomaly THEN 1.0E0 ELSE 0 END) AS anomaly_rate,
+                count(*) FILTER (is_anomaly AND severity = 'critical') AS critical_alerts FROM ({_FLAGGED})), kpis,
+        (SELECT (max_by(predicted, a.year) - max(last_value)) / max(last_value) * 100 AS moved
+         FROM tails t JOIN ahead a ON a.country = t.country WHERE t.country = '{KEY}')"""
+
+
+@query("kpi_report_closed", sql(_REPORT, "feat", "kpis", "tails", "ahead", **_FOREST))
+def kpi_report_closed(spark, sf):
+    """The report with the closed-form forecast, so that SQL can state all of its columns."""
+    rows = features(spark, sf)
+    flagged = storage.stage(isolation.detect_global(rows, isolation_model(rows)), "flagged")
+    one = rows.where(F.col("country") == KEY)
+    ahead = forecast.holt_forecast(forecast.holt_fit(one, SPEC), SPEC)
+    out = views.kpi_report(rows, scored_table(rows), flagged, forecast.projected_change(one, ahead, SPEC), SPEC)
+    return out.withColumns({"anomaly_rate": F.round("anomaly_rate", 7), "projected_change_pct": F.round("projected_change_pct", 5)})

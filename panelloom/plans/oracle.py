@@ -280,8 +280,12 @@ def forest_blocks(source: str, columns, trees: int, sample: int, seed: int) -> d
     return out
 
 
-def regression_blocks(source: str, target: str, passive, trees: int, depth: int, seed: int, bins: int, units: int) -> dict[str, str]:
-    """Blocks that build lag rows, draw, grow level by level and predict a regression forest; rows are no more than a sample."""
+def regression_blocks(source: str, target: str, passive, trees: int, depth: int, seed: int, bins: int, units: int,
+                      asked: str = "rbin") -> dict[str, str]:
+    """Blocks that build lag rows, draw, grow level by level and predict a regression forest; rows are no more than a sample.
+
+    `asked` names the rows to predict: the training rows, or `rnext`, the period after each key's last.
+    """
     lag = lambda n: f"lag({target}, {n}) OVER {W})"
     mean = lambda n: f"avg({target}) OVER {W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     inputs = {**{f"{target}_lag{n}": lag(n) for n in (1, 2, 3, 5)}, f"{target}_diff1": f"{lag(1)} - {lag(2)}",
@@ -289,6 +293,9 @@ def regression_blocks(source: str, target: str, passive, trees: int, depth: int,
     names = list(inputs)
     xs = ", ".join(f"CAST({e} AS DOUBLE)" for e in inputs.values())
     width = len(names)
+    ago = lambda n: f"coalesce(h[{n}], h[1])"
+    recent = lambda n: f"list_avg(h[1:{n}])"
+    following = [*map(ago, (1, 2, 3, 5)), f"h[1] - {ago(2)}", recent(3), recent(5), "year", *passive]
     out = {
         "rrow": f"""SELECT country, year, t, x FROM (SELECT country, year, {target} AS t, [{xs}] AS x FROM {source})
             WHERE t IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL)) = 0""",
@@ -305,7 +312,12 @@ def regression_blocks(source: str, target: str, passive, trees: int, depth: int,
               SELECT *, unnest(range(0, len(list_filter(bounds, lambda c: c <= CAST(concat('0x', substr(md5(concat_ws('|', country, year, {seed})), 1, 13))
                 AS BIGINT))))) AS j FROM rbin, rbound)""",
         "rs0": "SELECT tree, CAST(1 AS BIGINT) AS node, y, b FROM rdraw",
-        "rw0": f"SELECT country, year, tree, CAST(1 AS BIGINT) AS node, b FROM rbin, range(0, {trees}) a(tree)"}
+        "rlast": f"""SELECT country, max(year) + 1 AS year, list({target} ORDER BY year DESC) AS h FROM {source} WHERE {target} IS NOT NULL GROUP BY country""",
+        "rstill": f"""SELECT country, {', '.join(f"coalesce(max_by({c}, year) FILTER ({c} IS NOT NULL), 0) AS {c}" for c in passive) or 'NULL AS none'}
+            FROM {source} GROUP BY country""",
+        "rnext": f"""SELECT country, year, list_transform(range(1, {width + 1}), lambda f: len(list_filter(cuts[f], lambda c: c < x[f]))) AS b FROM (
+              SELECT country, year, [{', '.join(f"CAST({e} AS DOUBLE)" for e in following)}] AS x FROM rlast JOIN rstill USING (country)), rcut""",
+        "rw0": f"SELECT country, year, tree, CAST(1 AS BIGINT) AS node, b FROM {asked}, range(0, {trees}) a(tree)"}
     nodes, paths = [], []
     for d in range(depth + 1):
         out[f"rt{d}"] = (f"SELECT tree, node, count(*) AS n, CAST(sum(y) AS BIGINT) AS total, CAST(sum(y) AS DOUBLE) AS s, min(y) AS l, max(y) AS h "
