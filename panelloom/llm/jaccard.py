@@ -12,8 +12,9 @@ than `common` sets is frequent. The global order puts rare tokens first, by hash
   possible differences keeps one intact. Where a whole set is too short for that (at 66
   percent and below), its frequent tokens are indexed one by one too.
 
-Pairs within a posting list of a rare token are bounded by `common`. Lists of combinations
-give only star edges. The components of this candidate graph are small; each is verified
+Pairs are taken within lists of at most `common` sets. Longer ones, of tokens that are
+frequent but beyond the number that goes along with the code, and lists of combinations give
+only star edges: their work grows with their length. The components of this candidate graph are small; each is verified
 exactly, in blocks of bounded size, skipping pairs that are already connected. Every link
 between different sets lies in a component, so none is lost. Equal sets are one node,
 known by a 64-bit hash of the set.
@@ -161,11 +162,11 @@ def _name(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+def _pairs(postings: DataFrame, percent: int, common: int) -> DataFrame:
     """Candidate pairs from single tokens, with the number of tokens shared, a row a bucket and pair.
 
-    Two sets made of frequent tokens give a star edge (shared null), as their shared
-    frequent tokens aren't counted here.
+    Two sets made of frequent tokens give a star edge, which counts no tokens, as their shared
+    frequent tokens aren't counted here; and so does any set of a list longer than `common`.
     """
     def run(part: pd.DataFrame) -> pd.DataFrame:
         token, key, size, made = (np.concatenate([np.frombuffer(x, t) for x in part[c]]) for c, t in (
@@ -175,10 +176,12 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
         token, key, size, made = token[fresh], key[fresh], size[fresh].astype(np.int64), made[fresh].astype(bool)
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        group = np.repeat(np.arange(len(start)), np.diff([*start, len(token)]))
+        length = np.diff([*start, len(token)])
+        group = np.repeat(np.arange(len(start)), length)
+        long = np.repeat(length > common, length)
         found, stars = [], []
-        # Star edges: each set of frequent tokens with the first such one in the list.
-        frequent_at = np.flatnonzero(made)
+        # Star edges: each set of frequent tokens, or of a long list, with the first such one in the list.
+        frequent_at = np.flatnonzero(made | long)
         if len(frequent_at):
             lists, first = np.unique(group[frequent_at], return_index=True)
             hub = np.zeros(group[-1] + 1, np.int64)
@@ -186,8 +189,8 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
             edge = np.column_stack([hub[group[frequent_at]], key[frequent_at]])
             stars = edge[edge[:, 0] != edge[:, 1]]
         held = 0
-        for gap in range(1, int(np.diff([*start, len(token)]).max(initial=1))):
-            i = np.flatnonzero(group[gap:] == group[:-gap])
+        for gap in range(1, min(common, int(length.max(initial=1)))):
+            i = np.flatnonzero((group[gap:] == group[:-gap]) & ~long[gap:])
             j = i + gap
             close = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
             close &= ~(made[i] & made[j])
@@ -316,7 +319,7 @@ def _classes(docs: DataFrame, width: int, percent: int, common: int) -> tuple[Da
 
     own = indexed.filter("bucket is null").select("doc_id", "name", "set_key", "n")
     postings = indexed.filter("bucket is not null").select("bucket", "token", "keys", "sizes", "heavy")
-    pairs = _possible(_pairs(postings, percent), percent)
+    pairs = _possible(_pairs(postings, percent, common), percent)
     candidates = pairs.unionByName(_stars(indexed.filter("bucket is null")))
     coarse = components(candidates)
     first = own.filter("set_key is not null").groupBy("set_key").agg(

@@ -57,6 +57,28 @@ def test_components_equal_brute_force(spark, common, width, percent):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(docs, width, percent)
 
 
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_more_frequent_tokens_than_are_sent(spark, monkeypatch, width, percent):
+    """Lists grow past `common` when few frequent tokens go along; no link is lost, and no list is paired as a whole."""
+    monkeypatch.setattr(jaccard, "FREQUENT_TOKENS", 4)
+    texts = family(1, 60, 120, 8) + family(2, 40, 30, 3) + family(3, 30, 11, 2)
+    docs = [(i, t) for i, t in cases.texts()] + [(100 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = jaccard.join(df, width, percent, 8).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_join(docs, width, percent)
+
+
+def test_long_lists_give_star_edges(spark):
+    """One list of n sets gives n - 1 rows if it is longer than the limit, else all its pairs."""
+    def rows(n, common):
+        data = [np.full(n, 7 << 40, np.uint64), np.arange(1, n + 1, dtype=np.int64), np.full(n, 50, np.int32), np.zeros(n, np.uint8)]
+        table = spark.createDataFrame([(0, *[bytes(x.tobytes()) for x in data])], "bucket long, token binary, keys binary, sizes binary, heavy binary")
+        return jaccard._pairs(table, 90, common).collect()
+
+    assert len(rows(16, 16)) == 120 and len(rows(17, 16)) == 16 and len(rows(5000, 16)) == 4999
+    assert all(r.a == 1 and r.ma == r.mb == 1 for r in rows(5000, 16))
+
+
 def test_blocks_of_large_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
     docs = list(enumerate(family(4, 50, 100, 8)))
