@@ -85,14 +85,13 @@ class Network:
         known = len(self.hashes) > 0 and self.hashes[np.minimum(at, len(self.hashes) - 1)] == asked
         return np.where(known & (asked != 0), at + 1, 0)
 
-    def pooled(self, vectors: np.ndarray, starts: np.ndarray):
-        """Maximum and argmax of each filter over each padded text of word vectors."""
+    def pooled(self, vectors: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Maximum and argmax of each filter over the windows that begin in each padded text of word vectors."""
         tops, places = [], []
         n = len(vectors) - max(WIDTHS) + 1
-        ends = [*starts[1:], n]
         for width, bank in zip(WIDTHS, self.filters):
             sums = sum(vectors[o:o + n] @ bank[o] for o in range(width))
-            tops.append(np.maximum.reduceat(sums, starts, axis=0))
+            tops.append(largest(sums, starts, ends))
             places.append(np.array([a + sums[a:b].argmax(0) for a, b in zip(starts, ends)]))
         return np.hstack(tops), places
 
@@ -115,19 +114,27 @@ class Network:
         return net
 
 
-def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of several texts end to end, each followed by zero rows so that no window spans two."""
+def largest(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Maximum of each stretch; what lies between them, windows that begin in the padding, doesn't count."""
+    edges = np.column_stack([starts, ends]).ravel()
+    return np.maximum.reduceat(sums, edges[:-1] if edges[-1] == len(sums) else edges, axis=0)[::2]
+
+
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of several texts end to end, with their starts and ends; each is followed by zero rows, so that no
+    window that begins in a text reaches the next."""
     gap = np.zeros(max(WIDTHS) - 1, np.int32)
     pieces = [x for t in texts for x in (t if len(t) else np.zeros(1, np.int32), gap)]
     lengths = np.array([max(len(t), 1) + len(gap) for t in texts])
-    return np.concatenate(pieces), np.cumsum(lengths) - lengths
+    ends = np.cumsum(lengths) - len(gap)
+    return np.concatenate(pieces), ends + len(gap) - lengths, ends
 
 
 def _gradients(net: Network, parts: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
-    rows, starts = padded(texts)
+    rows, starts, ends = padded(texts)
     words, inverse = np.unique(rows, return_inverse=True)
     vectors = net.embed[parts[words]].sum(1)[inverse]
-    tops, places = net.pooled(vectors, starts)
+    tops, places = net.pooled(vectors, starts, ends)
     hidden = np.maximum(tops + net.bias, 0)
     error = (1 / (1 + np.exp(-np.clip(net.logits(tops), -30, 30))) - labels) / len(labels)
     down = error[:, None] * net.out * (tops + net.bias > 0)
@@ -290,13 +297,13 @@ def scored(batches: Iterator[pa.RecordBatch], model: bytes, text: str) -> Iterat
     words = Responses(net)
     gap = max(WIDTHS) - 1
 
-    def pool(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def pool(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n, tops, column = len(rows) - gap, [], 0
         for width in WIDTHS:
             sums = words.table[rows[:n], column:column + FILTERS]
             for o in range(1, width):
                 sums += words.table[rows[o:o + n], column + o * FILTERS:column + (o + 1) * FILTERS]
-            tops.append(np.maximum.reduceat(sums, starts, axis=0))
+            tops.append(largest(sums, starts, ends))
             column += width * FILTERS
         return np.hstack(tops)
 
@@ -318,7 +325,9 @@ def scored(batches: Iterator[pa.RecordBatch], model: bytes, text: str) -> Iterat
         tops = np.full((batch.num_rows, len(net.bias)), -np.inf, np.float32)
         for held in grouped(words.rows([t.lower().split() for t in raw(batch, text)])):
             owner = [i for i, _ in held]
-            np.maximum.at(tops, owner, pool(*padded([r for _, r in held])))
+            rows, starts, ends = padded([r for _, r in held])
+            # Windows that begin in a stretch's overlap are the next stretch's, which has their other words.
+            np.maximum.at(tops, owner, pool(rows, starts, np.minimum(ends, starts + STEP_WORDS)))
         yield batch, 1 / (1 + np.exp(-np.clip(net.logits(tops.astype(float)), -30, 30)))
 
 

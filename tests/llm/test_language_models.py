@@ -4,6 +4,7 @@ from collections import Counter
 
 import cases
 import numpy as np
+import pyarrow as pa
 from panelloom.llm import markov, toxicity
 from pyspark.sql import functions as F
 
@@ -225,3 +226,87 @@ def test_thresholds_cover_all_labels_at_their_natural_share(spark):
     aside = [(r.score, r.doc_id % 10 == 0) for r in toxicity.score(docs, model).collect() if held(r.doc_id, 5, 1)]
     f1 = lambda c: 2 * sum(y for s, y in aside if s >= c) / (sum(s >= c for s, _ in aside) + sum(y for _, y in aside))
     assert f1(toxicity.cutoff(model)("en")) >= max(f1(s) for s, _ in aside) - 0.01
+
+
+def small_network(seed=3):
+    """A network over 40 word hashes with every parameter away from zero, and the embedding rows of 12 words."""
+    rng = np.random.default_rng(seed)
+    net = toxicity.Network(np.arange(1, 41, dtype=np.int64) * 7, seed)
+    for p in net.parameters():
+        p += rng.normal(0, 0.2, p.shape)
+    net.embed[0] = 0
+    parts = np.vstack([np.zeros((1, 1 + len(toxicity.STEMS)), np.int64), rng.integers(0, 41, (11, 1 + len(toxicity.STEMS)))])
+    return net, parts, rng
+
+
+def plain_score(net, parts, words):
+    """Filters, maxima and the logistic layer of one text, one window after another; windows may reach past the text's end."""
+    gap = max(toxicity.WIDTHS) - 1
+    vectors = [net.embed[parts[w]].sum(0) for w in (list(words) or [0])] + [np.zeros(net.embed.shape[1])] * gap
+    total, k = net.shift[0], 0
+    for width, bank in zip(toxicity.WIDTHS, net.filters):
+        for f in range(toxicity.FILTERS):
+            found = [sum(vectors[i + o] @ bank[o, :, f] for o in range(width)) for i in range(len(vectors) - width + 1 - (max(toxicity.WIDTHS) - width))]
+            total += max(max(found) + net.bias[k], 0.0) * net.out[k]
+            k += 1
+    return 1 / (1 + math.exp(-total))
+
+
+def test_gradients_equal_finite_differences():
+    net, parts, rng = small_network()
+    texts = [rng.integers(0, 12, n).astype(np.int32) for n in (1, 4, 9, 2, 0)]
+    labels = np.array([1.0, 0.0, 1.0, 1.0, 0.0])
+
+    def loss():
+        scores = np.array([plain_score(net, parts, t) for t in texts])
+        return -(labels * np.log(scores) + (1 - labels) * np.log(1 - scores)).mean()
+
+    found = toxicity._gradients(net, parts, texts, labels)
+    step, checked = 1e-6, 0
+    for p, g in zip(net.parameters(), found):
+        flat, grad = p.reshape(-1), g.reshape(-1)
+        likely = np.argsort(-np.abs(grad))[:12]  # the largest, and some others
+        for i in {*likely.tolist(), *rng.integers(0, len(flat), 8).tolist()}:
+            if p is net.embed and i < net.embed.shape[1]:
+                continue  # row 0 stays the zero vector
+            before = flat[i]
+            flat[i] = before + step
+            up = loss()
+            flat[i] = before - step
+            down = loss()
+            flat[i] = before
+            assert abs((up - down) / (2 * step) - grad[i]) < 1e-6
+            checked += abs(grad[i]) > 1e-5
+    assert checked > 30
+
+
+def test_scores_do_not_depend_on_neighbours():
+    """Scores of texts in one batch are those of the texts alone, short and empty ones, and one cut into stretches."""
+    net, _, rng = small_network()
+    words = [f"w{i}" for i in range(30)]
+    net = toxicity.Network(np.unique(toxicity.all_hashes([w.encode() for w in words])), 3)
+    for p in net.parameters():
+        p += rng.normal(0, 0.3, p.shape)
+    net.embed[0] = 0
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 0, 3, 1, 50, 2, toxicity.STEP_WORDS * 2 + 5, 4)]
+    batch = lambda some: pa.RecordBatch.from_pydict({"text": pa.array(some, pa.string())})
+    together = np.concatenate([s for _, s in toxicity.scored(iter([batch(texts)]), net.to_bytes(), "text")])
+    alone = [next(toxicity.scored(iter([batch([t])]), net.to_bytes(), "text"))[1][0] for t in texts]
+    assert np.allclose(together, alone, atol=1e-6) and len(set(np.round(alone, 6))) > 5
+    for text, score in zip(texts, alone):  # in one piece, however long
+        parts = net.parts(toxicity.all_hashes([b"", *(w.encode() for w in text.split())]))
+        rows, starts, ends = toxicity.padded([np.arange(1, len(parts), dtype=np.int32)])
+        logit = net.logits(net.pooled(net.embed[parts[rows]].sum(1), starts, ends)[0])[0]
+        assert abs(1 / (1 + math.exp(-logit)) - score) < 1e-5
+
+
+def test_scores_equal_a_plain_network(spark):
+    """The scores of whole texts against one window after another, words looked up one by one."""
+    docs, labels = labelled(spark, 120)
+    model = toxicity.train(docs, labels)
+    data = model.value if hasattr(model, "value") else model
+    net = toxicity.Network.from_bytes(data if isinstance(data, bytes) else bytes(data))
+    for r in toxicity.score(docs, model).limit(40).collect():
+        words = docs.where(F.col("doc_id") == r.doc_id).first().text.encode().lower().split()
+        parts = net.parts(toxicity.all_hashes(words))
+        assert abs(plain_score(net, parts, range(len(words))) - r.score) < 1e-4
