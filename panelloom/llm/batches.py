@@ -4,35 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import threading
 import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
-
-SLICE_BYTES = 4 << 20
-
-
-BATCH_BYTES = 8 << 20
-SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+from panelloom.operators.batches import small_batches  # noqa: F401
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, after the session's Arrow batches are held to `BATCH_BYTES`: texts are long, and a batch is
-    in memory several times. Only memory depends on it."""
-    session = df.sparkSession
-    if _bytes(session.conf.get(SETTING)) > BATCH_BYTES:
-        session.conf.set(SETTING, str(BATCH_BYTES))
-    return df
-
-
-def _bytes(size: str) -> int:
-    """A size as Spark's settings state it: a number with or without a binary unit."""
-    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit or " ")
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,11 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import detect, pixels
+from panelloom.operators import batches, detect, pixels
 from panelloom.plans.fixtures import png
 from panelloom.sources.images import bad_images, frame_sample, scan_images
 from panelloom.streaming.images import stream_images, write_detections
@@ -151,6 +152,22 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
 
 
+def test_image_batches_are_bounded(spark):
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    side = 128
+    images = spark.range(0, 600, 1, 1).select(F.struct(
+        F.col("id").cast("string").alias("origin"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"),
+        F.lit(16).alias("mode"), F.unhex(F.repeat(F.lit("0A14C8"), side * side)).alias("data")).alias("image"))
+    spark.conf.set(batches.SETTING, "64m")
+    rows = pixels._image_columns(images).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 600 and max(r["size"] for r in rows) <= 2 * batches.BATCH_BYTES
+    stats = pixels.image_features(images).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id", "gray_std").alias("k")).first()
+    assert (stats.n, stats.k) == (600, 600)
+
+
 def test_frame_sample(spark):
     frames = spark.range(100).select(F.when(F.col("id") < 70, "a").otherwise("b").alias("video_id"),
                                      F.when(F.col("id") < 70, F.col("id")).otherwise(F.col("id") - 70).alias("frame_no"))
