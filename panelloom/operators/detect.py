@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.operators.pixels import image_features, readable
+from panelloom.operators.pixels import image_features
 
 # Detection severity by confidence, worst first; the detectors' bounds, points and alert texts below.
 CONFIDENCE = ((0.75, "critical"), (0.50, "high"), (0.25, "medium"), (None, "low"))
@@ -106,12 +106,15 @@ UNREADABLE = "Unreadable image"
 
 
 def analyse_images(images: DataFrame, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
-    """Detections of every image; one that can't be read gives one row that says so, without a confidence."""
-    found = detect(image_features(images), detectors)
-    unread = images.where(~readable()).select(
-        F.col("image.origin").alias("image_id"), F.lit(UNREADABLE).alias("issue"), F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("severity"), F.lit("could not read the image").alias("alert"))
-    return found.unionByName(unread)
+    """Detections of every image; one that can't be read gives one row that says so, without a confidence.
+
+    Images are read once: a union of the readable and the others would decode every file twice.
+    """
+    unread = F.array(F.struct(
+        F.lit(UNREADABLE).alias("issue"), F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("string").alias("severity"), F.lit("could not read the image").alias("alert")))
+    found = F.when(F.col("height").isNull(), unread).otherwise(_detections(detectors or default_detectors()))
+    return image_features(images, unreadable=True).select("image_id", F.inline(found))
 
 
 def detection_report(detections: DataFrame, boxes: DataFrame | None = None) -> DataFrame:

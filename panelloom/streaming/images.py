@@ -9,12 +9,20 @@ from panelloom.operators.detect import ALERT_ABOVE, analyse_images
 from panelloom.sources.images import IMAGE_SCHEMA
 
 
+TASKS_PER_CORE = 16   # most tasks of a trigger
+
+
 def stream_images(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
-    """Detections above the alert confidence, as a streaming frame."""
+    """Detections above the alert confidence, as a streaming frame.
+
+    Spark counts every file as 4 MB more than it has, so that a task would get some 30 small
+    images, and write one file for them; tasks beyond `TASKS_PER_CORE` are put together.
+    """
     reader = spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", True)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return analyse_images(reader.load(folder)).where(f"confidence > {ALERT_ABOVE} or confidence is null")
+    images = reader.load(folder).coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return analyse_images(images).where(f"confidence > {ALERT_ABOVE} or confidence is null")
 
 
 def write_detections(detections: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

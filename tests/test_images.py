@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import batches, detect, pixels
 from panelloom.plans.fixtures import png
 from panelloom.sources.images import bad_images, frame_sample, scan_images
+from panelloom.streaming import images as streams
 from panelloom.streaming.images import stream_images, write_detections
 
 # Scenes of 480 x 640 pixels (BGR): background, then rectangles [rows, columns].
@@ -152,6 +153,27 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
 
 
+def test_analysis_reads_images_once(spark, folder):
+    images = scan_images(spark, folder)
+    plan = detect.analyse_images(images)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan image") == 1 and "Union" not in plan
+
+
+def test_stream_puts_small_images_together(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for i in range(20):
+        (tmp_path / "in" / f"{i}.png").write_bytes(png(4, 4, bytes([i] * 48)))
+    monkeypatch.setattr(streams, "TASKS_PER_CORE", 1)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a file to a partition
+    try:
+        write_detections(stream_images(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert spark.read.parquet(str(tmp_path / "out")).select("image_id").distinct().count() == 20
+    assert len(list((tmp_path / "out").glob("part-*"))) <= spark.sparkContext.defaultParallelism < 20
+
+
 def test_image_batches_are_bounded(spark):
     def sizes(parts):
         for batch in parts:
