@@ -65,9 +65,15 @@ def forget() -> None:
     if _KEPT:
         _KEPT.clear()
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Bounded(dict):

@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.llm.batches import forget, raw, slices, small_batches
+from panelloom.llm.batches import forget, give_back, raw, slices, small_batches
 from panelloom.llm.words import _BYTE, _MIX, stirred
 from panelloom.sources.storage import stage
 
@@ -111,7 +111,7 @@ class Anchors:
         self.at, self.first = place[turn], starts[turn]
         self.last = starts[np.concatenate([turn[1:] - 1, [len(starts) - 1]])] if len(turn) else turn
         self.number = np.searchsorted(self.begins, self.first, side="right") - 1
-        self.gram = grams[self.at]
+        self.gram = stirred(grams[self.at])  # spread anew: at anchors the hashes are small, and maps and buckets take leading bits
 
 
 def pieces(batches: Iterator[pa.RecordBatch]):
@@ -151,13 +151,18 @@ def _bit_map(hashes: DataFrame, twice: bool) -> np.ndarray:
     """
     shift = 64 - MAP_BITS
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
+    def marked(part: pd.DataFrame) -> tuple[int, bytes]:
         found, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in part["data"]]), return_counts=True)
         at = np.unique(found[n > twice] >> np.uint64(shift)).astype(np.int64)
         low = int(at[0] >> 3) if len(at) else 0
         bits = np.zeros(int(at[-1] >> 3) - low + 1 if len(at) else 0, np.uint8)
         np.bitwise_or.at(bits, (at >> 3) - low, np.uint8(1) << (at & 7).astype(np.uint8))
-        return pd.DataFrame({"low": [low], "bits": [bits.tobytes()]})
+        return low, bits.tobytes()
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        low, bits = marked(part)
+        give_back()
+        return pd.DataFrame({"low": [low], "bits": [bits]})
 
     out = np.zeros((1 << MAP_BITS) >> 3, np.uint8)
     for low, bits in hashes.groupBy("bucket").applyInPandas(count, "low long, bits binary").collect():  # the map, in pieces
@@ -184,6 +189,8 @@ def _repeated(docs: DataFrame, buckets: int) -> np.ndarray:
             gram, n = np.unique(Anchors(list(texts)).gram, return_counts=True)
             if len(gram):
                 yield _by_bucket(np.repeat(gram, np.minimum(n, 2)), buckets)
+            gram = n = None
+        give_back()
 
     return _bit_map(docs.mapInArrow(send, "bucket long, data binary"), True)
 
@@ -327,8 +334,10 @@ def _equal(docs: DataFrame, bits: np.ndarray, buckets: int, grams: int) -> DataF
                 held, size = [], 0
         if held:
             yield flush(held)
+        entries = held = None
+        give_back()
 
-    def merge(key, part):
+    def merged(key, part):
         column = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in part[c]])
         if key[0] < 0:
             return _merged(*(column(c, np.int64) for c in ("doc", "name", "at", "mark"))).assign(bucket=None, data=None)
@@ -341,6 +350,11 @@ def _equal(docs: DataFrame, bits: np.ndarray, buckets: int, grams: int) -> DataF
         packed = _by_bucket(np.repeat(found, np.minimum(n, 2)), grams).to_pandas()
         return pd.concat([out, packed.assign(doc_id=None, name=None, first=None, till=None)[list(out.columns)]], ignore_index=True)
 
+    def merge(key, part):
+        out = merged(key, part)
+        give_back()
+        return out
+
     schema = "bucket long, " + ", ".join(f"{c} binary" for c, _ in EQUALS)
     return docs.mapInArrow(send, schema).groupBy("bucket").applyInPandas(merge, COVERED)
 
@@ -358,6 +372,8 @@ def _send(docs: DataFrame, bits: np.ndarray, splitters: np.ndarray, drawn: np.nd
                 held, size = [], 0
         if held:
             yield _packed(held, splitters, drawn)
+        entries = held = None
+        give_back()
 
     return docs.mapInArrow(run, ENTRIES)
 
@@ -476,6 +492,8 @@ def covered(docs: DataFrame) -> DataFrame:
             for b in np.unique(place).tolist():
                 packed = np.column_stack([x[place == b].view(np.int64) for x in kept]).tobytes()
                 out.loc[len(out)] = [None, None, None, None, b, packed]
+        kept = None
+        give_back()
         return out
 
     settled = stage(sent.groupBy("bucket", "part").applyInPandas(settle, COVERED), "settled")
@@ -557,6 +575,8 @@ def dedup(docs: DataFrame) -> DataFrame:
             size, gone, n, sha = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (size, gone, n)), pa.array(sha)],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        batch = None
+        give_back()
 
     full = _with_ranges(narrow, "doc_id", "text", names).select("doc_id", "text", names[2])
     return full.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -584,6 +604,8 @@ def trim(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             out = batch.set_column(at, batch.schema.field(at), pa.array(new, pa.binary()).cast(batch.schema.field(at).type))
             yield out.select(columns)
+        batch = out = None
+        give_back()
 
     trimmed = _with_ranges(docs, "doc_id", "text", names).select(*columns, names[2]).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

@@ -185,6 +185,15 @@ def test_anchors_of_equal_strings_agree():
     assert places[0] == places[1] and len(places[0]) == 301
 
 
+def test_anchors_spread_evenly_over_buckets():
+    """The least hash of many is small: it must not lead all grams to the first ranges of the map."""
+    text = bytes(np.random.default_rng(5).integers(97, 123, 200_000, dtype=np.uint8))
+    gram = np.unique(suffixes.Anchors([text]).gram)
+    packed = suffixes._by_bucket(gram, 16).to_pydict()
+    sizes = [len(x) // 8 for x in packed["data"]]
+    assert packed["bucket"] == list(range(16)) and sum(sizes) == len(gram) and max(sizes) < 2 * len(gram) / 16
+
+
 @pytest.mark.parametrize("percent", [20, 50, 60, 66, 67, 80, 90])
 def test_linked_sets_share_an_indexed_token_at_any_percent(percent):
     """All pairs of sets of seven tokens, of which two are rare or none is."""
