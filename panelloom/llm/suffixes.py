@@ -266,8 +266,10 @@ def _packed(held: list[dict], splitters: np.ndarray, drawn: np.ndarray) -> pa.Re
     begin = np.cumsum(size) - size
     order = np.lexsort((at, name, doc, left, size, mark))
     alike = np.all([x[order][1:] == x[order][:-1] for x in (mark, size, left)], axis=0)
-    again = order[np.concatenate([[False], alike])]
-    here = np.delete(np.arange(len(doc)), again)
+    new = np.concatenate([[True], ~alike])
+    rest, own = order[~new], order[new][np.cumsum(new) - 1][~new]
+    again = rest[(doc[rest] != doc[own]) | (name[rest] != name[own]) | (at[rest] != at[own])]  # not those of equal rows
+    here = np.sort(order[new])
     done = _merged(doc[again], name[again], at[again] - left[again], at[again] + right[again])
 
     place = np.searchsorted(splitters, lead[here])

@@ -185,6 +185,13 @@ def test_anchors_of_equal_strings_agree():
     assert places[0] == places[1] and len(places[0]) == 301
 
 
+def test_equal_rows_of_one_task_are_one_document(spark):
+    docs = [(k, cases.prose(k, 60) + cases.prose(90, 60)) for k in (1, 2, 3)]
+    docs = docs[:1] * 3 + docs[1:] + docs[2:] + [(4, cases.prose(90, 60)[100:400] + cases.prose(4, 30))]
+    got = suffixes.dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in got) == brute_cut([(i, t.encode()) for i, t in docs], suffixes.LENGTH)
+
+
 def test_anchors_spread_evenly_over_buckets():
     """The least hash of many is small: it must not lead all grams to the first ranges of the map."""
     text = bytes(np.random.default_rng(5).integers(97, 123, 200_000, dtype=np.uint8))
