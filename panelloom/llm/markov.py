@@ -24,15 +24,14 @@ training texts the base is 0 for each token and the model uniform over symbols.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from panelloom.llm.batches import raw, slices, small_batches
+from panelloom.llm.batches import slices, small_batches
 from panelloom.sources.storage import stage
 
 STATES = 8
@@ -42,15 +41,20 @@ CLASSES = 1024
 FREQUENT = 1 << 16
 GROUPS = 64     # groups of following symbols, for the start
 MAIN = 0.8      # share of its count that a symbol gives to its own state, for the start
-COUNTED_AT_ONCE = 300_000
+COUNTED_BYTES = 16 << 20  # of words that a task counts at once
 ABREAST = 200_000
+SCALED_EVERY = 8  # steps; between them probabilities shrink, far from underflow
 END = OWN + CLASSES
 SYMBOLS = END + 1
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words in lower case (A-Z only); bytes.split cuts at the six ASCII blanks."""
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in lower case (A-Z only), cut at the six ASCII blanks, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, counts = cut.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at either end leave an empty word
+    text = np.repeat(np.arange(len(counts)), counts)[some]
+    return words.filter(pa.array(some)), np.bincount(text, minlength=len(counts))
 
 
 def spelled(word: bytes) -> int:
@@ -58,17 +62,27 @@ def spelled(word: bytes) -> int:
     return zlib.crc32(word[:2] + b" " + word[-3:]) % CLASSES
 
 
+def all_spelled(words: pa.Array) -> np.ndarray:
+    """`spelled` of each word: once for each of the different first and last letters."""
+    letters = pc.binary_join_element_wise(pc.binary_slice(words, 0, 2), pc.binary_slice(words, -3), b" ").dictionary_encode()
+    classes = np.array([zlib.crc32(x) % CLASSES for x in letters.dictionary.to_pylist()], np.int64)
+    return classes[letters.indices.to_numpy(zero_copy_only=False)]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over whole texts; tasks sum up a bounded number of words before they send them."""
     def run(batches):
-        held = Counter()
-        emit = lambda: pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())})
+        held = []
+
+        def emit():
+            found = pa.chunked_array(held, pa.binary()).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
         for batch in slices(batches, "text"):
-            for text in raw(batch, "text"):
-                held.update(tokens(text))
-            if len(held) > COUNTED_AT_ONCE:
+            held.append(tokens(batch["text"])[0])
+            if sum(x.nbytes for x in held) > COUNTED_BYTES:
                 yield emit()
-                held.clear()
         if held:
             yield emit()
 
@@ -95,13 +109,15 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     floor = next(f for f in floors if (one[f"at_{f}"] or 0) <= FREQUENT)
     frequent = {bytes(r.word): r.n for r in counts.filter(F.col("n") >= floor).collect()}
     own = {w: i for i, w in enumerate(sorted(frequent, key=lambda w: (-frequent[w], w))[:OWN])}
+    most = pa.array(list(own), pa.binary())
 
     def classes(batches):
         n, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            rest = [(spelled(w), c) for w, c in zip(batch["word"].to_pylist(), batch["n"].to_pylist()) if w not in own]
-            at = np.array([k for k, _ in rest], np.int64)
-            n += np.bincount(at, [c for _, c in rest], CLASSES).astype(np.int64)
+            found = batch["word"].cast(pa.binary())
+            rest = pc.invert(pc.is_in(found, most))
+            at = all_spelled(found.filter(rest))
+            np.add.at(n, at, batch["n"].filter(rest).to_numpy())
             words += np.bincount(at, minlength=CLASSES)
         yield pa.RecordBatch.from_pydict({"class": np.arange(CLASSES), "n": n, "words": words})
 
@@ -114,37 +130,36 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
 
 def observe(docs: DataFrame, known: Vocabulary) -> DataFrame:
     """Symbols of every whole text, sums over its frequent words, and its other words as often as they occur."""
+    ordered = sorted(known.counts, key=lambda w: (-known.counts[w], w))  # the first OWN are symbols of their own
+    place = pa.array(ordered, pa.binary())
+    logs = np.log10(np.array([known.counts[w] for w in ordered], float) + 1)
+    symbols = np.array([i if i < OWN else OWN + spelled(w) for i, w in enumerate(ordered)], np.uint16)
+    end, some_texts, sizes = np.log10(known.texts + 1), known.texts > 0, known.sizes
+
     def run(batches):
-        ordered = sorted(known.counts, key=lambda w: (-known.counts[w], w))  # the first OWN are symbols of their own
-        place = {w: i for i, w in enumerate(ordered)}
-        logs = np.log10(np.array([known.counts[w] for w in ordered], float) + 1)
-        symbols = np.array([i if i < OWN else OWN + spelled(w) for i, w in enumerate(ordered)], np.uint16)
-        end = np.log10(known.texts + 1)
         for batch in slices(batches, "text"):
-            texts = [tokens(t) for t in raw(batch, "text")]
-            flat = [w for t in texts for w in t]
-            ends = np.cumsum([len(t) for t in texts])
-            at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
-            doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+            flat, counts = tokens(batch["text"])
+            texts, ends = len(counts), np.cumsum(counts)
+            at = pc.fill_null(pc.index_in(flat, place), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(texts), counts)
             rare = np.flatnonzero(at < 0)
-            rest = [flat[i] for i in rare.tolist()]
-            classes = {w: OWN + spelled(w) for w in set(rest)}
+            rest = flat.take(pa.array(rare))
             seen = np.empty(len(flat), np.uint16)
             seen[at >= 0] = symbols[at[at >= 0]]
-            seen[rare] = np.fromiter(map(classes.__getitem__, rest), np.uint16, len(rest))
+            seen[rare] = OWN + all_spelled(rest)
 
             def sums(some, values):
-                return np.bincount(doc[some], values, len(texts))
+                return np.bincount(doc[some], values, texts)
 
             frequent, own, shared = at >= 0, (at >= 0) & (at < OWN), seen >= OWN
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(texts)))])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=texts))])
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], batch["held_out"], pa.array(np.diff(ends, prepend=0) + 1, pa.int64()),
-                pa.array(np.bincount(doc[frequent], minlength=len(texts)) + (known.texts > 0), pa.int64()),
+                batch["doc_id"], batch["held_out"], pa.array(counts + 1, pa.int64()),
+                pa.array(np.bincount(doc[frequent], minlength=texts) + some_texts, pa.int64()),
                 pa.array(sums(frequent, logs[at[frequent]]) + end), pa.array(sums(own, logs[at[own]]) + end),
-                pa.array(sums(shared, known.sizes[seen[shared] - OWN])),
+                pa.array(sums(shared, sizes[seen[shared] - OWN])),
                 pa.array([np.append(x, END).astype("<u2").tobytes() for x in np.split(seen, ends[:-1])], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest, pa.binary()))],
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "all_log", "own_log", "class_log", "symbols", "words"])
 
     seen = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, all_log double, own_log double, "
@@ -229,17 +244,24 @@ class Abreast:
         self.symbols[place], self.number[place] = np.concatenate(ordered), number
 
     def forward(self, model: Model):
-        """Scaled forward probabilities and the scales; their logs add up to the log likelihood."""
-        emit = model.emit.T[self.symbols]
-        alpha, scale = np.empty_like(emit), np.empty(len(emit))
-        now = np.broadcast_to(model.start, (len(self.lengths), len(model.start)))
-        for t, n in enumerate(self.active):
-            a, b = self.starts[t], self.starts[t + 1]
-            now = (now[:n] @ model.step if t else now[:n]) * emit[a:b]
-            scale[a:b] = now.sum(1)
-            now /= scale[a:b, None]
-            alpha[a:b] = now
-        return emit, alpha, scale
+        """Emissions, probabilities of the states before each symbol is seen, and scales; logs of the scales add up to the
+        log likelihood. Scaled are every few steps and those at which a sequence ends; elsewhere the scale is 1."""
+        emit = np.ascontiguousarray(model.emit.T)[self.symbols]
+        before, scale = np.empty_like(emit), np.ones(len(emit))
+        whole, a = np.ones(len(model.start)), 0
+        steps = self.active.tolist()
+        for t, (n, following) in enumerate(zip(steps, [*steps[1:], 0])):
+            b = a + n
+            if t:
+                np.dot(now[:n], model.step, before[a:b])
+            else:
+                before[:n] = model.start
+            now = before[a:b] * emit[a:b]
+            if following < n or t % SCALED_EVERY == SCALED_EVERY - 1:
+                np.dot(now, whole, scale[a:b])
+                now /= scale[a:b, None]
+            a = b
+        return emit, before, scale
 
     def log10(self, model: Model) -> np.ndarray:
         """log10 likelihood of each sequence, in the order given."""
@@ -250,19 +272,22 @@ class Abreast:
 
     def expected(self, model: Model) -> np.ndarray:
         """Expected starts, transitions and emissions, by the backward recursion."""
-        emit, alpha, scale = self.forward(model)
-        k = len(model.start)
-        moves, after = np.zeros((k, k)), np.zeros((0, k))
-        for t in range(len(self.active) - 1, -1, -1):
-            a, n = self.starts[t], self.active[t]
-            beta = np.ones((n, k))
-            if len(after):
-                beta[:len(after)] = after @ model.step.T
-                moves += alpha[a:a + len(after)].T @ after
-            after = emit[a:a + n] * beta / scale[a:a + n, None]
-            alpha[a:a + n] *= beta
-        emitted = np.array([np.bincount(self.symbols, alpha[:, s], SYMBOLS) for s in range(k)])
-        return np.concatenate([alpha[:self.active[0]].sum(0), (moves * model.step).ravel(), emitted.ravel()])
+        emit, before, scale = self.forward(model)
+        emit /= scale[:, None]
+        alpha = before * emit
+        back = np.ascontiguousarray(model.step.T)
+        b, going = len(emit), 0
+        for n in reversed(self.active.tolist()):  # emissions times what comes after them
+            a = b - n
+            if going:
+                emit[a:a + going] *= np.dot(emit[b:b + going], back)
+            b, going = a, n
+        first = self.active[0]
+        previous = np.arange(first, len(emit)) - np.repeat(self.active[:-1], self.active[1:])
+        moves = alpha[previous].T @ emit[first:]
+        before *= emit
+        emitted = np.array([np.bincount(self.symbols, x, SYMBOLS) for x in before.T])
+        return np.concatenate([before[:first].sum(0), (moves * model.step).ravel(), emitted.ravel()])
 
 
 def laid(sequences: list[np.ndarray]):

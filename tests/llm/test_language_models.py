@@ -46,6 +46,23 @@ def test_no_training_texts(spark):
     assert all(r.base_score == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
 
 
+def test_words_and_classes_equal_plain_python():
+    texts = ["", None, " ", "A b  C", "\t\v\f lead and trail \r\n", "x\x1cy\u00a0z\u2003w ÄÖ İ", "\x00 a\x00b", "é", "日本 語", "one"]
+    for some in (texts, texts[3:6], [], [None], [" "]):
+        words, counts = markov.tokens(pa.array(some, pa.string()))
+        want = [(t or "").encode().lower().split() for t in some]
+        assert words.to_pylist() == [w for t in want for w in t] and counts.tolist() == [len(t) for t in want]
+        assert markov.all_spelled(words).tolist() == [markov.spelled(w) for t in want for w in t]
+
+
+def test_words_are_counted_in_pieces(spark, monkeypatch):
+    docs = cases.documents(spark).repartition(3)
+    want = Counter(w for _, t in cases.texts() for w in t.encode().lower().split())
+    for size in (markov.COUNTED_BYTES, 50):
+        monkeypatch.setattr(markov, "COUNTED_BYTES", size)
+        assert {bytes(r.word): r.n for r in markov.count_words(docs).collect()} == want
+
+
 def paths(model, seq):
     """Likelihood and posterior by summing over every path of states."""
     k = len(model.start)
@@ -78,6 +95,37 @@ def test_forward_backward_equals_sum_over_paths():
     assert abs(sums[2:6].sum() - sum(len(s) - 1 for s in sequences)) < 1e-9
 
 
+def test_long_sequences_are_scaled_now_and_then():
+    """Equal to a recursion that scales at every step, with very unlikely symbols; most steps go without scaling."""
+    rng = np.random.default_rng(8)
+    ratio = lambda x: x / x.sum(-1, keepdims=True)
+    emit = ratio(rng.random((3, markov.SYMBOLS)))
+    emit[:, :40] *= 1e-15
+    model = markov.Model(ratio(rng.random(3)), ratio(rng.random((3, 3))), emit)
+    sequences = [rng.integers(0, 60, n) for n in (800, 3, 800, 1, 797, 800, 17, 8, 9)]
+    group = markov.Abreast(sequences)
+    got, sums = group.log10(model), group.expected(model)
+    start, step, emitted = np.zeros(3), np.zeros((3, 3)), np.zeros((3, markov.SYMBOLS))
+    for seq, value in zip(sequences, got):
+        alpha, scale = [], []
+        for t, x in enumerate(seq):
+            now = (alpha[-1] @ model.step if t else model.start) * emit[:, x]
+            scale.append(now.sum())
+            alpha.append(now / now.sum())
+        assert math.isclose(value, np.log10(scale).sum(), rel_tol=1e-12)
+        beta = np.ones(3)
+        for t in range(len(seq) - 1, -1, -1):
+            emitted[:, seq[t]] += alpha[t] * beta
+            if t:
+                after = emit[:, seq[t]] * beta / scale[t]
+                step += np.outer(alpha[t - 1], after) * model.step
+                beta = model.step @ after
+        start += alpha[0] * beta
+    assert np.allclose(sums, np.concatenate([start, step.ravel(), emitted.ravel()]), rtol=1e-9)
+    alike = markov.Abreast([rng.integers(0, 60, 800) for _ in range(5)])
+    assert (alike.forward(model)[2] != 1).sum() == 5 * 800 // markov.SCALED_EVERY
+
+
 def test_scores_equal_a_plain_model(spark):
     """The whole score: forward recursion over the symbols, one token after another, times the words' shares."""
     docs, fold = cases.documents(spark), toxicity.remainder("doc_id", 7) == 2
