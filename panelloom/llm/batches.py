@@ -6,14 +6,21 @@ import ctypes
 import gc
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
 
-from panelloom.operators.batches import small_batches  # noqa: F401
+from panelloom.operators import batches as arrow
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after the session's Arrow batches are held to `BATCH_BYTES`; executors keep buffers of their size."""
+    return arrow.small_batches(df, BATCH_BYTES)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -49,6 +56,7 @@ def kept(key: tuple, make):
     if found is None:
         _KEPT.clear()
         found = _KEPT[key] = make()
+        give_back()  # what only its making took
         threading.Thread(target=_drop_idle, daemon=True).start()
     return found
 
@@ -76,6 +84,19 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(run: Callable) -> Callable:
+    """The function of a task over Arrow batches; at its end the worker gives back what it has freed.
+
+    Spark takes an executor's workers in turn, so there are more of them than tasks at a time, and each would
+    wait with the most that any of its tasks has held.
+    """
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 class Bounded(dict):
     """A cache that starts anew when it holds `limit` entries; it only saves time."""
 

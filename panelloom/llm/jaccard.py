@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.batches import forget, raw, slices, small_batches
+from panelloom.llm.batches import forget, give_back, lean, raw, slices, small_batches
 from panelloom.llm.graph import components
 from panelloom.llm.words import shingles, stirred, word_hashes
 from panelloom.sources.storage import stage
@@ -108,11 +108,16 @@ def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> tuple[n
             if len(tokens):
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(firsts, pa.int64()), "data": [x.tobytes() for x in high]})
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
         token, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in part["data"]]), return_counts=True)
         return pd.DataFrame({"token": token[n > common].astype(np.int64), "n": n[n > common]})
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, data binary")
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        out = counted(part)
+        give_back()
+        return out
+
+    sent = docs.select("text").mapInArrow(lean(send), "bucket long, data binary")
     counts = stage(sent.groupBy("bucket").applyInPandas(count, "token long, n long"), "frequent")
     floors = [common << k for k in range(40)]
     above = counts.agg(*[F.sum((F.col("n") > f).cast("long")).alias(f"above_{f}") for f in floors]).first()
@@ -155,7 +160,7 @@ def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buck
                 yield rows(len(firsts), bucket=firsts.tolist(), token=token, keys=names, sizes=sizes, heavy=heavy)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _name("text").alias("name"))
-    return named.mapInArrow(run, INDEXED)
+    return named.mapInArrow(lean(run), INDEXED)
 
 
 def _name(text: str):
@@ -168,7 +173,7 @@ def _pairs(postings: DataFrame, percent: int, common: int) -> DataFrame:
     Two sets made of frequent tokens give a star edge, which counts no tokens, as their shared
     frequent tokens aren't counted here; and so does any set of a list longer than `common`.
     """
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def paired(part: pd.DataFrame) -> pd.DataFrame:
         token, key, size, made = (np.concatenate([np.frombuffer(x, t) for x in part[c]]) for c, t in (
             ("token", np.uint64), ("keys", np.int64), ("sizes", np.int32), ("heavy", np.uint8)))
         order = np.lexsort((key, token))
@@ -205,6 +210,11 @@ def _pairs(postings: DataFrame, percent: int, common: int) -> DataFrame:
             out = pd.concat([out, star], ignore_index=True)
         return out.astype(np.int64)
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = paired(part)
+        give_back()
+        return out
+
     schema = "a long, b long, na long, nb long, ma long, mb long, shared long"
     return postings.groupBy("bucket").applyInPandas(run, schema)
 
@@ -231,7 +241,7 @@ def _stars(indexed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"combo": combos, "set_key": np.full(len(combos), key)})
 
     rows = indexed.filter("combos is not null").select("set_key", "combos").dropDuplicates(["set_key"])
-    rows = rows.mapInArrow(spread, "combo long, set_key long")
+    rows = rows.mapInArrow(lean(spread), "combo long, set_key long")
     hubs = rows.groupBy("combo").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("lists")).filter("lists > 1")
     return rows.join(hubs, "combo").filter("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
 
@@ -297,7 +307,7 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
     schema = "set_key long, root long, block int, with array<struct<lo:int,hi:int>>, tokens binary"
     same = (F.col("name") == F.col("member_name")) & F.col("doc_id").eqNullSafe(F.col("member_id"))
-    made = texts.join(asked, same).select("text", "set_key", "root", "block", "with").mapInArrow(make, schema)
+    made = texts.join(asked, same).select("text", "set_key", "root", "block", "with").mapInArrow(lean(make), schema)
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("set_key").sort_values(["block", "set_key"])

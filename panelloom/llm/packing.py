@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.batches import kept, raw, slices, small_batches
+from panelloom.llm.batches import kept, lean, raw, slices, small_batches
 from panelloom.llm.words import stirred
 from panelloom.sources.storage import stage
 
@@ -284,7 +284,7 @@ def tokenise(docs: DataFrame, path: str, window: int = WINDOW, held: int = CACHE
 
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lists = ", ".join(f"{n} array<{PIECE}>" for n in ("full", "rest", "parts"))
-    return small_batches(body).mapInArrow(run, f"doc_id long, doc_tokens long, {lists}, part int, full_rank long, rest_rank long")
+    return small_batches(body).mapInArrow(lean(run), f"doc_id long, doc_tokens long, {lists}, part int, full_rank long, rest_rank long")
 
 
 class Capacities:

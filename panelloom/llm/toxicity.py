@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelloom.llm.batches import forget, raw, slices, small_batches
+from panelloom.llm.batches import forget, lean, raw, slices, small_batches
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
             net = _constant(prior, seed)
         yield pa.RecordBatch.from_pydict({"model": [net.to_bytes()]})
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # the sample alone is in one task
+    found = rows.repartition(1).mapInArrow(lean(run), "model binary").first()  # the sample alone is in one task
     net = Network.from_bytes(found[0]) if found else _constant(prior, seed)
     if len(net.hashes):  # without words all scores are the prior: no threshold parts them
         net.thresholds = _thresholds(docs, marks, net.to_bytes(), folds)
@@ -256,7 +256,7 @@ def _thresholds(docs: DataFrame, marks: DataFrame, model: bytes, folds: int) ->
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))
     body = small_batches(body.filter(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) == 1)))
-    binned = body.mapInArrow(run, "doc_id long, lang string, bin int").join(marks, "doc_id")
+    binned = body.mapInArrow(lean(run), "doc_id long, lang string, bin int").join(marks, "doc_id")
     counted = binned.groupBy("lang", "bin").agg(F.count("toxic"), F.sum("toxic")).collect()
     held: dict[str, np.ndarray] = {"": np.zeros((2, len(CUTS) + 1), np.int64)}
     for lang, at, n, toxic in counted:
@@ -284,7 +284,9 @@ class Responses:
         if new:
             first, total = len(self.at), len(self.at) + len(new)
             if total > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((total, self.table.shape[1]), np.float32)])
+                grown = np.zeros((max(total, CACHED_WORDS), self.table.shape[1]), np.float32)  # takes memory as it fills
+                grown[:first] = self.table[:first]
+                self.table = grown
             self.table[first:total] = self.net.embed[self.net.parts(all_hashes(new))].sum(1) @ self.banks
             self.at.update(zip(new, range(first, total)))
         return [np.fromiter(map(self.at.__getitem__, t), np.int32, len(t)) for t in texts]
@@ -346,7 +348,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores), pa.array(flags)], ["doc_id", "score", "flagged"])
 
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return small_batches(body).mapInArrow(run, "doc_id long, score double, flagged boolean")
+    return small_batches(body).mapInArrow(lean(run), "doc_id long, score double, flagged boolean")
 
 
 def clean(docs: DataFrame, model: bytes) -> DataFrame:
@@ -357,4 +359,4 @@ def clean(docs: DataFrame, model: bytes) -> DataFrame:
             kept = scores < np.array([limit(x) for x in batch["lang"].to_pylist()])
             yield batch.filter(pa.array(kept))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -10,13 +10,13 @@ BATCH_BYTES = 8 << 20
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, after the session's Arrow batches are held to `BATCH_BYTES`: texts and images are long, and a
+def small_batches(df: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
+    """The frame, after the session's Arrow batches are held to `size` bytes: texts and images are long, and a
     batch is in memory several times. Only memory depends on it."""
     session = df.sparkSession
     held = _bytes(session.conf.get(SETTING))
-    if held > BATCH_BYTES or held <= 0:  # zero or less: no bound
-        session.conf.set(SETTING, str(BATCH_BYTES))
+    if held > size or held <= 0:  # zero or less: no bound
+        session.conf.set(SETTING, str(size))
     return df
 
 

@@ -3,13 +3,18 @@ import itertools
 import random
 import re
 import time
+from types import SimpleNamespace
 
 import cases
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 import pytest
-from panelloom.llm import mincut
+from panelloom.llm import batches, jaccard, mincut, packing, toxicity
 import panelloom.llm.queries  # noqa: F401  (registers the queries)
 from panelloom.llm.registry import ORACLES, QUERIES
+from panelloom.operators import batches as arrow
+from pyspark import TaskContext
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body>
 <header class="site"><a href=/>Home</a></header><div id="cookie-notice"><p>We use cookies and such on this page, please
@@ -178,3 +183,29 @@ def test_elements_without_an_end_tag_hide_nothing(before):
 def test_closed_unseen_elements_stay_unseen():
     page = "<head><title>t</title></head><article><p>Some real words here.<object><object>a</object>b</object><svg><text>c</text></svg></article>"
     assert mincut.main_text(page) == "Some real words here."
+
+
+def test_workers_give_memory_back_after_each_task(spark, monkeypatch):
+    docs = cases.documents(spark)
+    labels = spark.createDataFrame([(r.doc_id, i % 2) for i, r in enumerate(docs.select("doc_id").distinct().collect())], "doc_id long, toxic int")
+    tasks = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a: tasks.append(run) or real(self, run, *a))
+    model = toxicity.train(docs, labels)
+    toxicity.clean(docs, model), toxicity.score(docs, model), jaccard.keep(docs)
+    packing.tokenise(docs, public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    given = []
+    monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    assert len(tasks) >= 7
+    for run in tasks:
+        before = len(given)
+        list(run(iter([])))
+        assert len(given) > before
+
+
+def test_batches_of_texts_are_small(spark):
+    spark.conf.unset(arrow.SETTING)
+    docs = spark.range(0, 100, 1, 1).selectExpr("id as doc_id", "repeat('word ', 40000) as text")
+    sizes = batches.small_batches(docs).mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in found), "size long").collect()
+    assert sum(1 for _ in sizes) > 1 and max(r["size"] for r in sizes) <= (2 << 20) + 400_000
