@@ -511,8 +511,12 @@ def covered(docs: DataFrame) -> DataFrame:
     return own.unionByName(met).unionByName(equal)
 
 
-def _with_ranges(docs: DataFrame, doc_id: str, text: str, taken: list[str]) -> DataFrame:
-    """The documents with the sorted list of their ranges in `ranges`."""
+def _with_ranges(docs: DataFrame, doc_id: str, text: str, taken: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents that may have ranges, with their sorted list in `taken[2]`; those that have none).
+
+    With one Python step on the first, no task needs two Python workers at once: an executor keeps all workers it
+    ever had, and each later holds tables of its own.
+    """
     keyed = docs.withColumns({taken[0]: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)),
                               taken[1]: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     narrow = keyed.select(F.col(taken[0]).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(taken[1]).alias("name"))
@@ -531,9 +535,9 @@ def _with_ranges(docs: DataFrame, doc_id: str, text: str, taken: list[str]) -> D
         return pd.Series(_in_map(bits, stirred(name.to_numpy(np.int64).view(np.uint64))))
 
     asked = touched(taken[1])
-    joined = keyed.filter(asked).join(found, (F.col(taken[0]) == F.col(taken[3])) & (F.col(taken[1]) == F.col(taken[4])), "left")
-    return joined.unionByName(keyed.filter(~asked).withColumns({
-        c: F.lit(None).cast(found.schema[c].dataType) for c in taken[2:]}))
+    # Merged, not broadcast: the shuffle parts the look-up in the map from the step on the texts.
+    same = (F.col(taken[0]) == F.col(taken[3])) & (F.col(taken[1]) == F.col(taken[4]))
+    return keyed.filter(asked).join(found.hint("merge"), same, "left"), keyed.filter(~asked)
 
 
 def _taken(docs: DataFrame) -> list[str]:
@@ -580,8 +584,11 @@ def dedup(docs: DataFrame) -> DataFrame:
         batch = None
         give_back()
 
-    full = _with_ranges(narrow, "doc_id", "text", names).select("doc_id", "text", names[2])
-    return full.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched, whole = _with_ranges(narrow, "doc_id", "text", names)
+    cut = touched.select("doc_id", "text", names[2]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    data, none = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    return cut.unionByName(whole.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), none.alias("n_removed"),
+                                        none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256")))
 
 
 def trim(docs: DataFrame) -> DataFrame:
@@ -609,7 +616,8 @@ def trim(docs: DataFrame) -> DataFrame:
         batch = out = None
         give_back()
 
-    trimmed = _with_ranges(docs, "doc_id", "text", names).select(*columns, names[2]).mapInArrow(run, docs.schema)
+    touched, rest = _with_ranges(docs, "doc_id", "text", names)
+    trimmed = touched.select(*columns, names[2]).mapInArrow(run, docs.schema).unionByName(rest.select(columns))
     if "n_chars" in docs.columns:
         trimmed = trimmed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return trimmed.select(columns)

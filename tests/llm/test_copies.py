@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from panelloom.llm import graph, jaccard, suffixes
 from panelloom.llm.words import word_hashes
+from panelloom.sources.storage import stage
 
 
 def shingle_set(text, width):
@@ -161,6 +162,30 @@ def test_cut_of_odd_documents(spark):
     assert [r.text for r in rows if r.doc_id == 2][0].strip() and [r.text for r in rows if r.doc_id == 3] == [""]
 
 
+def python_steps(plan) -> tuple[int, int]:
+    """Python steps that run together in one task: at the top of the plan, and the most below any shuffle."""
+    children = plan.children()
+    below = [python_steps(children.apply(i)) for i in range(children.size())]
+    tops, most = [t for t, _ in below], max((m for _, m in below), default=0)
+    here = (max if plan.nodeName() == "Union" else sum)(tops or [0])
+    if "Exchange" in plan.nodeName():
+        return 0, max(most, here)
+    return here + any(x in plan.nodeName() for x in ("Python", "MapInArrow", "InPandas")), most
+
+
+def test_a_task_of_the_cut_needs_one_python_worker(spark):
+    """Idle workers stay, and in the next step each builds its tables."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan's shuffles are hidden
+    try:
+        docs = stage(cases.documents(spark, clashing=False))  # a shuffle of its own would part the steps
+        for out in (suffixes.trim(docs), suffixes.dedup(docs)):
+            assert max(python_steps(out._jdf.queryExecution().executedPlan())) == 1
+            assert out.count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_multikey_orders_rows():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 2, (500, 24), dtype=np.uint8)
