@@ -15,8 +15,8 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     written to the shared folder, so the lineage stays short.
     """
     pairs = edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).filter("a <> b")
-    both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", True)
+    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels", True)
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("heard"))
         lower = labels.join(heard, labels["node"] == heard["a"]).select(
@@ -24,7 +24,7 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         roots = labels.select(F.col("node").alias("at"), F.col("root").alias("above"))
         jumped = lower.join(roots, lower["root"] == roots["at"], "left").select(
             "node", "before", F.least("root", F.coalesce("above", "root")).alias("root"))
-        found = stage(jumped, "labels")
+        found = stage(jumped, "labels", True)
         if not found.filter("before <> root").limit(1).count():
             return found.select("node", "root")
         labels = found.select("node", "root")

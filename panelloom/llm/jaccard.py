@@ -1,7 +1,10 @@
 """Exact Jaccard join of word n-gram sets, by token-combination prefixes.
 
 The tokens of the join are hashed n-grams. All sets' tokens are counted; a token in more
-than `common` sets is frequent. The global order puts rare tokens first, by hash.
+than `common` sets is frequent. The global order puts rare tokens first, by hash, then
+frequent ones by level (the logarithm of the count) and hash. Levels go along with the code
+in a map of cells, of bounded size: a token has its cell's highest level. A full map calls
+more tokens frequent, which costs time, not results, as any order will do.
 
 * A set with enough rare tokens indexes the usual prefix of single tokens. Two such sets,
   or one with any other, can only be linked if they share an indexed token, and share so
@@ -10,11 +13,12 @@ than `common` sets is frequent. The global order puts rare tokens first, by hash
   frequent ones in combinations of two that follow each other in the order. A token that
   only one of two sets has breaks two combinations at most, so a prefix longer by the
   possible differences keeps one intact. Where a whole set is too short for that (at 66
-  percent and below), its frequent tokens are indexed one by one too.
+  percent and below), its frequent tokens are indexed one by one too. The most frequent
+  tokens come last, so that texts which share a template alone have no combination in common.
 
-Pairs are taken within lists of at most `common` sets. Longer ones, of tokens that are
-frequent but beyond the number that goes along with the code, and lists of combinations give
-only star edges: their work grows with their length. The components of this candidate graph are small; each is verified
+Pairs of like size are taken within lists of at most `common` sets, which all lists of rare
+tokens are. Longer ones, of combinations, give only star edges between sets of neighbouring
+sizes: their work grows with their length. The components of this candidate graph are small; each is verified
 exactly, in blocks of bounded size, skipping pairs that are already connected. Every link
 between different sets lies in a component, so none is lost. Equal sets are one node,
 known by a 64-bit hash of the set.
@@ -37,7 +41,9 @@ from panelloom.llm.words import shingles, stirred, word_hashes
 from panelloom.sources.storage import stage
 
 COMMON = 16
-FREQUENT_TOKENS = 1 << 18
+FREQUENT_TOKENS = 1 << 26  # cells of the map of levels, at most; two make a byte
+TOP_LEVEL = 15
+MARKS = 1 << 27  # bits of a map of documents, at most
 BUCKET_BYTES = 8 << 20
 BLOCK_TOKENS = 400_000
 SLICE = 1 << 19
@@ -60,13 +66,23 @@ def slack(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[bool, np.ndarray, np.ndarray]:
-    """(made of frequent tokens, single tokens to index, combinations to index); `frequent` is sorted."""
+def levels(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Level of each token, 0 for rare ones. frequent: the map of levels, or the sorted upper halves of tokens that all have one level."""
     high = (tokens >> np.uint64(32)).astype(np.uint32)
-    common = np.zeros(len(tokens), bool)
-    if len(frequent):
-        common = frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high
-    rare, many, n = tokens[~common], tokens[common], len(tokens)
+    if frequent.dtype == np.uint8:
+        cell = high >> np.uint32(32 - len(frequent).bit_length())
+        return frequent[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & 15
+    if not len(frequent):
+        return np.zeros(len(tokens), np.uint8)
+    return (frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high).astype(np.uint8)
+
+
+def prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(made of frequent tokens, single tokens to index, combinations to index); `frequent` as in `levels`."""
+    level = levels(tokens, frequent)
+    order = np.argsort(level, kind="stable")  # the tokens are sorted by hash
+    first, n = int((level == 0).sum()), len(tokens)
+    rare, many = tokens[order[:first]], tokens[order[first:]]
     missing = slack(n, percent)
     if len(rare) > missing:
         return False, rare[:missing + 1], rare[:0]
@@ -93,12 +109,12 @@ def _packed(parts: list[np.ndarray], buckets: int, tokens: np.ndarray):
     return firsts, columns
 
 
-def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> tuple[np.ndarray, int]:
-    """The frequent tokens (upper halves of their hashes) and the count above which they are so.
+def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> np.ndarray:
+    """Map of the levels of frequent tokens, by the upper bits of their hashes: two cells a byte.
 
     Tasks send the tokens of their distinct sets packed by bucket, four bytes each; a bucket
-    is counted in one task and is a bounded share of all. The threshold is raised until at
-    most `FREQUENT_TOKENS` remain, which bounds what goes along with the code.
+    is counted in one task and is a bounded share of all. The map has 16 cells for each frequent
+    token, and at most `FREQUENT_TOKENS`, which bounds what goes along with the code.
     """
     def send(batches):
         for batch in slices(batches, "text", SLICE):
@@ -110,7 +126,9 @@ def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> tuple[n
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
         token, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in part["data"]]), return_counts=True)
-        return pd.DataFrame({"token": token[n > common].astype(np.int64), "n": n[n > common]})
+        token, n = token[n > common], n[n > common]
+        level = np.minimum(np.log2(n / common).astype(np.int32) + 1, TOP_LEVEL)
+        return pd.DataFrame({"token": token.astype(np.int64), "level": level})
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         out = counted(part)
@@ -118,44 +136,54 @@ def _frequent(docs: DataFrame, width: int, buckets: int, common: int) -> tuple[n
         return out
 
     sent = docs.select("text").mapInArrow(lean(send), "bucket long, data binary")
-    counts = stage(sent.groupBy("bucket").applyInPandas(count, "token long, n long"), "frequent")
-    floors = [common << k for k in range(40)]
-    above = counts.agg(*[F.sum((F.col("n") > f).cast("long")).alias(f"above_{f}") for f in floors]).first()
-    floor = next(f for f in floors if (above[f"above_{f}"] or 0) <= FREQUENT_TOKENS)
-    return np.array(sorted(r.token for r in counts.filter(F.col("n") > floor).select("token").collect()), np.uint32), floor
+    counts = stage(sent.groupBy("bucket").applyInPandas(count, "token long, level int"), "frequent", True)
+    cells = min(FREQUENT_TOKENS, max(1 << 10, 1 << (16 * counts.count()).bit_length()))
+    shift, pieces = 33 - cells.bit_length(), min(64, cells // 2)
+    each = cells // pieces
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        first = int(part["piece"].iloc[0]) * each
+        level = np.zeros(each, np.uint8)
+        np.maximum.at(level, (part["token"].to_numpy() >> shift) - first, part["level"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"first": [first], "data": [(level[::2] | level[1::2] << 4).tobytes()]})
+
+    out = np.zeros(cells // 2, np.uint8)
+    placed = counts.withColumn("piece", F.shiftright("token", shift + each.bit_length() - 1))
+    for first, data in placed.groupBy("piece").applyInPandas(fill, "first long, data binary").collect():
+        out[first // 2:first // 2 + len(data)] = np.frombuffer(data, np.uint8)
+    return out
 
 
-INDEXED = "doc_id long, name long, set_key long, n long, bucket long, token binary, keys binary, sizes binary, heavy binary, combos binary"
+INDEXED = "doc_id long, name long, set_key long, n long, bucket long, token binary, keys binary, sizes binary, heavy binary"
 
 
 def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds: a document with its set's name and combinations, and packed postings of single tokens."""
+    """Rows of two kinds: a document with its set's name, and packed postings of single tokens and combinations."""
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             sets = token_sets(raw(batch, "text"), width)
             keys = [set_key(t) if len(t) else None for t in sets]
-            singles, names, sizes, heavy, combos, seen = [], [], [], [], [], set()
+            indexed, names, sizes, heavy, seen = [], [], [], [], set()
             for tokens, key in zip(sets, keys):
                 if key is None or key in seen:  # an equal set of this slice has sent its postings
-                    combos.append(None)
                     continue
                 seen.add(key)
                 made, single, combined = prefixes(tokens, frequent, percent)
-                combos.append(combined.tobytes() if made else None)
-                singles.append(single)
-                names.append(np.full(len(single), key, np.int64))
-                sizes.append(np.full(len(single), len(tokens), np.int32))
-                heavy.append(np.full(len(single), made, np.uint8))
-            kinds = dict(zip(("doc_id", "name", "set_key", "n", "bucket", "token", "keys", "sizes", "heavy", "combos"),
-                             (pa.int64(),) * 5 + (pa.binary(),) * 5))
+                chosen = np.concatenate([single, combined])
+                indexed.append(chosen)
+                names.append(np.full(len(chosen), key, np.int64))
+                sizes.append(np.full(len(chosen), len(tokens), np.int32))
+                heavy.append(np.full(len(chosen), made, np.uint8))
+            kinds = dict(zip(("doc_id", "name", "set_key", "n", "bucket", "token", "keys", "sizes", "heavy"), (pa.int64(),) * 5 + (pa.binary(),) * 4))
 
             def rows(count, **held):
                 return pa.RecordBatch.from_pydict({k: pa.array(held.get(k, [None] * count), t) for k, t in kinds.items()})
 
-            yield rows(batch.num_rows, doc_id=batch["doc_id"].to_pylist(), name=batch["name"].to_pylist(), set_key=keys, n=[len(t) for t in sets], combos=combos)
-            if singles and sum(map(len, singles)):
-                token = np.concatenate(singles)
-                firsts, packed = _packed([token, *map(np.concatenate, (names, sizes, heavy))], buckets, token)
+            yield rows(batch.num_rows, doc_id=batch["doc_id"].to_pylist(), name=batch["name"].to_pylist(), set_key=keys, n=[len(t) for t in sets])
+            if indexed and sum(map(len, indexed)):
+                token = np.concatenate(indexed)
+                # Stirred, as a prefix holds the least hashes; a posting is longer than a counted token, but few are sent.
+                firsts, packed = _packed([token, *map(np.concatenate, (names, sizes, heavy))], max(16, buckets // 4), stirred(token))
                 token, names, sizes, heavy = ([x.tobytes() for x in p] for p in packed)
                 yield rows(len(firsts), bucket=firsts.tolist(), token=token, keys=names, sizes=sizes, heavy=heavy)
 
@@ -168,15 +196,15 @@ def _name(text: str):
 
 
 def _pairs(postings: DataFrame, percent: int, common: int) -> DataFrame:
-    """Candidate pairs from single tokens, with the number of tokens shared, a row a bucket and pair.
+    """Candidate pairs from single tokens and combinations, with the number of tokens shared, a row a bucket and pair.
 
-    Two sets made of frequent tokens give a star edge, which counts no tokens, as their shared
-    frequent tokens aren't counted here; and so does any set of a list longer than `common`.
+    The number says nothing of two sets made of frequent tokens, as their shared frequent tokens
+    aren't counted here. Sets of a list longer than `common` give star edges, which count no tokens.
     """
     def paired(part: pd.DataFrame) -> pd.DataFrame:
         token, key, size, made = (np.concatenate([np.frombuffer(x, t) for x in part[c]]) for c, t in (
             ("token", np.uint64), ("keys", np.int64), ("sizes", np.int32), ("heavy", np.uint8)))
-        order = np.lexsort((key, token))
+        order = np.lexsort((key, size, token))
         token, key, size, made = token[order], key[order], size[order], made[order]
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
         token, key, size, made = token[fresh], key[fresh], size[fresh].astype(np.int64), made[fresh].astype(bool)
@@ -185,24 +213,19 @@ def _pairs(postings: DataFrame, percent: int, common: int) -> DataFrame:
         group = np.repeat(np.arange(len(start)), length)
         long = np.repeat(length > common, length)
         found, stars = [], []
-        # Star edges: each set of frequent tokens, or of a long list, with the first such one in the list.
-        frequent_at = np.flatnonzero(made | long)
-        if len(frequent_at):
-            lists, first = np.unique(group[frequent_at], return_index=True)
-            hub = np.zeros(group[-1] + 1, np.int64)
-            hub[lists] = key[frequent_at[first]]
-            edge = np.column_stack([hub[group[frequent_at]], key[frequent_at]])
-            stars = edge[edge[:, 0] != edge[:, 1]]
-        held = 0
+        # Star edges of a long list: each set with the smallest of its run of sizes; sets of different runs aren't linked.
+        apart = np.concatenate([[True], (group[1:] != group[:-1]) | (size[:-1] * 100 < size[1:] * percent)])
+        hub = key[np.flatnonzero(apart)[np.cumsum(apart) - 1]]
+        edge = long & (hub != key)
+        if edge.any():
+            stars = np.column_stack([hub[edge], key[edge]])
         for gap in range(1, min(common, int(length.max(initial=1)))):
             i = np.flatnonzero((group[gap:] == group[:-gap]) & ~long[gap:])
             j = i + gap
-            close = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
-            close &= ~(made[i] & made[j])
+            close = size[i] * 100 >= size[j] * percent  # a list is sorted by size
             i, j = i[close], j[close]
             if len(i):
                 found.append(np.column_stack([key[i], key[j], size[i], size[j], made[i], made[j]]))
-                held += len(i)
         out = pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 6), np.int64), columns=["a", "b", "na", "nb", "ma", "mb"])
         out = out.groupby(["a", "b", "na", "nb", "ma", "mb"], as_index=False).size().rename(columns={"size": "shared"})
         if len(stars):
@@ -232,18 +255,43 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return total.filter((F.col("ma") + F.col("mb") == 2) | (F.col("shared") + rest >= need)).select("a", "b")
 
 
-def _stars(indexed: DataFrame) -> DataFrame:
-    """Star edges between the sets that share a combination."""
-    def spread(batches):
-        for batch in batches:
-            for key, data in zip(batch["set_key"].to_pylist(), batch["combos"].to_pylist()):
-                combos = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_pydict({"combo": combos, "set_key": np.full(len(combos), key)})
+def _marks(found: DataFrame) -> np.ndarray:
+    """Map of bits of the documents (doc_id, name) found, eight for each and at most `MARKS`.
+
+    Other documents may share a bit: it tells which texts needn't be exchanged, not which are meant.
+    """
+    marks = found.select(_mark().alias("mark"))
+    bits = min(MARKS, max(1 << 10, 1 << (8 * marks.count()).bit_length()))
+    pieces = min(64, bits // 8)
+    each, shift = bits // pieces, 65 - bits.bit_length()
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        piece = int(part["piece"].iloc[0])
+        held = np.zeros(each, bool)
+        held[(part["mark"].to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64) - piece * each] = True
+        return pd.DataFrame({"piece": [piece], "data": [np.packbits(held, bitorder="little").tobytes()]})
+
+    out = np.zeros((pieces, each // 8), np.uint8)
+    placed = marks.withColumn("piece", F.shiftrightunsigned("mark", 65 - pieces.bit_length()))
+    for piece, data in placed.groupBy("piece").applyInPandas(fill, "piece long, data binary").collect():
+        out[piece] = np.frombuffer(data, np.uint8)
+    return out.reshape(-1)
+
+
+def _mark(doc_id: str = "doc_id", name: str = "name"):
+    return F.xxhash64(name, doc_id)
+
+
+def _holds(bits: np.ndarray):
+    """Function of a column of marks: whether the map has them."""
+    shift = np.uint64(62 - len(bits).bit_length())
+
+    @F.pandas_udf("boolean")
+    def held(mark: pd.Series) -> pd.Series:
+        at = (mark.to_numpy().view(np.uint64) >> shift).astype(np.int64)
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    rows = indexed.filter("combos is not null").select("set_key", "combos").dropDuplicates(["set_key"])
-    rows = rows.mapInArrow(lean(spread), "combo long, set_key long")
-    hubs = rows.groupBy("combo").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("lists")).filter("lists > 1")
-    return rows.join(hubs, "combo").filter("hub <> set_key").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
+    return held
 
 
 def _overlaps(sets: list[np.ndarray], one: int, others: list[int]) -> np.ndarray:
@@ -297,6 +345,7 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     cut = cut.withColumn("with", F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as lo, greatest(x, block) as hi))"))
     asked = cut.select(F.col("doc_id").alias("member_id"), F.col("name").alias("member_name"), "set_key", "root", "block", "with")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _name("text").alias("name"))
+    texts = texts.filter(_holds(_marks(members))(_mark()))
 
     def make(batches):
         for batch in slices(batches, "text"):
@@ -324,19 +373,17 @@ def _classes(docs: DataFrame, width: int, percent: int, common: int) -> tuple[Da
     """(doc_id, name, set_key, n of every document), (set_key, doc_id, class of every set)."""
     bytes_all = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, bytes_all // BUCKET_BYTES)
-    frequent, _ = _frequent(docs, width, buckets, common)
-    indexed = stage(_index(docs, width, percent, frequent, buckets), "indexed")
+    frequent = _frequent(docs, width, buckets, common)
+    indexed = stage(_index(docs, width, percent, frequent, buckets), "indexed", True)
 
     own = indexed.filter("bucket is null").select("doc_id", "name", "set_key", "n")
     postings = indexed.filter("bucket is not null").select("bucket", "token", "keys", "sizes", "heavy")
-    pairs = _possible(_pairs(postings, percent, common), percent)
-    candidates = pairs.unionByName(_stars(indexed.filter("bucket is null")))
-    coarse = components(candidates)
+    coarse = components(stage(_possible(_pairs(postings, percent, common), percent), "candidates", True))
     first = own.filter("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "name")).alias("at"), F.first("n").alias("n"))
-    first = stage(first.select("set_key", "at", "n"), "sets")
+    first = stage(first.select("set_key", "at", "n"), "sets", True)
     members = first.join(coarse, first["set_key"] == coarse["node"]).select("at.doc_id", "at.name", "set_key", "n", "root")
-    exact = components(stage(_verified(docs, members, width, percent), "links"))
+    exact = components(stage(_verified(docs, members, width, percent), "links", True))
     return own, first.join(exact, first["set_key"] == exact["node"], "left").select(
         "set_key", "at", F.coalesce("root", "set_key").alias("class"))
 

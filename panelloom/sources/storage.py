@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections import Counter
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,33 @@ def clear_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Shuffle files of a query that runs within go as it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+
+
+def stage(df: DataFrame, name: str = "stage", free: bool = False) -> DataFrame:
     """Write once, read many: for a frame that several passes consume.
 
     Later passes get a columnar scan (pruning, pushdown, size statistics) and a
-    lost executor costs one re-read, not the whole lineage.
+    lost executor costs one re-read, not the whole lineage. With `free`, the shuffle
+    files of the writing go with its end.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    with shuffles_end(df.sparkSession) if free else nullcontext():
+        df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

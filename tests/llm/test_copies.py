@@ -80,6 +80,33 @@ def test_long_lists_give_star_edges(spark):
     assert all(r.a == 1 and r.ma == r.mb == 1 for r in rows(5000, 16))
 
 
+def test_shared_lines_do_not_join_candidates(spark, monkeypatch):
+    """More frequent tokens than cells go along: lists of texts rich in rare tokens keep to the limit, and hardly any text is verified."""
+    monkeypatch.setattr(jaccard, "FREQUENT_TOKENS", 256)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(80)]
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(60)) + "\n" + lines[i % 80] + "\n" + lines[(7 * i + i // 80) % 80]) for i in range(240)]
+    pairs, verified, seen = jaccard._pairs, jaccard._verified, {}
+    monkeypatch.setattr(jaccard, "_pairs", lambda postings, *a: pairs(seen.setdefault("postings", postings), *a))
+    monkeypatch.setattr(jaccard, "_verified", lambda docs, members, *a: verified(docs, seen.setdefault("members", members), *a))
+    got = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), common=4).collect()
+    lists = defaultdict(set)
+    for r in seen["postings"].collect():
+        for token, key, heavy in zip(np.frombuffer(r.token, np.uint64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r.heavy, np.uint8)):
+            lists[int(token)].add((int(key), bool(heavy)))
+    assert max(len(x) for x in lists.values() if not all(heavy for _, heavy in x)) <= 4
+    assert seen["members"].count() < 60 and all(r.component_id == r.doc_id for r in got)
+
+
+def test_levels_put_frequent_tokens_last(spark):
+    texts = [(i, f"a b c d{i} e{i} f{i} " + ("g h i" if i < 6 else f"x{i} y{i} z{i}")) for i in range(40)]
+    found = jaccard._frequent(spark.createDataFrame(texts, "doc_id long, text string"), 3, 16, 4)
+    every, some, once = (jaccard.levels(jaccard.token_sets([x], 3)[0], found)[0] for x in (b"a b c", b"g h i", b"no such words"))
+    assert found.dtype == np.uint8 and every == 4 and some == 1 and once == 0
+    tokens = jaccard.token_sets([texts[0][1].encode()], 3)[0]
+    made, single, combined = jaccard.prefixes(tokens, found, 80)
+    assert not made and not set(jaccard.token_sets([b"a b c", b"g h i"], 3)[0].tolist()) & set(single.tolist()) and not len(combined)
+
+
 def test_blocks_of_large_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
     docs = list(enumerate(family(4, 50, 100, 8)))
