@@ -401,15 +401,23 @@ def keep(docs: DataFrame, width: int = 5, percent: int = 80, common: int = COMMO
     """One document of each component, that of the smallest identifier, and all without words; the input's columns."""
     own, classes = _classes(docs, width, percent, common)
     stay = classes.groupBy("class").agg(F.min("at").alias("at")).select("at.doc_id", "at.name")
-    stay = stay.unionByName(own.filter("set_key is null").select("doc_id", "name")).distinct()
+    stay = stage(stay.unionByName(own.filter("set_key is null").select("doc_id", "name")).distinct(), "stay", True)
     mark = "__stay"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
-    stay = stay.withColumnsRenamed({"doc_id": mark + "_id", "name": mark + "_name"})
-    found = docs.withColumn(mark + "_own", _name("text")).join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(F.col(mark + "_id")) & (F.col(mark + "_own") == F.col(mark + "_name")))
+    named = stay.withColumnsRenamed({"doc_id": mark + "_id", "name": mark + "_name"})
+
+    def matched(left, doc_id, name, kind):
+        return left.join(named, doc_id.eqNullSafe(F.col(mark + "_id")) & (name == F.col(mark + "_name")), kind)
+
+    # Only documents that go or have equal rows, and the few that share their bits, are exchanged with their texts.
+    times = own.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("times"))
+    asked = matched(times, F.col("doc_id"), F.col("name"), "left").filter(F.col(mark + "_name").isNull() | (F.col("times") > 1))
+    held = _holds(_marks(asked))(_mark(mark + "_doc", mark + "_own"))
+    rows = docs.withColumns({mark + "_own": _name("text"), mark + "_doc": F.col("doc_id").cast("long")}).withColumn(mark + "_held", held)
+    found = matched(rows.filter(mark + "_held"), F.col(mark + "_doc"), F.col(mark + "_own"), "inner")
     # Equal rows have one name: the first of them stays.
     order = Window.partitionBy(mark + "_id", mark + "_name").orderBy(F.lit(0))
     empty = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
     kept = found.withColumn(mark, F.row_number().over(order)).filter((F.col(mark) == 1) | empty)
-    return kept.select(docs.columns)
+    return kept.select(docs.columns).unionAll(rows.filter(~F.col(mark + "_held")).select(docs.columns))

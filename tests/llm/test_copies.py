@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import cases
@@ -107,6 +108,34 @@ def test_levels_put_frequent_tokens_last(spark):
     assert not made and not set(jaccard.token_sets([b"a b c", b"g h i"], 3)[0].tolist()) & set(single.tolist()) and not len(combined)
 
 
+def shuffled_bytes(spark) -> int:
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(blocks.apply(i).length() for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_"))
+
+
+def test_texts_that_stay_are_not_exchanged(spark):
+    """What the join leaves on disk as it ends is far below the texts, of which few have copies."""
+    large = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(large)
+    spark.conf.set(large, "-1")  # as for tables too large to be sent
+    try:
+        exchanged_texts(spark)
+    finally:
+        spark.conf.set(large, before)
+
+
+def exchanged_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.randbytes(4).hex() for _ in range(200)) for _ in range(1500)]
+    docs = stage(spark.createDataFrame(list(enumerate(texts + texts[:20])) + [(1, texts[1])], "doc_id long, text string").repartition(4))
+    before = shuffled_bytes(spark)
+    kept = jaccard.keep(docs)
+    assert shuffled_bytes(spark) - before < 200_000 or not time.sleep(3) and shuffled_bytes(spark) - before < 200_000
+    out = stage(kept)
+    assert shuffled_bytes(spark) - before < sum(map(len, texts)) // 4
+    assert sorted(tuple(r) for r in out.collect()) == sorted(enumerate(texts))
+
+
 def test_blocks_of_large_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
     docs = list(enumerate(family(4, 50, 100, 8)))
